@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op6_substring, op8_suffixes
+from . import op1_simhash, op2_packing, op6_substring, op8_suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash_dedup": op1_simhash.op1_simhash_dedup,
+        "op2_packing": op2_packing.op2_packing,
         "op6_substring_dedup": op6_substring.op6_substring_dedup,
         "op8_suffix_dedup": op8_suffixes.op8_suffix_dedup,
     }
