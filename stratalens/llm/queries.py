@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_simhash, op2_packing, op4_html, op5_toxicity, op6_substring, op8_suffixes, op9_token_files
+from . import op1_simhash, op2_packing, op3_decontamination, op4_html, op5_toxicity, op6_substring, op8_suffixes, op9_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_dedup": op1_simhash.op1_simhash_dedup,
         "op2_packing": op2_packing.op2_packing,
+        "op3_decontamination": op3_decontamination.op3_decontamination,
         "op4_html_text": op4_html.op4_html_text,
         "op5_toxicity": op5_toxicity.op5_toxicity,
         "op6_substring_dedup": op6_substring.op6_substring_dedup,
