@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_simhash, op2_packing, op3_decontamination, op4_html, op5_toxicity, op6_substring, op8_suffixes, op9_token_files
+from . import op1_simhash, op2_packing, op3_decontamination, op4_html, op5_toxicity, op6_substring, op7_licenses, op8_suffixes, op9_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_html_text": op4_html.op4_html_text,
         "op5_toxicity": op5_toxicity.op5_toxicity,
         "op6_substring_dedup": op6_substring.op6_substring_dedup,
+        "op7_license_scan": op7_licenses.op7_license_scan,
         "op8_suffix_dedup": op8_suffixes.op8_suffix_dedup,
         "op9_token_files": op9_token_files.op9_token_files,
     }
