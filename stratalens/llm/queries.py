@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_simhash, op2_packing, op3_decontamination, op4_html, op5_toxicity, op6_substring, op7_licenses, op8_suffixes, op9_token_files
+from . import op10_fingerprints, op1_simhash, op2_packing, op3_decontamination, op4_html, op5_toxicity, op6_substring, op7_licenses, op8_suffixes, op9_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_license_scan": op7_licenses.op7_license_scan,
         "op8_suffix_dedup": op8_suffixes.op8_suffix_dedup,
         "op9_token_files": op9_token_files.op9_token_files,
+        "op10_fingerprints": op10_fingerprints.op10_fingerprints,
     }
 
 
