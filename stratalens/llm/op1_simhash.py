@@ -18,11 +18,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import collect_garbage, materialize, release, table
+from .common import bounded_broadcast, collect_garbage, materialize, release, table
 from .components import connected_components
 
 #: Fingerprints that a tile holds, about.
 TILE = 2048
+#: Rows of a side that is broadcast, at most; beyond it both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
 SEED = 42
 
 
@@ -185,3 +187,71 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, *, id_co
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _sets(texts: DataFrame, k: int) -> DataFrame:
+    """node and its distinct shingle hashes."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [np.unique(shingle_hashes(body.as_py() or b"", k)).view(np.int64) for body in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["node", "hashes"])
+
+    return texts.select("node", F.col("text").cast("binary")).mapInArrow(run, "node long, hashes array<bigint>")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs whose sets of shingles are similar enough; two texts without words are."""
+    pairs = materialize(pairs.distinct())
+    involved = materialize(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct())
+    some = bounded_broadcast(involved, involved.count(), BROADCAST_ROWS)
+    sets = materialize(_sets(texts.join(some, "node").dropDuplicates(["node"]), k))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return materialize(both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"))
+
+
+def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 13, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, text_hash, node, kept, copies): every distinct row and the text that stands for its group.
+
+    Texts meet by fingerprints within the radius, in tiles of like numbers of
+    shingles (the similarity bounds their ratio), and are verified by the exact
+    similarity of their sets of shingles.  Large groups shrink first by the
+    verified links of spanning forests; then all that are left are compared.
+    ``kept`` is true for the row with the smallest id of a group (null ids
+    last), ``copies`` how often that very row stands in docs.
+    """
+    base = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_column).alias("node"), F.col(text_column).alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            hashes = [shingle_hashes(body.as_py() or b"", shingle) for body in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([simhash(h) for h in hashes], pa.int64()), pa.array([np.unique(h).size for h in hashes], pa.int64())], ["doc_id", "node", "fp", "n"])
+
+    own = base.select("doc_id", "node", F.col("text").cast("binary").alias("body")).mapInArrow(run, "doc_id long, node long, fp long, n long")
+    own = materialize(own.groupBy("doc_id", "node", "fp", "n").agg(F.count("*").alias("copies")))
+    texts = materialize(own.groupBy("node", "fp", "n").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("least")).withColumn("root", F.col("node")))
+    size = F.when(F.col("n") == 0, -1).otherwise(F.floor(F.log(F.col("n").cast("double")) / float(-np.log(similarity)) + 1e-9)).cast("int")
+    for all_pairs in (False, True):
+        heads = texts.where("node = root").select("fp", "node", "n")
+        pairs = tile_links(heads, size, [0, 1], radius, all_pairs=all_pairs, ratio=similarity)
+        found = connected_components(_verified(pairs, base.select("node", "text"), shingle, similarity))
+        moved = texts.join(found.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").withColumn("group", F.coalesce("next", "root"))
+        heads = moved.groupBy("group").agg(F.min(F.struct("least", "node")).alias("head"))
+        texts = materialize(moved.join(heads, "group").select("node", "fp", "n", "least", F.col("head.node").alias("root")))
+    kept = (F.col("node") == F.col("root")) & F.coalesce("doc_id", F.lit((1 << 63) - 1)).eqNullSafe(F.col("least"))
+    return materialize(own.join(texts.select("node", "least", "root"), "node").select("doc_id", F.col("node").alias("text_hash"), "root", kept.alias("kept"), "copies"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five words a shingle, a similarity of 0.8 or more."""
+    found = similar_texts(docs)
+    gone = found.where("not kept").select(F.col("doc_id").alias("id2"), F.col("text_hash").alias("hash2"))
+    same = F.col("doc_id").eqNullSafe(F.col("id2")) & (F.xxhash64("text") == F.col("hash2"))
+    out = docs.join(bounded_broadcast(gone, gone.count(), BROADCAST_ROWS), same, "left_anti")
+    repeated = found.where("kept and copies > 1").select(F.col("doc_id").alias("id2"), F.col("text_hash").alias("hash2"))
+    if repeated.isEmpty():
+        return out.select(*docs.columns)
+    once = docs.join(bounded_broadcast(repeated, repeated.count(), BROADCAST_ROWS), same).dropDuplicates(["id2", "hash2"])
+    out = out.join(bounded_broadcast(repeated, repeated.count(), BROADCAST_ROWS), same, "left_anti")
+    return out.select(*docs.columns).unionAll(once.select(*docs.columns))
