@@ -36,6 +36,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their repeated words cut; a text of which nothing is left stays, empty."""
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
     out = dedup_substrings(docs, columns=[*rest, "text"], with_kept=True)
-    text = F.when(F.col("n_removed") > 0, F.decode("kept", F.lit("UTF-8"))).otherwise(F.col("text"))
+    text = F.when(F.col("n_removed") > 0, F.decode("kept", "UTF-8")).otherwise(F.col("text"))
     out = out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)
