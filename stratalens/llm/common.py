@@ -59,9 +59,12 @@ def release(*stored: DataFrame) -> None:
 def collect_garbage(spark: SparkSession) -> None:
     """Shuffle files live until the driver notices that their plans are gone; make it look now."""
     import gc
+    import time
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)  # the cleaner works beside the driver
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -8,6 +8,9 @@ B. Windows whose anchors are all candidates get a 64-bit name; names meet in
    buckets again and decide which windows repeat.
 C. The repeated windows go back to their documents, which are cut.
 
+Texts that are equal as a whole are settled by their hash: of such a group one
+document takes part, the others follow from it.
+
 Names that a batch holds twice are settled there and then; one marker goes on
 in their stead.  So what a hot passage sends to its bucket is one entry for
 each batch, never one for each copy.  A document is (doc_id, hash of the
@@ -21,6 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +35,8 @@ U = np.uint64
 #: Entries that a task gathers before it settles and sends them.
 FLUSH = 4_000_000
 LAST = (1 << 63) - 1
+#: Kinds of rows that meet the documents, in this order: copies of an earlier document, the first of such, replies, documents.
+COPY, COPIED, REPLY, DOCUMENT = -2, -1, 0, 1
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
@@ -101,8 +107,9 @@ class WordWindows:
         p = p[ok]
         return p, Rolling(s).names(self.window)[p]
 
-    def cut(self, body: bytes, starts: np.ndarray) -> dict:
+    def cut(self, body: bytes, starts: np.ndarray, whole: bool) -> dict:
         words = body.split()
+        starts = np.arange(max(0, len(words) - self.window + 1)) if whole else starts
         gone = covered(starts, self.window, len(words))
         kept = b" ".join(words if not starts.size else [w for w, g in zip(words, gone.tolist()) if not g])
         return {"n": len(words), "n_removed": int(gone.sum()), "n_spans": n_runs(gone), "kept": kept}
@@ -165,7 +172,8 @@ class ByteStrings:
             depth = deeper
         return name
 
-    def cut(self, body: bytes, starts: np.ndarray) -> dict:
+    def cut(self, body: bytes, starts: np.ndarray, whole: bool) -> dict:
+        starts = np.arange(max(0, len(body) - self.window + 1)) if whole else starts
         gone = covered(starts, self.window, len(body))
         kept = np.frombuffer(body, np.uint8)[~gone].tobytes() if starts.size else body
         return {"n": len(body), "n_removed": int(gone.sum()), "n_spans": n_runs(gone), "kept": kept}
@@ -240,6 +248,41 @@ def _replies(k1: np.ndarray, k2: np.ndarray, pos: np.ndarray, n: int) -> list[tu
     return out
 
 
+def squeeze(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending numbers as the first one and their steps, in as few bytes each as the largest needs."""
+    if not ordered.size:
+        return ordered, np.zeros(0, np.uint8)
+    step = np.diff(ordered, prepend=ordered[:1])
+    width = max(1, (int(step.max()).bit_length() + 7) // 8)
+    return ordered[:1], np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8)[:, :width]).ravel()
+
+
+def unsqueeze(first: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, U)
+    step = np.zeros((n, 8), np.uint8)
+    step[:, : data.size // n] = data.reshape(n, -1)
+    return np.cumsum(step.view(U).ravel()) + first[0]
+
+
+def by_document(own: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """An order by document and position; the documents, how many each, and steps between positions."""
+    order = np.argsort((own.astype(np.int64) << 40) | pos)
+    own, pos = own[order], pos[order]
+    start, count = runs(own)
+    step = np.diff(pos, prepend=0)
+    step[start] = pos[start]
+    return order, own[start], narrow(count), narrow(step)
+
+
+def places(count: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Undo by_document: which document, and the position."""
+    count, total = count.astype(np.int64), np.cumsum(step.astype(np.int64))
+    start = np.cumsum(count) - count
+    base = total[start] - step[start].astype(np.int64) if start.size else total
+    return np.repeat(np.arange(count.size), count), total - np.repeat(base, count)
+
+
 class _Found:
     """Replies of one group of documents: (k1, k2) to sorted positions."""
 
@@ -378,8 +421,8 @@ def window_step(plan, n: int) -> Callable:
         for b, s in _slices(_bucket(single, n)):
             parts.setdefault(b, [slice(0, 0), slice(0, 0)])[1] = s
         for b, (m, s) in parts.items():
-            docs, which = np.unique(own[s], return_inverse=True)
-            rows.append((b, 0, pack(marks[m], single[s], k1[docs], k2[docs], narrow(which), narrow(pos[s]))))
+            order, docs, count, step = by_document(own[s], pos[s])
+            rows.append((b, 0, pack(np.array([m.stop - m.start]), *squeeze(marks[m]), single[s][order], k1[docs], k2[docs], count, step)))
         return rows
 
     def run(batches):
@@ -388,8 +431,11 @@ def window_step(plan, n: int) -> Callable:
         for batch in batches:
             kinds = batch.column(1).to_pylist()
             for (k1, k2, body), kind, blob in zip(_docs(batch), kinds, batch.column(batch.schema.get_field_index("blob"))):
-                if not kind:
-                    found.add(blob.as_py())
+                if kind < 1:
+                    if not kind:
+                        found.add(blob.as_py())
+                    elif kind == COPY:
+                        seen.add((k1, k2))
                     continue
                 at = found.of((k1 ^ k2, 0))
                 if not at.size or (k1, k2) in seen:
@@ -418,12 +464,13 @@ def window_meet(plan, n: int) -> Callable:
                 if kind:
                     yield from _rows([(bucket, 1, blob)])
                     continue
-                m, s, a, b, which, p = unpack(blob)
-                marks.append(m)
+                many, first, m, s, a, b, count, step = unpack(blob)
+                which, p = places(count, step)
+                marks.append(unsqueeze(first, m, int(many[0])))
                 single.append(s)
                 k1.append(a[which])
                 k2.append(b[which])
-                pos.append(p.astype(np.int64))
+                pos.append(p)
         if not single:
             return
         marks, s, k1, k2, pos = np.unique(np.concatenate(marks)), *(np.concatenate(x) for x in (single, k1, k2, pos))
@@ -446,18 +493,20 @@ def window_meet(plan, n: int) -> Callable:
 
 def cut_step(plan, columns: list[str], result: pa.Schema) -> Callable:
     def run(batches):
-        found = _Found()
+        found, whole = _Found(), set()
         for batch in batches:
             col = {x: batch.schema.get_field_index(x) for x in batch.schema.names}
             kinds = batch.column(col["kind"])
-            held = pa.compute.equal(kinds, 1)
-            for blob, kind in zip(batch.column(col["blob"]), kinds.to_pylist()):
-                if not kind:
+            held = pa.compute.equal(kinds, DOCUMENT)
+            for (k1, k2, _), blob, kind in zip(_docs(batch), batch.column(col["blob"]), kinds.to_pylist()):
+                if kind == REPLY:
                     found.add(blob.as_py())
+                elif kind == COPY or kind == COPIED and not plan.earliest:
+                    whole.add((k1, k2))
             part = batch.filter(held)
             if not part.num_rows:
                 continue
-            cuts = [plan.cut(body, found.of((k1, k2))) for k1, k2, body in _docs(part)]
+            cuts = [plan.cut(body, found.of((k1, k2)), (k1, k2) in whole) for k1, k2, body in _docs(part)]
             own = [part.column(col[f"_{x}"]) for x in columns]
             own += [pa.array([x[k] for x in cuts], pa.int64()) for k in ("n", "n_removed", "n_spans")]
             own += [pa.array([hashlib.sha256(x["kept"]).hexdigest() for x in cuts], pa.string())]
@@ -485,13 +534,19 @@ def cut_repeats(docs: DataFrame, plan, *, id_column: str = "doc_id", text_column
     keyed = docs.select(k1.alias("k1"), k2.alias("k2"), body.alias("body"), *[F.col(c).alias(f"_{c}") for c in columns])
     group = F.pmod(F.col("k1").bitwiseXOR(F.col("k2")), F.lit(n)).cast("int")
 
+    bare = keyed.select("k1", "k2", "body")
+    keys = bare.select("k1", "k2").distinct()
+    groups = keys.groupBy("k2").agg(F.min("k1").alias("first"), F.max("k1").alias("last")).where("first <> last")
+    copies = materialize(keys.join(groups, "k2").select("k1", "k2", F.when(F.col("k1") == F.col("first"), COPIED).otherwise(COPY).cast("tinyint").alias("kind")))
+
     def with_replies(replies: DataFrame, docs: DataFrame) -> DataFrame:
-        own = docs.select(group.alias("bucket"), F.lit(1).cast("tinyint").alias("kind"), F.lit(None).cast("binary").alias("blob"), *docs.columns)
+        own = docs.select(group.alias("bucket"), F.lit(DOCUMENT).cast("tinyint").alias("kind"), F.lit(None).cast("binary").alias("blob"), *docs.columns)
+        keyless = [F.lit(None).cast(x.dataType).alias(x.name) for x in docs.schema if x.name not in ("k1", "k2")]
+        own = own.unionAll(copies.select(group.alias("bucket"), "kind", F.lit(None).cast("binary").alias("blob"), "k1", "k2", *keyless))
         none = [F.lit(0).cast("long").alias(x.name) if x.name in ("k1", "k2") else F.lit(None).cast(x.dataType).alias(x.name) for x in docs.schema]
-        both = own.unionAll(replies.select("bucket", F.lit(0).cast("tinyint").alias("kind"), "blob", *none))
+        both = own.unionAll(replies.select("bucket", F.lit(REPLY).cast("tinyint").alias("kind"), "blob", *none))
         return both.repartitionById(n, F.col("bucket")).sortWithinPartitions("kind")
 
-    bare = keyed.select("k1", "k2", "body")
     anchors = bare.mapInArrow(anchor_step(plan, n), _SQL).repartitionById(n, F.col("bucket")).mapInArrow(anchor_meet(n), _SQL)
     anchors = materialize(anchors.select("bucket", "blob"))
     collect_garbage(spark)
