@@ -1 +1 @@
-"""The streaming of the engine."""
+"""Stream operators: deduplication, batches, rate limits, idempotency."""
