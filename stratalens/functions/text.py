@@ -60,7 +60,7 @@ def highlight(text: Column, query: str, limit: int = 240) -> Column:
     words = sorted(set(query.lower().split()))
     clean = collapse(text)
     wanted = F.array(*[F.lit(x) for x in words]).cast("array<string>")
-    sentences = F.filter(F.transform(F.split(clean, r"\."), F.trim), lambda s: s != "")
+    sentences = F.filter(F.transform(F.split(clean, r"\."), lambda x: F.trim(x)), lambda s: s != "")
     ranked = F.transform(sentences, lambda s, i: F.struct((-F.size(F.array_intersect(F.split(F.lower(s), " "), wanted))).alias("k"), i.alias("i"), s.alias("s")))
     best = F.when(F.size(ranked) == 0, clean).otherwise(F.array_min(ranked)["s"]) if words else clean
     return F.when(clean != "", F.substring(best, 1, limit))
