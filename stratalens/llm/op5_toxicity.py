@@ -30,6 +30,8 @@ STEMS = (4, 5, 6)
 HOMOGLYPHS = {
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "ո": "n", "ʟ": "l", "ɡ": "g",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "ı": "i",
+    # capitals that look like others than their small letters do
+    "В": "b", "Н": "h", "Ν": "n", "Η": "h", "Ρ": "p", "Υ": "y", "Β": "b", "Ζ": "z", "Μ": "m", "Χ": "x", "Τ": "t", "Р": "p", "С": "c", "У": "y", "Х": "x",
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t", "€": "e", "£": "l"}
 #: Phrases in which an entry is no insult.
@@ -53,9 +55,10 @@ def _unmask(match: re.Match) -> str:
 
 def fold(text: str) -> str:
     """Lower case, without accents, homoglyphs and, in words that also hold letters, digit substitutions."""
-    text = text.lower()
-    if not text.isascii():
-        text = unicodedata.normalize("NFKD", text.translate(_FOLD))
+    if text.isascii():
+        text = text.lower()
+    else:
+        text = unicodedata.normalize("NFKD", text.translate(_FOLD).lower().translate(_FOLD))
         text = _MARKS.sub("", text)
     return _MIXED.sub(_unmask, text) if _STAND_IN.search(text) else text
 

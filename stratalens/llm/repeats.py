@@ -128,11 +128,10 @@ class ByteStrings:
     """
 
     earliest = False
-    q = 48
     _symbols = mix64(np.arange(1, 257, dtype=U) * U(_BASE))
 
     def __init__(self, window: int = 400):
-        self.window = window
+        self.window, self.q = window, min(48, max(1, window // 4))
         self.grams = window - self.q + 1
 
     def buckets(self, body: bytes) -> tuple[Rolling, np.ndarray, np.ndarray, np.ndarray]:
@@ -522,12 +521,14 @@ def cut_repeats(docs: DataFrame, plan, *, id_column: str = "doc_id", text_column
     Returns ``columns`` (by default the id alone) with n, n_removed, n_spans,
     kept_sha256 and, if asked for, kept (bytes).  A null text is empty; a null
     id comes after all others; rows equal in id and text are one document.
+    Of ``columns``, those named like a result are left out.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import BinaryType, LongType, StringType, StructType
 
     spark = docs.sparkSession
-    columns = [id_column] if columns is None else columns
+    results = ("n", "n_words", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    columns = [id_column] if columns is None else [c for c in columns if c not in results]
     n = bucket_count(spark, text_bytes(docs, text_column))
     body = F.coalesce(F.col(text_column).cast("binary"), F.lit(b""))
     k1, k2 = F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)), F.xxhash64(body)

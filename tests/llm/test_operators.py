@@ -1,0 +1,288 @@
+"""The corpus operators on awkward rows, against brute force."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from stratalens.llm import op1_simhash, op2_packing, op3_decontamination, op4_html, op5_toxicity, op6_substring, op7_licenses, op8_suffixes, op9_token_files, op10_fingerprints
+from stratalens.llm.range_coder import decode_block, encode_block
+from stratalens.llm.tokens import default_path, encoder
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k1 string, body int, kind string, fp double, hash string, text_hash string, words int, score string, n string, bucket string, blob string"
+ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega"
+
+
+def texts():
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(300)] + ["Été", "naïve", "X1", "the"]
+    make = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage, base = make(70), make(200)
+    near = base.split(" ")
+    near[100] = "changed"
+    out = {i: make(rng.randint(1, 90)) for i in range(20)}
+    out |= {20: None, 21: "", 22: " \t\n ", 23: base, 24: base, 25: " ".join(near), 26: f"{make(30)} {passage}", 27: f"{passage}\n{make(5)} {passage}", 28: make(30_000), 29: "aaaa " * 500}
+    out |= {30: f"{make(12)} {ITEM.upper()} {make(9)}", 31: "CC BY cc by general public license, All rights reserved.", 32: "Released under the MIT License", 33: "é" * 900, 34: "one", 35: "one"}
+    return out
+
+
+@pytest.fixture(scope="module")
+def rows():
+    body = [(i, t) for i, t in texts().items()] + [(None, "lost id w1 w2 w3"), (None, None), (3, texts()[3]), (3, "another text under an id w1 w2")]
+    return body
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    full = [(i, t, None if i == 5 else "en", "s", None, "k", 1, "x", 0.5, "h", "t", 2, "s", "n", "b", "c") for i, t in rows]
+    return spark.createDataFrame(full, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def counted(pairs):
+    return collections.Counter(pairs)
+
+
+def ordered(rows):
+    """Distinct documents, null ids last; those of one id in the order of Spark's hash are made unique by their text."""
+    return sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
+
+
+def test_op1(docs, rows, empty):
+    def fp(text):
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+        w = [bytes(c + 32 if 65 <= c <= 90 else c for c in x) for x in w]
+        s = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [b" ".join(w)] * bool(w)
+        h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    prints = [fp(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for a in range(len(rows)):
+            for b in range(a):
+                if (prints[a] ^ prints[b]).bit_count() <= 3:
+                    group[a] = group[b] = min(group[a], group[b])
+    least = {g: min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None), default=None) for g in set(group)}
+    want = counted((rows[i][0], f"{prints[i]:016x}", least[group[i]]) for i in range(len(rows)))
+    got = op1_simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
+    assert counted(map(tuple, got.collect())) == want
+    assert op1_simhash.near_duplicates(empty).count() == 0
+
+
+def test_op1_forest():
+    rng = np.random.default_rng(1)
+    near = rng.random((40, 50)) < 0.2
+    i, j = op1_simhash.forest(near)
+    assert near[i, j].all() and len(i) <= 89
+    full, cut = op1_simhash.forest(np.ones((30, 20), bool)), None
+    assert len(full[0]) == 49 and cut is None
+
+
+def test_near_duplicate_stage(spark, docs, rows, empty):
+    sets = [frozenset(op1_simhash.shingles((t or "").encode(), 5)) for _, t in rows]
+    kept = op1_simhash.stage(spark, docs, "").select("doc_id", "text").collect()
+    left = [frozenset(op1_simhash.shingles((r.text or "").encode(), 5)) for r in kept]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    assert not any(alike(a, b) for k, a in enumerate(left) for b in left[:k])
+    assert all(any(alike(s, k) for k in left) for s in sets)
+    assert op1_simhash.stage(spark, empty, "").count() == 0
+
+
+def test_op2(docs, rows, empty):
+    ids = encoder(default_path())
+    got = op2_packing.pack_documents(docs, default_path(), with_ids=True).collect()
+    pieces, places = collections.defaultdict(list), collections.defaultdict(list)
+    for r in got:
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length
+        pieces[r.doc_id].append(r)
+        places[r.sequence_id].append(r)
+    for doc_id in {i for i, _ in rows}:
+        whole = counted(tuple([*ids._library(t or ""), 0]) for i, t in rows if i == doc_id)
+        if sum(whole.values()) == 1:
+            joined = [x for r in sorted(pieces[doc_id], key=lambda r: r.start) for x in r.ids]
+            assert tuple(joined) in whole
+        assert sum(r.length for r in pieces[doc_id]) == sum(len(k) * n for k, n in whole.items())
+    for held in places.values():
+        held.sort(key=lambda r: r.offset)
+        assert [r.offset for r in held] == [sum(x.length for x in held[:k]) for k in range(len(held))]
+        size = sum(r.length for r in held)
+        assert size <= 1024 and size & (size - 1) == 0
+    assert op2_packing.pack_documents(empty, default_path()).count() == 0
+
+
+def test_op3(spark, docs, rows, empty):
+    items = spark.createDataFrame([(1, ITEM, 0), (2, None, 0), (3, "", 0), (4, "one", 0), (5, texts()[29], 1)], "item_id long, text string, words int")
+    got = {(r.doc_id, r.item_id) for r in op3_decontamination.leaks(docs, items).collect()}
+    assert got == {(30, 1), (34, 4), (35, 4), (29, 5)}
+    assert op3_decontamination.leaks(empty, items).count() == 0 and op3_decontamination.leaks(docs, items.limit(0)).count() == 0
+
+
+def test_op3_against_all_windows(spark):
+    rng = random.Random(3)
+    words = [f"v{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(6, 40)))) for i in range(12)]
+    docs = []
+    for i in range(60):
+        w = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        docs.append((i, " ".join([rng.choice(words) for _ in range(rng.randint(0, 20))] + w + [rng.choice(words) for _ in range(rng.randint(0, 9))])))
+    want = {}
+    for i, t in docs:
+        w = t.split()
+        for k, x in items:
+            y = x.split()
+            s = collections.Counter(tuple(y[a : a + 5]) for a in range(len(y) - 4))
+            for at in range(max(1, len(w) - len(y) + 1)):
+                c = w[at : at + len(y)]
+                c = collections.Counter(tuple(c[a : a + 5]) for a in range(len(c) - 4))
+                j = sum((c & s).values()) / sum((c | s).values())
+                if j >= 0.8:
+                    want[i, k] = max(want.get((i, k), 0), round(j, 6))
+    found = op3_decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), radius=24)
+    assert {(r.doc_id, r.item_id): r.similarity for r in found.collect()} == pytest.approx(want) and want
+
+
+def test_op4(spark):
+    page = """<html><head><title>T</title><script>if(a<b)"</p>"</script></head><body><header><a href=x>Home</a> Site</header><nav><ul><li><a href=y>Menu</a></ul></nav>
+    <div class="cookie-notice">We use cookies to do many things that you may like, or not, who knows.</div><main><article><h1>Title &amp; more</h1><p>First <a href=z>link</a>
+    line<br>goes&nbsp;on.<p>Short.</p><div class="ad">Buy this now, it is long enough to look like text of a page, is it not?</div><!-- <p>no</p> --><pre>a  b</pre></article>
+    <section class="comments"><article><p>A reader says many things about it, at length, and then some more words.</p></article></section></main><footer>&copy; me</footer>"""
+    df = spark.createDataFrame([(1, "u", page, "x"), (2, None, None, "x"), (3, "u", "", "x"), (1, "u", page, "x"), (4, "u", "<p>" + "long plain text " * 20000, None), (5, "u", "<<<>>&amp <p", "x")], "page_id long, url string, html string, text string")
+    got = op4_html.extract_pages(df).collect()
+    by = {r.page_id: r for r in got}
+    assert len(got) == 6 and by[1].text == "Title & more\n\nFirst link line goes on.\n\nShort.\n\na b" and by[1].n_chars == len(by[1].text)
+    assert by[2].text == by[3].text == "" and by[4].n_chars == len("long plain text ") * 20000 - 1
+    assert op4_html.extract_pages(df.limit(0)).count() == 0
+
+
+def test_op5(spark, docs, rows, empty):
+    toxic = [(i, f"{t or ''} you awful stinker", 1) for i, t in list(texts().items())[:12]]
+    clean = [(i, t, 0) for i, t in list(texts().items())[:20]]
+    model = op5_toxicity.train(spark.createDataFrame(toxic + clean + [(99, None, None)], "doc_id long, text string, toxic int"), exceptions=("stinker badge",))
+    assert model.score("you awful stinker") > 0.5 > model.score("the w1 w2") and model.score("a ＳＴ1ΝΚЕR") == pytest.approx(model.score("a stinker"))
+    assert model.score("a stinker badge") == pytest.approx(model.score("a good badge"))
+    scored = op5_toxicity.score_documents(docs, model)
+    assert scored.count() == len(rows) and scored.where("score between 0 and 1 and predicted = int(score >= 0.5)").count() == len(rows)
+    assert op5_toxicity.score_documents(empty, op5_toxicity.train(spark.createDataFrame([], "text string, toxic int"))).count() == 0
+
+
+def test_op5_held_out_accuracy(spark, sf):
+    d = sf.replace("sf0.001", "sf0.01")
+    got = op5_toxicity.op5_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out")
+    assert got.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double"))).first()[0] > 0.9
+
+
+def brute_words(rows, window):
+    seen, out = set(), []
+    for i, t in rows:
+        w = (t or "").encode().split()
+        gone = [False] * len(w)
+        for p in range(len(w) - window + 1):
+            key = tuple(w[p : p + window])
+            if key in seen:
+                gone[p : p + window] = [True] * window
+            seen.add(key)
+        out.append((i, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("window", [4, 20])
+def test_op6(docs, rows, empty, window):
+    distinct = [r for r in ordered(rows) if r[0] != 3]  # two texts of one id go by hash
+    got = op6_substring.dedup_substrings(docs.where("doc_id is null or doc_id <> 3"), window).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert counted(map(tuple, got.collect())) == counted(brute_words(sorted(distinct, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None)), window))
+    assert op6_substring.dedup_substrings(docs, window).count() == len(rows)
+    assert op6_substring.dedup_substrings(empty, window).count() == 0
+
+
+def test_op6_stage(spark, docs, rows):
+    out = op6_substring.stage(spark, docs, "")
+    assert out.columns == docs.columns and out.count() == len(rows)
+
+
+@pytest.mark.parametrize("length", [40, 400])
+def test_op8(docs, rows, empty, length):
+    distinct = ordered(rows)
+    count = collections.Counter(t.encode()[p : p + length] for _, t in distinct if t for p in range(len(t.encode()) - length + 1))
+    want = []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            if count[b[p : p + length]] > 1:
+                gone[p : p + length] = b"\x01" * length
+        spans = len(re.findall(rb"\x01+", bytes(gone)))
+        want.append((i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+    got = op8_suffixes.dedup_suffixes(docs, length).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert counted(map(tuple, got.collect())) == counted(want)
+    assert op8_suffixes.dedup_suffixes(empty, length).count() == 0
+
+
+def test_op7(docs, rows, empty):
+    got = op7_licenses.scan_licenses(docs).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got if r.doc_id not in (3, None)}
+    assert (by[31].n_base, by[31].first_word, by[31].last_word, by[31].base_labels) == (4, 0, 7, "cc-by,gpl,reserved")
+    assert (by[32].n_base, by[32].first_word, by[32].labels, by[32].score) == (0, None, "mit", 1.0) and by[20].n_words == by[21].n_words == 0
+    for i, t in rows:
+        if i in by:
+            assert by[i].n_words == len(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")))
+    assert op7_licenses.scan_licenses(empty).count() == 0
+
+
+def test_op9(spark, docs, rows, empty, tmp_path):
+    op9_token_files.write_token_files(docs, str(tmp_path / "a"), default_path())
+    got = op9_token_files.read_token_files(spark, str(tmp_path / "a"), with_ids=True).orderBy("start").collect()
+    ids = encoder(default_path())
+    assert counted((r.doc_id, tuple(r.ids)) for r in got) == counted((i, (*ids._library(t or ""), 2)) for i, t in rows)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
+    known = [r.doc_id for r in got if r.doc_id is not None]
+    assert known == sorted(known) and all(r.doc_id is None for r in got[len(known) :])
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
+    op9_token_files.write_token_files(empty, str(tmp_path / "b"), default_path())
+    assert op9_token_files.read_token_files(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_range_coder_round_trips():
+    rng = np.random.default_rng(5)
+    for ids in (np.zeros(0), np.array([5]), np.zeros(5000), rng.integers(0, 50257, 3000), np.minimum(rng.geometric(0.01, 40_000), 50_256), np.arange(20_000)):
+        ids = ids.astype(np.uint32)
+        assert (decode_block(encode_block(ids, 50257)) == ids).all()
+    record = bytearray(encode_block(np.arange(5000, dtype=np.uint32), 50257))
+    record[len(record) // 2] ^= 1
+    with pytest.raises(ValueError):
+        decode_block(bytes(record))
+
+
+def test_tokens_equal_the_library():
+    tool, rng = encoder(default_path()), random.Random(2)
+    assert tool.twin is not None
+    odd = ["a   b", "x<|endoftext|> y", "  lead", "trail  ", "it's we'll 'll", *("".join(rng.choice(" \n\tab'1.é　<|") for _ in range(50)) for _ in range(500))]
+    assert all(tool.ids(x).tolist() == tool._library(x) for x in odd)
+
+
+def test_op10(docs, rows, empty):
+    got = op10_fingerprints.fingerprint_documents(docs.where("doc_id is null or doc_id <> 3")).collect()
+    own = [r for r in rows if r[0] != 3]
+    assert len(got) == len(own)
+    down = sorted({i: t for i, t in own if i is not None}.items(), reverse=True)
+    by = {r.doc_id: r for r in got if r.doc_id is not None}
+    for (i, t), (_, after) in zip(down[:-1], down[1:]):
+        t, after = t or "", after or ""
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        assert (by[i].n_chars, by[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+    assert by[23].fingerprint == by[24].fingerprint and by[24].near_next == 1.0 and by[23].near_edited < 1
+    assert all(0 <= x <= 1 for r in got for x in (r.near_edited, r.near_next))
+    assert op10_fingerprints.fingerprint_documents(empty).count() == 0
