@@ -9,9 +9,12 @@ input bytes, so that what a task holds stays the same at every size.
 from __future__ import annotations
 
 import math
+import os
 import struct
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +24,24 @@ from pyspark.sql import functions as F
 BUCKET_BYTES = 16 << 20
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once, unless their path holds it already."""
+    root, sc = Path(__file__).resolve().parents[2], spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or sc.applicationId in _SHIPPED:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="stratalens-")) / "stratalens.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "stratalens").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -48,11 +48,19 @@ def simhash(hashes: Column) -> Column:
     return bind(hashes, voted)
 
 
+def _block(fingerprint: Column, many: int, i: int) -> Column:
+    low, high = 64 * i // many, 64 * (i + 1) // many
+    return F.shiftrightunsigned(fingerprint, low).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("long"))
+
+
 def blocks(fingerprint: Column, many: int) -> Column:
     """(block, value) of a 64-bit fingerprint cut into ``many`` blocks, for a multi-index."""
-    cuts = [64 * i // many for i in range(many + 1)]
-    part = lambda fp, i: F.shiftrightunsigned(fp, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1).cast("long"))
-    return bind(fingerprint, lambda fp: F.array(*[F.struct(F.lit(i).alias("block"), part(fp, i).alias("value")) for i in range(many)]))
+    return bind(fingerprint, lambda fp: F.array(*[F.struct(F.lit(i).alias("block"), _block(fp, many, i).alias("value")) for i in range(many)]))
+
+
+def first_zero_block(difference: Column, many: int) -> Column:
+    """The first block that is zero; null if none is."""
+    return F.coalesce(*[F.when(_block(difference, many, i) == 0, F.lit(i)) for i in range(many)])
 
 
 def multiset_overlap(a: Column, b: Column) -> Column:

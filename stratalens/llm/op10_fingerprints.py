@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_count, materialize, shuffle_partitions, table, text_bytes
+from .common import bucket_count, table, text_bytes
 from .native import bind, spaced_words
 
 K, S = 4, 2
@@ -66,23 +66,12 @@ def likeness(a: Column, b: Column, keep: int = ANCHORS) -> Column:
     return F.round(bind(F.struct(hashes(a).alias("a"), hashes(b).alias("b")), share), 6)
 
 
-def successors(keys: DataFrame) -> DataFrame:
-    """(id, hash) of every key with those of the next one, descending, the first after the last; keys are small rows.
-
-    Keys are ordered in ranges; each range looks up its own, and only one row a
-    range crosses to the next.
-    """
-    n = shuffle_partitions(keys.sparkSession)
+def range_tops(keys: DataFrame, many: int) -> list[tuple[int, int]]:
+    """The largest key (id, hash) of each of ``many`` even ranges, descending: so many rows, whatever the keys."""
     down = [F.desc("id"), F.desc("hash")]
-    ranged = materialize(keys.repartitionByRange(n, *down).select("id", "hash", F.spark_partition_id().alias("range")))
-    key = F.struct("id", "hash")
-    inside = ranged.select("id", "hash", "range", F.lead(key).over(Window.partitionBy("range").orderBy(*down)).alias("next"))
-    # one row a range: as many as there are partitions
-    tops = ranged.groupBy("range").agg(F.max(key).alias("top"))
-    whole = Window.orderBy(F.desc("top"))
-    tops = tops.select("range", F.coalesce(F.lead("top").over(whole), F.first("top").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("over"))
-    out = inside.join(F.broadcast(tops), "range")
-    return out.select("id", "hash", F.coalesce("next", "over").alias("next"))
+    ranged = keys.repartitionByRange(many, *down).select("id", "hash", F.spark_partition_id().alias("range"))
+    rows = ranged.groupBy("range").agg(F.max(F.struct("id", "hash")).alias("top")).select("top.*").collect()
+    return sorted(((r["id"], r["hash"]) for r in rows), reverse=True)
 
 
 def fingerprint_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -99,16 +88,26 @@ def fingerprint_documents(docs: DataFrame, *, id_column: str = "doc_id", text_co
     base = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(id_column).cast("long"), F.lit(lowest)).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     base = base.withColumn("hash", F.xxhash64("text"))
     n = bucket_count(docs.sparkSession, text_bytes(docs, text_column))
-    follows = successors(base.select("id", "hash").distinct())
-    targets = follows.select(F.col("id").alias("own_id"), F.col("hash").alias("own_hash"), F.col("next.id").alias("id"), F.col("next.hash").alias("hash"))
-    # the next text goes to the place of its predecessor; one row each, whatever the copies
-    following = base.select("id", "hash", "text", sketch(F.col("text")).alias("next_sketch")).join(targets, ["id", "hash"])
-    following = following.select(F.col("own_id").alias("id"), F.col("own_hash").alias("hash"), F.col("text").alias("next_text"), "next_sketch").dropDuplicates(["id", "hash"])
-    both = base.repartition(n, "id", "hash").join(following, ["id", "hash"])
+    tops = range_tops(base.select("id", "hash").distinct(), 4 * n)
+    if not tops:
+        tops = [(0, 0)]
+    literal = F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(h).cast("long").alias("hash")) for i, h in tops])
+    ranged = base.withColumn("range", F.size(F.filter(literal, lambda t: t >= F.struct("id", "hash"))))
+    # the texts move once, to the place of their range; a range is followed by the top of the next one
+    near = ranged.repartition(n, "range").withColumn("own", sketch(F.col("text")))
+    following = F.struct("id", "hash", "text", F.col("own").alias("sketch"))
+    after = F.lead(following).over(Window.partitionBy("range").orderBy(F.desc("id"), F.desc("hash")))
+    near = near.withColumn("after", after).withColumn("after", F.when(F.struct("after.id", "after.hash") == F.struct("id", "hash"), None).otherwise(F.col("after")))
+    near = near.withColumn("after", F.max("after").over(Window.partitionBy("range", "id", "hash")))
+    wanted = docs.sparkSession.createDataFrame([(*key, (i or len(tops))) for i, key in enumerate(tops)], "id long, hash long, range int")
+    heads = base.join(F.broadcast(wanted), ["id", "hash"]).dropDuplicates(["range"])  # one text a range
+    heads = heads.select("range", F.struct("id", "hash", "text", sketch(F.col("text")).alias("sketch")).alias("head"))
+    both = near.join(F.broadcast(heads), "range", "left").withColumn("next", F.coalesce("after", "head"))
+    both = both.select("doc_id", "text", "own", F.col("next.text").alias("next_text"), F.col("next.sketch").alias("next_sketch"))
     size = F.length("text")
     half = F.floor(size / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), size - half), F.substring(F.col("next_text"), F.lit(1), half))
-    out = both.select("doc_id", size.cast("long").alias("n_chars"), edited.alias("edited"), sketch(F.col("text")).alias("own"), "next_sketch")
+    out = both.select("doc_id", size.cast("long").alias("n_chars"), edited.alias("edited"), "own", "next_sketch")
     out = out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "next_sketch", sketch(F.col("edited")).alias("changed"))
     values = F.struct("own", "changed", F.col("next_sketch").alias("next"))
     result = bind(values, lambda v: F.struct(as_text(v["own"]).alias("fingerprint"), as_text(v["changed"]).alias("edited_fingerprint"), likeness(v["own"], v["changed"]).alias("near_edited"), likeness(v["own"], v["next"]).alias("near_next")))

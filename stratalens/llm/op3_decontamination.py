@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, materialize, release, table
-from .native import blocks, multiset_overlap, rolling_hashes, simhash, spaced_words
+from .native import blocks, first_zero_block, multiset_overlap, rolling_hashes, simhash, spaced_words
 
 #: Rows of a side that is broadcast, at most; beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -72,16 +72,18 @@ def leaks(docs: DataFrame, items: DataFrame, *, k: int = 5, similarity: float =
 
     # Only documents with such windows are read again.
     back = cut.join(bounded_broadcast(kept.withColumnRenamed("doc_id", "id2"), few, BROADCAST_ROWS).withColumnRenamed("text_hash", "hash2"), F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("text_hash") == F.col("hash2")))
-    back = _shingled(back.dropDuplicates(["doc_id", "text_hash"]), ks).select("doc_id", "text_hash", F.size("words").alias("doc_words"), "grams", F.explode("windows").alias("w"))
+    back = _shingled(back, ks).select("doc_id", "text_hash", F.size("words").alias("doc_words"), "grams", F.explode("windows").alias("w"))
     cut_k = F.least(F.col("w.size"), F.lit(k))
     hashes = F.slice(F.filter("grams", lambda g: g["k"] == cut_k)[0]["hashes"], F.col("w.start") + 1, F.col("w.size") - cut_k + 1)
     finger = back.select("doc_id", "text_hash", F.col("w.size").alias("size"), F.col("w.start").alias("start"), F.least("doc_words", "w.size").alias("n_words"), hashes.alias("window"))
     finger = finger.withColumn("wfp", simhash(F.col("window")))
 
     index = own.select("item_id", "size", "hashes", "fp", F.explode(blocks(F.col("fp"), radius + 1)).alias("b"))
+    index = bounded_broadcast(index, own.count() * (radius + 1), BROADCAST_ROWS)
     probes = finger.withColumn("b", F.explode(blocks(F.col("wfp"), radius + 1)))
-    near = probes.join(index, ["size", "b"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("wfp"))) <= radius)
-    near = near.dropDuplicates(["doc_id", "text_hash", "item_id", "start"])
+    apart = F.col("fp").bitwiseXOR(F.col("wfp"))
+    # a pair that agrees on several blocks is taken at the first of them
+    near = probes.join(index, ["size", "b"]).where((F.bit_count(apart) <= radius) & (F.col("b.block") == first_zero_block(apart, radius + 1)))
     common = multiset_overlap(F.col("hashes"), F.col("window"))
     alike = near.withColumn("common", common).withColumn("similarity", F.round(F.col("common") / (F.size("hashes") + F.size("window") - F.col("common")), 6))
     best = F.min(F.struct((-F.col("similarity")).alias("s"), "start", "n_words"))

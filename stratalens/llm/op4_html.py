@@ -29,7 +29,10 @@ BLOCKS = {
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BOILER = {"nav", "aside", "footer", "form", "menu", "dialog", "fieldset"}
 #: Words in classes, ids and roles that speak against a block, and for it.
-AGAINST = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|advertis\w*|adbox|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer\w*|foot|header|masthead|topbar|toolbar|cookies?\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|subscribe|newsletter|signup|login|share\w*|social\w*|related\w*|recommend\w*|more|tags?|comments?\w*|disqus|replies|reply|respond|reader\w*|widget\w*|pager|pagination|copyright|legal|form|search|skip|hidden|toc|complementary|contentinfo|navigation)(?:$|[\s_-])", re.I)
+AGAINST = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|advertis\w*|adbox|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer\w*|foot|masthead|topbar|toolbar|cookies?\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|subscribe|newsletter|signup|login|share\w*|social\w*|related\w*|recommend\w*|read-more|tags?|comments?\w*|disqus|replies|reply|respond|reader\w*|widget\w*|pager|pagination|copyright|legal|search|skip|hidden|toc|complementary|contentinfo|navigation)(?:$|[\s_-])", re.I)
+#: The head of a page, but not that of an article; and classes that tell of a page's other parts.
+HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
+LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:with|has|no|without|is)[-_][\w-]+", re.I)
 FOR = re.compile(r"(?:^|[\s_-])(?:article\w*|main|content|post|entry|story|body|text|prose)(?:$|[\s_-])", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
@@ -61,9 +64,11 @@ class _Open:
 
 def _enter(name: str, attributes: str, above: _Open) -> _Open:
     named = " ".join(filter(None, (g for m in _NAMED.finditer(attributes) for g in m.groups())))
+    named = LAYOUT.sub("", named)
     silent = above.silent or name in SILENT or bool(_HIDDEN.search(attributes))
     inside = above.content or name in ("article", "main")
-    against = bool(named and AGAINST.search(named)) or name in BOILER or name == "header" and not inside
+    head = name == "header" or bool(named and HEADER.search(named) and not FOR.search(named))
+    against = bool(named and AGAINST.search(named)) or name in BOILER or head and not inside
     in_favour = name in ("article", "main") or bool(named and FOR.search(named)) and not against
     if name == "article" and re.search(r"comment|reply", named, re.I):
         against, in_favour = True, False
@@ -149,6 +154,8 @@ LABELLED = [
     (5, 0.0, 7, 0.0, 4, 0.0, 0, 1, 0, 1), (3, 0.0, 0, 0.0, 2, 1.0, 0, 1, 0, 1), (4, 0.0, 3, 1.0, 3, 1.0, 0, 1, 0, 1), (2, 0.0, 3, 0.0, 4, 1.0, 0, 1, 1, 1), (30, 0.0, 5, 0.0, 3, 0.0, 0, 1, 0, 1), (6, 0.0, 2, 1.0, 0, 0.0, 0, 1, 0, 1),
     (10, 0.0, 40, 0.0, 2, 0.0, 0, 1, 0, 1), (1, 0.0, 2, 1.0, 1, 1.0, 0, 1, 0, 1), (50, 0.0, 1, 0.0, 1, 0.0, 0, 1, 0, 1), (200, 0.0, 0, 0.0, 1, 1.0, 0, 1, 0, 1), (8, 0.0, 4, 1.0, 3, 1.0, 0, 1, 0, 1), (7, 0.0, 90, 0.0, 1, 0.0, 0, 1, 0, 1),
     (15, 0.0, 14, 0.0, 16, 0.0, 0, 1, 0, 1), (20, 0.0, 3, 0.0, 2, 0.0, 0, 1, 0, 1), (9, 0.0, 1, 0.0, 60, 0.0, 0, 1, 0, 1), (2, 0.0, 80, 0.0, 0, 0.0, 0, 1, 0, 1), (6, 0.5, 60, 0.0, 4, 1.0, 0, 1, 0, 1), (4, 0.0, 2, 0.5, 5, 0.6, 0, 1, 0, 1),
+    # headings that are links
+    (5, 1.0, 0, 0.0, 40, 0.0, 0, 1, 1, 1), (8, 1.0, 3, 1.0, 25, 0.0, 0, 1, 1, 1), (4, 1.0, 30, 0.0, 50, 0.0, 0, 1, 1, 1), (3, 1.0, 0, 0.0, 4, 0.0, 0, 1, 1, 1), (9, 0.9, 50, 0.0, 60, 0.0, 0, 1, 1, 1),
     # lists of links inside articles
     (3, 1.0, 40, 0.0, 3, 1.0, 0, 1, 0, 0), (2, 1.0, 2, 1.0, 2, 1.0, 0, 1, 0, 0), (6, 1.0, 4, 1.0, 5, 1.0, 0, 1, 0, 0), (5, 0.9, 3, 1.0, 12, 0.0, 0, 1, 0, 0),
     # menus, adverts, footers, notices, comments
