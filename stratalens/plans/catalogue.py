@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, retrieval
+from . import analytics, control, retrieval
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.Q | analytics.Q
-ORACLES: dict[str, str] = retrieval.SQL | analytics.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.Q | analytics.Q | control.Q
+ORACLES: dict[str, str] = retrieval.SQL | analytics.SQL | control.SQL

@@ -165,3 +165,27 @@ def test_sources_and_sinks(spark, tmp_path):
     assert one(spark, readers.modality_of_path(F.lit("raw/videos/a.mp4"))) == "video" and one(spark, readers.admission(F.lit("a.mp4"), F.lit("text/plain; x"))) == "content_type"
     events = spark.createDataFrame([('{"events": [{"bucket": "b", "name": "n", "generation": "1", "stream_id": "s"}, {"bucket": "b"}]}',)], "value string")
     assert readers.decode_batches(events).count() == 1
+
+
+def test_control(spark):
+    from stratalens.operators import control
+
+    assert control.retrieval_modalities(["video"]) == {"image"} and control.retrieval_modalities(["text", "audio"]) == {"document", "transcript", "audio"}
+    for bad in ({"top_k": 0, "query": "x"}, {"top_k": 5, "page_limit": 9, "query": "x"}, {"top_k": 5}):
+        with pytest.raises(control.RequestError):
+            control.check_request(**bad)
+    with pytest.raises(control.RequestError):
+        control.retrieval_modalities(["smell"])
+    v = control.stub_embedding("hello", 768)
+    assert len(v) == 768 and sum(x * x for x in v) == pytest.approx(1) and v == control.stub_embedding("hello", 768)
+    now, last = F.lit("2026-01-05 10:30:20").cast("timestamp"), F.lit("2026-01-05 10:30:01").cast("timestamp")
+    assert one(spark, control.schedule_due("every 5m", now, last)) is False and one(spark, control.schedule_due("30 10 * * 1", now, last)) is False
+    assert one(spark, control.schedule_due("30 10 * * 1", now, F.lit(None).cast("timestamp"))) is True and one(spark, control.schedule_due("bad", now, last)) is False
+    assert one(spark, control.frame_times(F.lit("x pts_time:1.5 y pts_time:12"))) == [1500, 12000]
+    assert one(spark, control.digits_to_long(F.lit("12"))) == 12 and one(spark, control.digits_to_long(F.lit("1x"))) is None
+    assert one(spark, control.first_of(F.create_map(F.lit("org"), F.lit("o")), ("org_id", "org"))) == "o"
+    assert control.build_decision(same_fingerprint=False, fresh=0, base_exists=True, compacted=False) == "skip"
+    assert control.build_decision(same_fingerprint=False, fresh=5, base_exists=True, compacted=False) == "incremental"
+    assert control.build_decision(same_fingerprint=False, fresh=5, base_exists=False, compacted=False) == "full"
+    stats = control.buffer_stats(spark.createDataFrame([("b", 3, 10.0), ("b", 4, 2.0)], "k string, size long, age double"), "k", "size", "age").first()
+    assert (stats["count"], stats.bytes, stats.oldest, stats.newest) == (2, 7, 10.0, 2.0)
