@@ -14,6 +14,8 @@ import struct
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
@@ -45,6 +47,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def clash_free(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage whose own columns can't clash with those of its documents; what it returns has the columns of docs."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        known = ("doc_id", "text", "lang", "source", "n_chars")
+        own = {c: c if c in known else f"extra_column_{i}" for i, c in enumerate(docs.columns)}
+        out = stage(spark, docs.select(*[F.col(f"`{c}`").alias(x) for c, x in own.items()]), sf_dir)
+        return out.select(*[F.col(x).alias(c) for c, x in own.items()])
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, collect_garbage, materialize, release, table
+from .common import bounded_broadcast, clash_free, collect_garbage, materialize, release, table
 from .components import connected_components
 
 #: Fingerprints that a tile holds, about.
@@ -243,6 +243,7 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ra
     return materialize(own.join(texts.select("node", "least", "root"), "node").select("doc_id", F.col("node").alias("text_hash"), "root", kept.alias("kept"), "copies"))
 
 
+@clash_free
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five words a shingle, a similarity of 0.8 or more."""
     found = similar_texts(docs)

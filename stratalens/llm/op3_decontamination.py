@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialize, release, table
+from .common import bounded_broadcast, clash_free, materialize, release, table
 from .native import blocks, first_zero_block, multiset_overlap, rolling_hashes, simhash, spaced_words
 
 #: Rows of a side that is broadcast, at most; beyond it both sides are shuffled.
@@ -96,6 +96,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_hash")
 
 
+@clash_free
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
     found = materialize(leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("id2"), F.col("text_hash").alias("hash2")).distinct())

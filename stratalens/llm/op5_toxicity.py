@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, table
+from .common import bounded_broadcast, clash_free, table
 
 #: Labelled rows that a model is fitted on, at most: those with the smallest hashes of their ids.
 SAMPLE = 30_000
@@ -211,6 +211,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+@clash_free
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, fitted on labelled rows, doesn't find toxic."""
     model = train(training_rows(spark, sf_dir).persist())

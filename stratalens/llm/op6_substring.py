@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import clash_free, table
 from .repeats import WordWindows, cut_repeats
 
 
@@ -32,14 +32,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@clash_free
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their repeated words cut; a text of which nothing is left stays, empty."""
-    # names of their own, so that no column of docs clashes with a result
-    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    named = docs.select(*[F.col(c).alias(x) for c, x in own.items()])
-    out = dedup_substrings(named, id_column=own["doc_id"], text_column=own["text"], columns=list(own.values()), with_kept=True)
-    text = F.when(F.col("n_removed") > 0, F.decode("kept", "UTF-8")).otherwise(F.col(own["text"]))
-    out = out.withColumn(own["text"], text)
-    if "n_chars" in own:
-        out = out.withColumn(own["n_chars"], F.length(own["text"]).cast("long"))
-    return out.select(*[F.col(x).alias(c) for c, x in own.items()])
+    out = dedup_substrings(docs, columns=docs.columns, with_kept=True)
+    out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.decode("kept", "UTF-8")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)

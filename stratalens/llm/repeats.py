@@ -146,7 +146,7 @@ class ByteStrings:
         if len(body) < self.window:
             return np.zeros(0, U), np.zeros(0, np.int64)
         _, names, _, at = self.buckets(body)
-        return names[at], at
+        return mix64(names[at] + U(_BASE)), at  # minima are small numbers; mixed again, they spread evenly
 
     def windows(self, body: bytes, key: int, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         m = len(body) - self.window + 1
