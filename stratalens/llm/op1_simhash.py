@@ -88,12 +88,11 @@ def quarter_steps(radius: int) -> list[int]:
 
 def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links in a matrix of rows against columns."""
-    i, j = np.nonzero(near)
-    if i.size <= sum(near.shape):
-        return i, j
+    if np.count_nonzero(near) <= sum(near.shape):
+        return np.nonzero(near)
     free_r, free_c = np.ones(near.shape[0], bool), np.ones(near.shape[1], bool)
     out: list[tuple[int, int]] = []
-    for top in np.unique(i).tolist():
+    for top in np.flatnonzero(near.any(axis=1)).tolist():
         if not free_r[top]:
             continue
         free_r[top] = False
@@ -127,14 +126,12 @@ def compare_tiles(radius: int, all_pairs: bool, ratio: float) -> object:
                 fa, fb = fa.view(np.uint64), fb.view(np.uint64)  # bits of signed numbers are those of their absolute value
                 near = np.empty((fa.size, fb.size), bool)
                 for at in range(0, fa.size, 256):
-                    near[at : at + 256] = np.bitwise_count(fa[at : at + 256, None] ^ fb[None, :]) <= radius
+                    part = slice(at, at + 256)
+                    near[part] = np.bitwise_count(fa[part, None] ^ fb[None, :]) <= radius
+                    if ratio:
+                        near[part] &= np.minimum(sa[part, None], sb[None, :]) >= ratio * np.maximum(sa[part, None], sb[None, :])
                 if own:
                     near = np.triu(near, 1)
-                if ratio:
-                    i, j = np.nonzero(near)
-                    fit = np.minimum(sa[i], sb[j]) >= ratio * np.maximum(sa[i], sb[j])
-                    near = np.zeros_like(near)
-                    near[i[fit], j[fit]] = True
                 i, j = np.nonzero(near) if all_pairs else forest(near)
                 if i.size:
                     a_out.append(na[i])
