@@ -18,13 +18,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, clash_free, collect_garbage, materialize, release, table
+from .common import bounded_broadcast, clash_free, collect_garbage, materialize, release, runs, table
 from .components import connected_components
 
 #: Fingerprints that a tile holds, about.
 TILE = 2048
 #: Rows of a side that is broadcast, at most; beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Texts whose shingles are counted to tell frequent ones from rare ones, about; the counts only order shingles.
+SAMPLE_TEXTS = 16_384
+#: Frequent shingles that are told from rare ones, at most.
+FREQUENT = 200_000
+#: Shingles of the texts that one block of a verification holds, about.
+BLOCK_SHINGLES = 2_000_000
 SEED = 42
 
 
@@ -111,8 +117,19 @@ def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, j
 
 
-def compare_tiles(radius: int, all_pairs: bool, ratio: float) -> object:
-    """Links of pairs of tiles; each tile is three lists (fp, node, n)."""
+def nearest(apart: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The link of least distance of every row and of every column that has one."""
+    masked = np.where(near, apart, 255)
+    rows, cols = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    return np.r_[rows, masked.argmin(axis=0)[cols]], np.r_[masked.argmin(axis=1)[rows], cols]
+
+
+def compare_tiles(radius: int, ratio: float) -> object:
+    """Links of pairs of tiles; each tile is three lists (fp, node, n).
+
+    With a ratio links are candidates yet to be verified: those of least
+    distance, the likeliest, come beside the forest.
+    """
 
     def lists(column: pa.ListArray) -> Iterator[np.ndarray]:
         flat, at = column.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]
@@ -124,15 +141,19 @@ def compare_tiles(radius: int, all_pairs: bool, ratio: float) -> object:
             same = batch.column(0).to_pylist()
             for own, fa, na, sa, fb, nb, sb in zip(same, *(lists(batch.column(i)) for i in range(1, 7))):
                 fa, fb = fa.view(np.uint64), fb.view(np.uint64)  # bits of signed numbers are those of their absolute value
-                near = np.empty((fa.size, fb.size), bool)
+                near, apart = np.empty((fa.size, fb.size), bool), np.empty((fa.size, fb.size), np.uint8)
                 for at in range(0, fa.size, 256):
                     part = slice(at, at + 256)
-                    near[part] = np.bitwise_count(fa[part, None] ^ fb[None, :]) <= radius
+                    apart[part] = np.bitwise_count(fa[part, None] ^ fb[None, :])
+                    near[part] = apart[part] <= radius
                     if ratio:
                         near[part] &= np.minimum(sa[part, None], sb[None, :]) >= ratio * np.maximum(sa[part, None], sb[None, :])
                 if own:
                     near = np.triu(near, 1)
-                i, j = np.nonzero(near) if all_pairs else forest(near)
+                i, j = forest(near)
+                if ratio and i.size:
+                    more = nearest(apart, near)
+                    i, j = np.r_[i, more[0]], np.r_[j, more[1]]
                 if i.size:
                     a_out.append(na[i])
                     b_out.append(nb[j])
@@ -142,7 +163,7 @@ def compare_tiles(radius: int, all_pairs: bool, ratio: float) -> object:
     return run
 
 
-def tile_links(nodes: DataFrame, cell: Column, steps: list[int], radius: int, *, all_pairs: bool = False, ratio: float = 0.0) -> DataFrame:
+def tile_links(nodes: DataFrame, cell: Column, steps: list[int], radius: int, *, ratio: float = 0.0) -> DataFrame:
     """Links (a, b) between nodes (fp, node, n) within the radius, by pairs of tiles whose cells are a step apart.
 
     A cell is split into tiles by hash, as many as its count asks for.
@@ -158,7 +179,7 @@ def tile_links(nodes: DataFrame, cell: Column, steps: list[int], radius: int, *,
     right = tiles.select(F.col("cell").alias("other"), F.col("tile").alias("tile2"), F.col("fp").alias("fp2"), F.col("node").alias("node2"), F.col("n").alias("n2"))
     pairs = left.join(right, "other").where("step <> 0 or tile <= tile2")
     pairs = pairs.select(((F.col("step") == 0) & (F.col("tile") == F.col("tile2"))).alias("same"), "fp", "node", "n", "fp2", "node2", "n2")
-    return pairs.mapInArrow(compare_tiles(radius, all_pairs, ratio), "a long, b long")
+    return pairs.mapInArrow(compare_tiles(radius, ratio), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -208,13 +229,165 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) ->
     return materialize(both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"))
 
 
+def _frequent(base: DataFrame, many: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of a sample of texts share, ascending, and how many do."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [np.unique(shingle_hashes(body.as_py() or b"", k)) for body in batch.column(0)]
+            h, n = np.unique(np.concatenate(rows) if rows else np.zeros(0, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    some = base.where(F.pmod("node", F.lit(max(1, many // SAMPLE_TEXTS))) == 0).select(F.col("text").cast("binary"))
+    counts = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    h, n = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of a set in one order of all shingles, rare ones first.
+
+    Of n shingles at least similarity * n stand in any set that is similar
+    enough, so two such sets share one of their first n - similarity * n + 1.
+    """
+    known, count = frequent
+    seen = np.zeros(hashes.size, np.int64)
+    if known.size:
+        at = np.minimum(np.searchsorted(known, hashes), known.size - 1)
+        seen = np.where(known[at] == hashes, count[at], 0)
+    return hashes[np.lexsort((hashes, seen))][: hashes.size - int(np.ceil(similarity * hashes.size - 1e-9)) + 1]
+
+
+def meet(similarity: float) -> object:
+    """Pairs of texts of different groups that share a shingle of their prefixes and may reach the similarity.
+
+    Rows (h, node, root, size << 32 | place) come in order of h and node.
+    """
+
+    def pairs(h: np.ndarray, node: np.ndarray, root: np.ndarray, where: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        fresh = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])]
+        h, node, root, where = h[fresh], node[fresh], root[fresh], where[fresh]
+        size, after = where >> 32, (where >> 32) - (where & 0xFFFFFFFF)
+        start, length = runs(h)
+        for s, n in zip(start[length > 1].tolist(), length[length > 1].tolist()):
+            for i in range(s, s + n - 1):
+                j = slice(i + 1, s + n)
+                both = size[i] + size[j]
+                ok = (root[j] != root[i]) & (np.minimum(after[i], after[j]) >= similarity / (1 + similarity) * both - 1e-6)
+                ok &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6
+                found = node[j][ok]
+                if found.size:
+                    yield np.minimum(found, node[i]), np.maximum(found, node[i])
+
+    def run(batches):
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                new = [batch.column(i).to_numpy() for i in range(4)]
+                held = new if held is None else [np.r_[a, b] for a, b in zip(held, new)]
+                cut = int(np.searchsorted(held[0], held[0][-1])) if held[0].size else 0  # the last shingle may go on
+            else:
+                cut = held[0].size if held else 0
+            if cut:
+                out, many = [], 0
+                for pair in pairs(*[x[:cut] for x in held]):
+                    out.append(pair)
+                    many += pair[0].size
+                    if many > 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "b"])
+                        out, many = [], 0
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "b"])
+                held = [x[cut:] for x in held]
+
+    return run
+
+
+def _joined(key: tuple, nodes: pa.Table, pairs: pa.Table) -> pa.Table:
+    """Verified links of a pair of blocks, none between texts that are together already."""
+    own = dict(zip(nodes["node"].to_pylist(), range(nodes.num_rows)))
+    column = nodes["hashes"].combine_chunks()
+    flat, at = column.flatten().to_numpy(), np.r_[0, np.cumsum(column.value_lengths().to_numpy())].tolist()
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in above:
+            above[x] = x = above.get(above[x], above[x])
+        return x
+
+    root, out = nodes["root"].to_pylist(), []
+    similarity = nodes["similarity"][0].as_py() if nodes.num_rows else 1.0
+    for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
+        i, j = own[a], own[b]
+        x, y = top(root[i]), top(root[j])
+        if x != y:
+            p, q = flat[at[i] : at[i + 1]], flat[at[j] : at[j + 1]]
+            both = np.sort(np.concatenate([p, q]))
+            common = np.count_nonzero(both[1:] == both[:-1])
+            if common >= similarity * (p.size + q.size - common) - 1e-9:
+                above[x] = y
+                out.append((a, b))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
+def exact_links(base: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Links (a, b) that, with those within groups (node, root), connect all texts that are similar enough: no pair is missed.
+
+    Candidates share a rare shingle.  They are verified by pairs of blocks of
+    the texts they connect, so that a text is not sent once a candidate.
+    """
+    frequent = _frequent(base, texts.count(), k)
+    moved = texts.where("node <> root").select("node", "root")
+    grouped = base.join(bounded_broadcast(moved, moved.count(), BROADCAST_ROWS), "node", "left")
+    grouped = grouped.select("node", F.coalesce("root", "node").alias("root"), F.col("text").cast("binary").alias("body"))
+
+    def firsts(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(body.as_py() or b"", k)) for body in batch.column(2)]
+            own = [prefix(s, frequent, similarity) if s.size else s for s in sets]
+            many = [x.size for x in own]
+            node, root = (np.repeat(batch.column(i).to_numpy(), many) for i in range(2))
+            where = [(s.size << 32) + np.arange(x.size) for s, x in zip(sets, own)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(node), pa.array(root), pa.array(np.concatenate(where).astype(np.int64))], ["h", "node", "root", "place"]) if own else pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, ["h", "node", "root", "place"])
+
+    rows = grouped.mapInArrow(firsts, "h long, node long, root long, place long").repartition("h").sortWithinPartitions("h", "node")
+    pairs = materialize(rows.mapInArrow(meet(similarity), "a long, b long").distinct())
+    clusters = connected_components(pairs)
+    own = materialize(clusters.join(texts.select("node", F.col("root").alias("group"), "n").dropDuplicates(["node"]), "node"))
+    parts = own.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
+    blocks = materialize(own.join(parts, "root").select("node", "group", "root", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("block")))
+    ends = [blocks.select(F.col("node").alias(c), "root", F.col("block").alias(f"block_{c}")) for c in "ab"]
+    placed = pairs.join(ends[0], "a").join(ends[1].drop("root"), "b")
+    placed = materialize(placed.select("a", "b", "root", F.least("block_a", "block_b").alias("x"), F.greatest("block_a", "block_b").alias("y")))
+    some = bounded_broadcast(blocks.select("node"), blocks.count(), BROADCAST_ROWS)
+    sets = materialize(_sets(base.join(some, "node").dropDuplicates(["node"]), k))
+    needed = placed.select(F.col("a").alias("node"), "root", "x", "y").unionAll(placed.select("b", "root", "x", "y")).distinct().withColumnRenamed("root", "cluster")
+    nodes = needed.join(blocks.select("node", "group"), "node").join(sets, "node").select("cluster", "x", "y", "node", F.col("group").alias("root"), "hashes", F.lit(similarity).alias("similarity"))
+    held = placed.select("a", "b", *[F.col(c).alias(f"of_{c}") for c in ("root", "x", "y")])
+    links = nodes.groupBy("cluster", "x", "y").cogroup(held.groupBy("of_root", "of_x", "of_y"))
+    return links.applyInArrow(_joined, "a long, b long")
+
+
+def _merged(texts: DataFrame, links: DataFrame) -> DataFrame:
+    """texts with the groups that the links between any of their members make of their groups."""
+    root = texts.select("node", "root")
+    ends = links.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+    found = connected_components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    moved = texts.join(found.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").withColumn("group", F.coalesce("next", "root"))
+    heads = moved.groupBy("group").agg(F.min(F.struct("least", "node")).alias("head"))
+    return materialize(moved.join(heads, "group").select("node", "fp", "n", "least", F.col("head.node").alias("root")))
+
+
 def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 13, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, text_hash, node, kept, copies): every distinct row and the text that stands for its group.
 
     Texts meet by fingerprints within the radius, in tiles of like numbers of
     shingles (the similarity bounds their ratio), and are verified by the exact
     similarity of their sets of shingles.  Large groups shrink first by the
-    verified links of spanning forests; then all that are left are compared.
+    verified links of spanning forests; then every text, head or not, meets
+    those of other groups by the rare shingles that similar sets must share.
     ``kept`` is true for the row with the smallest id of a group (null ids
     last), ``copies`` how often that very row stands in docs.
     """
@@ -229,13 +402,8 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ra
     own = materialize(own.groupBy("doc_id", "node", "fp", "n").agg(F.count("*").alias("copies")))
     texts = materialize(own.groupBy("node", "fp", "n").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("least")).withColumn("root", F.col("node")))
     size = F.when(F.col("n") == 0, -1).otherwise(F.floor(F.log(F.col("n").cast("double")) / float(-np.log(similarity)) + 1e-9)).cast("int")
-    for all_pairs in (False, True):
-        heads = texts.where("node = root").select("fp", "node", "n")
-        pairs = tile_links(heads, size, [0, 1], radius, all_pairs=all_pairs, ratio=similarity)
-        found = connected_components(_verified(pairs, base.select("node", "text"), shingle, similarity))
-        moved = texts.join(found.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").withColumn("group", F.coalesce("next", "root"))
-        heads = moved.groupBy("group").agg(F.min(F.struct("least", "node")).alias("head"))
-        texts = materialize(moved.join(heads, "group").select("node", "fp", "n", "least", F.col("head.node").alias("root")))
+    texts = _merged(texts, _verified(tile_links(texts.select("fp", "node", "n"), size, [0, 1], radius, ratio=similarity), base.select("node", "text"), shingle, similarity))
+    texts = _merged(texts, exact_links(base.select("node", "text"), texts, shingle, similarity))
     kept = (F.col("node") == F.col("root")) & F.coalesce("doc_id", F.lit((1 << 63) - 1)).eqNullSafe(F.col("least"))
     return materialize(own.join(texts.select("node", "least", "root"), "node").select("doc_id", F.col("node").alias("text_hash"), "root", kept.alias("kept"), "copies"))
 

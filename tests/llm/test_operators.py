@@ -99,6 +99,37 @@ def test_near_duplicate_stage(spark, docs, rows, empty):
     assert op1_simhash.stage(spark, empty, "").count() == 0
 
 
+def grouped(spark, texts):
+    found = op1_simhash.similar_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    return sorted(r.doc_id for r in found.where("kept").collect())
+
+
+def kept_by_all_pairs(texts):
+    sets = [frozenset(op1_simhash.shingles(t.encode(), 5)) for t in texts]
+    group = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if group[a] != group[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    return sorted(set(group))
+
+
+def edited(rng, words, many):
+    out = list(words)
+    for at in rng.sample(range(len(words)), many):
+        out[at] = f"e{rng.randrange(10**9)}"
+    return " ".join(out)
+
+
+def test_near_duplicates_around_a_centre_that_is_not_first(spark):
+    rng = random.Random(11)
+    base = [f"b{rng.randrange(10**9)}" for _ in range(300)]
+    texts = [edited(rng, base, 5) for _ in range(200)]
+    texts.insert(120, " ".join(base))
+    assert grouped(spark, texts) == kept_by_all_pairs(texts) == [0]
+
+
 def test_op2(docs, rows, empty):
     ids = encoder(default_path())
     got = op2_packing.pack_documents(docs, default_path(), with_ids=True).collect()
