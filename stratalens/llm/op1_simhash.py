@@ -395,8 +395,8 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ra
 
     def run(batches):
         for batch in batches:
-            hashes = [shingle_hashes(body.as_py() or b"", shingle) for body in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([simhash(h) for h in hashes], pa.int64()), pa.array([np.unique(h).size for h in hashes], pa.int64())], ["doc_id", "node", "fp", "n"])
+            hashes = [np.unique(shingle_hashes(body.as_py() or b"", shingle)) for body in batch.column(2)]  # the similarity is one of sets
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([simhash(h) for h in hashes], pa.int64()), pa.array([h.size for h in hashes], pa.int64())], ["doc_id", "node", "fp", "n"])
 
     own = base.select("doc_id", "node", F.col("text").cast("binary").alias("body")).mapInArrow(run, "doc_id long, node long, fp long, n long")
     own = materialize(own.groupBy("doc_id", "node", "fp", "n").agg(F.count("*").alias("copies")))

@@ -130,6 +130,21 @@ def test_near_duplicates_around_a_centre_that_is_not_first(spark):
     assert grouped(spark, texts) == kept_by_all_pairs(texts) == [0]
 
 
+def test_near_duplicates_beyond_the_radius(spark):
+    rng = random.Random(12)
+    apart = lambda a, b: (op1_simhash.simhash(op1_simhash.shingle_hashes(a.encode(), 5)) ^ op1_simhash.simhash(op1_simhash.shingle_hashes(b.encode(), 5))) & (1 << 64) - 1
+    texts = []
+    while len(texts) < 12:
+        base = [f"b{rng.randrange(10**9)}" for _ in range(100)]
+        pair = [" ".join(base), edited(rng, base, 2)]
+        if apart(*pair).bit_count() > 13:
+            texts += pair
+    # one set of shingles, counted differently
+    list_, prose = [f"l{i}" for i in range(20)], [f"p{i}" for i in range(30)]
+    texts += [" ".join(prose + list_ * n) for n in (2, 60)]
+    assert grouped(spark, texts) == kept_by_all_pairs(texts) == list(range(0, 14, 2))
+
+
 def test_op2(docs, rows, empty):
     ids = encoder(default_path())
     got = op2_packing.pack_documents(docs, default_path(), with_ids=True).collect()
