@@ -2,13 +2,15 @@
 
 A k-mer of words is chosen if the least hash of its inner s-mers lies at its
 first or last place: a choice that depends on the k-mer alone, so an edit
-leaves all anchors beyond its reach as they were.  A fingerprint keeps the
-anchors with the smallest hashes, each with the place it stands at, and two
-fingerprints are compared by the anchors among the smallest of both.
+leaves all anchors beyond its reach as they were.  A fingerprint keeps all
+anchors, each with the place it stands at, and two fingerprints are compared
+by the anchors that match on neighbouring diagonals.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,12 +18,12 @@ from .common import bucket_count, table, text_bytes
 from .native import bind, spaced_words
 
 K, S = 4, 2
-#: Anchors that a fingerprint keeps; the fingerprint itself is a sketch of this size, made from the whole text.
-ANCHORS = 64
+#: Bits of an anchor's place.
+PLACE = 24
 
 
 def syncmers(text: Column, k: int = K, s: int = S) -> Column:
-    """Anchors of a text as structs (hash, place), one for each distinct hash, its first place.
+    """Anchors of a text as structs (hash, place), repeats included.
 
     A text of fewer than k words is one anchor; a text without words has none.
     """
@@ -43,27 +45,56 @@ def syncmers(text: Column, k: int = K, s: int = S) -> Column:
     return bind(spaced_words(F.lower(text)), anchors)
 
 
-def sketch(text: Column, keep: int = ANCHORS, k: int = K, s: int = S) -> Column:
-    """The ``keep`` smallest anchors as numbers, ascending: hash (32 bits), then place (20 bits, the last value for all beyond)."""
-    packed = F.transform(syncmers(text, k, s), lambda a: F.shiftleft(a["hash"], 20) + F.least(a["place"], F.lit((1 << 20) - 1)))
-    first = lambda xs: F.filter(xs, lambda x, i: (i == 0) | (F.shiftrightunsigned(x, 20) != F.shiftrightunsigned(F.get(xs, i - 1), 20)))
-    return F.slice(bind(F.sort_array(packed), first), 1, keep)
+def packed_anchors(text: Column, k: int = K, s: int = S) -> Column:
+    """All anchors as numbers, ascending: hash (32 bits), then place (24 bits, the last value for all beyond)."""
+    packed = F.transform(syncmers(text, k, s), lambda a: F.shiftleft(a["hash"], PLACE) + F.least(a["place"], F.lit((1 << PLACE) - 1)))
+    return F.sort_array(packed)
 
 
 def as_text(numbers: Column) -> Column:
-    """A sketch as hex digits, 13 an anchor."""
-    return F.array_join(F.transform(numbers, lambda x: F.lower(F.lpad(F.hex(x), 13, "0"))), "")
+    """Anchors as hex digits, 14 an anchor."""
+    return F.array_join(F.transform(numbers, lambda x: F.lower(F.lpad(F.hex(x), 14, "0"))), "")
+
 
+def likeness(a: Column, b: Column) -> Column:
+    """The share of the anchors of both that match at consistent places; 1 for two empty ones.
 
-def likeness(a: Column, b: Column, keep: int = ANCHORS) -> Column:
-    """The share of the smallest anchors of both that stand in both; 1 for two empty ones."""
-    hashes = lambda xs: F.transform(xs, lambda x: F.shiftrightunsigned(x, 20))
+    Anchors of one hash match in their order, each on a diagonal, the
+    difference of its two places.  Those on the diagonals of one band count: a
+    sixteenth of the anchors of the larger side, 16 at least; the best band of
+    a grid and of that grid moved by half a band.
+    """
+    tagged = lambda xs, side: F.transform(xs, lambda x: F.shiftleft(F.shiftrightunsigned(x, PLACE), PLACE + 1) + F.lit(side << PLACE) + x.bitwiseAND(F.lit((1 << PLACE) - 1)))
+    side = lambda x: F.shiftrightunsigned(x, PLACE).bitwiseAND(F.lit(1))
+    place = lambda x: x.bitwiseAND(F.lit((1 << PLACE) - 1))
+
+    def runs(xs: Column, value: Callable[[Column], Column]) -> Column:
+        """Places where runs of equal values start in a sorted array, and its size."""
+        at = F.filter(F.sequence(F.lit(0), F.size(xs)), lambda i: (i == 0) | (i == F.size(xs)) | (value(F.get(xs, i)) != value(F.get(xs, i - 1))))
+        return F.when(F.size(xs) > 0, at).otherwise(F.array().cast("array<int>"))
+
+    def diagonals(xs: Column) -> Column:
+        def matched(run: Column) -> Column:
+            many = F.size(F.filter(run, lambda x: side(x) == 0))
+            pairs = F.least(many, F.size(run) - many)
+            return F.transform(F.slice(run, 1, pairs), lambda x, i: place(F.get(run, many + i)) - place(x))
+
+        starts = runs(xs, lambda x: F.shiftrightunsigned(x, PLACE + 1))
+        groups = bind(starts, lambda at: F.filter(F.transform(at, lambda s, i: F.slice(xs, s + 1, F.coalesce(F.get(at, i + 1), s) - s)), lambda run: F.size(run) > 1))
+        return F.flatten(F.transform(groups, lambda run: bind(run, matched)))
+
+    def best(found: Column, width: Column) -> Column:
+        most = lambda bands: bind(runs(bands, lambda x: x), lambda at: F.coalesce(F.array_max(F.transform(at, lambda s, i: F.coalesce(F.get(at, i + 1), s) - s)), F.lit(0)))
+        grid = lambda move: F.sort_array(F.transform(found, lambda d: F.floor((d + move) / width)))
+        return F.greatest(bind(grid(F.lit(0)), most), bind(grid(F.floor(width / 2)), most))
 
     def share(p: Column) -> Column:
-        least = F.slice(F.sort_array(F.array_union(p["a"], p["b"])), 1, keep)
-        return bind(least, lambda u: F.when(F.size(u) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(u, F.array_intersect(p["a"], p["b"]))) / F.size(u)))
+        total = F.size(p["a"]) + F.size(p["b"])
+        width = F.greatest(F.lit(16), F.floor(F.greatest(F.size(p["a"]), F.size(p["b"])) / 16))
+        met = bind(bind(F.sort_array(F.concat(tagged(p["a"], 0), tagged(p["b"], 1))), diagonals), lambda found: best(found, width))
+        return F.when(total == 0, F.lit(1.0)).otherwise(bind(met, lambda m: m / (total - m)))
 
-    return F.round(bind(F.struct(hashes(a).alias("a"), hashes(b).alias("b")), share), 6)
+    return F.round(bind(F.struct(a.alias("a"), b.alias("b")), share), 6)
 
 
 def range_tops(keys: DataFrame, many: int) -> list[tuple[int, int]]:
@@ -94,22 +125,22 @@ def fingerprint_documents(docs: DataFrame, *, id_column: str = "doc_id", text_co
     literal = F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(h).cast("long").alias("hash")) for i, h in tops])
     ranged = base.withColumn("range", F.size(F.filter(literal, lambda t: t >= F.struct("id", "hash"))))
     # the texts move once, to the place of their range; a range is followed by the top of the next one
-    near = ranged.repartition(n, "range").withColumn("own", sketch(F.col("text")))
-    following = F.struct("id", "hash", "text", F.col("own").alias("sketch"))
+    near = ranged.repartition(n, "range")
+    following = F.struct("id", "hash", "text")
     after = F.lead(following).over(Window.partitionBy("range").orderBy(F.desc("id"), F.desc("hash")))
     near = near.withColumn("after", after).withColumn("after", F.when(F.struct("after.id", "after.hash") == F.struct("id", "hash"), None).otherwise(F.col("after")))
     near = near.withColumn("after", F.max("after").over(Window.partitionBy("range", "id", "hash")))
     wanted = docs.sparkSession.createDataFrame([(*key, (i or len(tops))) for i, key in enumerate(tops)], "id long, hash long, range int")
     heads = base.join(F.broadcast(wanted), ["id", "hash"]).dropDuplicates(["range"])  # one text a range
-    heads = heads.select("range", F.struct("id", "hash", "text", sketch(F.col("text")).alias("sketch")).alias("head"))
+    heads = heads.select("range", F.struct("id", "hash", "text").alias("head"))
     both = near.join(F.broadcast(heads), "range", "left").withColumn("next", F.coalesce("after", "head"))
-    both = both.select("doc_id", "text", "own", F.col("next.text").alias("next_text"), F.col("next.sketch").alias("next_sketch"))
+    both = both.select("doc_id", "text", F.col("next.text").alias("next_text"))
     size = F.length("text")
     half = F.floor(size / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), size - half), F.substring(F.col("next_text"), F.lit(1), half))
-    out = both.select("doc_id", size.cast("long").alias("n_chars"), edited.alias("edited"), "own", "next_sketch")
-    out = out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "next_sketch", sketch(F.col("edited")).alias("changed"))
-    values = F.struct("own", "changed", F.col("next_sketch").alias("next"))
+    out = both.select("doc_id", size.cast("long").alias("n_chars"), edited.alias("edited"), "text", "next_text")
+    out = out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "text", "next_text", "edited")
+    values = F.struct(packed_anchors(F.col("text")).alias("own"), packed_anchors(F.col("edited")).alias("changed"), packed_anchors(F.col("next_text")).alias("next"))
     result = bind(values, lambda v: F.struct(as_text(v["own"]).alias("fingerprint"), as_text(v["changed"]).alias("edited_fingerprint"), likeness(v["own"], v["changed"]).alias("near_edited"), likeness(v["own"], v["next"]).alias("near_next")))
     return out.select("doc_id", "n_chars", "edited_sha256", result.alias("r")).select("doc_id", "n_chars", "edited_sha256", "r.fingerprint", "r.edited_fingerprint", "r.near_edited", "r.near_next")
 

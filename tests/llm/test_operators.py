@@ -319,6 +319,17 @@ def test_tokens_equal_the_library():
     assert all(tool.ids(x).tolist() == tool._library(x) for x in odd)
 
 
+def test_op10_places_and_whole_texts(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(6000)]
+    moved = words[4000:] + words[2000:4000] + words[:2000]
+    changed = words[:3000] + [f"x{i}" for i in range(10)] + words[3010:]
+    shifted = ["y"] * 5 + words
+    df = spark.createDataFrame([(" ".join(words), " ".join(x)) for x in (words, moved, changed, shifted)], "a string, b string")
+    same, order, edit, shift = (r[0] for r in df.select(op10_fingerprints.likeness(op10_fingerprints.packed_anchors(F.col("a")), op10_fingerprints.packed_anchors(F.col("b")))).collect())
+    assert same == 1 and order < 0.4 and 0.99 < edit < 1 and shift > 0.99
+
+
 def test_op10(docs, rows, empty):
     got = op10_fingerprints.fingerprint_documents(docs.where("doc_id is null or doc_id <> 3")).collect()
     own = [r for r in rows if r[0] != 3]
