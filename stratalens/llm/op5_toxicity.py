@@ -41,7 +41,7 @@ _FOLD = {ord(k): v for k, v in HOMOGLYPHS.items()}
 _DIGIT = {ord(k): v for k, v in DIGITS.items()}
 _WORD = re.compile(r"[^\W_]+")
 #: Words that hold both letters and characters that may stand for letters.
-_MIXED = re.compile(r"(?<!\S)(?=\S*[^\W\d_])(?=\S*[013457889@$!|+€£])[\w@$!|+€£]+")
+_MIXED = re.compile(r"(?<![\w@$!|+€£])(?=[\w@$!|+€£]*[^\W\d_])(?=[\w@$!|+€£]*[013457889@$!|+€£])[\w@$!|+€£]+")
 _TRAILING = re.compile(r"[!|+]+$")
 _STAND_IN = re.compile(r"[013457889@$!|+€£]")
 _MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u20d0-\u20ff]+")

@@ -224,6 +224,12 @@ def test_op5(spark, docs, rows, empty):
     assert op5_toxicity.score_documents(empty, op5_toxicity.train(spark.createDataFrame([], "text string, toxic int"))).count() == 0
 
 
+def test_op5_masked_words_after_punctuation():
+    for masked, plain in (('"1diot"', '"idiot"'), ("(m0ron),", "(moron),"), ("you-1diot", "you-idiot"), ("[$tup1d]", "[stupid]"), ("a 1d1ot!", "a idiot!")):
+        assert op5_toxicity.fold(masked) == plain
+    assert op5_toxicity.fold("(10) 10-20 $5") == "(10) 10-20 $5"
+
+
 def test_op5_held_out_accuracy(spark, sf):
     d = sf.replace("sf0.001", "sf0.01")
     got = op5_toxicity.op5_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out")
