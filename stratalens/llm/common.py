@@ -8,6 +8,7 @@ input bytes, so that what a task holds stays the same at every size.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
 import struct
@@ -15,10 +16,11 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable
-from functools import wraps
+from functools import lru_cache, wraps
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,16 +44,59 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+@lru_cache(maxsize=1)
+def _allocator() -> object | None:
+    """The C library, told to hand arrays of a megabyte or more back to the system as soon as they are freed."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD; set, it no longer grows with what is freed
+        return libc if hasattr(libc, "malloc_trim") else None
+    except (OSError, AttributeError):
+        return None  # another C library: memory stays with the worker, nothing else changes
+
+
+def give_back() -> None:
+    """Return freed memory to the system; a worker lives on after its task, beside the next ones."""
+    pa.default_memory_pool().release_unused()
+    if _allocator():
+        _allocator().malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A function of batches, for mapInArrow, that gives back its memory at its end."""
+
+    def wrapped(batches):
+        _allocator()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+#: Bytes of an Arrow batch on its way to Python, at most, where the session doesn't say: rows can be very long.
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def prepare(spark: SparkSession) -> None:
+    """What Python operators need of a session: this package on its workers, and batches bounded by bytes."""
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "-1", "268435456", "256MB", "256m"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def clash_free(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     """A stage whose own columns can't clash with those of its documents; what it returns has the columns of docs."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        prepare(spark)
         known = ("doc_id", "text", "lang", "source", "n_chars")
         own = {c: c if c in known else f"extra_column_{i}" for i, c in enumerate(docs.columns)}
         out = stage(spark, docs.select(*[F.col(f"`{c}`").alias(x) for c, x in own.items()]), sf_dir)
@@ -61,10 +106,12 @@ def clash_free(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Ca
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder named by spark.checkpoint.dir; a temporary one only on a local master where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = spark.sparkContext.getCheckpointDir()
+        if not current and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = current or tempfile.mkdtemp(prefix="stratalens-")
         if not current:
             spark.sparkContext.setCheckpointDir(path)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 from .tokens import default_path, encoder
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), *[(x, pa.int64()) for x in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]])
@@ -92,7 +92,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
         yield from drain()
 
     names = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_column).cast("long"), F.col(text_column)).mapInArrow(run, names)
+    return docs.select(F.col(id_column).cast("long"), F.col(text_column)).mapInArrow(lean(run), names)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, clash_free, table
+from .common import bounded_broadcast, clash_free, lean, table
 
 #: Labelled rows that a model is fitted on, at most: those with the smallest hashes of their ids.
 SAMPLE = 30_000
@@ -159,7 +159,7 @@ def train(rows: DataFrame, label: str = "toxic", text: str = "text", exceptions:
         share = (n1 + 0.5) / (n + 1)
         return Model({}, exceptions, (float(np.log(share / (1 - share))), 0.0, 0.0))
     odds = F.log((F.col("t") + 1) / (n1 + 2)) - F.log((F.col("o") + 1) / (n0 + 2))
-    counted = kept.mapInArrow(offered, "entry string, other long, toxic long").groupBy("entry").agg(F.sum("other").alias("o"), F.sum("toxic").alias("t"))
+    counted = kept.mapInArrow(lean(offered), "entry string, other long, toxic long").groupBy("entry").agg(F.sum("other").alias("o"), F.sum("toxic").alias("t"))
     best = counted.where((F.col("t") >= max(3, n1 // 1000)) & (F.col("t") * n0 >= 8 * (F.col("o") + 1) * n1))
     top = best.select("entry", odds.alias("w"), "t").orderBy(F.desc(F.col("w") * F.sqrt("t")), "entry").limit(ENTRIES).collect()
     model = Model({r["entry"]: r["w"] for r in top if r["w"] > 0}, exceptions)
@@ -169,7 +169,7 @@ def train(rows: DataFrame, label: str = "toxic", text: str = "text", exceptions:
             x = [model.features(body.as_py()) for body in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64()), batch.column(1)], ["a", "b", "y"])
 
-    got = kept.mapInArrow(measured, "a double, b double, y int").select(F.round("a", 1).alias("a"), F.round("b", 1).alias("b"), "y").groupBy("a", "b", "y").count().collect()
+    got = kept.mapInArrow(lean(measured), "a double, b double, y int").select(F.round("a", 1).alias("a"), F.round("b", 1).alias("b"), "y").groupBy("a", "b", "y").count().collect()
     many = np.array([r["count"] for r in got])
     x = np.repeat(np.array([[r["a"], r["b"]] for r in got]), many, axis=0)
     model.scale = fit_scale(x, np.repeat(np.array([r["y"] for r in got]), many))
@@ -190,7 +190,7 @@ def score_documents(docs: DataFrame, model: Model, *, text_column: str = "text")
             scores = [model.score(x.as_py() or "") for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, f"{names}, score double, predicted int")
+    return docs.mapInArrow(lean(run), f"{names}, score double, predicted int")
 
 
 def held_out(id_column: str = "doc_id") -> Column:

@@ -29,11 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, collect_garbage, materialize, mix64, narrow, pack, release, runs, text_bytes, unpack
+from .common import bucket_count, collect_garbage, lean, materialize, mix64, narrow, pack, release, runs, text_bytes, unpack
 
 U = np.uint64
-#: Entries that a task gathers before it settles and sends them.
-FLUSH = 4_000_000
+#: Entries that a task gathers before it settles and sends them: some 60 bytes each at the peak.
+FLUSH = 1_000_000
 LAST = (1 << 63) - 1
 #: Kinds of rows that meet the documents, in this order: copies of an earlier document, the first of such, replies, documents.
 COPY, COPIED, REPLY, DOCUMENT = -2, -1, 0, 1
@@ -309,16 +309,19 @@ def _docs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
 def anchor_step(plan, n: int) -> Callable:
     def settle(names: list, held: list, keys: list[int]) -> list[tuple[int, int, bytes]]:
         h = np.concatenate(names)
-        at = np.full(h.size, -1, np.int64)
-        whose = np.full(h.size, 0, np.int32)
+        at = np.full(h.size, -1, np.int32)
+        whose = np.zeros(h.size, np.int32)
         base = 0
         for k, (part, pos) in enumerate(zip(names, held)):
             where = pos if plan.earliest else np.arange(part.size)
             at[base + where] = pos
             whose[base + where] = k
             base += part.size
+        names.clear()
+        held.clear()
         order = np.argsort(h)
-        h, at, whose = h[order], at[order], whose[order]
+        h, at, whose = h[order], at[order].astype(np.int64), whose[order]
+        del order
         start, count = runs(h)
         aligned = at >= 0
         some = np.add.reduceat(aligned, start, dtype=np.int64)
@@ -402,8 +405,11 @@ def window_step(plan, n: int) -> Callable:
         rank[by_order] = np.arange(len(keys))
         k1, k2 = (np.array([keys[i][c] for i in by_order], np.int64) for c in (0, 1))
         own = np.repeat(rank, [x.size for x in names])
+        names.clear()
+        held.clear()
         order = np.lexsort((pos, own, h)) if plan.earliest else np.argsort(h)
         h, pos, own = h[order], pos[order], own[order]
+        del order
         start, count = runs(h)
         many = count > 1
         gone = np.repeat(many, count)
@@ -548,14 +554,13 @@ def cut_repeats(docs: DataFrame, plan, *, id_column: str = "doc_id", text_column
         both = own.unionAll(replies.select("bucket", F.lit(REPLY).cast("tinyint").alias("kind"), "blob", *none))
         return both.repartitionById(n, F.col("bucket")).sortWithinPartitions("kind")
 
-    anchors = bare.mapInArrow(anchor_step(plan, n), _SQL).repartitionById(n, F.col("bucket")).mapInArrow(anchor_meet(n), _SQL)
-    anchors = materialize(anchors.select("bucket", "blob"))
-    collect_garbage(spark)
-    windows = with_replies(anchors, bare).mapInArrow(window_step(plan, n), _SQL).repartitionById(n, F.col("bucket")).mapInArrow(window_meet(plan, n), _SQL)
-    windows = materialize(windows.select("bucket", "blob"))
-    release(anchors)
+    anchors = bare.mapInArrow(lean(anchor_step(plan, n)), _SQL).repartitionById(n, F.col("bucket")).mapInArrow(lean(anchor_meet(n)), _SQL)
+    windows = with_replies(anchors.select("bucket", "blob"), bare).mapInArrow(lean(window_step(plan, n)), _SQL).repartitionById(n, F.col("bucket")).mapInArrow(lean(window_meet(plan, n)), _SQL)
+    # replies are small beside the texts: a task writes those of several buckets, one after another, to one file
+    windows = materialize(windows.select("bucket", "blob").coalesce(-(-n // 3)))
     collect_garbage(spark)
     schema = StructType([docs.schema[c] for c in columns])
     for name, kind in (("n", LongType()), ("n_removed", LongType()), ("n_spans", LongType()), ("kept_sha256", StringType()), *([("kept", BinaryType())] if with_kept else [])):
         schema = schema.add(name, kind)
-    return with_replies(windows, keyed).mapInArrow(cut_step(plan, columns, to_arrow_schema(schema)), schema)
+    out = with_replies(windows, keyed).mapInArrow(lean(cut_step(plan, columns, to_arrow_schema(schema))), schema)
+    return out if with_kept else out.coalesce(-(-n // 3))  # without texts, results are small too
