@@ -66,11 +66,17 @@ def highlight(text: Column, query: str, limit: int = 240) -> Column:
     return F.when(clean != "", F.substring(best, 1, limit))
 
 
+# What a part of an identifier looks like.
+ID_SHAPE = re.compile(r"[A-Za-z0-9][A-Za-z0-9._:/-]{3,}")
+ID_SIGN = re.compile(r"[0-9._:/-]")
+ID_CAPITALS = re.compile(r"[A-Z]{6,}")
+
+
 def id_like(text: Column) -> Column:
     """Whether a query looks like an identifier: 4 to 128 characters, 3 words at most, each with a digit or sign, or in capitals."""
     t = F.trim(text)
     parts = F.split(t, r"\s+")
-    each = F.forall(parts, lambda p: p.rlike(r"^[A-Za-z0-9][A-Za-z0-9._:/-]{3,}$") & (p.rlike(r"[0-9._:/-]") | p.rlike("^[A-Z]{6,}$")))
+    each = F.forall(parts, lambda p: p.rlike(f"^{ID_SHAPE.pattern}$") & (p.rlike(ID_SIGN.pattern) | p.rlike(f"^{ID_CAPITALS.pattern}$")))
     return F.coalesce(F.length(t).between(4, 128) & (F.size(parts) <= 3) & each, F.lit(False))
 
 
@@ -87,3 +93,30 @@ def chunk_windows(df: DataFrame, text: str = "text", target: int = 128, overlap:
 def row_to_text(df: DataFrame, columns: list[str]) -> Column:
     """"column: value, column: value" of a row."""
     return F.concat_ws(", ", *[F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in columns])
+
+
+def ascii_fold(text: Column) -> Column:
+    """ASCII letters for accented ones; what has no ASCII form goes.
+
+    The table is made from Unicode's decompositions of the Latin blocks, so
+    the fold stays a JVM expression.
+    """
+    import unicodedata
+
+    folded = {}
+    for code in (*range(0x80, 0x250), *range(0x1E00, 0x1F00)):
+        plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        if len(plain) == 1:
+            folded[chr(code)] = plain
+    out = F.translate(text, "".join(folded), "".join(folded.values()))
+    return F.regexp_replace(out, r"[^\x00-\x7F]", "")
+
+
+def base64url(data: Column) -> Column:
+    """Base 64 with the alphabet of URLs and without padding."""
+    return F.rtrim(F.translate(F.base64(data), "+/", "-_"), F.lit("="))
+
+
+def from_base64url(text: Column) -> Column:
+    bare = F.translate(text, "-_", "+/")
+    return F.try_to_binary(F.concat(bare, F.repeat(F.lit("="), F.pmod(-F.length(bare), F.lit(4)))), F.lit("base64"))

@@ -1,11 +1,13 @@
-"""Control decisions as columns or plain functions."""
+"""Control decisions as columns or plain functions."""
 
 from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
-from collections.abc import Iterable
+import re
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,37 +61,53 @@ def transcription_limit(overall: Column, org: Column, plan: Column) -> Column:
     return F.struct(F.when(least == far, 0).otherwise(least).cast("long").alias("max_ms"), source.alias("source"))
 
 
-def _cron_field(field: str, value: Column, low: int, high: int) -> Column:
-    if field == "*":
-        return F.lit(True)
-    if field.startswith("*/") and field[2:].isdigit() and int(field[2:]) > 0:
-        return value % int(field[2:]) == 0
-    if "," in field:
-        out = F.lit(False)
-        for part in filter(None, map(str.strip, field.split(","))):
-            out = out | _cron_field(part, value, low, high)
-        return out
-    return value == int(field) if field.isdigit() and low <= int(field) <= high else F.lit(False)
+#: Seconds of a unit, and of the named schedules.
+UNITS = {"s": 1, "m": 60, "h": 3_600, "d": 86_400}
+NAMED = {"@hourly": "1h", "@daily": "1d", "@weekly": "7d"}
+#: What the five fields of a schedule may hold: a function of the time, its least and its largest value.
+FIELDS: tuple[tuple[Callable[[Column], Column], int, int], ...] = ((F.minute, 0, 59), (F.hour, 0, 23), (F.dayofmonth, 1, 31), (F.month, 1, 12), (lambda t: F.dayofweek(t) - 1, 0, 6))
+_EVERY = re.compile(r"\s*(?:every\s+|interval\s+)?(\d+(?:\.\d+)?)\s*([smhd])\s*", re.I)
+
+
+def interval_seconds(schedule: str) -> float | None:
+    """The seconds of a schedule like "every 5m" or "@daily"; None for any other."""
+    m = _EVERY.fullmatch(NAMED.get(schedule.strip().lower(), schedule))
+    return float(m[1]) * UNITS[m[2].lower()] or None if m else None
+
+
+def allowed_numbers(field: str, low: int, high: int) -> set[int]:
+    """The numbers that a field of a schedule lets through: all, steps, or a list; what isn't understood lets none through."""
+    numbers = range(low, high + 1)
+    out: set[int] = set()
+    for part in (p.strip() for p in field.split(",")):
+        step = re.fullmatch(r"\*(?:/(\d+))?", part)
+        if step and int(step[1] or 1):
+            out |= {n for n in numbers if n % int(step[1] or 1) == 0}
+        elif part.isdigit():
+            out |= {int(part)} & set(numbers)
+    return out
 
 
 def schedule_due(schedule: str, now: Column, last: Column) -> Column:
-    """Whether a schedule ("every 5m", "@daily", five cron fields) is due; not twice in one minute."""
-    raw = schedule.strip().lower().removeprefix("every ").removeprefix("interval ")
-    seconds = {"@hourly": 3600.0, "@daily": 86400.0, "@weekly": 604800.0}.get(schedule)
-    if raw and raw[-1] in "smhd":
-        try:
-            seconds = float(raw[:-1]) * {"s": 1, "m": 60, "h": 3600, "d": 86400}[raw[-1]]
-        except ValueError:
-            seconds = None
-    if seconds is not None and seconds > 0:
-        return last.isNull() | ((F.unix_micros(now) - F.unix_micros(last)) >= seconds * 1_000_000)
+    """Whether a schedule ("every 5m", "@daily", five fields) is due; by fields not twice in one minute.
+
+    Each field is a set of numbers, so that being due is membership in five
+    small sets.
+    """
+    seconds = interval_seconds(schedule)
+    if seconds:
+        return last.isNull() | (F.unix_micros(now) - F.unix_micros(last) >= F.lit(seconds * 1_000_000))
     parts = schedule.split()
-    if len(parts) != 5:
+    if len(parts) != len(FIELDS):
+        return F.lit(False)
+    parts[4] = re.sub(r"\b7\b", "0", parts[4]) if "/" not in parts[4] else parts[4]  # Sunday has two numbers
+    sets = [allowed_numbers(p, low, high) for p, (_, low, high) in zip(parts, FIELDS)]
+    if not all(sets):
         return F.lit(False)
-    minute, hour, day, month, weekday = parts
-    weekday = "0" if weekday == "7" else weekday
-    fits = _cron_field(minute, F.minute(now), 0, 59) & _cron_field(hour, F.hour(now), 0, 23) & _cron_field(day, F.dayofmonth(now), 1, 31)
-    fits = fits & _cron_field(month, F.month(now), 1, 12) & _cron_field(weekday, F.dayofweek(now) - 1, 0, 6)
+    fits = F.lit(True)
+    for (of, low, high), numbers in zip(FIELDS, sets):
+        if len(numbers) <= high - low:
+            fits = fits & of(now).isin(sorted(numbers))
     return fits & (last.isNull() | (F.date_trunc("minute", last) < F.date_trunc("minute", now)))
 
 
@@ -156,13 +174,19 @@ def speech(frames: DataFrame, by: str, db: str, ms: str, *, silence: float = -45
     return out.withColumn("has_speech", F.col("speech_ms") >= max(1, least))
 
 
-def audio_windows(assets: DataFrame, frames: str, rate: str, *, window_s: float, hop_s: float, most: int) -> DataFrame:
-    """Hopping windows of each asset: index, start_ms and end_ms; so many at most, which is a setting of the segmenter."""
+def audio_windows(assets: DataFrame, frames: str, rate: str, *, window_s: float, hop_s: float, most: int, level: Callable[[Column], Column] | None = None, silence_db: float | None = None) -> DataFrame:
+    """Hopping windows of each asset: index, start_ms and end_ms; so many at most, which is a setting of the segmenter.
+
+    ``level`` gives a window's loudness by its index; those below silence_db
+    go, though they count among the most.
+    """
     hop, width = F.greatest(F.lit(1), F.bround(F.col(rate) * hop_s).cast("long")), F.greatest(F.lit(1), F.bround(F.col(rate) * window_s).cast("long"))
     n = F.least(F.lit(most).cast("long"), F.ceil(F.col(frames) / hop))
     out = assets.where(F.col(frames) > 0).withColumn("window", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
     start = F.col("window") * hop
     ms = lambda f: F.floor(f * 1000 / F.col(rate)).cast("long")
+    if level is not None and silence_db is not None:
+        out = out.withColumn("level_db", level(F.col("window"))).where(F.col("level_db") >= silence_db)
     return out.withColumn("start_ms", ms(start)).withColumn("end_ms", ms(F.least(F.col(frames), start + width)))
 
 
@@ -186,3 +210,58 @@ def stub_embedding(text: str, dim: int) -> list[float]:
     v = [rng.uniform(-1, 1) for _ in range(dim)]
     size = math.sqrt(sum(x * x for x in v)) or 1.0
     return [x / size for x in v]
+
+
+def sampling_rate(duration_s: Column, *, interval_s: float = 0.0, fps: float = 0.0, most: int = 0) -> Column:
+    """Frames a second that a video is sampled at: as set, slower where that would give too many frames, one frame at least."""
+    base = interval_s if interval_s > 0 else 1 / fps if fps > 0 else 1.0
+    wait = F.lit(float(base))
+    if most > 0:
+        wait = F.when(duration_s > 0, F.least(duration_s.cast("double"), F.greatest(wait, duration_s / most))).otherwise(wait)
+    return 1 / wait
+
+
+def setting(values: Mapping[str, str], name: str, default, kind: type = str):
+    """A setting from a map of texts such as the environment: bool, int, float, a list or a map of weights.
+
+    What can't be read as its kind gives the default.
+    """
+    raw = values.get(name, "").strip()
+    if not raw:
+        return default
+    if kind is bool:
+        return {"1": True, "true": True, "yes": True, "on": True, "0": False, "false": False, "no": False, "off": False}.get(raw.lower(), default)
+    try:
+        if kind is list:
+            return [x.strip() for x in raw.split(",") if x.strip()]
+        if kind is dict:
+            return {k.strip(): float(v) for k, v in (x.split("=") for x in raw.split(",") if x.strip())}
+        return kind(raw)
+    except ValueError:
+        return default
+
+
+def environment_setting(name: str, default, kind: type = str):
+    return setting(os.environ, name, default, kind)
+
+
+def stage_of_path(uri: Column, segment: int = 2) -> Column:
+    """A segment of a path, without its scheme: the second says of which modality an upload is."""
+    parts = F.split(F.trim(F.regexp_replace(uri, "^[a-z0-9+.-]+://[^/]+/", ""), F.lit("/")), "/")
+    return F.get(parts, F.lit(segment - 1))
+
+
+# What can be redacted in each kind of media.
+MEDIA_TYPES = {"image": ("faces", "plates"), "video": ("faces", "plates"), "audio": ("voice",)}
+
+
+def media_redaction(modality: Column, wanted: Column, enabled: bool) -> Column:
+    """The plan of a media redaction: what was asked for, what of it applies, and why nothing was done.
+
+    A stub: payloads stay as they are.  "all" stands for all types of a modality.
+    """
+    known = F.try_element_at(F.create_map(*[x for m, ts in MEDIA_TYPES.items() for x in (F.lit(m), F.array(*map(F.lit, ts)))]), F.lower(F.trim(modality)))
+    asked = F.array_distinct(F.transform(F.coalesce(wanted, F.array().cast("array<string>")), lambda t: F.lower(F.trim(t))))
+    fits = F.when(F.array_contains(asked, "all"), known).otherwise(F.array_intersect(asked, known))
+    reason = F.when(known.isNull(), "unsupported_modality").when(F.lit(not enabled), "disabled").when(F.size(fits) == 0, "no_types").otherwise("stub")
+    return F.struct(asked.alias("requested"), F.coalesce(fits, F.array().cast("array<string>")).alias("resolved"), F.lit(False).alias("applied"), reason.alias("reason"))

@@ -16,34 +16,50 @@ FUSION_WEIGHTS = {"text": 1.0, "ocr": 1.0, "vision": 0.8, "audio": 0.8, "video":
 FUSION_K = 60
 
 
-def reciprocal_rank_fusion(hits: DataFrame, keys: list[str], *, tie: list[str], weights: dict[str, float] = FUSION_WEIGHTS, k: int = FUSION_K, why: bool = False) -> DataFrame:
+#: Names under which modalities are weighed.
+CANONICAL = {"document": "text", "transcript": "text", "text": "text", "image": "vision", "vision": "vision", "audio": "audio", "ocr": "ocr", "video": "video", "fts": "fts"}
+
+
+def canonical_modality(modality: Column) -> Column:
+    """The name that a modality is weighed under; unknown ones as they are, in lower case."""
+    clean = F.lower(F.trim(modality))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in CANONICAL.items() for x in kv]), clean), clean)
+
+
+def reciprocal_rank_fusion(hits: DataFrame, keys: list[str], *, tie: list[str], weights: dict[str, float] = FUSION_WEIGHTS, k: int = FUSION_K, why: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Hits (modality, score, keys) to one row a key: the sum of weight / (k + rank in its modality) over the largest such sum.
 
-    With ``why``, an array tells the share of each hit.
+    Weights go by the canonical name of a modality, ranks by the name it has.
+    With ``why``, an array tells the share of each hit.  ``carry`` names
+    columns that a key keeps from its best hit (null ones from the next).
+    Hits are the cuts of branches, so the largest sum is found among few rows.
     """
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("modality").orderBy(F.desc("score"), *tie)))
-    weight = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("modality")], F.lit(1.0))
-    part = ranked.withColumn("contribution", weight / (k + F.col("rank")))
-    more = [F.sort_array(F.collect_list(F.struct("modality", "rank", "contribution", F.col("score").alias("raw_score")))).alias("why")] * why
+    named = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
+    weight = F.coalesce(F.try_element_at(named, canonical_modality(F.col("modality"))), F.lit(1.0))
+    part = ranked.withColumn("weight", weight).withColumn("contribution", F.col("weight") / (k + F.col("rank")))
+    share = F.struct("modality", "rank", "weight", "contribution", F.col("score").alias("raw_score"))
+    more = [F.sort_array(F.collect_list(share)).alias("why")] * why
+    more += [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("contribution", "score"))).alias(c) for c in carry]
     fused = part.groupBy(*keys).agg(F.sum("contribution").alias("fused"), F.count("*").alias("n_hits"), *more)
-    top = fused.agg(F.max("fused").alias("top"))
-    return fused.crossJoin(F.broadcast(top)).withColumn("score", F.col("fused") / F.col("top")).drop("top")  # one row
+    top = F.max("fused").over(Window.partitionBy(F.lit(0)))
+    return fused.withColumn("score", clamp(F.col("fused") / top))
 
 
 def normalised_scores(df: DataFrame, column: str = "raw") -> DataFrame:
     """Scores within 0 and 1 as they are, equal ones as one half, all others through a sigmoid."""
-    span = F.broadcast(df.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi")))
-    x = F.col(column)
-    out = F.when((F.col("_lo") >= 0) & (F.col("_hi") <= 1), x).when(F.col("_lo") == F.col("_hi"), 0.5).otherwise(1 / (1 + F.exp(-x)))
-    return df.crossJoin(span).withColumn("normalised", out).drop("_lo", "_hi")
+    every = Window.partitionBy(F.lit(0))  # the rows that are reranked: few
+    x, low, high = F.col(column), F.min(column).over(every), F.max(column).over(every)
+    out = F.when((low >= 0) & (high <= 1), x).when(low == high, 0.5).otherwise(1 / (1 + F.exp(-x)))
+    return df.withColumn("normalised", out)
 
 
 def rerank_selection(df: DataFrame, *, top_n: int = 20, min_candidates: int = 5, budget: int = 6000, length: str = "chars", order: list[Column]) -> DataFrame:
-    """The best-first prefix that is reranked: at most top_n rows, cut where the characters pass the budget once there are enough."""
+    """The best-first prefix that is reranked: at most top_n rows, cut where the characters pass the budget once there are enough; a budget of 0 is none."""
     top = df.orderBy(*order).limit(top_n)
     w = Window.partitionBy(F.lit(0)).orderBy(*order)  # top_n rows at most
     at = top.withColumn("rn", F.row_number().over(w)).withColumn("total", F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    over = (F.col("rn") > min_candidates) & (F.col("total") > budget)
+    over = (F.col("rn") > min_candidates) & (F.col("total") > budget) & F.lit(budget > 0)
     first = F.min(F.when(over, F.col("rn"))).over(Window.partitionBy(F.lit(0)))
     return at.withColumn("_first", first).where(F.col("_first").isNull() | (F.col("rn") < F.col("_first"))).drop("_first", "total")
 
@@ -52,17 +68,57 @@ def blend(base: Column, reranked: Column, share: float = 0.5) -> Column:
     return clamp((1 - share) * base + share * reranked)
 
 
-def merge_intervals(df: DataFrame, group: list[str], gap: int, *, start: str = "start_ms", end: str = "end_ms", score: str = "score") -> DataFrame:
+def rerank(hits: DataFrame, scorer: Column, *, order: list[Column], text: str = "snippet", top_n: int = 20, min_candidates: int = 5, budget: int = 6000, skip_gap: float = 0.1, skip_score: float = 0.9, share: float = 0.5) -> DataFrame:
+    """Hits (modality, score, text) with the scores of the chosen ones blended with ``scorer``; all others stay as they are.
+
+    Texts and texts read off images take part, best first, as in
+    rerank_selection.  Nothing changes if fewer than ``min_candidates`` are
+    chosen, or if the first is good (skip_score) and far ahead (skip_gap).
+    Adds base_score and rerank_status.  Hits are a query's, so few.
+    """
+    every = Window.partitionBy(F.lit(0))
+    wanted = canonical_modality(F.col("modality")).isin("text", "ocr") & (F.length(text) > 0)
+    at = hits.withColumn("_in", F.coalesce(wanted, F.lit(False)))
+    w = Window.partitionBy("_in").orderBy(*order)
+    at = at.withColumn("_rn", F.row_number().over(w)).withColumn("_sum", F.sum(F.length(text)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    over = F.col("_in") & (F.col("_rn") > min_candidates) & (F.col("_sum") > budget) & F.lit(budget > 0)
+    at = at.withColumn("_cut", F.coalesce(F.min(F.when(over, F.col("_rn"))).over(every), F.lit(top_n + 1)))
+    at = at.withColumn("_in", F.col("_in") & (F.col("_rn") <= top_n) & (F.col("_rn") < F.col("_cut")))
+    chosen = lambda value: F.max(F.when(F.col("_in"), value)).over(every)
+    nth = lambda n: chosen(F.when(F.col("_rn") == n, F.col("score")))
+    many = F.coalesce(F.sum(F.col("_in").cast("int")).over(every), F.lit(0))
+    confident = (many >= 2) & (nth(1) >= skip_score) & (nth(1) - nth(2) >= skip_gap)
+    status = F.when(many == 0, "skipped_no_text_candidates").when(many < min_candidates, "skipped_low_candidate_count").when(confident, "skipped_confident_top_result").otherwise("applied")
+    at = at.withColumn("rerank_status", status).withColumn("_raw", F.when(F.col("_in"), scorer))
+    low, high = F.min("_raw").over(every), F.max("_raw").over(every)
+    own = F.when((low >= 0) & (high <= 1), F.col("_raw")).when(low == high, 0.5).otherwise(1 / (1 + F.exp(-F.col("_raw"))))
+    mixed = F.when(F.col("_in") & (F.col("rerank_status") == "applied"), blend(F.col("base_score"), own, share)).otherwise(F.col("base_score"))
+    return at.withColumn("base_score", F.col("score")).withColumn("score", mixed).drop("_in", "_rn", "_sum", "_cut", "_raw")
+
+
+def merge_intervals(df: DataFrame, group: list[str], gap: int, *, start: str = "start_ms", end: str = "end_ms", score: str = "score", carry: tuple[str, ...] = (), refs: str | None = None, tie: tuple[str, ...] = ()) -> DataFrame:
     """Intervals of a group that touch within a gap, as one: its bounds, number and best score.
 
     An interval joins the one before it if it starts no later than the largest
-    end so far and the gap.
+    end so far and the gap; one without a start or an end stays by itself.
+    ``carry`` columns come from the row of the best score (the first of
+    equals), ``refs`` (an array) holds the distinct references of all, and
+    ``note`` says where several were merged.
     """
-    w = Window.partitionBy(*group).orderBy(start, end)
+    loose = F.col(start).isNull() | F.col(end).isNull()
+    at = df.withColumn("_loose", loose)
+    w = Window.partitionBy(*group, "_loose").orderBy(start, end, *tie)
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opened = df.withColumn("_new", F.when(before.isNull() | (F.col(start) > before + gap), 1).otherwise(0))
+    opened = at.withColumn("_new", F.when(F.col("_loose") | before.isNull() | (F.col(start) > before + gap), 1).otherwise(0))
     island = opened.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*group, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_merged"), F.max(score).alias(score))
+    first = lambda c: F.coalesce(-F.col(c), F.lit(0))
+    best = [F.max_by(c, F.struct(F.coalesce(F.col(score), F.lit(float("-inf"))), first(start), first(end))).alias(c) for c in carry]
+    if refs:
+        texts = F.transform(refs, lambda r: F.to_json(r))  # maps have neither an order nor an equality
+        listed = F.transform(F.array_sort(F.collect_list(F.struct(start, end, texts.alias("r")))), lambda x: x["r"])
+        best.append(F.transform(F.array_distinct(F.flatten(listed)), lambda r: F.from_json(r, "map<string,string>")).alias(refs))
+    out = island.groupBy(*group, "_loose", "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_merged"), F.max(score).alias(score), *best)
+    return out.withColumn("note", F.when(F.col("n_merged") > 1, "merged_adjacent_segments")).drop("_loose")
 
 
 def backfill(primary: DataFrame, extra: DataFrame, key: str, k: int, *, order: list[Column]) -> DataFrame:

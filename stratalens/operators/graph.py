@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import with_rank
+from ..streaming.folds import fold_by_key
+
 
 def with_provenance(df: DataFrame) -> DataFrame:
     """File name and physical row position; stays right under filters."""
@@ -47,9 +50,15 @@ def since_latest_compaction(runs: DataFrame) -> DataFrame:
 
 
 def manifest_fingerprint(entries: DataFrame, key: str, digest: str) -> DataFrame:
-    """One row: sha256 of sorted key:digest lines.  Manifests are few: one row a run."""
-    lines = F.sort_array(F.collect_list(F.concat_ws(":", F.col(key).cast("string"), digest)))
-    return entries.agg(F.sha2(F.concat_ws("\n", lines), 256).alias("fingerprint"))
+    """One row: sha256 over the digests of 4,096 buckets, each that of its sorted key:digest lines.
+
+    A line's bucket is the beginning of its own hash, so no task sorts more
+    than a bucket; the order of rows doesn't matter, any change does.
+    """
+    line = F.concat_ws(":", F.col(key).cast("string"), digest)
+    lines = entries.select(line.alias("line")).withColumn("bucket", F.substring(F.sha2("line", 256), 1, 3))
+    sums = lines.groupBy("bucket").agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list("line"))), 256).alias("sum"))
+    return sums.agg(F.sha2(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("bucket", "sum"))), lambda x: x["sum"])), 256).alias("fingerprint"))
 
 
 def successors(df: DataFrame, group: str, order: str, node: str) -> DataFrame:
@@ -59,36 +68,27 @@ def successors(df: DataFrame, group: str, order: str, node: str) -> DataFrame:
 
 
 def first_fit_batches(groups: DataFrame, by: str, order: str, size: str, *, low: float, high: float, most: int) -> DataFrame:
-    """Batches in order of runs: closed before a group that would pass ``high`` or the count, and once they reach ``low``.
-
-    A fold over the runs of one entity, which has no window form; compaction
-    plans are metadata, one row a run.
-    """
-    import pandas as pd
+    """Batches in order of runs: closed before a group that would pass ``high`` or the count, and once they reach ``low``."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        batch, total, count, out = 0, 0.0, 0, []
-        for value in pdf[size]:
-            if count and (total + value > high or count >= most):
-                batch, total, count = batch + 1, 0.0, 0
-            total, count = total + value, count + 1
-            out.append(batch)
-            if total >= low:
-                batch, total, count = batch + 1, 0.0, 0
-        return pdf.assign(batch=out)
+    def step(state, row):
+        batch, total, count = state or (0, 0.0, 0)
+        value = row[size]
+        if count and (total + value > high or count >= most):
+            batch, total, count = batch + 1, 0.0, 0
+        total, count = total + value, count + 1
+        return ((batch + 1, 0.0, 0) if total >= low else (batch, total, count)), batch
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in groups.schema) + ", batch long"
-    return groups.groupBy(by).applyInPandas(fold, schema)
+    return fold_by_key(groups, by, [order], step, "batch", "long")
 
 
 def keep_set(manifests: DataFrame, *, since: Column, compactions: int, latest: int) -> DataFrame:
     """Manifests that a collection keeps: recent ones, the newest compactions, the newest of all."""
-    newest = Window.partitionBy("is_compaction").orderBy(F.desc("completed_at"), F.desc("run_id"))
-    overall = Window.partitionBy(F.lit(0)).orderBy(F.desc("completed_at"), F.desc("run_id"))  # manifests: one row a run
-    ranked = manifests.withColumn("_c", F.row_number().over(newest)).withColumn("_l", F.row_number().over(overall))
-    kept = (F.col("completed_at") >= since) | (F.col("is_compaction") & (F.col("_c") <= compactions)) | (F.col("_l") <= latest)
-    return ranked.where(kept).drop("_c", "_l")
+    newest = [F.desc("completed_at"), F.desc("run_id")]
+    few = manifests.where("is_compaction").orderBy(*newest).limit(compactions).select("run_id")
+    few = few.unionAll(manifests.orderBy(*newest).limit(latest).select("run_id")).distinct().withColumn("_kept", F.lit(True))
+    # compactions + latest rows at most: a bound for the broadcast
+    marked = manifests.join(F.broadcast(few), "run_id", "left")
+    return marked.where((F.col("completed_at") >= since) | F.col("_kept")).select(*manifests.columns)
 
 
 def even_positions(total: int, limit: int) -> list[int]:
@@ -104,8 +104,8 @@ def even_positions(total: int, limit: int) -> list[int]:
 
 def rollout_stages(ids: DataFrame, key: str, percents: tuple[int, ...] = (10, 50, 100)) -> DataFrame:
     """The stage of each device: cumulative shares, rounded up, of the sorted ids."""
-    w = Window.partitionBy(F.lit(0)).orderBy(key)  # a fleet's devices
-    placed = ids.withColumn("_rn", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(0))))
+    total = ids.agg(F.count("*").alias("_n"))
+    placed = with_rank(ids, key, name="_rn").crossJoin(F.broadcast(total))  # one row
     stage = F.lit(None).cast("long")
     for i, p in reversed(list(enumerate(percents, 1))):
         stage = F.when(F.col("_rn") <= F.ceil(F.lit(p) * F.col("_n") / 100), F.lit(i).cast("long")).otherwise(stage)

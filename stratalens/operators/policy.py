@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .search import small_side
+
 
 def retention_tier(age_days: Column, warm: int, cold: int, delete: int) -> Column:
     return F.when(age_days >= delete, "delete").when(age_days >= cold, "cold").when(age_days >= warm, "warm").otherwise("hot")
@@ -14,14 +16,14 @@ def match_rules(events: DataFrame, rules: DataFrame) -> DataFrame:
     """Pairs of events (event_type, modality, confidence, tags) and rules (types, modalities, min_confidence, rule_tags) that match.
 
     An empty list or null leaves a condition out; "*" among the types matches
-    all.  Rules are a catalogue of bounded size.
+    all.  Rules are a catalogue; they are broadcast if a count allows it.
     """
     empty = lambda c: F.col(c).isNull() | (F.size(c) == 0)
     types = empty("types") | F.array_contains("types", "*") | F.expr("array_contains(types, event_type)")
     modalities = empty("modalities") | F.expr("array_contains(modalities, modality)")
     confident = F.col("min_confidence").isNull() | (F.col("confidence") >= F.col("min_confidence"))
     tagged = empty("rule_tags") | F.arrays_overlap("tags", "rule_tags")
-    return events.join(F.broadcast(rules), F.coalesce(types & modalities & confident & tagged, F.lit(False)))
+    return events.join(small_side(rules), F.coalesce(types & modalities & confident & tagged, F.lit(False)))
 
 
 def attribute_decision(subjects: DataFrame, policies: list[dict], default: bool = True) -> Column:

@@ -88,40 +88,72 @@ def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, terms.alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def _count(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda x: x == term))
+def _counted(df: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
+    """(key, c) with c the length of a text in words and how often each term stands in it, worked out in one go."""
+    words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z]+")
+    times = lambda w: F.array(*[F.size(w) - F.size(F.array_remove(w, t)) for t in terms])
+    facts = lambda w: F.struct(F.size(F.array_remove(w, "")).alias("dl"), times(w).alias("tf"))
+    return df.select(key, F.transform(F.array(words), facts)[0].alias("c"))  # a lambda's variable is a value, not an expression to repeat
 
 
 def bm25(df: DataFrame, key: str, text: str, query: str, *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) of rows that hold a query term, by Okapi BM25.
 
-    Only the query's terms are counted in each text; lengths and frequencies
-    come from one pass, and the two corpus figures are one row.
+    Two scans: the first sums up the corpus (one row), the second counts only
+    in the texts that hold a term, which a search in the text finds before
+    words are made.
     """
     terms = sorted(set(re.findall("[a-z]+", query.lower())))
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z]+)"), F.lit(1))
-    counted = df.select(F.col(key), words.alias("w"))
-    counted = counted.select(key, F.size("w").alias("dl"), *[_count("w", t).alias(f"tf_{i}") for i, t in enumerate(terms)])
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))])
-    both = counted.crossJoin(F.broadcast(stats))  # one row
-    parts = []
+    if not terms:
+        return df.select(key, F.lit(0.0).alias("score")).where(F.lit(False))
+    every = _counted(df, key, text, terms)
+    stats = every.agg(F.count("*").alias("n"), F.avg("c.dl").alias("avgdl"), *[F.count_if(F.col("c.tf")[i] > 0).alias(f"df_{i}") for i in range(len(terms))])
+    holds = F.lower(F.col(text)).rlike(f"(?:^|[^a-z])(?:{'|'.join(terms)})(?:[^a-z]|$)")
+    both = _counted(df.where(holds), key, text, terms).crossJoin(F.broadcast(stats))  # one row
+    total = F.lit(0.0)
     for i in range(len(terms)):
-        tf, df_i = F.col(f"tf_{i}"), F.col(f"df_{i}")
+        tf, df_i = F.col("c.tf")[i], F.col(f"df_{i}")
         idf = F.ln((F.col("n") - df_i + 0.5) / (df_i + 0.5) + 1)
-        parts.append(idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
-    total = parts[0]
-    for x in parts[1:]:
-        total = total + x
-    return both.where(F.greatest(*[F.col(f"tf_{i}") for i in range(len(terms))], F.lit(0)) > 0).select(key, total.alias("score"))
+        total = total + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("c.dl") / F.col("avgdl")))
+    return both.select(key, total.alias("score"))
 
 
-def label_scores(frames: DataFrame, labels: DataFrame, *, how: str = "max", top_k: int = 8) -> DataFrame:
-    """Scores of labels (label, category, vector) against frames (vector): max or mean of dot products, clipped, the best of each category."""
+#: Rows of a side that is broadcast, at most.
+BROADCAST_ROWS = 10_000
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast if a count of rows, which stops beyond the limit, allows it; else Spark chooses the join."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def against_all(rows: DataFrame, queries: DataFrame, blocks: int = 64) -> DataFrame:
+    """Every row beside every query of a stated set: a broadcast of a small set, else block by block of the queries.
+
+    Blocks are an equi-join: a row goes to each block once, a query to one.
+    """
+    if queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.crossJoin(F.broadcast(queries))
+    own = queries.withColumn("_block", F.pmod(F.xxhash64(*queries.columns), F.lit(blocks)))
+    every = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return every.join(own, "_block").drop("_block")
+
+
+def label_scores(frames: DataFrame, labels: DataFrame, *, how: str = "max", top_k: int = 8, by: Sequence[str] = (), most: int | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """Scores of labels (label, category, vector) against frames (vector): max or mean of dot products, clipped, the best of each category.
+
+    With ``by``, for each asset by itself, over its first ``most`` frames in
+    ``order``.  Labels are broadcast if they are few.
+    """
     from ..functions.vectors import dot
 
-    pairs = frames.select(F.col("vector").alias("fv")).crossJoin(F.broadcast(labels))  # a label list is bounded by its catalogue
+    by = list(by)
+    if most is not None:
+        nth = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        frames = frames.withColumn("_nth", nth).where(F.col("_nth") <= most)
+    pairs = against_all(frames.select(*by, F.col("vector").alias("fv")), labels)
     scored = pairs.withColumn("s", dot(F.col("fv"), F.col("vector")))
     agg = F.max("s") if how == "max" else F.avg("s")
-    best = scored.groupBy("category", "label").agg(clamp(agg).alias("score"))
-    w = Window.partitionBy("category").orderBy(F.desc("score"), "label")
+    best = scored.groupBy(*by, "category", "label").agg(clamp(agg).alias("score"))
+    w = Window.partitionBy(*by, "category").orderBy(F.desc("score"), "label")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)

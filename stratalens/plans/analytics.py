@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import fusion, graph, policy, reports
-from ..session import table
+from ..session import fresh_path, table, with_rank
+from ..sources import readers
 from ..streaming import folds
 
 Q: dict = {}
@@ -42,8 +41,9 @@ def _(s, d):
 def _(s, d):
     e = table(s, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     cold, warm = F.when(F.col("k") < 5, F.col("value")), F.when(F.col("k") >= 5, F.col("value"))
-    p95 = lambda c: F.round(F.percentile(c, F.lit(0.95)), 6)
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), p95(F.col("k")).alias("p95_k"), reports.rate(F.col("k") < 5).alias("cold_rate"), F.round(F.count_distinct("user_id") / F.count("*"), 6).alias("instance_rate"), p95(cold).alias("p95_cold"), p95(warm).alias("p95_warm"))
+    p95 = reports.exact_percentiles(e, ["event_type"], {"p95_k": ("k", 0.95), "p95_cold": (cold, 0.95), "p95_warm": (warm, 0.95)})
+    rates = e.groupBy("event_type").agg(reports.rate(F.col("k") < 5).alias("cold_rate"), F.round(F.count_distinct("user_id") / F.count("*"), 6).alias("instance_rate"))
+    return p95.join(rates, "event_type").select("event_type", "n", "p95_k", "cold_rate", "instance_rate", "p95_cold", "p95_warm")
 
 
 @query("q27_quality_rules", "WITH w AS (SELECT doc_id, n_chars, len(regexp_extract_all(text, '(\\S+)', 1)) AS words FROM documents) SELECT doc_id, reason FROM (SELECT doc_id, 'short' AS reason FROM w WHERE words < 50 UNION ALL SELECT doc_id, 'long' FROM w WHERE n_chars > 10000 UNION ALL SELECT doc_id, 'long_words' FROM w WHERE n_chars > 8 * words)")
@@ -63,7 +63,7 @@ def _(s, d):
 def _(s, d):
     cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     u = reports.unpivot(table(s, d, "lineitem").select("l_orderkey", *cols), ["l_orderkey"], cols)
-    both = u.groupBy("component").agg(F.percentile("value", F.lit(0.95)).alias("p95"), F.percentile("value", F.lit(0.5)).alias("baseline_p95"))
+    both = reports.exact_percentiles(u, ["component"], {"p95": ("value", 0.95), "baseline_p95": ("value", 0.5)})
     out = reports.guardrails(both.select("component", "p95"), both.select("component", "baseline_p95"), 1.85)
     return out.select("component", F.round("p95", 6).alias("p95"), F.round("baseline_p95", 6).alias("baseline_p95"))
 
@@ -76,7 +76,7 @@ def _runs(s, d) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("completed_at"), ((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderkey") % 500 == 0)).alias("is_compaction"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("digest"))
 
 
-@query("q32_manifest_selection", f"WITH {RUNS}, k AS (SELECT * FROM runs WHERE completed_at >= coalesce((SELECT max(completed_at) FROM runs WHERE is_compaction), TIMESTAMP '1900-01-01')) SELECT count(*) AS n_runs, sha256(string_agg(run_id::VARCHAR || ':' || digest, chr(10) ORDER BY run_id::VARCHAR || ':' || digest)) AS fingerprint FROM k")
+@query("q32_manifest_selection", f"WITH {RUNS}, k AS (SELECT * FROM runs WHERE completed_at >= coalesce((SELECT max(completed_at) FROM runs WHERE is_compaction), TIMESTAMP '1900-01-01')), b AS (SELECT substr(sha256(run_id::VARCHAR || ':' || digest), 1, 3) AS bucket, run_id::VARCHAR || ':' || digest AS line FROM k), s AS (SELECT bucket, sha256(string_agg(line, chr(10) ORDER BY line)) AS d FROM b GROUP BY bucket) SELECT (SELECT count(*) FROM k) AS n_runs, sha256(string_agg(d, chr(10) ORDER BY bucket)) AS fingerprint FROM s")
 def _(s, d):
     kept = graph.since_latest_compaction(_runs(s, d))
     return graph.manifest_fingerprint(kept, "run_id", "digest").crossJoin(F.broadcast(kept.agg(F.count("*").alias("n_runs")))).select("n_runs", "fingerprint")
@@ -97,7 +97,7 @@ def _(s, d):
     return graph.append_by_name(base, fresh)
 
 
-@query("q35_compaction_plan")
+@query("q35_compaction_plan", "WITH RECURSIVE e AS (SELECT o_orderpriority AS entity, o_orderkey AS run_id, o_totalprice AS bytes, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS rn FROM orders), f AS (SELECT entity, run_id, bytes, rn, 0::BIGINT AS batch, bytes AS total, 1 AS n FROM e WHERE rn = 1 UNION ALL SELECT entity, run_id, bytes, rn, CASE WHEN closes THEN batch + 1 ELSE batch END, CASE WHEN closes THEN bytes ELSE total + bytes END, CASE WHEN closes THEN 1 ELSE n + 1 END FROM (SELECT e.*, f.batch, f.total, f.n, f.total >= 1000000 OR f.total + e.bytes > 2000000 OR f.n >= 10 AS closes FROM f JOIN e ON e.entity = f.entity AND e.rn = f.rn + 1)) SELECT entity, run_id, bytes, batch FROM f")
 def _(s, d):
     o = table(s, d, "orders").select(F.col("o_orderpriority").alias("entity"), F.col("o_orderkey").alias("run_id"), F.col("o_totalprice").alias("bytes"))
     return graph.first_fit_batches(o, "entity", "run_id", "bytes", low=1_000_000.0, high=2_000_000.0, most=10)
@@ -128,8 +128,9 @@ def _(s, d):
 
 @query("q40_audit_query", "SELECT event_id, event_type, user_id, round(value, 6) AS value FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-05' ORDER BY ts DESC, event_id LIMIT 100")
 def _(s, d):
-    e = table(s, d, "events").where((F.col("event_type") == "click") & (F.col("ts") >= F.lit("2024-01-05").cast("timestamp_ntz")))
-    return e.orderBy(F.desc("ts"), "event_id").limit(100).select("event_id", "event_type", "user_id", F.round("value", 6).alias("value"))
+    e = table(s, d, "events").withColumn("created_at", F.col("ts").cast("timestamp"))
+    found = readers.audit_log(e, since="2024-01-05T01:00:00+01:00", event_type="click", user_id=None, tie=["event_id"])
+    return found.select("event_id", "event_type", "user_id", F.round("value", 6).alias("value"))
 
 
 @query("q41_alert_match", "SELECT event_id, rule FROM events JOIN (VALUES ('high', 'purchase', 0.2), ('any', '*', 0.5), ('clicks', 'click', 0.3)) r(rule, t, m) ON (t = '*' OR t = event_type) AND value / 500 >= m")
@@ -173,7 +174,10 @@ def _timed(s, d) -> DataFrame:
     return table(s, d, "events").select("event_id", "user_id", millis().alias("at"), F.when(F.col("value") > 400, "ok").when(F.col("value") > 200, "failed").otherwise("running").alias("outcome"))
 
 
-@query("q47_idempotency_fold")
+TIMED = "e AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS \"at\", CASE WHEN value > 400 THEN 'ok' WHEN value > 200 THEN 'failed' ELSE 'running' END AS outcome, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS rn FROM events)"
+
+
+@query("q47_idempotency_fold", f"WITH RECURSIVE {TIMED}, f AS (SELECT e.*, 'start' AS action, CASE outcome WHEN 'ok' THEN 'done' WHEN 'failed' THEN 'failed' ELSE 'running' END AS state, \"at\" AS since, 1 AS tries FROM e WHERE rn = 1 UNION ALL SELECT event_id, user_id, \"at\", outcome, rn, action, CASE action WHEN 'start' THEN CASE outcome WHEN 'ok' THEN 'done' WHEN 'failed' THEN 'failed' ELSE 'running' END WHEN 'dead' THEN 'dead' ELSE state END, CASE action WHEN 'start' THEN \"at\" ELSE since END, CASE action WHEN 'start' THEN tries + 1 ELSE tries END FROM (SELECT e.*, f.state, f.since, f.tries, CASE WHEN f.state IN ('done', 'dead') THEN 'skip_done' WHEN f.state = 'running' AND e.\"at\" - f.since < 86400000 THEN 'skip_running' WHEN f.tries >= 5 THEN 'dead' ELSE 'start' END AS action FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1)) SELECT event_id, user_id, \"at\", outcome, action FROM f")
 def _(s, d):
     return folds.idempotency(_timed(s, d), "user_id", "at", "outcome", ttl_ms=86_400_000, attempts=5)
 
@@ -201,8 +205,7 @@ def _(s, d):
 @query("q51_even_sampling", "WITH n AS (SELECT count(*) AS n FROM part), p AS (SELECT DISTINCT round_even(i * (n - 1) / 24.0, 0)::BIGINT AS pos FROM n, range(25) t(i)), o AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part) SELECT pos, p_partkey FROM o JOIN p USING (pos)")
 def _(s, d):
     part = table(s, d, "part").select("p_partkey")
-    w = Window.partitionBy(F.lit(0)).orderBy("p_partkey")  # frames of one asset
-    at = part.withColumn("pos", F.row_number().over(w).cast("long") - 1)
+    at = with_rank(part, "p_partkey", name="pos").withColumn("pos", F.col("pos") - 1)
     return at.where(F.col("pos").isin(graph.even_positions(part.count(), 25))).select("pos", "p_partkey")
 
 
@@ -212,25 +215,23 @@ def _(s, d):
     return o.groupBy("o_custkey").agg(F.date_format(F.max("o_orderdate"), "yyyy-MM-dd HH:mm:ss").alias("last_run"), F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("run_id"), F.bool_or(F.col("o_orderstatus") == "O").alias("active"))
 
 
-@query("q53_stream_dedupe")
+@query("q53_stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
 def _(s, d):
     """A stream over the events table, read once and written to a table; deduplicated by user and type in a watermark."""
-    name = f"stream_dedupe_{abs(hash(d)) % 10**8}"
     source = s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/events.parquet*")
-    state = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stratalens-")
-    target = f"{state}/{name}-{s.sparkContext.applicationId}"
-    out = folds.dedupe_stream(source, ["user_id", "event_type"], "ts", "1 hour").select("event_id", "user_id", "event_type")
+    target = fresh_path(s, "stream_dedupe")
+    out = folds.dedupe_stream(source, ["user_id", "event_type"], "ts", "1 hour").select("user_id", "event_type")
     run = out.writeStream.format("parquet").option("path", f"{target}/out").option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return s.read.schema(out.schema).parquet(f"{target}/out")
 
 
-@query("q54_batch_flush")
+@query("q54_batch_flush", f"WITH RECURSIVE {TIMED}, f AS (SELECT e.*, 0::BIGINT AS batch, 1 AS n, \"at\" AS oldest FROM e WHERE rn = 1 UNION ALL SELECT event_id, user_id, \"at\", outcome, rn, CASE WHEN closes THEN batch + 1 ELSE batch END, CASE WHEN closes THEN 1 ELSE n + 1 END, CASE WHEN closes THEN \"at\" ELSE oldest END FROM (SELECT e.*, f.batch, f.n, f.oldest, f.n >= 50 OR e.\"at\" - f.oldest >= 3600000 AS closes FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1)) SELECT event_id, user_id, \"at\", batch FROM f")
 def _(s, d):
     return folds.flush_batches(_timed(s, d).select("event_id", "user_id", "at"), "user_id", "at", most=50, latency_ms=3_600_000)
 
 
-@query("q55_token_bucket")
+@query("q55_token_bucket", f"WITH RECURSIVE {TIMED}, f AS (SELECT e.*, true AS allowed, 0.0::DOUBLE AS remains FROM e WHERE rn = 1 UNION ALL SELECT event_id, user_id, \"at\", outcome, rn, filled >= 1, CASE WHEN filled >= 1 THEN filled - 1 ELSE filled END FROM (SELECT e.*, least(1.0::DOUBLE, f.remains + (e.\"at\" - f.\"at\") * 1 / 60000::DOUBLE) AS filled FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1)) SELECT event_id, user_id, \"at\", allowed FROM f")
 def _(s, d):
     return folds.token_bucket(_timed(s, d).select("event_id", "user_id", "at"), "user_id", "at", per_minute=1)
 

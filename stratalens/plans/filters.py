@@ -1,15 +1,20 @@
 """Boolean filter trees: validation and compilation to columns.
 
-Logic has two values: what can't be compared is false before any negation, and
-null equals null.
+Logic has two values: what can't be compared (null, a number with a text) is
+false before any negation, and null equals null.  Texts that are both RFC 3339
+times are compared as instants, without an offset in UTC.
 """
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators.fusion import canonical_modality
 
 FIELDS = ("asset_id", "asset_type", "source_type", "start_ms", "end_ms", "duration_ms", "created_at")
 OPERATORS = ("eq", "neq", "in", "nin", "gt", "gte", "lt", "lte", "between", "exists")
@@ -49,43 +54,87 @@ def validate(node: Any) -> None:
         raise FilterError("a value is needed")
 
 
-def field(name: str) -> Column:
+_TIME = r"^\s*\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|z|[+-]\d{2}:?\d{2})?)?\s*$"
+
+
+def field(name: str, columns: set[str] | None = None) -> Column:
+    """The column of a field; a source type that is missing is the hit's modality, where hits have one."""
     if name.startswith("metadata."):
         raise FilterError("metadata fields can't be filtered here")
     if name == "duration_ms":
-        return F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms"))
+        return F.when(F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull(), F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms")))
     if name == "created_at":
         return F.lit(None).cast("string")
+    if name == "source_type" and columns and "modality" in columns:
+        own = F.when(F.col("source_type") != "", F.col("source_type")) if "source_type" in columns else F.lit(None).cast("string")
+        return F.coalesce(own, canonical_modality(F.col("modality")))
     return F.col(name)
 
 
-def compile_filter(node: dict) -> Column:
-    """A Boolean column that is never null."""
+def instant(text: Column) -> Column:
+    """The instant of an RFC 3339 text, null for any other text."""
+    return F.when(text.rlike(_TIME), F.try_to_timestamp(F.trim(text)))
+
+
+def _comparable(kind: T.DataType | None, value: Any) -> bool:
+    if value is None or isinstance(value, (list, dict)):
+        return False
+    return kind is None or isinstance(kind, T.NullType) or isinstance(value, str) == isinstance(kind, T.StringType)
+
+
+def compile_filter(node: dict, schema: T.StructType | None = None) -> Column:
+    """A Boolean column that is never null; with a schema, values of another kind than their field never match."""
     validate(node)
-    return _compile(node)
+    kinds = {f.name: f.dataType for f in schema} if schema is not None else None
+    return _compile(node, kinds)
 
 
-def _compile(node: dict) -> Column:
+def apply_filter(df: DataFrame, node: dict | None) -> DataFrame:
+    return df if node is None else df.where(compile_filter(node, df.schema))
+
+
+def _range(x: Column, op: str, value: Any) -> Column:
+    ordered = {"gt": Column.__gt__, "gte": Column.__ge__, "lt": Column.__lt__, "lte": Column.__le__}[op]
+    plain = ordered(x, F.lit(value))
+    if isinstance(value, str) and re.match(_TIME, value):
+        at = instant(x)
+        plain = F.when(at.isNotNull(), ordered(at, instant(F.lit(value)))).otherwise(plain)
+    return F.coalesce(plain, F.lit(False))
+
+
+def _compile(node: dict, kinds: dict[str, T.DataType] | None) -> Column:
     if "not" in node:
-        return ~_compile(node["not"])
+        return ~_compile(node["not"], kinds)
     for key, join in (("all", Column.__and__), ("any", Column.__or__)):
         if key in node:
-            out = _compile(node[key][0])
+            out = _compile(node[key][0], kinds)
             for x in node[key][1:]:
-                out = join(out, _compile(x))
+                out = join(out, _compile(x, kinds))
             return out
-    x, op, value = field(node["field"]), node["op"], node.get("value")
+    name, op, value = node["field"], node["op"], node.get("value")
+    x = field(name, set(kinds) if kinds else None)
+    kind = {"duration_ms": T.LongType(), "created_at": T.StringType(), "source_type": T.StringType()}.get(name, kinds.get(name) if kinds else None)
     if op == "exists":
-        return x.isNotNull() if value in (None, True) else x.isNull()
+        return x.isNotNull()
     if op in ("eq", "neq"):
-        same = x.eqNullSafe(F.lit(value))
+        same = x.isNull() if value is None else x.eqNullSafe(F.lit(value)) if _comparable(kind, value) else F.lit(False)
         return same if op == "eq" else ~same
     if op in ("in", "nin"):
-        listed = F.coalesce(x.isin([v for v in value if v is not None]), F.lit(False))
+        known = [v for v in value if _comparable(kind, v)]
+        listed = F.coalesce(x.isin(known), F.lit(False)) if known else F.lit(False)
         if None in value:
             listed = listed | x.isNull()
         return listed if op == "in" else ~listed
-    if op == "between":
-        return F.coalesce(x.between(value[0], value[1]), F.lit(False))
-    compared = {"gt": x > value, "gte": x >= value, "lt": x < value, "lte": x <= value}[op]
-    return F.coalesce(compared, F.lit(False))
+    bounds = [("gte", value[0]), ("lte", value[1])] if op == "between" else [(op, value)]
+    out = F.lit(True)
+    for how, bound in bounds:
+        out = out & (_range(x, how, bound) if _comparable(kind, bound) else F.lit(False))
+    return out
+
+
+def legacy_filters(node: dict | None) -> dict[str, str] | None:
+    """What a metadata search takes over from a filter of one leaf: an asset type or, as part of the uri, an asset id."""
+    if node is None or str(node.get("op", "")).lower() != "eq" or not isinstance(node.get("value"), str):
+        return None
+    name = {"asset_type": "media_type", "asset_id": "uri"}.get(node.get("field"))
+    return {name: node["value"]} if name else None

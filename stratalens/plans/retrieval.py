@@ -13,7 +13,7 @@ from ..functions import text as tx
 from ..functions.vectors import cosine_distance, score_of_bm25, score_of_distance
 from ..operators import fusion, search
 from ..session import table
-from .filters import compile_filter
+from .filters import apply_filter
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -44,9 +44,10 @@ def segments(s: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("event_id").alias("evidence_id"), F.col("user_id").alias("asset_id"), F.col("event_type").alias("source_type"), start.alias("start_ms"), (start + 60000).alias("end_ms"), (F.col("value") / 500).alias("score"))
 
 
-def query_vector(s: SparkSession, d: str) -> list[float]:
-    row = table(s, d, "embeddings").where("vec_id = 0").select("embedding").first()
-    return list(row[0])
+def with_query(vectors: DataFrame, s: SparkSession, d: str) -> DataFrame:
+    """Vectors with their distance to a query, the first row of the table: one broadcast row, no job while planning."""
+    q = table(s, d, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("_q")).limit(1)
+    return vectors.crossJoin(F.broadcast(q)).withColumn("distance", cosine_distance("embedding", F.col("_q"))).drop("_q")
 
 
 ASSETS = "assets AS (SELECT doc_id AS id, source AS org_id, lang AS media_type, 'doc://' || doc_id AS uri FROM documents)"
@@ -54,21 +55,26 @@ CHUNKS = "qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id =
 SEGMENTS = "segments AS (SELECT event_id AS evidence_id, user_id AS asset_id, event_type AS source_type, epoch_us(ts) // 1000 AS start_ms, epoch_us(ts) // 1000 + 60000 AS end_ms, value / 500 AS score FROM events)"
 
 
-def chunk_hits(s: SparkSession, d: str) -> DataFrame:
+def chunk_hits(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Vectors of known assets and their distances, with the assets' columns that a branch filters by; the rest is joined to k rows later."""
     vectors = table(s, d, "embeddings").select("vec_id", "embedding")
-    joined = vectors.join(assets(s, d), F.col("vec_id") == F.col("id"))
-    return joined.withColumn("distance", cosine_distance("embedding", query_vector(s, d)))
+    known = assets(s, d).select(F.col("id").alias("vec_id"), *columns)
+    return with_query(vectors.join(known, "vec_id", "inner" if columns else "left_semi"), s, d).drop("embedding")
+
+
+def with_asset(hits: DataFrame, s: SparkSession, d: str) -> DataFrame:
+    return hits.join(assets(s, d).withColumnRenamed("id", "vec_id"), "vec_id")
 
 
 @query("q01_knn_join", f"WITH {CHUNKS} SELECT vec_id, uri, round(distance, 6) AS distance, round(greatest(0, least(1, 1 - distance)), 6) AS score FROM chunks ORDER BY chunks.distance, vec_id LIMIT 50")
 def _(s, d):
-    joined = table(s, d, "embeddings").select("vec_id", "embedding").join(assets(s, d), F.col("vec_id") == F.col("id"))
-    return search.nearest(joined, query_vector(s, d), 50).select("vec_id", "uri", r6("distance").alias("distance"), r6("score").alias("score"))
+    best = chunk_hits(s, d).orderBy(F.asc_nulls_last("distance"), "vec_id").limit(50)
+    return with_asset(best, s, d).select("vec_id", "uri", r6("distance").alias("distance"), r6(score_of_distance(F.col("distance"))).alias("score"))
 
 
 @query("q02_knn_scoped", f"WITH {CHUNKS} SELECT vec_id, org_id, round(distance, 6) AS distance FROM chunks WHERE org_id = 'src1' ORDER BY chunks.distance, vec_id LIMIT 10")
 def _(s, d):
-    hits = search.scoped(chunk_hits(s, d), org_id="src1")
+    hits = search.scoped(chunk_hits(s, d, "org_id"), org_id="src1")
     return hits.orderBy("distance", "vec_id").limit(10).select("vec_id", "org_id", r6("distance").alias("distance"))
 
 
@@ -78,27 +84,35 @@ def _(s, d):
     return hits.select("vec_id", r6(search.boost(score_of_distance(F.col("distance")), "image", "a photo of it")).alias("score"))
 
 
-@query("q04_knn_multi_branch", f"WITH {CHUNKS}, b AS (SELECT *, row_number() OVER (PARTITION BY media_type ORDER BY distance, vec_id) AS rn, CASE media_type WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END AS branch_ord FROM chunks WHERE media_type IN ('en', 'de', 'fr')) SELECT vec_id, media_type, branch_ord, round(greatest(0, least(1, 1 - distance)), 6) AS score FROM b WHERE rn <= 10 ORDER BY greatest(0, least(1, 1 - distance)) DESC, b.branch_ord, vec_id LIMIT 15")
+@query("q04_knn_multi_branch", f"WITH {CHUNKS}, b AS (SELECT *, row_number() OVER (PARTITION BY media_type ORDER BY distance, vec_id) AS rn, CASE media_type WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 ELSE 3 END AS branch_ord FROM chunks WHERE media_type IN ('en', 'de', 'fr', 'es')) SELECT vec_id, media_type, branch_ord, round(greatest(0, least(1, 1 - distance)), 6) AS score FROM b WHERE rn <= 10 ORDER BY greatest(0, least(1, 1 - distance)) DESC, b.branch_ord, vec_id LIMIT 15")
 def _(s, d):
-    hits = chunk_hits(s, d).withColumn("score", score_of_distance(F.col("distance")))
-    parts = [hits.where(F.col("media_type") == x).orderBy("distance", "vec_id").limit(10) for x in ("en", "de", "fr")]
+    hits = chunk_hits(s, d, "media_type").withColumn("score", score_of_distance(F.col("distance")))
+    parts = [hits.where(F.col("media_type") == x).orderBy("distance", "vec_id").limit(10) for x in ("en", "de", "fr", "es")]
     return search.branches(*parts, k=15, tie=["vec_id"]).select("vec_id", "media_type", F.col("branch_ord"), r6("score").alias("score"))
 
 
-def _labels(how: str):
-    def run(s, d):
-        v = table(s, d, "embeddings")
-        at = v.select("label", F.posexplode("embedding").alias("i", "x"))
-        centre = at.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("vector"))
-        labels = centre.select(F.col("label").cast("string").alias("label"), F.when(F.col("label") < 5, "low").otherwise("high").alias("category"), "vector")
-        frames = v.where("vec_id < 12").select(F.col("embedding").alias("vector"))
-        return search.label_scores(frames, labels, how=how, top_k=3).select("category", "label", r6("score").alias("score"))
+def _label_vectors(s: SparkSession, d: str) -> DataFrame:
+    at = table(s, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    centre = at.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("vector"))
+    return centre.select(F.col("label").cast("string").alias("label"), F.when(F.col("label") < 5, "low").otherwise("high").alias("category"), "vector")
 
-    return run
 
+LABELS = "p AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings), c AS (SELECT label, i, avg(x) AS m FROM p GROUP BY ALL), v AS (SELECT label, list(m ORDER BY i) AS vector FROM c GROUP BY label)"
 
-for _how, _name in (("max", "q05_label_score_max"), ("avg", "q06_label_score_avg")):
-    query(_name, f"WITH p AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings), c AS (SELECT label, i, avg(x) AS m FROM p GROUP BY ALL), v AS (SELECT label, list(m ORDER BY i) AS vector FROM c GROUP BY label), sc AS (SELECT v.label, {_how}(list_dot_product(e.embedding::DOUBLE[], v.vector)) AS s FROM embeddings e, v WHERE e.vec_id < 12 GROUP BY v.label), r AS (SELECT CASE WHEN label < 5 THEN 'low' ELSE 'high' END AS category, label::VARCHAR AS label, greatest(0, least(1, s)) AS score FROM sc) SELECT category, label, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, label) AS rn FROM r) WHERE rn <= 3")(_labels(_how))
+
+@query("q05_label_score_max", f"WITH {LABELS}, f AS (SELECT source AS asset, embedding, row_number() OVER (PARTITION BY source ORDER BY vec_id) AS nth FROM embeddings JOIN documents ON vec_id = doc_id), sc AS (SELECT asset, v.label, max(list_dot_product(f.embedding::DOUBLE[], v.vector)) AS s FROM f, v WHERE nth <= 12 GROUP BY ALL), r AS (SELECT asset, CASE WHEN label < 5 THEN 'low' ELSE 'high' END AS category, label::VARCHAR AS label, greatest(0, least(1, s)) AS score FROM sc) SELECT asset, category, label, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY asset, category ORDER BY score DESC, label) AS rn FROM r) WHERE rn <= 3")
+def _(s, d):
+    """The labels of each asset by its first twelve frames."""
+    frames = table(s, d, "embeddings").join(assets(s, d), F.col("vec_id") == F.col("id")).select(F.col("org_id").alias("asset"), "vec_id", F.col("embedding").alias("vector"))
+    best = search.label_scores(frames, _label_vectors(s, d), how="max", top_k=3, by=["asset"], most=12, order=["vec_id"])
+    return best.select("asset", "category", "label", r6("score").alias("score"))
+
+
+@query("q06_label_score_avg", f"WITH {LABELS}, sc AS (SELECT v.label, avg(list_dot_product(e.embedding::DOUBLE[], v.vector)) AS s FROM embeddings e, v GROUP BY v.label), r AS (SELECT CASE WHEN label < 5 THEN 'low' ELSE 'high' END AS category, label::VARCHAR AS label, greatest(0, least(1, s)) AS score FROM sc) SELECT category, label, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, label) AS rn FROM r) WHERE rn <= 3")
+def _(s, d):
+    """The labels of all frames together."""
+    frames = table(s, d, "embeddings").select(F.col("embedding").alias("vector"))
+    return search.label_scores(frames, _label_vectors(s, d), how="avg", top_k=3).select("category", "label", r6("score").alias("score"))
 
 
 @query("q07_vector_nonnull_gate", "SELECT count(*) AS n_rows, count(embedding) AS n_vectors, count(embedding) > 0 AS searchable FROM embeddings")
@@ -161,20 +175,30 @@ TREE = {"all": [{"field": "source_type", "op": "in", "value": ["click", "purchas
 
 @query("q16_filter_tree", f"WITH {SEGMENTS} SELECT evidence_id, asset_id, source_type FROM segments WHERE source_type IN ('click', 'purchase') AND (start_ms < 1704500000000 OR NOT asset_id >= 50)")
 def _(s, d):
-    return segments(s, d).where(compile_filter(TREE)).select("evidence_id", "asset_id", "source_type")
+    return apply_filter(segments(s, d), TREE).select("evidence_id", "asset_id", "source_type")
 
 
 @query("q17_filter_between_exists", f"WITH {SEGMENTS} SELECT evidence_id, asset_id, start_ms FROM segments WHERE asset_id BETWEEN 10 AND 20 AND end_ms - start_ms >= 60000 AND source_type IS NOT NULL AND source_type NOT IN ('view')")
 def _(s, d):
     tree = {"all": [{"field": "asset_id", "op": "between", "value": [10, 20]}, {"field": "duration_ms", "op": "gte", "value": 60000}, {"field": "source_type", "op": "exists"}, {"field": "source_type", "op": "nin", "value": ["view"]}, {"not": {"field": "created_at", "op": "exists"}}]}
-    return segments(s, d).where(compile_filter(tree)).select("evidence_id", "asset_id", "start_ms")
+    return apply_filter(segments(s, d), tree).select("evidence_id", "asset_id", "start_ms")
+
+
+@query("q70_filter_awkward", "WITH g AS (SELECT event_id, CASE WHEN user_id % 5 <> 0 THEN epoch_us(ts) // 1000 END AS start_ms, CASE WHEN user_id % 3 <> 0 THEN epoch_us(ts) // 1000 + event_id % 100 END AS end_ms, CASE WHEN event_type <> 'view' THEN event_type END AS source_type, strftime(ts + INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%S') || '+01:00' AS asset_id, ts FROM events) SELECT event_id FROM g WHERE (start_ms IS NOT NULL AND end_ms IS NOT NULL AND greatest(0, end_ms - start_ms) <= 40) OR (source_type IS NULL AND date_trunc('second', ts) >= TIMESTAMP '2024-01-20') OR (start_ms IS NOT NULL AND end_ms IS NULL AND date_trunc('second', ts) <= TIMESTAMP '2024-01-05 12:00:00')")
+def _(s, d):
+    """Null times, a source type that falls back on the modality, a value beside "exists", times with offsets, and a number against a text."""
+    start = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long")
+    e = table(s, d, "events").select("event_id", F.when(F.col("user_id") % 5 != 0, start).alias("start_ms"), F.when(F.col("user_id") % 3 != 0, start + F.col("event_id") % 100).alias("end_ms"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("source_type"), F.lit("image").alias("modality"), F.concat(F.date_format(F.col("ts") + F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+01:00")).alias("asset_id"))
+    leaf = lambda f, op, *v: {"field": f, "op": op} | ({"value": v[0]} if v else {})
+    tree = {"any": [leaf("duration_ms", "lte", 40), {"all": [leaf("source_type", "eq", "vision"), leaf("asset_id", "gte", "2024-01-20T00:00:00Z")]}, {"all": [leaf("start_ms", "exists", False), {"not": leaf("end_ms", "exists")}, leaf("asset_id", "lte", "2024-01-05T12:00:00Z")]}, leaf("start_ms", "gt", "many")]}
+    return apply_filter(e, tree).select("event_id")
 
 
 HITS = f"{CHUNKS}, {BM25}, vh AS (SELECT vec_id AS doc_id, 'vision' AS modality, 1 - distance AS score FROM chunks ORDER BY distance, vec_id LIMIT 100), th AS (SELECT doc_id, 'text' AS modality, bm25 AS score FROM bm ORDER BY bm25 DESC, doc_id LIMIT 100), h AS (SELECT * FROM vh UNION ALL SELECT * FROM th), rk AS (SELECT *, row_number() OVER (PARTITION BY modality ORDER BY score DESC, doc_id) AS rank FROM h), fu AS (SELECT doc_id, sum(CASE modality WHEN 'vision' THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END / (60 + rank)) AS f, count(*) AS n_hits FROM rk GROUP BY doc_id), fused AS (SELECT doc_id, n_hits, f / (SELECT max(f) FROM fu) AS score FROM fu)"
 
 
 def _hits(s: SparkSession, d: str) -> DataFrame:
-    vision = chunk_hits(s, d).orderBy("distance", "vec_id").limit(100).select(F.col("vec_id").alias("doc_id"), F.lit("vision").alias("modality"), (1 - F.col("distance")).alias("score"))
+    vision = chunk_hits(s, d).orderBy("distance", "vec_id").limit(100).select(F.col("vec_id").alias("doc_id"), F.lit("image").alias("modality"), (1 - F.col("distance")).alias("score"))
     text = search.bm25(table(s, d, "documents"), "doc_id", "text", "the public license").orderBy(F.desc("score"), "doc_id").limit(100)
     return vision.unionByName(text.select("doc_id", F.lit("text").alias("modality"), "score"))
 
@@ -184,20 +208,18 @@ def _(s, d):
     return fusion.reciprocal_rank_fusion(_hits(s, d), ["doc_id"], tie=["doc_id"]).select("doc_id", "n_hits", r6("score").alias("score"))
 
 
-RERANK = f"{HITS}, o AS (SELECT fused.doc_id, score, least(length(text), 400) AS chars, regexp_extract_all(lower(text), '([a-z0-9]+)', 1) AS ws FROM fused JOIN documents USING (doc_id)), tp AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rn FROM o QUALIFY rn <= 30), cu AS (SELECT *, sum(chars) OVER (ORDER BY rn) AS total FROM tp), sel AS (SELECT * FROM cu WHERE rn < coalesce((SELECT min(rn) FROM cu WHERE rn > 5 AND total > 4000), 1000)), raw AS (SELECT *, len(list_intersect(list_distinct(ws), ['the', 'public', 'license'])) AS n, len(list_distinct(ws)) AS a FROM sel), sc AS (SELECT doc_id, score, CASE WHEN n = 0 THEN 0 ELSE 2.0 * n / (a + 3) END::DOUBLE AS r FROM raw)"
+RERANK = f"{HITS}, o AS (SELECT fused.doc_id, score, length(text) AS chars, regexp_extract_all(lower(text), '([a-z0-9]+)', 1) AS ws, row_number() OVER (ORDER BY score DESC, fused.doc_id) AS rn FROM fused JOIN documents USING (doc_id)), cu AS (SELECT *, sum(chars) OVER (ORDER BY rn) AS total FROM o WHERE chars > 0), sel AS (SELECT * FROM cu WHERE rn <= 30 AND rn < coalesce((SELECT min(rn) FROM cu WHERE rn > 5 AND total > 40000), 1000)), sc AS (SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE 2.0 * n / (a + 3) END::DOUBLE AS r FROM (SELECT doc_id, len(list_intersect(list_distinct(ws), ['the', 'public', 'license'])) AS n, len(list_distinct(ws)) AS a FROM sel)), ok AS (SELECT count(*) >= 5 AND NOT (max(score) FILTER (rn = 1) >= 0.9 AND max(score) FILTER (rn = 1) - max(score) FILTER (rn = 2) >= 0.5) AS yes FROM sel), re AS (SELECT o.doc_id, o.score AS base, CASE WHEN r IS NOT NULL AND yes THEN 0.5 * o.score + 0.5 * r ELSE o.score END AS score, yes FROM o CROSS JOIN ok LEFT JOIN sc USING (doc_id))"
 
 
 def _reranked(s: SparkSession, d: str) -> DataFrame:
-    fused = fusion.reciprocal_rank_fusion(_hits(s, d), ["doc_id"], tie=["doc_id"]).select("doc_id", "score")
-    with_text = fused.join(table(s, d, "documents").select("doc_id", "text"), "doc_id").withColumn("chars", F.least(F.length("text"), F.lit(400)))
-    chosen = fusion.rerank_selection(with_text, top_n=30, min_candidates=5, budget=4000, order=[F.desc("score"), F.col("doc_id")])
-    scored = fusion.normalised_scores(chosen.withColumn("raw", tx.token_f1(F.col("text"), "the public license")))
-    return scored.select("doc_id", "score", "normalised", fusion.blend(F.col("score"), F.col("normalised")).alias("blended"))
+    fused = fusion.reciprocal_rank_fusion(_hits(s, d), ["doc_id"], tie=["doc_id"]).select("doc_id", "score", F.lit("document").alias("modality"))
+    hits = fused.join(table(s, d, "documents").select("doc_id", F.col("text").alias("snippet")), "doc_id")
+    return fusion.rerank(hits, tx.token_f1(F.col("snippet"), "the public license"), order=[F.desc("score"), F.col("doc_id")], top_n=30, min_candidates=5, budget=40_000, skip_gap=0.5)
 
 
-@query("q19_rerank_blend", f"WITH {RERANK} SELECT doc_id, round(score, 6) AS base, round(0.5 * score + 0.5 * r, 6) AS score FROM sc")
+@query("q19_rerank_blend", f"WITH {RERANK} SELECT doc_id, round(base, 6) AS base, round(score, 6) AS score, CASE WHEN yes THEN 'applied' ELSE 'skipped' END AS status FROM re")
 def _(s, d):
-    return _reranked(s, d).select("doc_id", r6("score").alias("base"), r6("blended").alias("score"))
+    return _reranked(s, d).select("doc_id", r6("base_score").alias("base"), r6("score").alias("score"), F.split("rerank_status", "_")[0].alias("status"))
 
 
 def _merge_sql(gap: int) -> str:
@@ -233,26 +255,24 @@ def _(s, d):
     groups = seg.groupBy("asset_id").agg(F.count("*").alias("clip_count"), F.max("score").alias("best"))
     # a page is ten groups, however many there are
     top = groups.orderBy(F.desc("best"), "asset_id").limit(10).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("best"), "asset_id")))
-    return seg.join(F.broadcast(top.where("place > 5")), "asset_id").select("evidence_id", "asset_id", F.col("place").cast("long"), "clip_count", r6("score").alias("score"))
+    return seg.join(top.where("place > 5"), "asset_id").select("evidence_id", "asset_id", F.col("place").cast("long"), "clip_count", r6("score").alias("score"))
 
 
-@query("q30_hybrid_search", f"WITH {RERANK}, bl AS (SELECT doc_id, 0.5 * score + 0.5 * r AS score FROM sc) SELECT bl.doc_id, source AS org_id, lang AS media_type, round(score, 6) AS score FROM bl JOIN documents USING (doc_id) WHERE lang IN ('en', 'de') ORDER BY bl.score DESC, doc_id LIMIT 10")
+@query("q30_hybrid_search", f"WITH {RERANK} SELECT re.doc_id, source AS org_id, lang AS media_type, round(score, 6) AS score FROM re JOIN documents USING (doc_id) WHERE lang IN ('en', 'de') ORDER BY re.score DESC, doc_id LIMIT 10")
 def hybrid(s, d):
-    best = _reranked(s, d).select("doc_id", F.col("blended").alias("score")).join(assets(s, d), F.col("doc_id") == F.col("id"))
+    best = _reranked(s, d).select("doc_id", "score").join(assets(s, d), F.col("doc_id") == F.col("id"))
     best = best.where(F.col("media_type").isin("en", "de")).orderBy(F.desc("score"), "doc_id").limit(10)
     return best.select("doc_id", "org_id", "media_type", r6("score").alias("score"))
 
 
-@query("q31_eval_metrics", "WITH n AS (SELECT q.vec_id AS qid, q.label, e.label AS found, row_number() OVER (PARTITION BY q.vec_id ORDER BY 1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), e.vec_id) AS rn FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id < 20), r AS (SELECT qid, label, min(rn) FILTER (rn <= 50 AND found = label) AS rank FROM n GROUP BY qid, label) SELECT coalesce(label::VARCHAR, 'overall') AS label, count(*) AS n, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_10, round(avg(CASE WHEN rank <= 50 THEN 1.0 ELSE 0.0 END), 6) AS recall_50, round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE / rank ELSE 0.0 END), 6) AS mrr_10 FROM r GROUP BY ROLLUP (label)")
+@query("q31_eval_metrics", "WITH n AS (SELECT q.vec_id AS qid, q.label, e.label AS found, row_number() OVER (PARTITION BY q.vec_id ORDER BY 1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), e.vec_id) AS rn FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0), r AS (SELECT qid, label, min(rn) FILTER (rn <= 50 AND found = label) AS rank FROM n GROUP BY qid, label) SELECT coalesce(label::VARCHAR, 'overall') AS label, count(*) AS n, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_10, round(avg(CASE WHEN rank <= 50 THEN 1.0 ELSE 0.0 END), 6) AS recall_50, round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE / rank ELSE 0.0 END), 6) AS mrr_10 FROM r GROUP BY ROLLUP (label)")
 def _(s, d):
+    """The golden queries are the stated set: every vector whose id is divisible by 50, against all vectors."""
     from ..operators.reports import retrieval_metrics
 
     v = table(s, d, "embeddings")
-    # a golden set is a bounded list of queries
-    golden = F.broadcast(v.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("label").alias("wanted"), F.col("embedding").alias("q")))
-    pairs = v.join(golden, F.col("vec_id") != F.col("qid")).withColumn("distance", cosine_distance("embedding", F.col("q")))
+    golden = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("wanted"), F.col("embedding").alias("q"))
+    pairs = search.against_all(v.select("vec_id", "label", "embedding"), golden).where("vec_id <> qid").withColumn("distance", cosine_distance("embedding", F.col("q")))
     w = Window.partitionBy("qid").orderBy("distance", "vec_id")
-    best = pairs.select("qid", "wanted", "label", F.row_number().over(w).alias("rn")).groupBy("qid", "wanted").agg(F.min(F.when((F.col("rn") <= 50) & (F.col("label") == F.col("wanted")), F.col("rn"))).alias("rank"))
+    best = pairs.select("qid", "wanted", "label", F.row_number().over(w).alias("rn")).where("rn <= 50").groupBy("qid", "wanted").agg(F.min(F.when(F.col("label") == F.col("wanted"), F.col("rn"))).alias("rank"))
     return retrieval_metrics(best.select(F.col("wanted").alias("label"), "rank"), "label")
-
-

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def build_session(name: str = "stratalens", master: str | None = None, **conf: str) -> SparkSession:
@@ -18,3 +22,38 @@ def build_session(name: str = "stratalens", master: str | None = None, **conf: s
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a temporary one only on a local master where none is named."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="stratalens-")
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, kind: str) -> str:
+    return f"{shared_dir(spark)}/{kind}/{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage: df as a table in the shared folder."""
+    path = fresh_path(df.sparkSession, "stratalens_tables")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def with_rank(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
+    """df with the place of each row, from 1, in the order of all rows; no task sees more than a range of them.
+
+    Ranges are sorted and written once; their sizes, one row a range, give
+    what stands before each.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = materialize(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = at.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return at.join(sizes.select("_part", before.alias("_before")), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,13 +107,35 @@ def decoded_image(payload: Column) -> Column:
     return F.try_to_binary(F.regexp_replace(payload, "^data:[^,]*,", ""), F.lit("base64"))
 
 
-def audit_log(df: DataFrame, *, since=None, until=None, limit: int = 100, **equals) -> DataFrame:
-    """The newest rows that match, 1 to 1000 of them."""
+class TimestampError(ValueError):
+    """A text that is no ISO 8601 time."""
+
+
+def parse_timestamp(text: str | None) -> datetime | None:
+    """An ISO 8601 time; without an offset it is UTC; None for none."""
+    if text is None or not text.strip():
+        return None
+    try:
+        at = datetime.fromisoformat(text.strip())
+    except ValueError as e:
+        raise TimestampError(f"not a time: {text!r}") from e
+    return at if at.tzinfo else at.replace(tzinfo=UTC)
+
+
+def audit_predicate(*, since: str | None = None, until: str | None = None, **equals) -> Column:
+    """The conjunction of optional equalities and an inclusive range of created_at."""
+    out = F.lit(True)
     for name, value in equals.items():
         if value is not None:
-            df = df.where(F.col(name) == value)
-    if since is not None:
-        df = df.where(F.col("created_at") >= F.lit(since).cast("timestamp"))
-    if until is not None:
-        df = df.where(F.col("created_at") <= F.lit(until).cast("timestamp"))
-    return df.orderBy(F.desc("created_at")).limit(max(1, min(1000, limit)))
+            out = out & (F.col(name) == value)
+    first, last = parse_timestamp(since), parse_timestamp(until)
+    if first is not None:
+        out = out & (F.col("created_at") >= F.lit(first))
+    if last is not None:
+        out = out & (F.col("created_at") <= F.lit(last))
+    return out
+
+
+def audit_log(df: DataFrame, *, limit: int = 100, tie: Sequence[str] = (), **conditions) -> DataFrame:
+    """The newest rows that match, 1 to 1000 of them."""
+    return df.where(audit_predicate(**conditions)).orderBy(F.desc("created_at"), *tie).limit(max(1, min(1000, limit)))

@@ -8,7 +8,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import redact
+from ..functions.text import PII, redact
 
 
 def part_path(root: str, vertex: str, kind: str, *, edge: bool = False) -> str:
@@ -39,10 +39,10 @@ def write_snapshot(tables: dict[str, DataFrame], path: str) -> dict[str, int]:
     return out
 
 
-def export(df: DataFrame, path: str, kind: str, *, redacted: list[str] | None = None) -> None:
-    """CSV with a header, or JSON lines, with personal data redacted in the named columns."""
+def export(df: DataFrame, path: str, kind: str, *, redacted: list[str] | None = None, kinds: tuple[str, ...] = tuple(PII)) -> None:
+    """CSV with a header, or JSON lines, with personal data of some kinds redacted in the named columns."""
     for c in redacted or []:
-        df = df.withColumn(c, redact(F.col(c)))
+        df = df.withColumn(c, redact(F.col(c), kinds))
     if kind == "csv":
         df.write.mode("overwrite").option("header", True).csv(path)
     elif kind == "jsonl":

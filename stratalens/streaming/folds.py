@@ -1,31 +1,58 @@
-"""Folds over ordered events that have no window form, by key; and their streaming twins."""
+"""Folds over ordered events of a key that have no window form, and deduplication of streams and tables."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator, Mapping
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+Step = Callable[[Any, Mapping[str, Any]], tuple[Any, Any]]
+
+
+def fold_by_key(events: DataFrame, key: str, order: list[str], step: Step, name: str, kind: str) -> DataFrame:
+    """events with a column that a fold over the rows of each key gives, in order.
+
+    ``step(state, row)`` returns the next state and the row's value; a key's
+    first state is None.  Keys are sorted within their partitions and flow
+    through in batches: a task holds one batch and one state, however long a
+    key is.
+    """
+    ordered = events.repartition(key).sortWithinPartitions(key, *order)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
+    arrow = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[kind]
+    names = events.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, fresh = None, None, True
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if fresh or row[key] != now:
+                    now, state, fresh = row[key], None, False
+                state, value = step(state, row)
+                out.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow)], names=[*names, name])
+
+    return ordered.mapInArrow(run, f"{schema}, `{name}` {kind}")
+
 
 def flush_batches(events: DataFrame, key: str, at: str, *, most: int = 50, latency_ms: int = 2000, order: str = "event_id") -> DataFrame:
     """The batch of each event of a key (T01): closed when it is full, or when its oldest event is too old at the next arrival."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, order], kind="stable")
-        batch, count, oldest, out = 0, 0, 0, []
-        for now in pdf[at]:
-            if count and now - oldest >= latency_ms:
-                batch, count = batch + 1, 0
-            if not count:
-                oldest = now
-            count += 1
-            out.append(batch)
-            if count >= most:
-                batch, count = batch + 1, 0
-        return pdf.assign(batch=out)
+    def step(state, row):
+        batch, count, oldest = state or (0, 0, 0)
+        now = row[at]
+        if count and now - oldest >= latency_ms:
+            batch, count = batch + 1, 0
+        if not count:
+            oldest = now
+        count += 1
+        return ((batch + 1, 0, oldest) if count >= most else (batch, count, oldest)), batch
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", batch long"
-    return events.groupBy(key).applyInPandas(fold, schema)
+    return fold_by_key(events, key, [at, order], step, "batch", "long")
 
 
 def idempotency(events: DataFrame, key: str, at: str, outcome: str, *, ttl_ms: int, attempts: int, order: str = "event_id") -> DataFrame:
@@ -35,43 +62,32 @@ def idempotency(events: DataFrame, key: str, at: str, outcome: str, *, ttl_ms: i
     skipped too; another start counts an attempt, and beyond ``attempts`` the
     key is dead.
     """
+    after = {"ok": "done", "failed": "failed"}
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, order], kind="stable")
-        state, since, tries, out = None, 0, 0, []
-        for now, result in zip(pdf[at], pdf[outcome]):
-            if state in ("done", "dead"):
-                out.append("skip_done")
-            elif state == "running" and now - since < ttl_ms:
-                out.append("skip_running")
-            elif tries >= attempts:
-                state = "dead"
-                out.append("dead")
-            else:
-                tries, since, state = tries + 1, now, "done" if result == "ok" else "failed" if result == "failed" else "running"
-                out.append("start")
-        return pdf.assign(action=out)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", action string"
-    return events.groupBy(key).applyInPandas(fold, schema)
+    def step(held, row):
+        state, since, tries = held or ("new", 0, 0)
+        if state in ("done", "dead"):
+            return (state, since, tries), "skip_done"
+        if state == "running" and row[at] - since < ttl_ms:
+            return (state, since, tries), "skip_running"
+        if tries >= attempts:
+            return ("dead", since, tries), "dead"
+        return (after.get(row[outcome], "running"), row[at], tries + 1), "start"
+
+    return fold_by_key(events, key, [at, order], step, "action", "string")
 
 
 def token_bucket(events: DataFrame, key: str, at: str, *, per_minute: int, order: str = "event_id") -> DataFrame:
     """Whether each event passes a token bucket of its key (T07): capacity per_minute, refilled steadily."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, order], kind="stable")
-        left, last, out = float(per_minute), None, []
-        for now in pdf[at]:
-            if last is not None:
-                left = min(float(per_minute), left + (now - last) * per_minute / 60_000)
-            last = now
-            out.append(left >= 1)
-            left -= left >= 1
-        return pdf.assign(allowed=out)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", allowed boolean"
-    return events.groupBy(key).applyInPandas(fold, schema)
+    def step(state, row):
+        now = row[at]
+        left, last = state or (float(per_minute), now)
+        left = min(float(per_minute), left + (now - last) * per_minute / 60_000)
+        passed = left >= 1
+        return (left - passed, now), passed
+
+    return fold_by_key(events, key, [at, order], step, "allowed", "boolean")
 
 
 def tumbling_limit(events: DataFrame, keys: list[str], at: str, limit: int, *, seconds: int = 60, order: str = "event_id") -> DataFrame:
