@@ -285,3 +285,52 @@ def delete_files(spark: SparkSession, candidates: DataFrame, batch: int = 1000)
         target = path(row.uri)
         gone += bool(target.getFileSystem(conf).delete(target, False))
     return gone
+
+
+def thumbnail(data: bytes, width: int) -> bytes | None:
+    """A PNG of 8-bit grey, RGB or RGBA samples, scaled down to a width with its aspect kept; None for other images.
+
+    Each pixel is the mean of those it stands for; smaller images stay as they are.
+    """
+    import numpy as np
+
+    if data[:8] != b"\x89PNG\r\n\x1a\n" or data[24] != 8 or data[25] not in (0, 2, 6) or data[28]:
+        return None
+    w, h = struct.unpack(">II", data[16:24])
+    depth, at, packed = {0: 1, 2: 3, 6: 4}[data[25]], 8, b""
+    while at + 8 <= len(data):
+        size, kind = struct.unpack(">I4s", data[at : at + 8])
+        packed += data[at + 8 : at + 8 + size] if kind == b"IDAT" else b""
+        at += size + 12
+    raw = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(h, 1 + w * depth)
+    above, rows = np.zeros(w * depth, np.int32), []
+    for line in raw:
+        row = line[1:].astype(np.int32)
+        if line[0] == 2:
+            row = (row + above) & 255
+        elif line[0]:
+            for i in range(row.size):  # each sample needs the one before it
+                a = row[i - depth] if i >= depth else 0
+                b, c = above[i], above[i - depth] if i >= depth else 0
+                if line[0] == 1:
+                    guess = a
+                elif line[0] == 3:
+                    guess = (a + b) // 2
+                else:
+                    p = a + b - c
+                    guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+                row[i] = (row[i] + guess) & 255
+        rows.append(row)
+        above = row
+    pixels = np.stack(rows).reshape(h, w, depth).astype(np.float64)
+    if w > width:
+        height = max(1, round(h * width / w))
+        ys, xs = np.arange(height) * h // height, np.arange(width) * w // width
+        sums = np.add.reduceat(np.add.reduceat(pixels, ys, axis=0), xs, axis=1)
+        area = np.diff(np.r_[ys, h])[:, None] * np.diff(np.r_[xs, w])[None, :]
+        pixels = sums / area[:, :, None]
+    small = np.clip(np.round(pixels), 0, 255).astype(np.uint8)
+    lines = np.concatenate([np.zeros((len(small), 1), np.uint8), small.reshape(len(small), -1)], axis=1)
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = struct.pack(">IIBBBBB", small.shape[1], small.shape[0], 8, data[25], 0, 0, 0)
+    return data[:8] + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")

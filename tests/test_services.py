@@ -281,3 +281,54 @@ def test_registry(spark):
     r = spark.createDataFrame([(1, "o", "x"), (2, None, "x"), (3, "p", "y"), (4, "o", "x")], "pos int, org_id string, kind string")
     assert [x.pos for x in records.last_entries(records.scoped_entries(r, org_id="o"), "pos", 2, kind="x").collect()] == [2, 4]
     assert records.registry(r, kind="y", org_id=None).count() == 1
+
+
+def png(pixels, kind=2, filters=None):
+    depth, chunk = {0: 1, 2: 3, 6: 4}[kind], lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    body, above = b"", [0] * len(pixels[0])
+    for n, row in enumerate(pixels):
+        how = (filters or [0] * len(pixels))[n]
+        left = lambda r, i: r[i - depth] if i >= depth else 0
+        coded = []
+        for i, x in enumerate(row):
+            a, b, c = left(row, i), above[i], left(above, i)
+            p = a + b - c
+            paeth = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+            coded.append((x - [0, a, b, (a + b) // 2, paeth][how]) & 255)
+        body, above = body + bytes([how, *coded]), row
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", len(pixels[0]) // depth, len(pixels), 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+
+def test_thumbnails():
+    pixels = [[(13 * x * y + 7 * x) % 256 for x in range(24)] for y in range(5)]
+    plain = files.thumbnail(png(pixels), 100)
+    assert all(files.thumbnail(png(pixels, filters=[f] * 5), 100) == plain for f in range(5))
+    small = files.thumbnail(png([[10, 20, 30, 40], [10, 20, 30, 40]], kind=0), 2)
+    assert files.image_size(small) == ("png", 2, 1) and small == files.thumbnail(png([[15, 35]], kind=0), 9)
+    assert files.thumbnail(b"GIF89a" + b"\0" * 40, 5) is None
+
+
+def test_ingest(spark, tmp_path):
+    from stratalens.operators import ingest
+
+    source, root = tmp_path / "in", str(tmp_path / "graph")
+    source.mkdir()
+    (source / "a.txt").write_text(" ".join(f"word{i}" for i in range(300)))
+    (source / "b.csv").write_text("name,size\noak,7\n")
+    (source / "c.png").write_bytes(png([[1, 2, 3]]))
+    (source / "d.wav").write_bytes(tone(16384))
+    (source / "e.exe").write_bytes(b"x")
+    (source / "f.docx").write_bytes(b"broken")
+    refused = ingest.ingest(spark, str(source), root, "r1", window_s=0.5, hop_s=0.5)
+    assert sorted((r.uri.rsplit("/", 1)[1], r.reason.split(":")[0]) for r in refused.collect()) == [("e.exe", "extension"), ("f.docx", "BadZipFile")]
+    chunks = ingest.ingested(spark, root, "DocChunk", "r1").collect()
+    assert len(chunks) == 4 and all(len(c.vector) == 768 for c in chunks) and {c.content for c in chunks if c.token_end == 4} == {"name: oak, size: 7"}
+    assert all(abs(x - y) < 1e-6 for x, y in zip(chunks[0].vector, control.stub_embedding(chunks[0].content, 768)))
+    image = ingest.ingested(spark, root, "ImageAsset", "r1").first()
+    assert (image.format, image.width, image.height, len(image.vector)) == ("png", 1, 1, 512)
+    assert sorted(r.start_ms for r in ingest.ingested(spark, root, "AudioSegment", "r1").collect()) == [1000, 1500]
+    listed = ingest.manifest_of(spark, root, "r1")
+    assert listed.where("vertex = 'DocChunk'").select("kind").distinct().count() == 3 and listed.where("kind = 'adj_list'").agg(F.sum("rows")).first()[0] == 7
+    edges = spark.read.parquet(f"{root}/edges/DerivedFrom/adj_list/r1")
+    assets = ingest.ingested(spark, root, "MediaAsset", "r1")
+    assert edges.join(assets, edges.dst_id == assets.id).count() == 7
