@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_count, shared_dir, table, text_bytes
+from .common import bucket_count, lean, scratch, table, text_bytes
 from .range_coder import decode_block, encode_block
 from .tokens import default_path, encoder
 
@@ -73,8 +73,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["part", "block", "n_docs", "n_tokens", "record"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(2)):
-                ids = np.concatenate([tool.ids(text.as_py() or ""), end])
+            for doc_id, own in zip(batch.column(0).to_pylist(), tool.many([x or "" for x in batch.column(2).to_pylist()])):
+                ids = np.concatenate([own, end])
                 doc_ids.append(doc_id)
                 held.append(ids)
                 size += ids.size
@@ -83,7 +83,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if doc_ids:
             yield close()
 
-    ranged.mapInArrow(run, _LAYOUT).write.option("compression", "uncompressed").parquet(path)
+    ranged.mapInArrow(lean(run), _LAYOUT).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, *, with_ids: bool = False) -> DataFrame:
@@ -117,10 +117,10 @@ def read_token_files(spark: SparkSession, path: str, *, with_ids: bool = False)
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(own, schema)], schema=schema)
 
     names = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return starts.join(blocks.select("part", "block", "record"), ["part", "block"]).select("start", "record").mapInArrow(run, names)
+    return starts.join(blocks.select("part", "block", "record"), ["part", "block"]).select("start", "record").mapInArrow(lean(run), names)
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/token_files/{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/token_files_{uuid.uuid4().hex}"
     write_token_files(table(spark, sf_dir, "documents"), path, default_path())
     return read_token_files(spark, path)
