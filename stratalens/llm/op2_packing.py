@@ -1,15 +1,18 @@
 """Operator 2, harmonic packing.
 
-The classes are the reciprocals 1/1, 1/2, 1/4 ... of the capacity.  A document
-is cut into pieces whose lengths are such parts (whole sequences first, then
-the binary digits of the rest), and a bin of class 1/k takes exactly k pieces.
-Every task fills bins of its own, so nothing is shuffled; what is open at its
-end closes as bins of a power of two.  No sequence needs padding.
+The classes are the reciprocals 1/1, 1/2, 1/3 ... of the capacity.  What a
+document leaves over its whole sequences has the class of the largest
+reciprocal that holds it, and a bin of class 1/k takes exactly k documents.
+The rest of such a bin waits for a filling: a whole document that fits, or, once
+many bins wait, a part cut off the next one.  Every task fills bins of its own,
+so nothing is shuffled; what is open at its end closes as bins of a power of
+two.  No sequence needs padding.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -23,43 +26,96 @@ from .tokens import default_path, encoder
 _SCHEMA = pa.schema([("doc_id", pa.int64()), *[(x, pa.int64()) for x in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]])
 
 
+#: Numbers of documents that a bin takes: beyond 16 not each of them, so that bins of tiny documents fill up, too.
+COUNTS = (*range(1, 17), 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024)
+#: Bins of a task that may wait for a document that fits.
+WAITING = 64
+
+#: A part of a document: its id, where the part starts, its ids, and how many the document has.
+Piece = tuple[int | None, int, np.ndarray, int]
+
+
 class Bins:
-    """Open bins by piece length; closed ones become rows."""
+    """The bins of a task; closed ones become rows."""
 
     def __init__(self, capacity: int, first: int, with_ids: bool):
         self.capacity, self.next, self.with_ids = capacity, first, with_ids
-        self.open: dict[int, list[tuple]] = {}
+        self.counts = [c for c in COUNTS if c <= capacity]
+        self.open: dict[int, list[Piece]] = {}
+        self.gaps: list[int] = []  # ascending, beside the bins they are in
+        self.waiting: list[list[Piece]] = []
         self.rows: list[tuple] = []
 
-    def close(self, length: int, pieces: list[tuple]) -> None:
-        self.rows += [(*piece[:5], self.next, i * length, *piece[5:]) for i, piece in enumerate(pieces)]
+    def close(self, pieces: list[Piece]) -> None:
+        offset = 0
+        for doc_id, start, ids, total in pieces:
+            self.rows.append((doc_id, start, ids.size, zlib.crc32(ids), total, self.next, offset, *([ids.astype(np.int32)] if self.with_ids else [])))
+            offset += ids.size
         self.next += 1
 
+    def put(self, at: int, piece: Piece) -> None:
+        """Into the waiting bin at a place of the list; it closes, or waits on with a smaller gap."""
+        gap, held = self.gaps.pop(at) - piece[2].size, self.waiting.pop(at)
+        held.append(piece)
+        self.wait(gap, held)
+
+    def wait(self, gap: int, held: list[Piece]) -> None:
+        if gap:
+            at = bisect_left(self.gaps, gap)
+            self.gaps.insert(at, gap)
+            self.waiting.insert(at, held)
+        else:
+            self.close(held)
+
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        data, n, at, length = ids.tobytes(), ids.size, 0, self.capacity
-        while at < n:
-            while length > n - at:
-                length >>= 1
-            part = data[4 * at : 4 * (at + length)]
-            piece = (doc_id, at, length, zlib.crc32(part), n) + ((np.frombuffer(part, "<u4").astype(np.int32),) if self.with_ids else ())
-            at += length
-            if length == self.capacity:
-                self.close(length, [piece])
-                continue
-            held = self.open.setdefault(length, [])
-            held.append(piece)
-            if len(held) * length == self.capacity:
-                self.close(length, held)
-                self.open[length] = []
+        n, at = ids.size, 0
+        while len(self.gaps) > WAITING and at < n:
+            take = min(self.gaps[-1], n - at)
+            self.put(len(self.gaps) - 1, (doc_id, at, ids[at : at + take].copy(), n))
+            at += take
+        while n - at >= self.capacity:
+            self.close([(doc_id, at, ids[at : at + self.capacity], n)])
+            at += self.capacity
+        if at < n:
+            self.rest((doc_id, at, ids[at:].copy(), n))
+
+    def rest(self, piece: Piece) -> None:
+        fits = bisect_left(self.gaps, piece[2].size)
+        if fits < len(self.gaps):
+            self.put(fits, piece)
+            return
+        k = self.counts[bisect_right(self.counts, self.capacity // piece[2].size) - 1]
+        held = self.open.setdefault(k, [])
+        held.append(piece)
+        if len(held) == k:
+            self.open[k] = []
+            self.wait(self.capacity - sum(x[2].size for x in held), held)
 
     def finish(self) -> None:
-        """Close what is open as bins whose length is a power of two."""
-        for length, held in self.open.items():
-            while held:
-                many = 1 << (len(held).bit_length() - 1)
-                self.close(length, held[:many])
-                held = held[many:]
-        self.open = {}
+        """Fill waiting bins from open ones, and close all that is left as bins whose length is a power of two."""
+        left = [x for _, held in sorted(self.open.items()) for x in held]
+        while left and self.gaps:
+            doc_id, start, ids, n = left.pop()
+            take = min(self.gaps[-1], ids.size)
+            self.put(len(self.gaps) - 1, (doc_id, start, ids[:take], n))
+            if take < ids.size:
+                left.append((doc_id, start + take, ids[take:], n))
+        left += [x for held in self.waiting for x in held]
+        total, size = sum(x[2].size for x in left), self.capacity
+        while left:
+            while size > total:
+                size >>= 1
+            room, held = size, []
+            while room:
+                doc_id, start, ids, n = left.pop()
+                take = min(room, ids.size)
+                held.append((doc_id, start, ids[:take], n))
+                room -= take
+                if take < ids.size:
+                    left.append((doc_id, start + take, ids[take:], n))
+            self.close(held)
+            total -= size
+        self.open, self.gaps, self.waiting = {}, [], []
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, *, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
@@ -75,7 +131,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
     schema = _SCHEMA.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else _SCHEMA
 
     def run(batches):
-        encode = encoder(tokenizer).ids
+        encode = encoder(tokenizer).many
         bins = Bins(capacity, TaskContext.get().partitionId() << 40, with_ids)
         end = np.array([end_id], "<u4")
 
@@ -85,8 +141,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[at : at + 20_000]), schema)], schema=schema)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                bins.add(doc_id, np.concatenate([encode(text.as_py() or ""), end]))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode([x or "" for x in batch.column(1).to_pylist()])):
+                bins.add(doc_id, np.concatenate([ids, end]))
             yield from drain()
         bins.finish()
         yield from drain()

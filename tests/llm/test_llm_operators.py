@@ -167,6 +167,22 @@ def test_op2(docs, rows, empty):
     assert op2_packing.pack_documents(empty, default_path()).count() == 0
 
 
+def test_op2_cuts_few_documents():
+    rng = np.random.default_rng(3)
+    for many in (rng.integers(1, 3000, 3000), np.full(3000, 600), np.full(3000, 10), np.full(300, 1024), np.array([1]), rng.geometric(0.002, 5000)):
+        bins = op2_packing.Bins(1024, 0, False)
+        for i, n in enumerate(many.tolist()):
+            bins.add(i, np.arange(n, dtype="<u4"))
+        bins.finish()
+        size, parts = collections.Counter(), {}
+        for doc_id, start, length, _, total, sequence, offset in bins.rows:
+            assert offset == size[sequence] and length > 0 and total == many[doc_id] and (doc_id, start) not in parts
+            size[sequence] += length
+            parts[doc_id, start] = length
+        assert sum(parts.values()) == many.sum() and all(x <= 1024 and x & (x - 1) == 0 for x in size.values())
+        assert len(bins.rows) <= many.size + 2 * len(size) + 12
+
+
 def test_op3(spark, docs, rows, empty):
     items = spark.createDataFrame([(1, ITEM, 0), (2, None, 0), (3, "", 0), (4, "one", 0), (5, texts()[29], 1)], "item_id long, text string, words int")
     got = {(r.doc_id, r.item_id) for r in op3_decontamination.leaks(docs, items).collect()}
@@ -323,6 +339,10 @@ def test_tokens_equal_the_library():
     assert tool.twin is not None
     odd = ["a   b", "x<|endoftext|> y", "  lead", "trail  ", "it's we'll 'll", *("".join(rng.choice(" \n\tab'1.é　<|") for _ in range(50)) for _ in range(500))]
     assert all(tool.ids(x).tolist() == tool._library(x) for x in odd)
+    latin = [*("".join(rng.choice("abtsdmlrveLé ñß'''  \n\t\r.,!12½\x85\xa0\x1c“”’€") for _ in range(rng.randint(0, 60))) for _ in range(3000)), "x" * 200 + " " + "y" * 70, "'" * 90, "it's'tis 've're", "don't 'll 's", ""]
+    signs = [f"a{c}b {c} {c}{c}1'{c}s\n{c}" for c in map(chr, (*range(1, 0x260), *range(0x2010, 0x2060), 0x20AC))]
+    for mixed in (latin + odd, signs, latin):  # some pieces new, then all of them met before
+        assert all(a.tolist() == tool._library(b) for a, b in zip(tool.many(mixed), mixed))
 
 
 def test_op10_places_and_whole_texts(spark):
@@ -349,3 +369,93 @@ def test_op10(docs, rows, empty):
     assert by[23].fingerprint == by[24].fingerprint and by[24].near_next == 1.0 and by[23].near_edited < 1
     assert all(0 <= x <= 1 for r in got for x in (r.near_edited, r.near_next))
     assert op10_fingerprints.fingerprint_documents(empty).count() == 0
+
+
+def chained(*values):
+    """Spark's xxhash64 of texts and longs, as a signed number."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else (v & (1 << 64) - 1).to_bytes(8, "little"), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def anchors(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+    if len(w) < 4:
+        return [(chained(*w) & 0xFFFFFFFF, 0)] if w else []
+    h = [chained(a, b) for a, b in zip(w, w[1:])]
+    return sorted((chained(h[i], h[i + 2]) & 0xFFFFFFFF, i) for i in range(len(w) - 3) if min(h[i], h[i + 2]) <= h[i + 1])
+
+
+def alike(a, b):
+    if not a and not b:
+        return 1.0
+    of = lambda xs: {h: [p for x, p in xs if x == h] for h, _ in xs}
+    first, second = of(a), of(b)
+    found = [q - p for h in first for p, q in zip(first[h], second.get(h, []))]
+    width = max(16, max(len(a), len(b)) // 16)
+    best = max((n for move in (0, width // 2) for n in collections.Counter((d + move) // width for d in found).values()), default=0)
+    return round(best / (len(a) + len(b) - best), 6)
+
+
+def test_op10_against_brute_force(docs, rows):
+    order = sorted({(i if i is not None else -(1 << 63), chained(t or ""), t or "") for i, t in rows}, reverse=True)
+    following = {x[:2]: order[(k + 1) % len(order)][2] for k, x in enumerate(order)}
+    want = []
+    for i, t in rows:
+        t = t or ""
+        after = following[(i if i is not None else -(1 << 63), chained(t))]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        a, b = anchors(t), anchors(edited)
+        text = lambda xs: "".join(f"{(h << 24) + p:014x}" for h, p in xs)
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), text(a), text(b), alike(a, b), alike(a, anchors(after))))
+    got = op10_fingerprints.fingerprint_documents(docs).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next").collect()
+    assert counted(map(tuple, got)) == counted(want)
+
+
+def test_op10_ranges(spark):
+    """Many more ranges than a group holds: every document is followed by the next id below."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text of "), F.col("id").cast("string"), F.lit(" and more words")).alias("text"))
+    held = op10_fingerprints.GROUP
+    op10_fingerprints.GROUP = 3
+    try:
+        got = {r.doc_id: r.edited_sha256 for r in op10_fingerprints.fingerprint_documents(docs).select("doc_id", "edited_sha256").collect()}
+    finally:
+        op10_fingerprints.GROUP = held
+    text = lambda i: f"text of {i} and more words"
+    for i in range(3000):
+        own, after = text(i), text(i - 1 if i else 2999)
+        half = len(own) // 2
+        assert got[i] == hashlib.sha256((own[: len(own) - half] + after[:half]).encode()).hexdigest(), i
+
+
+def test_near_duplicates_leave_no_similar_pair(spark):
+    """Of the documents of a whole table that are kept, no two reach the similarity; one of each group is kept."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = {r.doc_id for r in op1_simhash.stage(spark, docs, "/root/testdata/sf0.01").select("doc_id").collect()}
+    sets = {}
+    for r in docs.select("doc_id", "text").collect():
+        w = bytes(c + 32 if 65 <= c <= 90 else c for c in (r.text or "").encode()).split()
+        sets[r.doc_id] = {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    where = collections.defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            where[x].append(i)
+    group = {i: i for i in sets}
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in sorted(sets):
+        shared = collections.Counter(j for x in sets[i] for j in where[x] if j < i)
+        for j, n in shared.items():
+            if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n) - 1e-9:
+                a, b = top(i), top(j)
+                group[max(a, b)] = min(a, b)
+    empty = [i for i in sets if not sets[i]]
+    for i in empty:
+        group[top(i)] = top(min(empty))
+    assert kept == {i for i in sets if top(i) == i}
