@@ -229,7 +229,7 @@ def looks_like_id(query: str) -> bool:
 
 def run_query(snapshot: Snapshot, request: Request, *, rerank: bool = False, scorer: Column | None = None, **settings) -> DataFrame:
     """Search, then filter, then fuse, then rerank (V24): one row a hit, with score (0 to 1), why and rerank_status."""
-    check_request(top_k=request.top_k, page_limit=request.page_limit, query=request.query, image="image" if request.image else None, metadata=request.metadata or request.filters)
+    check_request(top_k=request.top_k, page_limit=request.page_limit, query=request.query, image="image" if request.image else None, metadata=request.metadata or request.filters, kind=request.kind, modalities=request.modalities, group_by=request.group_by, sort_by=request.sort_by)
     parts = []
     if request.kind == "keyword" and request.query:
         parts.append(search_by_keyword(snapshot, request.query, top_k=request.top_k, scope=request.scope))
@@ -300,3 +300,33 @@ def hit_trace(hits: DataFrame, n: int = 5) -> DataFrame:
     top = hits.orderBy(F.asc_nulls_last("distance"), "id").limit(n)
     item = F.struct(F.round("distance", 6).alias("distance"), "uri", F.round(score_of_distance(F.col("distance")), 6).alias("score"))
     return top.agg(F.to_json(F.array_sort(F.collect_list(item))).alias("trace"))
+
+
+def evidence(snapshot: Snapshot, *, uri: str | None = None, asset_id: str | None = None, scope: Mapping[str, str] = {}, frames: int = 12, transcripts: int = 8, documents: int = 6) -> DataFrame:
+    """What is known of an asset, by its uri or id: kind, at (ms), text and status.
+
+    Frames by time, those without one last; transcripts by time; documents by
+    id; so many of each, which are limits of the bundle.  One row of status
+    pending stands for an asset of which nothing is known yet.
+    """
+    assets = search.scoped(snapshot["media_assets"], **scope)
+    wanted = assets.where(F.col("uri") == uri) if asset_id is None else assets.where(F.col("id") == asset_id)
+    known = wanted.select(F.col("id").alias("media_asset_id")).limit(1)
+    none = F.lit(None)
+    parts = []
+    if "image_assets" in snapshot:
+        own = snapshot["image_assets"].join(known, "media_asset_id", "left_semi").orderBy(F.asc_nulls_last("timestamp_ms"), "id").limit(frames)
+        parts.append(own.select(F.lit("frame").alias("kind"), F.col("timestamp_ms").cast("long").alias("at"), none.cast("string").alias("text")))
+    if has_columns(snapshot, "transcripts", "content"):
+        own = snapshot["transcripts"].join(known, "media_asset_id", "left_semi").orderBy(F.asc_nulls_last("start_ms"), "id").limit(transcripts)
+        parts.append(own.select(F.lit("transcript").alias("kind"), F.col("start_ms").cast("long").alias("at"), F.col("content").alias("text")))
+    if has_columns(snapshot, "doc_chunks", "content"):
+        own = snapshot["doc_chunks"].join(known, "media_asset_id", "left_semi").orderBy("id").limit(documents)
+        parts.append(own.select(F.lit("document").alias("kind"), none.cast("long").alias("at"), F.col("content").alias("text")))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionAll(more)
+    ready = out.withColumn("status", F.lit("ready"))
+    pending = out.sparkSession.range(1).select(none.cast("string").alias("kind"), none.cast("long").alias("at"), none.cast("string").alias("text"), F.lit("pending").alias("status"))
+    found = out.agg(F.count("*").alias("_n"))
+    return ready.unionAll(pending.crossJoin(F.broadcast(found)).where("_n = 0").drop("_n"))

@@ -31,13 +31,29 @@ def retrieval_modalities(names: Iterable[str] | None = None) -> set[str]:
     return {r for n in wanted for r in RETRIEVAL[n]}
 
 
-def check_request(*, top_k: int, page_limit: int | None = None, query: str | None = None, image: str | None = None, metadata: dict | None = None, most: int = 500) -> None:
-    if not 1 <= top_k <= most:
-        raise RequestError(f"top_k must be 1 to {most}")
-    if page_limit is not None and not 1 <= page_limit <= top_k:
-        raise RequestError("page_limit must be 1 to top_k")
-    if not (query or image or metadata):
-        raise RequestError("a request needs a text, an image or filters")
+# Kinds of searches, groups and orders of results.
+SEARCHES, GROUPS, ORDERS = ("vector", "keyword", "metadata"), (None, "none", "video"), ("score", "clip_count")
+
+
+def check_request(*, top_k: int, page_limit: int | None = None, query: str | None = None, image: str | None = None, metadata: dict | None = None, most: int = 500, kind: str = "vector", modalities: Iterable[str] | None = None, group_by: str | None = None, sort_by: str = "score", image_bytes: int = 5 << 20) -> None:
+    """Refuse a request that can't be planned: limits, what a kind of search needs and takes, sizes."""
+    wrong = [
+        (not 1 <= top_k <= most, f"top_k must be 1 to {most}"),
+        (page_limit is not None and not 1 <= page_limit <= top_k, "page_limit must be 1 to top_k"),
+        (kind not in SEARCHES, f"unsupported search {kind!r}"),
+        (group_by not in GROUPS, f"unsupported group_by {group_by!r}"),
+        (sort_by not in ORDERS, f"unsupported sort_by {sort_by!r}"),
+        (not (query or image or metadata), "a request needs a text, an image or filters"),
+        (bool(image) and len(image) > image_bytes, "the image is too large"),
+        (bool(image) and kind != "vector", "an image is for vector searches only"),
+        (bool(image) and modalities is not None and "image" not in retrieval_modalities(modalities), "an image needs its modality"),
+        (kind == "keyword" and not query, "a keyword search needs a text"),
+        (kind == "metadata" and bool(query or image), "a metadata search takes no text and no image"),
+        (kind == "metadata" and not metadata, "a metadata search needs filters"),
+    ]
+    for is_wrong, why in wrong:
+        if is_wrong:
+            raise RequestError(why)
 
 
 def query_tier(has_image: Column, modalities: Column, *, override: str | None = None, mode: str = "auto", default: str = "cpu") -> Column:

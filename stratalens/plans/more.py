@@ -127,6 +127,14 @@ def _(s, d):
     return hits.select("modality", "evidence_id", F.col("media_asset_id").alias("asset_id"), r6("score").alias("score"))
 
 
+@query("q105_evidence", "WITH d AS (SELECT doc_id, text, n_chars, source || '-' || lang AS asset FROM documents JOIN embeddings ON vec_id = doc_id), f AS (SELECT 'frame' AS kind, n_chars AS at_ms, NULL AS digest FROM d WHERE asset = 'src1-fr' ORDER BY n_chars, doc_id LIMIT 12), t AS (SELECT 'document' AS kind, NULL::BIGINT AS at_ms, sha256(text) AS digest FROM d WHERE asset = 'src1-en' ORDER BY doc_id LIMIT 6) SELECT 'a' AS of, kind, at_ms, digest, 'ready' AS status FROM f UNION ALL SELECT 'b', kind, at_ms, digest, 'ready' FROM t UNION ALL SELECT 'a', NULL, NULL, NULL, 'pending' WHERE NOT EXISTS (SELECT 1 FROM f) UNION ALL SELECT 'b', NULL, NULL, NULL, 'pending' WHERE NOT EXISTS (SELECT 1 FROM t) UNION ALL SELECT 'c', NULL, NULL, NULL, 'pending'")
+def _(s, d):
+    """Evidence of a French asset (frames), of an English one (texts), and of one that isn't known."""
+    snap = snapshot(s, d)
+    parts = [compose.evidence(snap, **who).withColumn("of", F.lit(of)) for of, who in (("a", {"uri": "src://src1/fr"}), ("b", {"asset_id": "src1-en"}), ("c", {"uri": "nowhere"}))]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).select("of", "kind", F.col("at").alias("at_ms"), F.sha2("text", 256).alias("digest"), "status")
+
+
 @query("q76_hit_trace", "WITH qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), t AS (SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], q), 6) AS d FROM embeddings, qv ORDER BY 1 - list_cosine_similarity(embedding::DOUBLE[], q), vec_id LIMIT 5) SELECT count(*) AS n, string_agg('vec://' || vec_id, ',' ORDER BY d) AS uris FROM t")
 def _(s, d):
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.concat(F.lit("vec://"), F.col("vec_id").cast("string")).alias("uri"))

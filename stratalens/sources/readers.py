@@ -15,19 +15,46 @@ STREAM_EVENT = "bucket string, name string, generation string, stream_id string,
 
 # Where uploads of each modality lie, and what they may be.
 PREFIXES = {"docs": "document", "images": "image", "audio": "audio", "videos": "video"}
+EXTENSIONS = {
+    "document": ("pdf", "txt", "md", "rtf", "docx", "pptx", "csv", "tsv", "xlsx", "xls"),
+    "image": ("jpg", "jpeg", "png", "webp", "bmp", "tiff", "gif"),
+    "audio": ("mp3", "wav", "flac", "m4a", "aac", "ogg", "opus"),
+    "video": ("mp4", "mov", "mkv", "webm", "avi", "mpeg", "mpg"),
+}
 CONTENT_TYPES = {
-    "application/pdf": ("pdf",), "text/plain": ("txt", "md"), "text/csv": ("csv",), "text/tab-separated-values": ("tsv",), "image/jpeg": ("jpg", "jpeg"), "image/png": ("png",), "image/webp": ("webp",),
-    "audio/mpeg": ("mp3",), "audio/wav": ("wav",), "video/mp4": ("mp4",), "video/quicktime": ("mov",),
+    "application/pdf": ("pdf",), "text/plain": ("txt", "md"), "text/markdown": ("md",), "application/rtf": ("rtf",), "text/rtf": ("rtf",),
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": ("docx",), "application/vnd.openxmlformats-officedocument.presentationml.presentation": ("pptx",),
+    "text/csv": ("csv",), "application/csv": ("csv",), "text/tab-separated-values": ("tsv",), "text/tsv": ("tsv",),
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": ("xlsx",), "application/vnd.ms-excel": ("xls",),
+    "image/jpeg": ("jpg", "jpeg"), "image/png": ("png",), "image/webp": ("webp",), "image/bmp": ("bmp",), "image/tiff": ("tiff",), "image/gif": ("gif",),
+    "audio/mpeg": ("mp3",), "audio/mp3": ("mp3",), "audio/wav": ("wav",), "audio/x-wav": ("wav",), "audio/flac": ("flac",), "audio/x-flac": ("flac",), "audio/mp4": ("m4a",), "audio/m4a": ("m4a",), "audio/aac": ("aac",), "audio/ogg": ("ogg",), "audio/opus": ("opus",),
+    "video/mp4": ("mp4",), "video/quicktime": ("mov",), "video/x-msvideo": ("avi",), "video/webm": ("webm",), "video/x-matroska": ("mkv",), "video/mpeg": ("mpeg", "mpg"),
 }
 
 
 def parquet_by_name(spark: SparkSession, files: Sequence[str]) -> DataFrame:
-    """Files of differing schemas as one table: missing columns are null, types are promoted file by file."""
+    """Files of differing schemas as one table: missing columns are null, types are promoted.
+
+    One scan if the schemas can be merged; else one for each distinct schema,
+    so a plan grows with the schemas, not with the files.
+    """
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+
     if not files:
         raise ValueError("no files")
-    out = spark.read.parquet(files[0])
-    for f in files[1:]:
-        out = append_by_name(out, spark.read.parquet(f))
+    try:
+        return spark.read.option("mergeSchema", True).parquet(*files)
+    except (PySparkException, Py4JJavaError) as e:
+        if "CANNOT_MERGE" not in str(e) and "Failed merging schema" not in str(e):
+            raise
+    alike: dict[str, list[str]] = {}
+    for f in files:
+        alike.setdefault(spark.read.parquet(f).schema.json(), []).append(f)
+    parts = [spark.read.parquet(*same) for same in alike.values()]
+    out = parts[0]
+    for more in parts[1:]:
+        out = append_by_name(out, more)
     return out
 
 
@@ -68,8 +95,9 @@ def listing(spark: SparkSession, glob: str) -> DataFrame:
     return found.select(F.col("path").alias("uri"), "modificationTime", "length")
 
 
-def preview(df: DataFrame, rows: int) -> DataFrame:
-    return df.limit(rows)
+def preview(df: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """The first rows, and how many there are in all, which a scan without columns takes from the files' footers."""
+    return df.limit(rows), df.select().count()
 
 
 def tabular(spark: SparkSession, path: str, *, separator: str = ",") -> DataFrame:
@@ -84,15 +112,21 @@ def modality_of_path(name: Column, prefix: str = "raw") -> Column:
     return out
 
 
-def admission(name: Column, content_type: Column) -> Column:
-    """Why an upload is refused: extension, content_type, or null if it is admitted."""
+def admission(name: Column, content_type: Column, modality: Column | None = None) -> Column:
+    """Why an upload is refused: extension, content_type, or null if it is admitted.
+
+    With a modality the extension must be one of its own; a content type must
+    be a known one of the extension, none at all is admitted.
+    """
     extension = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
     kind = F.trim(F.lower(F.split(F.coalesce(content_type, F.lit("")), ";")[0]))
-    known = sorted({e for es in CONTENT_TYPES.values() for e in es})
+    known = F.lit(False)
+    for m, own in EXTENSIONS.items():
+        known = known | (extension.isin(*own) & (F.lit(True) if modality is None else modality.eqNullSafe(m)))
     fits = F.lit(False)
     for mime, extensions in CONTENT_TYPES.items():
         fits = fits | ((kind == mime) & extension.isin(*extensions))
-    return F.when(~extension.isin(*known), "extension").when((kind != "") & ~fits, "content_type")
+    return F.when(~known, "extension").when((kind != "") & ~fits, "content_type")
 
 
 def decode_batches(messages: DataFrame, value: str = "value") -> DataFrame:

@@ -9,12 +9,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PII, redact
+from ..operators.policy import redaction_types
 
 
 def part_path(root: str, vertex: str, kind: str, *, edge: bool = False) -> str:
     return f"{root.rstrip('/')}/{'edges' if edge else 'vertices'}/{vertex}/{kind}"
 
 
+def graph_root(base: str, prefix: str = "") -> str:
+    """The root of a graph under a base, with a prefix if there is one."""
+    return join_path(base, *prefix.split("/"))
+
+
+def join_path(base: str, *parts: str) -> str:
+    return "/".join([base.rstrip("/"), *[p.strip("/") for p in parts if p.strip("/")]])
+
+
+def manifest_path(root: str, run_id: str) -> str:
+    return join_path(root, "manifests", run_id, "manifest.json")
+
+
 def write_parts(df: DataFrame, path: str, *, codec: str = "zstd") -> DataFrame:
     """Write Parquet parts; returns one row a file: uri and rows, from the files' own statistics."""
     df.write.mode("append").option("compression", codec).parquet(path)
@@ -39,8 +53,18 @@ def write_snapshot(tables: dict[str, DataFrame], path: str) -> dict[str, int]:
     return out
 
 
-def export(df: DataFrame, path: str, kind: str, *, redacted: list[str] | None = None, kinds: tuple[str, ...] = tuple(PII)) -> None:
-    """CSV with a header, or JSON lines, with personal data of some kinds redacted in the named columns."""
+def export(df: DataFrame, path: str, kind: str, *, redacted: list[str] | None = None, kinds: tuple[str, ...] = tuple(PII), policies: list[dict] = (), modality: str = "modality", org: str | None = None) -> None:
+    """CSV with a header, or JSON lines, with personal data of some kinds redacted in the named columns.
+
+    With policies, a row is redacted as they say for its modality when exported.
+    """
+    if policies:
+        wanted = redaction_types(list(policies), F.col(modality) if modality in df.columns else F.lit(None).cast("string"), F.lit(org), "export")
+        named = {k: F.array_contains(wanted, k) | F.array_contains(wanted, "pii") for k in PII}
+        for c in redacted or []:
+            for data, asked in named.items():
+                df = df.withColumn(c, F.when(asked, redact(F.col(c), (data,))).otherwise(F.col(c)))
+        redacted = None
     for c in redacted or []:
         df = df.withColumn(c, redact(F.col(c), kinds))
     if kind == "csv":

@@ -332,3 +332,28 @@ def test_ingest(spark, tmp_path):
     edges = spark.read.parquet(f"{root}/edges/DerivedFrom/adj_list/r1")
     assets = ingest.ingested(spark, root, "MediaAsset", "r1")
     assert edges.join(assets, edges.dst_id == assets.id).count() == 7
+
+
+def test_requests():
+    ok = {"top_k": 5, "query": "x"}
+    control.check_request(**ok)
+    wrong = [{"kind": "graph"}, {"group_by": "colour"}, {"sort_by": "name"}, {"kind": "metadata"}, {"kind": "keyword", "query": None, "metadata": {"a": 1}}, {"image": "i" * 9, "image_bytes": 8}, {"image": "i", "kind": "keyword"}, {"image": "i", "modalities": ["text"]}]
+    for more in wrong:
+        with pytest.raises(control.RequestError):
+            control.check_request(**ok | more)
+    control.check_request(top_k=5, kind="metadata", metadata={"field": "asset_type"})
+
+
+def test_admission_previews_and_paths(spark, tmp_path):
+    why = lambda name, kind, m=None: one(spark, readers.admission(F.lit(name), F.lit(kind), None if m is None else F.lit(m)))
+    assert [why("a.MD", "text/markdown"), why("a.mp4", None, "audio"), why("a.mp3", "audio/mp3; x", "audio"), why("a", "")] == [None, "extension", None, "extension"]
+    for i in range(2):
+        spark.range(i * 10, i * 10 + 5).write.parquet(str(tmp_path / f"p{i}"))
+    spark.range(3).select("id", F.lit(1.5).alias("v")).write.parquet(str(tmp_path / "p2"))
+    both = readers.parquet_by_name(spark, [str(tmp_path / f"p{i}") for i in range(3)])
+    rows, total = readers.preview(both, 2)
+    assert rows.count() == 2 and total == 13 and both.where("v is null").count() == 10
+    assert writers.manifest_path(writers.graph_root("b://x/", "/g/"), "r") == "b://x/g/manifests/r/manifest.json"
+    people = spark.createDataFrame([("ocr", "a@b.co"), ("text", "a@b.co")], "modality string, t string")
+    writers.export(people, str(tmp_path / "e"), "jsonl", redacted=["t"], policies=[{"types": ["email"], "modalities": ["ocr"], "contexts": ["export"]}])
+    assert {r.modality: r.t for r in spark.read.json(str(tmp_path / "e")).collect()} == {"ocr": "[REDACTED]", "text": "a@b.co"}
