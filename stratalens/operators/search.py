@@ -89,33 +89,36 @@ def postings(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _counted(df: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
-    """(key, c) with c the length of a text in words and how often each term stands in it, worked out in one go."""
+    """key, dl and tf_0 ...: the length of a text in words and how often each term stands in it, worked out in one go."""
     words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z]+")
     times = lambda w: F.array(*[F.size(w) - F.size(F.array_remove(w, t)) for t in terms])
     facts = lambda w: F.struct(F.size(F.array_remove(w, "")).alias("dl"), times(w).alias("tf"))
-    return df.select(key, F.transform(F.array(words), facts)[0].alias("c"))  # a lambda's variable is a value, not an expression to repeat
+    # a lambda's variable is a value, and what a generator makes is not worked out again for each use
+    once = df.select(key, F.inline(F.transform(F.array(words), facts)))
+    return once.select(key, "dl", *[F.col("tf")[i].alias(f"tf_{i}") for i in range(len(terms))])
 
 
 def bm25(df: DataFrame, key: str, text: str, query: str, *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) of rows that hold a query term, by Okapi BM25.
 
-    Two scans: the first sums up the corpus (one row), the second counts only
-    in the texts that hold a term, which a search in the text finds before
-    words are made.
+    Texts are read and split once: their few numbers go through one exchange,
+    from which both the corpus figures (one row) and the scores are taken.
     """
     terms = sorted(set(re.findall("[a-z]+", query.lower())))
     if not terms:
         return df.select(key, F.lit(0.0).alias("score")).where(F.lit(False))
-    every = _counted(df, key, text, terms)
-    stats = every.agg(F.count("*").alias("n"), F.avg("c.dl").alias("avgdl"), *[F.count_if(F.col("c.tf")[i] > 0).alias(f"df_{i}") for i in range(len(terms))])
-    holds = F.lower(F.col(text)).rlike(f"(?:^|[^a-z])(?:{'|'.join(terms)})(?:[^a-z]|$)")
-    both = _counted(df.where(holds), key, text, terms).crossJoin(F.broadcast(stats))  # one row
+    counted = _counted(df, key, text, terms).repartition(key)
+    # all columns of the exchange are used on both sides, so that it is one
+    n = (F.count(key) + F.count_if(F.col(key).isNull())).alias("n")
+    stats = counted.agg(n, F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))])
+    both = counted.crossJoin(F.broadcast(stats))  # one row
     total = F.lit(0.0)
     for i in range(len(terms)):
-        tf, df_i = F.col("c.tf")[i], F.col(f"df_{i}")
+        tf, df_i = F.col(f"tf_{i}"), F.col(f"df_{i}")
         idf = F.ln((F.col("n") - df_i + 0.5) / (df_i + 0.5) + 1)
-        total = total + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("c.dl") / F.col("avgdl")))
-    return both.select(key, total.alias("score"))
+        total = total + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    # positive where a term stands, and only there; a condition on the sum can't be drawn below the exchange
+    return both.select(key, total.alias("score")).where("score > 0")
 
 
 #: Rows of a side that is broadcast, at most.

@@ -213,7 +213,8 @@ RERANK = f"{HITS}, o AS (SELECT fused.doc_id, score, length(text) AS chars, rege
 
 def _reranked(s: SparkSession, d: str) -> DataFrame:
     fused = fusion.reciprocal_rank_fusion(_hits(s, d), ["doc_id"], tie=["doc_id"]).select("doc_id", "score", F.lit("document").alias("modality"))
-    hits = fused.join(table(s, d, "documents").select("doc_id", F.col("text").alias("snippet")), "doc_id")
+    # two branches of 100 hits: a bound for the broadcast, so that texts are scanned where they lie
+    hits = table(s, d, "documents").select("doc_id", F.col("text").alias("snippet")).join(F.broadcast(fused), "doc_id")
     return fusion.rerank(hits, tx.token_f1(F.col("snippet"), "the public license"), order=[F.desc("score"), F.col("doc_id")], top_n=30, min_candidates=5, budget=40_000, skip_gap=0.5)
 
 
@@ -260,7 +261,7 @@ def _(s, d):
 
 @query("q30_hybrid_search", f"WITH {RERANK} SELECT re.doc_id, source AS org_id, lang AS media_type, round(score, 6) AS score FROM re JOIN documents USING (doc_id) WHERE lang IN ('en', 'de') ORDER BY re.score DESC, doc_id LIMIT 10")
 def hybrid(s, d):
-    best = _reranked(s, d).select("doc_id", "score").join(assets(s, d), F.col("doc_id") == F.col("id"))
+    best = assets(s, d).join(F.broadcast(_reranked(s, d).select("doc_id", "score")), F.col("doc_id") == F.col("id"))
     best = best.where(F.col("media_type").isin("en", "de")).orderBy(F.desc("score"), "doc_id").limit(10)
     return best.select("doc_id", "org_id", "media_type", r6("score").alias("score"))
 
