@@ -357,3 +357,18 @@ def test_admission_previews_and_paths(spark, tmp_path):
     people = spark.createDataFrame([("ocr", "a@b.co"), ("text", "a@b.co")], "modality string, t string")
     writers.export(people, str(tmp_path / "e"), "jsonl", redacted=["t"], policies=[{"types": ["email"], "modalities": ["ocr"], "contexts": ["export"]}])
     assert {r.modality: r.t for r in spark.read.json(str(tmp_path / "e")).collect()} == {"ocr": "[REDACTED]", "text": "a@b.co"}
+
+
+def test_vector_index(spark, sf, tmp_path):
+    from stratalens.operators import index, search
+
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    lists = index.build_index(v, str(tmp_path / "ix"))
+    assert lists == 22 and spark.read.parquet(str(tmp_path / "ix/lists")).count() == v.count()
+    hit = wanted = 0
+    for row in v.where("id % 50 = 0").collect():
+        exact = {r.id for r in search.nearest(v, row.vector, 10, vector="vector", tie="id").collect()}
+        found = {r.id for r in index.search_index(spark, str(tmp_path / "ix"), row.vector, 10).collect()}
+        hit, wanted = hit + len(exact & found), wanted + len(exact)
+    assert hit / wanted >= 0.9, hit / wanted
+    assert index.build_index(v.limit(0), str(tmp_path / "none")) == 0
