@@ -18,17 +18,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, clash_free, collect_garbage, materialize, release, runs, table
+from .common import bounded_broadcast, clash_free, collect_garbage, give_back, lean, materialize, narrow, pack, release, runs, table, text_bytes, unpack
 from .components import connected_components
 
 #: Fingerprints that a tile holds, about.
 TILE = 2048
 #: Rows of a side that is broadcast, at most; beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
-#: Texts whose shingles are counted to tell frequent ones from rare ones, about; the counts only order shingles.
-SAMPLE_TEXTS = 16_384
-#: Frequent shingles that are told from rare ones, at most.
-FREQUENT = 200_000
+#: Shingles that share a counter, about, and bits that tell counters apart: 64 MB of counters at most, whatever the corpus.
+SHARED, LEAST_BITS, MOST_BITS = 16, 16, 26
+#: Members of a group at one shingle from which it is met as a whole.
+CROWD = 16
+#: Parts that counters are summed in, each by itself.
+PARTS = 64
 #: Shingles of the texts that one block of a verification holds, about.
 BLOCK_SHINGLES = 2_000_000
 SEED = 42
@@ -74,7 +76,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, *, id_column: str = "doc_id"
                 n.append(h.size)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "fp", "n"])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("body")).mapInArrow(run, "doc_id long, fp long, n long")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("body")).mapInArrow(lean(run), "doc_id long, fp long, n long")
 
 
 def quarters(fp: str = "fp") -> Column:
@@ -125,10 +127,11 @@ def nearest(apart: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def compare_tiles(radius: int, ratio: float) -> object:
-    """Links of pairs of tiles; each tile is three lists (fp, node, n).
+    """Links of pairs of tiles; each tile is four lists (fp, node, n, root).
 
-    With a ratio links are candidates yet to be verified: those of least
-    distance, the likeliest, come beside the forest.
+    With a ratio links are candidates yet to be verified, between nodes of
+    different roots: those of least distance, the likeliest, come beside the
+    forest.
     """
 
     def lists(column: pa.ListArray) -> Iterator[np.ndarray]:
@@ -139,7 +142,7 @@ def compare_tiles(radius: int, ratio: float) -> object:
         for batch in batches:
             a_out, b_out = [], []
             same = batch.column(0).to_pylist()
-            for own, fa, na, sa, fb, nb, sb in zip(same, *(lists(batch.column(i)) for i in range(1, 7))):
+            for own, fa, na, sa, ra, fb, nb, sb, rb in zip(same, *(lists(batch.column(i)) for i in range(1, 9))):
                 fa, fb = fa.view(np.uint64), fb.view(np.uint64)  # bits of signed numbers are those of their absolute value
                 near, apart = np.empty((fa.size, fb.size), bool), np.empty((fa.size, fb.size), np.uint8)
                 for at in range(0, fa.size, 256):
@@ -148,6 +151,7 @@ def compare_tiles(radius: int, ratio: float) -> object:
                     near[part] = apart[part] <= radius
                     if ratio:
                         near[part] &= np.minimum(sa[part, None], sb[None, :]) >= ratio * np.maximum(sa[part, None], sb[None, :])
+                        near[part] &= ra[part, None] != rb[None, :]
                 if own:
                     near = np.triu(near, 1)
                 i, j = forest(near)
@@ -164,22 +168,22 @@ def compare_tiles(radius: int, ratio: float) -> object:
 
 
 def tile_links(nodes: DataFrame, cell: Column, steps: list[int], radius: int, *, ratio: float = 0.0) -> DataFrame:
-    """Links (a, b) between nodes (fp, node, n) within the radius, by pairs of tiles whose cells are a step apart.
+    """Links (a, b) between nodes (fp, node, n, root) within the radius, by pairs of tiles whose cells are a step apart.
 
     A cell is split into tiles by hash, as many as its count asks for.
     """
-    celled = nodes.select("fp", "node", "n", cell.alias("cell"))
+    celled = nodes.select("fp", "node", "n", "root", cell.alias("cell"))
     sizes = celled.groupBy("cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
     # one row a cell, 21 ** 4 cells at most: a bound for the broadcast
     tiles = celled.join(F.broadcast(sizes), "cell").groupBy("cell", F.pmod(F.xxhash64("node"), F.col("parts")).alias("tile"))
-    listed = F.sort_array(F.collect_list(F.struct("node", "fp", "n")))
-    tiles = tiles.agg(listed.alias("x")).select("cell", "tile", F.col("x.fp").alias("fp"), F.col("x.node").alias("node"), F.col("x.n").alias("n"))
+    listed = F.sort_array(F.collect_list(F.struct("node", "fp", "n", "root")))
+    tiles = tiles.agg(listed.alias("x")).select("cell", "tile", *[F.col(f"x.{c}").alias(c) for c in ("fp", "node", "n", "root")])
     tiles = materialize(tiles)
-    left = tiles.select("cell", "tile", "fp", "node", "n", F.explode(F.array(*[F.lit(s) for s in steps])).alias("step")).withColumn("other", F.col("cell") + F.col("step"))
-    right = tiles.select(F.col("cell").alias("other"), F.col("tile").alias("tile2"), F.col("fp").alias("fp2"), F.col("node").alias("node2"), F.col("n").alias("n2"))
+    left = tiles.select("cell", "tile", "fp", "node", "n", "root", F.explode(F.array(*[F.lit(s) for s in steps])).alias("step")).withColumn("other", F.col("cell") + F.col("step"))
+    right = tiles.select(F.col("cell").alias("other"), F.col("tile").alias("tile2"), F.col("fp").alias("fp2"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
     pairs = left.join(right, "other").where("step <> 0 or tile <= tile2")
-    pairs = pairs.select(((F.col("step") == 0) & (F.col("tile") == F.col("tile2"))).alias("same"), "fp", "node", "n", "fp2", "node2", "n2")
-    return pairs.mapInArrow(compare_tiles(radius, ratio), "a long, b long")
+    pairs = pairs.select(((F.col("step") == 0) & (F.col("tile") == F.col("tile2"))).alias("same"), "fp", "node", "n", "root", "fp2", "node2", "n2", "root2")
+    return pairs.mapInArrow(lean(compare_tiles(radius, ratio)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -192,7 +196,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, *, id_co
     """
     own = materialize(fingerprints(docs, shingle, id_column=id_column, text_column=text_column).select("doc_id", "fp"))
     distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    nodes = distinct.select("fp", F.col("fp").alias("node"), F.lit(0).cast("long").alias("n"))
+    nodes = distinct.select("fp", F.col("fp").alias("node"), F.lit(0).cast("long").alias("n"), F.col("fp").alias("root"))
     found = connected_components(tile_links(nodes, quarters(), quarter_steps(radius), radius))
     rooted = distinct.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -215,7 +219,7 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
             rows = [np.unique(shingle_hashes(body.as_py() or b"", k)).view(np.int64) for body in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["node", "hashes"])
 
-    return texts.select("node", F.col("text").cast("binary")).mapInArrow(run, "node long, hashes array<bigint>")
+    return texts.select("node", F.col("text").cast("binary")).mapInArrow(lean(run), "node long, hashes array<bigint>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -229,57 +233,100 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) ->
     return materialize(both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"))
 
 
-def _frequent(base: DataFrame, many: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of a sample of texts share, ascending, and how many do."""
+def counter_bits(total_bytes: int) -> int:
+    """Bits of a counter's number for a corpus of so many bytes (six to a shingle, about)."""
+    return min(MOST_BITS, max(LEAST_BITS, (total_bytes // (6 * SHARED)).bit_length()))
+
+
+def counted_cells(cells: list[np.ndarray], bits: int) -> Iterator[tuple[int, tuple[int, bytes]]]:
+    """What a task adds to the counters, by part: steps between the counters met and how often, compressed."""
+    at, many = np.unique(np.concatenate(cells), return_counts=True) if cells else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    start, length = runs(at >> np.uint32(bits - 6))
+    for s, n in zip(start.tolist(), length.tolist()):
+        own = at[s : s + n].astype(np.int64)
+        body = pack(own[:1], narrow(np.diff(own)), narrow(many[s : s + n]))
+        yield int(own[0] >> (bits - 6)), (len(body), pa.compress(body, "zstd", asbytes=True))
+
+
+def summed_cells(bits: int) -> object:
+    """Counters of each part over all tasks, as a byte each: sixteen steps to a doubling."""
 
     def run(batches):
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            rows = [np.unique(shingle_hashes(body.as_py() or b"", k)) for body in batch.column(0)]
-            h, n = np.unique(np.concatenate(rows) if rows else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+            for part, size, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                first, step, many = unpack(pa.decompress(blob, size, "zstd", asbytes=True))
+                at = (np.cumsum(np.r_[first, step.astype(np.int64)]) - (part << (bits - 6))).astype(np.int64)
+                sums.setdefault(part, np.zeros(1 << (bits - 6), np.uint32))[at] += many.astype(np.uint32)
+        for part, total in sums.items():
+            scaled = np.minimum(255, np.round(16 * np.log2(1.0 + total))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([scaled.tobytes()], pa.binary())], ["part", "counts"])
 
-    some = base.where(F.pmod("node", F.lit(max(1, many // SAMPLE_TEXTS))) == 0).select(F.col("text").cast("binary"))
-    counts = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
-    h, n = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
+    return run
 
 
-def prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+def prefix(hashes: np.ndarray, counters: np.ndarray, similarity: float) -> np.ndarray:
     """The first shingles of a set in one order of all shingles, rare ones first.
 
     Of n shingles at least similarity * n stand in any set that is similar
     enough, so two such sets share one of their first n - similarity * n + 1.
+    Counters are shared by several shingles, which disturbs the order alike for
+    all sets and loses nothing.
     """
-    known, count = frequent
-    seen = np.zeros(hashes.size, np.int64)
-    if known.size:
-        at = np.minimum(np.searchsorted(known, hashes), known.size - 1)
-        seen = np.where(known[at] == hashes, count[at], 0)
+    seen = counters[hashes >> np.uint64(65 - counters.size.bit_length())]
     return hashes[np.lexsort((hashes, seen))][: hashes.size - int(np.ceil(similarity * hashes.size - 1e-9)) + 1]
 
 
 def meet(similarity: float) -> object:
-    """Pairs of texts of different groups that share a shingle of their prefixes and may reach the similarity.
+    """Pairs (a, b) of texts of different groups that share a shingle of their prefixes and may reach the similarity.
 
-    Rows (h, node, root, size << 32 | place) come in order of h and node.
+    Rows (h, node, root, size << 32 | place) come in order of h and node.  A
+    group with ``CROWD`` members at a shingle is met as a whole: where wide is
+    1, b is the root of a group that a may belong to; where it is 2, so is a.
     """
-
-    def pairs(h: np.ndarray, node: np.ndarray, root: np.ndarray, where: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    share = similarity / (1 + similarity)
+
+    def near(size: np.ndarray, after: np.ndarray, one: int, left: int) -> np.ndarray:
+        """Which texts, by size and shingles left, may reach the similarity with one of such a size and as many left."""
+        return (np.minimum(after, left) >= share * (size + one) - 1e-6) & (np.minimum(size, one) >= similarity * np.maximum(size, one) - 1e-6)
+
+    def crowds(node: np.ndarray, root: np.ndarray, size: np.ndarray, after: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """Pairs with large groups; what is left are pairs among ``few``."""
+        roots, which, many = np.unique(root, return_inverse=True, return_counts=True)
+        large = np.flatnonzero(many >= CROWD)
+        bounds = []
+        for g in large.tolist():
+            own = which == g
+            bounds.append((roots[g], int(size[own].min()), int(size[own].max()), int(after[own].max())))
+        few = ~np.isin(which, large)
+        for i, (r, least, most, left) in enumerate(bounds):
+            ok = few & (np.minimum(after, left) >= share * (size + least) - 1e-6) & (size >= similarity * least - 1e-6) & (most >= similarity * size - 1e-6)
+            if ok.any():
+                yield node[ok], np.full(int(ok.sum()), r), 1
+            for q, least2, most2, left2 in bounds[:i]:
+                if min(left, left2) >= share * (least + least2) - 1e-6 and most >= similarity * least2 - 1e-6 and most2 >= similarity * least - 1e-6:
+                    yield np.array([q]), np.array([r]), 2
+
+    def pairs(h: np.ndarray, node: np.ndarray, root: np.ndarray, where: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         fresh = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])]
         h, node, root, where = h[fresh], node[fresh], root[fresh], where[fresh]
         size, after = where >> 32, (where >> 32) - (where & 0xFFFFFFFF)
         start, length = runs(h)
         for s, n in zip(start[length > 1].tolist(), length[length > 1].tolist()):
-            for i in range(s, s + n - 1):
-                j = slice(i + 1, s + n)
-                both = size[i] + size[j]
-                ok = (root[j] != root[i]) & (np.minimum(after[i], after[j]) >= similarity / (1 + similarity) * both - 1e-6)
-                ok &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6
-                found = node[j][ok]
+            at = np.arange(s, s + n)
+            if n >= CROWD:
+                yield from crowds(node[at], root[at], size[at], after[at])
+                _, which, many = np.unique(root[at], return_inverse=True, return_counts=True)
+                at = at[many[which] < CROWD]
+            for k in range(at.size - 1):
+                i, j = at[k], at[k + 1 :]
+                found = node[j[(root[j] != root[i]) & near(size[j], after[j], size[i], after[i])]]
                 if found.size:
-                    yield np.minimum(found, node[i]), np.maximum(found, node[i])
+                    yield np.minimum(found, node[i]), np.maximum(found, node[i]), 0
+
+    def batch_of(out: list[tuple[np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
+        rows = np.unique(np.concatenate([np.c_[a, b, np.full(a.size, wide)] for a, b, wide in out]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32))], ["a", "b", "wide"])
 
     def run(batches):
         held = None
@@ -296,10 +343,10 @@ def meet(similarity: float) -> object:
                     out.append(pair)
                     many += pair[0].size
                     if many > 100_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "b"])
+                        yield batch_of(out)
                         out, many = [], 0
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "b"])
+                    yield batch_of(out)
                 held = [x[cut:] for x in held]
 
     return run
@@ -332,13 +379,71 @@ def _joined(key: tuple, nodes: pa.Table, pairs: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
-def exact_links(base: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+def nearby(similarity: float) -> object:
+    """Links of texts to members of a group: one for each text, to the most similar member, if it reaches the similarity."""
+
+    def sets(rows: pa.Table, of: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        column = rows[f"{of}hashes"].combine_chunks()
+        return rows[f"{of}node"].to_numpy(), column.flatten().to_numpy(), np.r_[0, np.cumsum(column.value_lengths().to_numpy())]
+
+    def run(key: tuple, texts: pa.Table, members: pa.Table) -> pa.Table:
+        a, b = [], []
+        if texts.num_rows and members.num_rows:
+            node, flat, at = sets(texts, "of_")
+            own, all_hashes, ends = sets(members)
+            size, held = np.diff(ends), ends[:-1]
+            kept = size > 0  # texts with shingles only: others are alike by their hash
+            for i in range(node.size):
+                p = np.sort(flat[at[i] : at[i + 1]])
+                if not p.size or not all_hashes.size:
+                    continue
+                hit = p[np.minimum(np.searchsorted(p, all_hashes), p.size - 1)] == all_hashes
+                common = np.add.reduceat(hit, np.minimum(held, all_hashes.size - 1), dtype=np.int64) * kept
+                alike = common / (p.size + size - common)
+                j = int(alike.argmax())
+                if common[j] >= similarity * (p.size + size[j] - common[j]) - 1e-9:
+                    a.append(node[i])
+                    b.append(own[j])
+        give_back()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def group_links(wide: DataFrame, base: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Links (a, b) of texts to the groups they may belong to: every such text meets every member, block by block.
+
+    A group's members and the texts it is compared with are rows each, never
+    pairs; blocks hold so many shingles, and a pair of blocks is one task.
+    """
+    known = texts.select("node", "root", "n").dropDuplicates(["node"])
+    roots = wide.select(F.col("b").alias("root")).unionAll(wide.where("wide = 2").select("a")).distinct()
+    members = known.join(roots, "root")
+    single = wide.where("wide = 1").select(F.col("b").alias("root"), F.col("a").alias("node"))
+    whole = wide.where("wide = 2").select(F.col("b").alias("root"), F.col("a").alias("other")).join(members.select(F.col("root").alias("other"), "node"), "other")
+    guests = single.unionAll(whole.select("root", "node")).distinct().join(known.select("node", "n"), "node")
+    some = members.select("node").unionAll(guests.select("node")).distinct()
+    sets = materialize(_sets(base.join(bounded_broadcast(some, some.count(), BROADCAST_ROWS), "node").dropDuplicates(["node"]), k))
+    blocks = lambda df, name: df.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias(name))
+    parts = materialize(blocks(members, "blocks_of_members").join(blocks(guests, "blocks_of_guests"), "root"))
+
+    def dealt(rows: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        placed = rows.select("root", "node").join(parts, "root").withColumn(mine, F.pmod(F.xxhash64("node"), F.col(own)).cast("int"))
+        return placed.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).join(sets, "node").select("root", "x", "y", "node", "hashes")
+
+    left = dealt(guests, "blocks_of_guests", "blocks_of_members", "x", "y")
+    left = left.select(*[F.col(c).alias(f"of_{c}") for c in left.columns])
+    right = dealt(members, "blocks_of_members", "blocks_of_guests", "y", "x")
+    return left.groupBy("of_root", "of_x", "of_y").cogroup(right.groupBy("root", "x", "y")).applyInArrow(nearby(similarity), "a long, b long")
+
+
+def exact_links(base: DataFrame, texts: DataFrame, counters: np.ndarray, k: int, similarity: float) -> DataFrame:
     """Links (a, b) that, with those within groups (node, root), connect all texts that are similar enough: no pair is missed.
 
     Candidates share a rare shingle.  They are verified by pairs of blocks of
-    the texts they connect, so that a text is not sent once a candidate.
+    the texts they connect, so that a text is not sent once a candidate; large
+    groups are met as groups.
     """
-    frequent = _frequent(base, texts.count(), k)
     moved = texts.where("node <> root").select("node", "root")
     grouped = base.join(bounded_broadcast(moved, moved.count(), BROADCAST_ROWS), "node", "left")
     grouped = grouped.select("node", F.coalesce("root", "node").alias("root"), F.col("text").cast("binary").alias("body"))
@@ -346,14 +451,15 @@ def exact_links(base: DataFrame, texts: DataFrame, k: int, similarity: float) ->
     def firsts(batches):
         for batch in batches:
             sets = [np.unique(shingle_hashes(body.as_py() or b"", k)) for body in batch.column(2)]
-            own = [prefix(s, frequent, similarity) if s.size else s for s in sets]
+            own = [prefix(s, counters, similarity) if s.size else s for s in sets]
             many = [x.size for x in own]
             node, root = (np.repeat(batch.column(i).to_numpy(), many) for i in range(2))
             where = [(s.size << 32) + np.arange(x.size) for s, x in zip(sets, own)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(node), pa.array(root), pa.array(np.concatenate(where).astype(np.int64))], ["h", "node", "root", "place"]) if own else pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, ["h", "node", "root", "place"])
 
-    rows = grouped.mapInArrow(firsts, "h long, node long, root long, place long").repartition("h").sortWithinPartitions("h", "node")
-    pairs = materialize(rows.mapInArrow(meet(similarity), "a long, b long").distinct())
+    rows = grouped.mapInArrow(lean(firsts), "h long, node long, root long, place long").repartition("h").sortWithinPartitions("h", "node")
+    found = materialize(rows.mapInArrow(lean(meet(similarity)), "a long, b long, wide int").distinct())
+    wide, pairs = found.where("wide > 0"), found.where("wide = 0").select("a", "b")
     clusters = connected_components(pairs)
     own = materialize(clusters.join(texts.select("node", F.col("root").alias("group"), "n").dropDuplicates(["node"]), "node"))
     parts = own.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
@@ -367,7 +473,7 @@ def exact_links(base: DataFrame, texts: DataFrame, k: int, similarity: float) ->
     nodes = needed.join(blocks.select("node", "group"), "node").join(sets, "node").select("cluster", "x", "y", "node", F.col("group").alias("root"), "hashes", F.lit(similarity).alias("similarity"))
     held = placed.select("a", "b", *[F.col(c).alias(f"of_{c}") for c in ("root", "x", "y")])
     links = nodes.groupBy("cluster", "x", "y").cogroup(held.groupBy("of_root", "of_x", "of_y"))
-    return links.applyInArrow(_joined, "a long, b long")
+    return links.applyInArrow(_joined, "a long, b long").unionAll(group_links(wide, base, texts, k, similarity))
 
 
 def _merged(texts: DataFrame, links: DataFrame) -> DataFrame:
@@ -393,17 +499,31 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ra
     """
     base = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_column).alias("node"), F.col(text_column).alias("text"))
 
+    bits = counter_bits(text_bytes(docs, text_column))
+    shift = np.uint64(64 - bits)
+    row = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("size", pa.int64()), ("blob", pa.binary())])
+
     def run(batches):
+        cells: list[np.ndarray] = []
         for batch in batches:
             hashes = [np.unique(shingle_hashes(body.as_py() or b"", shingle)) for body in batch.column(2)]  # the similarity is one of sets
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([simhash(h) for h in hashes], pa.int64()), pa.array([h.size for h in hashes], pa.int64())], ["doc_id", "node", "fp", "n"])
-
-    own = base.select("doc_id", "node", F.col("text").cast("binary").alias("body")).mapInArrow(run, "doc_id long, node long, fp long, n long")
-    own = materialize(own.groupBy("doc_id", "node", "fp", "n").agg(F.count("*").alias("copies")))
+            cells += [(h >> shift).astype(np.uint32) for h in hashes]
+            columns = [batch.column(0), batch.column(1), pa.array([simhash(h) for h in hashes], pa.int64()), pa.array([h.size for h in hashes], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(batch.num_rows, f.type) for f in row][4:]], schema=row)
+        for part, (size, blob) in counted_cells(cells, bits):
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, f.type) for f in row][:4], pa.array([part], pa.int32()), pa.array([size], pa.int64()), pa.array([blob], pa.binary())], schema=row)
+
+    seen = materialize(base.select("doc_id", "node", F.col("text").cast("binary").alias("body")).mapInArrow(lean(run), "doc_id long, node long, fp long, n long, part int, size long, blob binary"))
+    parts = seen.where("part is not null").select("part", "size", "blob").repartition(PARTS, "part").mapInArrow(lean(summed_cells(bits)), "part int, counts binary")
+    counters = np.zeros(1 << bits, np.uint8)
+    for r in parts.toLocalIterator():  # 64 parts, 64 MB at most together
+        counters[r["part"] << (bits - 6) : (r["part"] + 1) << (bits - 6)] = np.frombuffer(r["counts"], np.uint8)
+    own = materialize(seen.where("part is null").groupBy("doc_id", "node", "fp", "n").agg(F.count("*").alias("copies")))
+    release(seen)
     texts = materialize(own.groupBy("node", "fp", "n").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("least")).withColumn("root", F.col("node")))
     size = F.when(F.col("n") == 0, -1).otherwise(F.floor(F.log(F.col("n").cast("double")) / float(-np.log(similarity)) + 1e-9)).cast("int")
-    texts = _merged(texts, _verified(tile_links(texts.select("fp", "node", "n"), size, [0, 1], radius, ratio=similarity), base.select("node", "text"), shingle, similarity))
-    texts = _merged(texts, exact_links(base.select("node", "text"), texts, shingle, similarity))
+    texts = _merged(texts, _verified(tile_links(texts.select("fp", "node", "n", "root"), size, [0, 1], radius, ratio=similarity), base.select("node", "text"), shingle, similarity))
+    texts = _merged(texts, exact_links(base.select("node", "text"), texts, counters, shingle, similarity))
     kept = (F.col("node") == F.col("root")) & F.coalesce("doc_id", F.lit((1 << 63) - 1)).eqNullSafe(F.col("least"))
     return materialize(own.join(texts.select("node", "least", "root"), "node").select("doc_id", F.col("node").alias("text_hash"), "root", kept.alias("kept"), "copies"))
 

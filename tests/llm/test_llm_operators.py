@@ -430,14 +430,12 @@ def test_op10_ranges(spark):
         assert got[i] == hashlib.sha256((own[: len(own) - half] + after[:half]).encode()).hexdigest(), i
 
 
-def test_near_duplicates_leave_no_similar_pair(spark):
-    """Of the documents of a whole table that are kept, no two reach the similarity; one of each group is kept."""
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    kept = {r.doc_id for r in op1_simhash.stage(spark, docs, "/root/testdata/sf0.01").select("doc_id").collect()}
+def smallest_of_groups(rows):
+    """The smallest id of each group of texts that are linked by a similarity of 0.8 or more, by all pairs that share a shingle."""
     sets = {}
-    for r in docs.select("doc_id", "text").collect():
-        w = bytes(c + 32 if 65 <= c <= 90 else c for c in (r.text or "").encode()).split()
-        sets[r.doc_id] = {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    for i, text in rows:
+        w = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()).split()
+        sets[i] = {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
     where = collections.defaultdict(list)
     for i, s in sets.items():
         for x in s:
@@ -458,4 +456,32 @@ def test_near_duplicates_leave_no_similar_pair(spark):
     empty = [i for i in sets if not sets[i]]
     for i in empty:
         group[top(i)] = top(min(empty))
-    assert kept == {i for i in sets if top(i) == i}
+    return {i for i in sets if top(i) == i}
+
+
+def test_near_duplicates_leave_no_similar_pair(spark):
+    """Of the documents of a whole table that are kept, no two reach the similarity; one of each group is kept."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = {r.doc_id for r in op1_simhash.stage(spark, docs, "/root/testdata/sf0.01").select("doc_id").collect()}
+    assert kept == smallest_of_groups((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+
+
+def test_near_duplicates_of_large_groups(spark):
+    """Two crowds of copies, texts at the edge of the similarity to some of their members, and texts that share a passage with all."""
+    rng = random.Random(12)
+    words = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+
+    def edited(base, n):
+        out = list(base)
+        for at in rng.sample(range(len(out)), n):
+            out[at] = f"e{rng.randrange(10**6)}"
+        return " ".join(out)
+
+    first, passage = words(150), words(60)
+    second = first[:100] + words(50)
+    texts = [edited(first, 1) for _ in range(70)] + [edited(second, 1) for _ in range(40)] + [edited(first, k) for k in (2, 3, 4, 5, 6) for _ in range(8)] + [edited(second, k) for k in (3, 4, 5) for _ in range(6)]
+    texts += [" ".join(passage + words(20)) for _ in range(30)] + [" ".join(words(80) + passage) for _ in range(20)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in op1_simhash.stage(spark, docs, "").select("doc_id").collect()} == smallest_of_groups(rows)
