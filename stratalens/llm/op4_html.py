@@ -2,8 +2,8 @@
 
 A page becomes flat text blocks.  Each block has its word count and link
 density, those of its neighbours, and what its surroundings say (names of
-elements, classes and ids); a decision tree, grown from the small labelled
-table below, tells the article from the rest.
+elements, classes and ids, in three degrees); a decision tree, grown from the
+small labelled table below, tells the article from the rest.
 """
 
 from __future__ import annotations
@@ -17,86 +17,161 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 # Elements of HTML.
-SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "select", "textarea", "head", "title", "button", "datalist"}
+SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "select", "textarea", "head", "title", "button", "datalist"}
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes")
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-BOILER = {"nav", "aside", "footer", "form", "menu", "dialog", "fieldset"}
-#: Words in classes, ids and roles that speak against a block, and for it.
-AGAINST = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|advertis\w*|adbox|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer\w*|foot|masthead|topbar|toolbar|cookies?\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|subscribe|newsletter|signup|login|share\w*|social\w*|related\w*|recommend\w*|read-more|tags?|comments?\w*|disqus|replies|reply|respond|reader\w*|widget\w*|pager|pagination|copyright|legal|search|skip|hidden|toc|complementary|contentinfo|navigation)(?:$|[\s_-])", re.I)
-#: The head of a page, but not that of an article; and classes that tell of a page's other parts.
-HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
-LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:with|has|no|without|is)[-_][\w-]+", re.I)
-FOR = re.compile(r"(?:^|[\s_-])(?:article\w*|main|content|post|entry|story|body|text|prose)(?:$|[\s_-])", re.I)
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: Elements that a sibling of their kind ends, headings, and those inside a line that may be hidden.
+ENDS_ITSELF = {"p", "li", "dt", "dd", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+INLINE = {"span", "b", "i", "em", "strong", "font", "small", "label", "abbr", "cite", "code", "u", "s", "mark"}
+#: Elements that hold no article, and those that some pages wrap around one.
+BOILER, WRAPPERS = {"nav", "aside", "footer", "menu"}, {"form", "fieldset", "dialog"}
+#: Nouns that speak against what is named by them, in classes, ids and roles: a name is what its last part says.
+AGAINST = {
+    "ad", "ads", "adbox", "adslot", "adsbygoogle", "advert", "adverts", "advertisement", "advertisements", "advertising", "alert", "alerts", "aside", "banner", "banners", "breadcrumb", "breadcrumbs", "complementary", "consent", "contentinfo", "cookie", "cookies", "copyright", "disclaimer",
+    "foot", "footer", "gdpr", "login", "masthead", "menu", "menubar", "menus", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "overlay", "pager", "pagination", "popup", "promo", "promos", "promotion", "readmore", "recommendations", "recommended", "related",
+    "search", "searchform", "share", "sharing", "sidebar", "sidebars", "signup", "skip", "social", "socials", "sponsor", "sponsored", "sponsors", "subscribe", "tags", "toc", "toolbar", "topbar", "widget", "widgets",
+}
+#: What readers write: however much there is of it, it isn't the article.
+READERS = {"comment", "commentlist", "comments", "disqus", "replies", "reply", "respond", "responses"}
+#: Of the nouns against, those that also begin names of other things: then they only hint.
+SOFT = {"alert", "banner", "login", "menu", "nav", "notice", "promo", "related", "search", "share", "skip", "social", "tags", "toc"}
+#: Nouns that speak for it.
+FOR = {"article", "articles", "body", "content", "contents", "entry", "hentry", "main", "post", "prose", "story", "text", "articlebody", "maincontent", "entrycontent", "postcontent"}
+#: Beginnings of names that tell what kind of thing an article or a page is, and ends that tell its state; neither says what a part is for.
+KINDS = {"tag", "category", "cat", "type", "status", "format", "author", "has", "no", "with", "without", "is", "not", "lang", "js", "page", "single", "layout", "theme", "template", "col", "grid", "wp"}
+STATES = {"open", "closed", "enabled", "disabled", "on", "off", "active", "visible", "left", "right"}
+#: Shares of a page's unlinked words above which an element isn't a part of it beside the article.
+SMALL, LARGE = 0.25, 0.6
+
+#: An attribute as a browser reads it: a value without quotes may hold them, and ends at white space or the tag's end.
+_ATTRIBUTE = r"""=?[^\s>/=]++(?:\s*+=\s*+(?:"[^"]*+(?:"|$)|'[^']*+(?:'|$)|[^\s"'>][^\s>]*+)?+)?+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/=]++|{_ATTRIBUTE})*+)(?:>|$)", re.S)
+_PAIR = re.compile(r"""([^\s>/=]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>]*)))?""")
+_PARTS = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _END = {name: re.compile(rf"</{name}\b[^>]*(?:>|$)", re.I) for name in RAW}
 
 
+def attributes_of(raw: str) -> dict[str, str]:
+    """Names in lower case and values, the first of each name."""
+    out: dict[str, str] = {}
+    for m in _PAIR.finditer(raw):
+        out.setdefault(m[1].lower(), html.unescape(next((g for g in m.groups()[1:] if g is not None), "")))
+    return out
+
+
+def says(names: str) -> tuple[int, bool, bool]:
+    """What classes, ids and roles say: 2 if one is named by a noun against, 1 if one only begins with such a noun, else 0; whether readers are meant; whether one speaks for it."""
+    against, readers, favour = 0, False, False
+    for name in names.split():
+        parts = [p.lower() for p in _PARTS.findall(name)]
+        if not parts or len(parts) > 1 and (parts[0] in KINDS or parts[-1] in STATES):
+            continue
+        whole, last = "".join(parts), parts[-1]
+        if READERS & {*parts, whole}:
+            against, readers = 2, True
+        elif whole in FOR or last in FOR and not AGAINST & {*parts[:-1]}:
+            favour = True
+        elif whole in AGAINST or last in AGAINST or parts[0] in AGAINST - SOFT:
+            against = 2
+        elif parts[0] in SOFT:
+            against = max(against, 1)
+    return against, readers, favour
+
+
 @dataclass
 class Block:
     text: str
     words: int
     linked: int
-    boiler: bool
+    boiler: int
     content: bool
     heading: bool
+    element: int
 
     @property
     def density(self) -> float:
         return self.linked / self.words if self.words else 0.0
 
 
-class _Open:
-    __slots__ = ("content", "boiler", "name", "silent")
-
-    def __init__(self, name: str, boiler: bool, content: bool, silent: bool):
-        self.name, self.boiler, self.content, self.silent = name, boiler, content, silent
-
-
-def _enter(name: str, attributes: str, above: _Open) -> _Open:
-    named = " ".join(filter(None, (g for m in _NAMED.finditer(attributes) for g in m.groups())))
-    named = LAYOUT.sub("", named)
-    silent = above.silent or name in SILENT or bool(_HIDDEN.search(attributes))
-    inside = above.content or name in ("article", "main")
-    head = name == "header" or bool(named and HEADER.search(named) and not FOR.search(named))
-    against = bool(named and AGAINST.search(named)) or name in BOILER or head and not inside
-    in_favour = name in ("article", "main") or bool(named and FOR.search(named)) and not against
-    if name == "article" and re.search(r"comment|reply", named, re.I):
-        against, in_favour = True, False
-    # what lies in a comment, a menu or a notice stays there, articles inside articles too
-    return _Open(name, above.boiler or against and name not in ("html", "body", "main"), in_favour and not above.boiler or above.content and not against, silent)
+class _Element:
+    """An element: what it is called, the one around it, and what speaks against it or for it."""
+
+    __slots__ = ("name", "above", "silent", "against", "readers", "favour", "head", "plain")
+
+    def __init__(self, name: str, above: int, silent: bool, attributes: dict[str, str]):
+        self.name, self.above, self.plain = name, above, 0
+        unseen = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_UNSEEN.search(attributes.get("style", "")))
+        self.silent = silent or unseen or name in SILENT
+        names = " ".join(attributes[k] for k in ("class", "id", "role", "itemprop") if k in attributes)
+        self.against, self.readers, self.favour = says(names) if names else (0, False, False)
+        if name in ("article", "main"):
+            self.against = 2 if self.readers and name == "article" else 0
+            self.favour = not self.against
+        elif name in BOILER:
+            self.against, self.favour = 2, False
+        elif name in WRAPPERS:
+            self.against = 2
+        elif self.favour:
+            self.against = 0
+        parts = [[p.lower() for p in _PARTS.findall(x)] for x in names.split()]
+        self.head = (name == "header" or any(p and p[-1] in ("header", "head") for p in parts)) and not any(FOR & {*p} for p in parts)
+
+
+def _weigh(elements: list[_Element], blocks: list[Block]) -> None:
+    """Give each block what its surroundings say, once it is known how much of the page each element holds."""
+    for b in blocks:
+        elements[b.element].plain += b.words - b.linked
+    for e in reversed(elements[1:]):
+        elements[e.above].plain += e.plain
+    total = elements[0].plain or 1
+    level: list[tuple[int, bool]] = []
+    for e in elements:
+        boiler, content = level[e.above] if e.above >= 0 else (0, False)
+        share, own = e.plain / total, e.against
+        if e.name in ("html", "body") or own == 1 and share > SMALL or own == 2 and share > LARGE and not e.readers and e.name not in BOILER:
+            own = 0
+        if e.head and not content and (share <= LARGE or e.name == "header"):
+            own = 2  # the head of a page, but not that of an article
+        level.append((max(boiler, own), e.favour and not boiler or content and not own))
+    for b in blocks:
+        b.boiler, b.content = level[b.element]
 
 
 def blocks_of(page: str) -> list[Block]:
     """Flat text blocks in page order; unclosed and misplaced tags are taken as a browser would, nearly."""
-    stack = [_Open("", False, False, False)]
+    elements = [_Element("", -1, False, {})]
+    stack = [0]
     blocks: list[Block] = []
     parts: list[tuple[str, bool]] = []
     links, heading, at = 0, False, 0
+    top = lambda: elements[stack[-1]]
 
     def flush() -> None:
         nonlocal parts
         if parts:
             text = " ".join("".join(x for x, _ in parts).split())
             if text:
-                top = stack[-1]
                 linked = sum(len(x.split()) for x, inside in parts if inside)
-                blocks.append(Block(text, len(text.split()), linked, top.boiler, top.content, heading))
+                blocks.append(Block(text, len(text.split()), linked, 0, False, heading, stack[-1]))
             parts = []
 
     def say(raw: str) -> None:
-        if raw and not stack[-1].silent:
+        if raw and not top().silent:
             parts.append((html.unescape(raw), links > 0))
 
+    def enter(name: str, attributes: dict[str, str]) -> None:
+        elements.append(_Element(name, stack[-1], top().silent, attributes))
+        stack.append(len(elements) - 1)
+
     while at < len(page):
         m = _TOKEN.search(page, at)
         if not m:
@@ -118,34 +193,40 @@ def blocks_of(page: str) -> list[Block]:
             if name == "noscript" and end is None:
                 continue
             at = end.end() if end else len(page)
-        elif name in BLOCKS or name in SILENT or name in ("span", "b", "i", "em", "strong", "font", "small") and _HIDDEN.search(m[3]):
+        elif closing:
             if name in BLOCKS:
                 flush()
-            if name == "hr" or name in VOID:
-                continue
-            if closing:
-                if any(x.name == name for x in stack[1:]):
-                    while stack[-1].name != name:
-                        stack.pop()
-                    stack.pop()
-                if name in BLOCKS:
-                    links = 0
-            else:
-                if name in ("p", "li", "dt", "dd", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6") and stack[-1].name == ("p" if name[0] != "l" else "li"):
-                    stack.pop()
-                elif name in BLOCKS and stack[-1].name == "p":
+                links = 0
+            if top().name == name or (name in BLOCKS or name in SILENT) and any(elements[i].name == name for i in stack[1:]):
+                while top().name != name:
                     stack.pop()
-                if name == "body" and stack[-1].name == "head":
-                    stack.pop()
-                if not m[3].rstrip().endswith("/") or name in BLOCKS:
-                    stack.append(_enter(name, m[3], stack[-1]))
-            heading = stack[-1].name in ("h1", "h2", "h3", "h4", "h5", "h6")
+                stack.pop()
+            heading = top().name in HEADINGS
+        elif name in BLOCKS or name in SILENT:
+            if name in BLOCKS:
+                flush()
+            if name in VOID:
+                continue
+            if name in ENDS_ITSELF and top().name == ("p" if name[0] != "l" else "li"):
+                stack.pop()
+            elif name in BLOCKS and top().name == "p":
+                stack.pop()
+            if name == "body" and top().name == "head":
+                stack.pop()
+            if not m[3].rstrip().endswith("/") or name in BLOCKS:
+                enter(name, attributes_of(m[3]) if m[3] else {})
+            heading = top().name in HEADINGS
+        elif name in INLINE and (m[3] or top().silent):
+            enter(name, attributes_of(m[3]))
+            if not top().silent:
+                stack.pop()
     flush()
+    _weigh(elements, blocks)
     return blocks
 
 
-#: The labelled table: words and link density of a block, of the one before and of the one after; 1 if it
-#: lies where menus, notices or comments do, in an article, is a heading; last, 1 if it belongs to the article.
+#: The labelled table: words and link density of a block, of the one before and of the one after; 2 if it lies where
+#: menus, notices or comments do, 1 if it may; 1 if in an article, 1 for a heading; last, 1 if it belongs to the article.
 LABELLED = [
     # articles with markup that says so
     (9, 0.0, 4, 1.0, 60, 0.0, 0, 1, 1, 1), (60, 0.0, 9, 0.0, 45, 0.0, 0, 1, 0, 1), (3, 0.0, 60, 0.0, 80, 0.0, 0, 1, 0, 1), (120, 0.02, 30, 0.0, 90, 0.1, 0, 1, 0, 1),
@@ -159,13 +240,17 @@ LABELLED = [
     # lists of links inside articles
     (3, 1.0, 40, 0.0, 3, 1.0, 0, 1, 0, 0), (2, 1.0, 2, 1.0, 2, 1.0, 0, 1, 0, 0), (6, 1.0, 4, 1.0, 5, 1.0, 0, 1, 0, 0), (5, 0.9, 3, 1.0, 12, 0.0, 0, 1, 0, 0),
     # menus, adverts, footers, notices, comments
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0), (2, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0), (8, 0.0, 1, 1.0, 9, 0.0, 1, 0, 0, 0), (14, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 0), (40, 0.0, 5, 0.0, 30, 0.0, 1, 0, 0, 0),
-    (90, 0.1, 40, 0.0, 60, 0.0, 1, 0, 0, 0), (30, 0.0, 80, 0.0, 2, 0.0, 1, 1, 0, 0), (5, 0.0, 8, 0.5, 3, 0.0, 1, 0, 1, 0), (20, 0.3, 30, 0.0, 0, 0.0, 1, 0, 0, 0), (150, 0.0, 100, 0.0, 90, 0.0, 1, 0, 0, 0),
-    (70, 0.0, 50, 0.0, 40, 0.0, 1, 1, 0, 0), (3, 0.0, 3, 0.0, 3, 0.0, 1, 0, 0, 0), (1, 0.0, 4, 0.0, 0, 0.0, 1, 0, 0, 0),
+    (1, 1.0, 0, 0.0, 1, 1.0, 2, 0, 0, 0), (2, 1.0, 1, 1.0, 1, 1.0, 2, 0, 0, 0), (8, 0.0, 1, 1.0, 9, 0.0, 2, 0, 0, 0), (14, 0.0, 60, 0.0, 0, 0.0, 2, 0, 0, 0), (40, 0.0, 5, 0.0, 30, 0.0, 2, 0, 0, 0),
+    (90, 0.1, 40, 0.0, 60, 0.0, 2, 0, 0, 0), (30, 0.0, 80, 0.0, 2, 0.0, 2, 1, 0, 0), (5, 0.0, 8, 0.5, 3, 0.0, 2, 0, 1, 0), (20, 0.3, 30, 0.0, 0, 0.0, 2, 0, 0, 0), (150, 0.0, 100, 0.0, 90, 0.0, 2, 0, 0, 0),
+    (70, 0.0, 50, 0.0, 40, 0.0, 2, 1, 0, 0), (3, 0.0, 3, 0.0, 3, 0.0, 2, 0, 0, 0), (1, 0.0, 4, 0.0, 0, 0.0, 2, 0, 0, 0),
+    # places whose names only hint: long unlinked text is the article's, short and linked blocks aren't
+    (60, 0.0, 5, 0.0, 50, 0.0, 1, 0, 0, 1), (40, 0.0, 60, 0.0, 3, 1.0, 1, 0, 0, 1), (120, 0.05, 30, 0.0, 80, 0.0, 1, 1, 0, 1), (35, 0.1, 0, 0.0, 40, 0.0, 1, 1, 0, 1), (55, 0.0, 2, 1.0, 2, 1.0, 1, 0, 0, 1), (90, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1),
+    (4, 0.0, 60, 0.0, 3, 1.0, 1, 0, 0, 0), (2, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0), (12, 0.0, 5, 0.0, 6, 0.0, 1, 0, 0, 0), (18, 0.0, 70, 0.0, 0, 0.0, 1, 0, 0, 0), (30, 0.8, 20, 0.5, 8, 1.0, 1, 0, 0, 0), (6, 0.5, 50, 0.0, 4, 1.0, 1, 1, 0, 0), (20, 0.9, 3, 0.0, 2, 0.0, 1, 0, 0, 0), (3, 0.0, 3, 0.0, 2, 1.0, 1, 1, 0, 0),
     # pages without helpful markup: runs of plain text are the article, and short blocks between long ones
     (80, 0.0, 6, 0.0, 70, 0.0, 0, 0, 0, 1), (45, 0.05, 80, 0.0, 60, 0.0, 0, 0, 0, 1), (18, 0.0, 60, 0.0, 75, 0.0, 0, 0, 0, 1), (6, 0.0, 90, 0.0, 50, 0.0, 0, 0, 0, 1), (30, 0.0, 2, 1.0, 40, 0.0, 0, 0, 0, 1),
     (5, 0.0, 40, 0.0, 60, 0.0, 0, 0, 1, 1), (25, 0.1, 50, 0.0, 8, 0.0, 0, 0, 0, 1), (100, 0.2, 20, 0.0, 4, 1.0, 0, 0, 0, 1), (35, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (15, 0.0, 14, 0.0, 16, 0.0, 0, 0, 0, 1),
     (13, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 1), (60, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 1), (14, 0.2, 1, 0.0, 1, 0.0, 0, 0, 0, 1), (22, 0.4, 8, 0.0, 30, 0.0, 0, 0, 0, 1), (200, 0.0, 1, 0.0, 3, 0.0, 0, 0, 0, 1),
+    (4, 0.0, 0, 0.0, 40, 0.0, 0, 0, 1, 1), (5, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1, 1), (8, 0.0, 1, 1.0, 35, 0.0, 0, 0, 1, 1), (3, 0.0, 4, 0.0, 90, 0.0, 0, 0, 1, 1),
     (3, 0.0, 30, 0.0, 28, 0.0, 0, 0, 0, 1), (2, 0.0, 45, 0.0, 120, 0.0, 0, 0, 0, 1), (9, 0.0, 33, 0.0, 27, 0.0, 0, 0, 0, 1), (16, 0.0, 90, 0.0, 2, 0.0, 0, 0, 0, 1), (28, 0.0, 4, 0.0, 9, 0.0, 0, 0, 0, 1),
     # other short blocks and linked ones are not
     (2, 1.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0), (1, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0, 0), (4, 0.0, 2, 0.5, 5, 0.6, 0, 0, 0, 0), (10, 0.9, 8, 0.8, 12, 1.0, 0, 0, 0, 0), (30, 0.8, 20, 0.7, 25, 0.9, 0, 0, 0, 0),
@@ -211,7 +296,7 @@ def main_text(page: str, tree: tuple | int) -> str:
     around = [(0, 0.0), *((b.words, b.density) for b in blocks), (0, 0.0)]
     kept = []
     for i, b in enumerate(blocks):
-        row = (b.words, b.density, *around[i], *around[i + 2], int(b.boiler), int(b.content), int(b.heading))
+        row = (b.words, b.density, *around[i], *around[i + 2], b.boiler, int(b.content), int(b.heading))
         if classify(tree, row):
             kept.append(b.text)
     return "\n\n".join(kept)
@@ -232,7 +317,7 @@ def extract_pages(pages: DataFrame, *, html_column: str = "html", tree: tuple |
             texts = [main_text(x.as_py() or "", tree) for x in batch.column(len(rest))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*rest, "text", "n_chars"])
 
-    return pages.select(*rest, F.col(html_column)).mapInArrow(run, f"{names}text string, n_chars long")
+    return pages.select(*rest, F.col(html_column)).mapInArrow(lean(run), f"{names}text string, n_chars long")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
