@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_count, table, text_bytes
+from .common import bounded_broadcast, bucket_count, materialize, table, text_bytes
 from .native import bind, spaced_words
 
 K, S = 4, 2
@@ -97,12 +97,30 @@ def likeness(a: Column, b: Column) -> Column:
     return F.round(bind(F.struct(a.alias("a"), b.alias("b")), share), 6)
 
 
-def range_tops(keys: DataFrame, many: int) -> list[tuple[int, int]]:
-    """The largest key (id, hash) of each of ``many`` even ranges, descending: so many rows, whatever the keys."""
+#: Ranges of a group, whose largest keys a row is compared with after those of the groups; ranges in all, at most, for a broadcast of 16 bytes each.
+GROUP, MOST_RANGES = 1024, 8_000_000
+
+
+def range_tops(keys: DataFrame, many: int) -> DataFrame:
+    """(range, id, hash): the largest key of each of ``many`` even ranges, numbered from 1 in descending order of keys."""
     down = [F.desc("id"), F.desc("hash")]
-    ranged = keys.repartitionByRange(many, *down).select("id", "hash", F.spark_partition_id().alias("range"))
-    rows = ranged.groupBy("range").agg(F.max(F.struct("id", "hash")).alias("top")).select("top.*").collect()
-    return sorted(((r["id"], r["hash"]) for r in rows), reverse=True)
+    ranged = keys.repartitionByRange(many, *down).select("id", "hash", F.spark_partition_id().alias("part"))
+    tops = ranged.groupBy("part").agg(F.max(F.struct("id", "hash")).alias("top")).select("top.*")
+    # one row a range, whatever the keys
+    return materialize(tops.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*down)).alias("range"), "id", "hash"))
+
+
+def with_range(rows: DataFrame, tops: DataFrame, many: int) -> DataFrame:
+    """rows (id, hash, ...) with the number of their range: first among the groups of ranges, then within the group."""
+    key = F.struct("id", "hash")
+    listed = lambda df, *by: df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("id", "hash")), asc=False).alias("tops"))
+    group = F.floor((F.col("range") - 1) / GROUP).cast("int")
+    heads = listed(tops.where((F.col("range") - 1) % GROUP == 0)).withColumnRenamed("tops", "heads")  # one row
+    groups = listed(tops.withColumn("group", group), "group")
+    reached = lambda c: F.size(F.filter(c, lambda t: t >= key))
+    at = rows.crossJoin(F.broadcast(heads)).withColumn("group", reached("heads") - 1).drop("heads")
+    both = at.join(bounded_broadcast(groups, many, MOST_RANGES), "group")
+    return both.withColumn("range", F.col("group") * GROUP + reached("tops")).drop("group", "tops")
 
 
 def fingerprint_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -120,20 +138,19 @@ def fingerprint_documents(docs: DataFrame, *, id_column: str = "doc_id", text_co
     base = base.withColumn("hash", F.xxhash64("text"))
     n = bucket_count(docs.sparkSession, text_bytes(docs, text_column))
     tops = range_tops(base.select("id", "hash").distinct(), 4 * n)
-    if not tops:
-        tops = [(0, 0)]
-    literal = F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(h).cast("long").alias("hash")) for i, h in tops])
-    ranged = base.withColumn("range", F.size(F.filter(literal, lambda t: t >= F.struct("id", "hash"))))
+    ranged = with_range(base, tops, 4 * n)
     # the texts move once, to the place of their range; a range is followed by the top of the next one
     near = ranged.repartition(n, "range")
     following = F.struct("id", "hash", "text")
     after = F.lead(following).over(Window.partitionBy("range").orderBy(F.desc("id"), F.desc("hash")))
     near = near.withColumn("after", after).withColumn("after", F.when(F.struct("after.id", "after.hash") == F.struct("id", "hash"), None).otherwise(F.col("after")))
     near = near.withColumn("after", F.max("after").over(Window.partitionBy("range", "id", "hash")))
-    wanted = docs.sparkSession.createDataFrame([(*key, (i or len(tops))) for i, key in enumerate(tops)], "id long, hash long, range int")
-    heads = base.join(F.broadcast(wanted), ["id", "hash"]).dropDuplicates(["range"])  # one text a range
-    heads = heads.select("range", F.struct("id", "hash", "text").alias("head"))
-    both = near.join(F.broadcast(heads), "range", "left").withColumn("next", F.coalesce("after", "head"))
+    # the first text of a range follows the last one of the range before, the very first the very last
+    last = tops.agg(F.max("range").alias("last"))
+    wanted = tops.crossJoin(F.broadcast(last)).select("id", "hash", F.when(F.col("range") == 1, F.col("last")).otherwise(F.col("range") - 1).alias("range"))
+    few = bounded_broadcast(wanted, 4 * n, MOST_RANGES)
+    heads = base.join(few, ["id", "hash"]).dropDuplicates(["range"]).select("range", F.struct("id", "hash", "text").alias("head"))  # one text a range
+    both = near.join(heads, "range", "left").withColumn("next", F.coalesce("after", "head"))
     both = both.select("doc_id", "text", F.col("next.text").alias("next_text"))
     size = F.length("text")
     half = F.floor(size / 2).cast("int")
