@@ -8,6 +8,7 @@ input bytes, so that what a task holds stays the same at every size.
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import math
 import os
@@ -63,7 +64,10 @@ def give_back() -> None:
 
 
 def lean(run: Callable) -> Callable:
-    """A function of batches, for mapInArrow, that gives back its memory at its end."""
+    """A function of batches, for mapInArrow, that gives back its memory at its end; the session gets what such functions need."""
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        prepare(session)
 
     def wrapped(batches):
         _allocator()
@@ -118,10 +122,32 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+_SCRATCH: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """The application's own folder in the shared one, deleted when the driver ends in good order."""
+    own = spark.sparkContext.applicationId
+    if own not in _SCRATCH:
+        _SCRATCH[own] = path = f"{shared_dir(spark)}/tables/{own}"
+
+        def tidy() -> None:
+            if SparkSession.getActiveSession() is not None and spark.sparkContext._jsc is not None:
+                remove(spark, path)
+
+        atexit.register(tidy)
+    return _SCRATCH[own]
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df to the shared folder as Parquet and read it back."""
+    """Cut the lineage: write df to the shared folder as Parquet and read it back; what is left of such tables goes with the application."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
@@ -133,9 +159,7 @@ def release(*stored: DataFrame) -> None:
     for df in stored:
         spark, path = df.sparkSession, getattr(df, "stored_at", None)
         if path:
-            jvm = spark._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            remove(spark, path)
 
 
 def collect_garbage(spark: SparkSession) -> None:

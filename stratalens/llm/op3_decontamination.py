@@ -70,8 +70,8 @@ def leaks(docs: DataFrame, items: DataFrame, *, k: int = 5, similarity: float =
     kept = windows.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("size", "start")).alias("windows"))
     few = kept.select(F.sum(F.size("windows"))).first()[0] or 0
 
-    # Only documents with such windows are read again.
-    back = cut.join(bounded_broadcast(kept.withColumnRenamed("doc_id", "id2"), few, BROADCAST_ROWS).withColumnRenamed("text_hash", "hash2"), F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("text_hash") == F.col("hash2")))
+    # Only documents with such windows are split again: the join stands below the words.
+    back = base.join(bounded_broadcast(kept.withColumnRenamed("doc_id", "id2"), few, BROADCAST_ROWS).withColumnRenamed("text_hash", "hash2"), F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("text_hash") == F.col("hash2"))).withColumn("words", words)
     back = _shingled(back, ks).select("doc_id", "text_hash", F.size("words").alias("doc_words"), "grams", F.explode("windows").alias("w"))
     cut_k = F.least(F.col("w.size"), F.lit(k))
     hashes = F.slice(F.filter("grams", lambda g: g["k"] == cut_k)[0]["hashes"], F.col("w.start") + 1, F.col("w.size") - cut_k + 1)

@@ -205,8 +205,17 @@ def training_rows(spark: SparkSession, sf_dir: str, limit: int = SAMPLE) -> Data
     return docs.join(bounded_broadcast(chosen, limit, SAMPLE), "doc_id")
 
 
+def fitted(spark: SparkSession, sf_dir: str) -> Model:
+    """The model of the labelled rows, which are kept only as long as it is fitted."""
+    rows = training_rows(spark, sf_dir).persist()
+    try:
+        return train(rows)
+    finally:
+        rows.unpersist()
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = train(training_rows(spark, sf_dir).persist())
+    model = fitted(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_documents(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
@@ -214,5 +223,5 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @clash_free
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, fitted on labelled rows, doesn't find toxic."""
-    model = train(training_rows(spark, sf_dir).persist())
+    model = fitted(spark, sf_dir)
     return score_documents(docs, model).where("predicted = 0").select(*docs.columns)

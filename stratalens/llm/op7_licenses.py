@@ -8,6 +8,8 @@ diagonals are merged, and each merged span is verified against its template.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,27 +21,52 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 
 # Passages of public licenses.
 TEMPLATES = {
-    "apache-2.0": ("licensed under the apache license version 2 0", "you may obtain a copy of the license at http www apache org licenses license 2 0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    "agpl": ("it under the terms of the gnu affero general public license as published by the free software foundation", "licensed under the gnu affero general public license"),
+    "apache-2.0": ("licensed under the apache license version 2 0", "you may obtain a copy of the license at http www apache org licenses license 2 0", "you may not use this file except in compliance with the license", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"),
+    "artistic-2.0": ("this program is free software you can redistribute it and or modify it under the terms of the artistic license",),
+    "boost-1.0": ("distributed under the boost software license version 1 0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    "bsd": (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ),
     "cc-by": ("licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"),
     "cc-by-nc": ("licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    "cc-by-nd": ("licensed under cc by nd 4 0", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"),
     "cc-by-sa": ("licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     "cc0": ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",),
-    "gpl": ("this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "licensed under the gnu general public license"),
-    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",),
-    "mit": ("released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0",),
+    "cddl": ("the contents of this file are subject to the terms of the common development and distribution license",),
+    "epl": ("this program and the accompanying materials are made available under the terms of the eclipse public license", "licensed under the eclipse public license"),
+    "gpl": (
+        "this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    ),
+    "isc": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits",
+    ),
+    "lgpl": ("it under the terms of the gnu lesser general public license as published by the free software foundation", "licensed under the gnu lesser general public license"),
+    "mit": (
+        "released under the mit license", "licensed under the mit license",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    ),
+    "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0", "licensed under the mozilla public license"),
     "unlicense": ("this is free and unencumbered software released into the public domain",),
+    "zlib": ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",),
 }
 
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
 def license_words(text: Column) -> Column:
-    """Lower-cased runs of ASCII letters and digits and of all other characters beyond ASCII."""
+    """Runs of ASCII letters and digits and of all characters beyond ASCII, A to Z in lower case."""
 
     def split(t: Column) -> Column:
-        return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.split(F.lower(t), " "))
+        return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.split(F.translate(t, ascii_uppercase, ascii_lowercase), " "))
 
     return bind(F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), SEPARATORS, " ")), split)
 

@@ -6,7 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op10_fingerprints, op1_simhash, op2_packing, op3_decontamination, op4_html, op5_toxicity, op6_substring, op7_licenses, op8_suffixes, op9_token_files
+from . import oracles, op10_fingerprints, op1_simhash, op2_packing, op3_decontamination, op4_html, op5_toxicity, op6_substring, op7_licenses, op8_suffixes, op9_token_files
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10_fingerprints that SQL can express."""
+    return op10_fingerprints.op10_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +26,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffixes.op8_suffix_dedup,
         "op9_token_files": op9_token_files.op9_token_files,
         "op10_fingerprints": op10_fingerprints.op10_fingerprints,
+        "edited_texts": edited_texts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)
