@@ -1,4 +1,4 @@
-"""Whole searches: branches by modality, filters, fusion, reranking, responses.
+"""Whole searches: branches by modality, filters, fusion, reranking, responses.
 
 A snapshot maps names to tables:
 
@@ -22,6 +22,7 @@ from concurrent.futures import TimeoutError as _Late
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -257,6 +258,29 @@ def run_query(snapshot: Snapshot, request: Request, *, rerank: bool = False, sco
     return fusion.rerank(fused, score, order=order, **{k: v for k, v in settings.items() if k != "gap_ms"})
 
 
+def model_scores(hits: DataFrame, query: str, score: Callable[[str, list[str]], Sequence[float]], *, text: str = "snippet", name: str = "model_score", query_tokens: int = 32, tokens: int = 128, batch: int = 8) -> DataFrame:
+    """hits with what a cross-encoder says of the query and each text, both cut to so many tokens, so many texts at a time.
+
+    ``score`` is the model: it comes to the workers with the function, and
+    loads what it needs there.  Hits without a text have no score.
+    """
+    short, at = " ".join(query.split()[:query_tokens]), len(hits.columns)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema)
+
+    def run(batches):
+        for part in batches:
+            texts = part.column(at).to_pylist()
+            known = [i for i, t in enumerate(texts) if t]
+            out: list[float | None] = [None] * len(texts)
+            for k in range(0, len(known), batch):
+                some = known[k : k + batch]
+                for i, value in zip(some, score(short, [texts[i] for i in some])):
+                    out[i] = float(value)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.float64())], [*part.schema.names[:-1], name])
+
+    return hits.withColumn("_text", tx.first_tokens(F.col(text), tokens)).mapInArrow(run, f"{schema}, `{name}` double")
+
+
 def redacted_hits(hits: DataFrame, policies: list[dict], org: str | None = None, action: str = "query") -> DataFrame:
     """Snippets with the kinds of data redacted that the policies name for a hit's modality."""
     kinds = redaction_types(policies, F.col("modality"), F.lit(org), action)

@@ -281,3 +281,20 @@ def media_redaction(modality: Column, wanted: Column, enabled: bool) -> Column:
     fits = F.when(F.array_contains(asked, "all"), known).otherwise(F.array_intersect(asked, known))
     reason = F.when(known.isNull(), "unsupported_modality").when(F.lit(not enabled), "disabled").when(F.size(fits) == 0, "no_types").otherwise("stub")
     return F.struct(asked.alias("requested"), F.coalesce(fits, F.array().cast("array<string>")).alias("resolved"), F.lit(False).alias("applied"), reason.alias("reason"))
+
+
+def key_frames(frames: DataFrame, by: str, at: str, change: str, *, threshold: float, least: int, fps: float, tie: tuple[str, ...] = ()) -> DataFrame:
+    """The frames of each video at which the scene changes; of a video with fewer than ``least``, frames at a fixed rate.
+
+    Frames come with how much they differ from the one before; a fixed rate
+    takes the first frame of each step of 1 / fps seconds.  ``at`` is in
+    milliseconds.  Adds reason, scene or rate.
+    """
+    step = F.floor(F.col(at) * F.lit(fps / 1000))
+    cut = F.coalesce(F.col(change) > threshold, F.lit(False))
+    own = Window.partitionBy(by)
+    marked = frames.withColumn("_cut", cut).withColumn("_cuts", F.sum(F.col("_cut").cast("long")).over(own))
+    marked = marked.withColumn("_first", F.row_number().over(Window.partitionBy(by, step).orderBy(at, *tie)) == 1)
+    scene = F.col("_cuts") >= least
+    kept = marked.where(F.when(scene, F.col("_cut")).otherwise(F.col("_first")))
+    return kept.withColumn("reason", F.when(scene, "scene").otherwise("rate")).drop("_cut", "_cuts", "_first")

@@ -205,6 +205,12 @@ def _(s, d):
     return out.select("p_partkey", F.col("window").alias("window_index"), "start_ms", r6("level_db").alias("level_db"))
 
 
+@query("q106_key_frames", "WITH e AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS at_ms, value > 430 AS cut FROM events), w AS (SELECT *, sum(cut::BIGINT) OVER (PARTITION BY user_id) AS cuts, row_number() OVER (PARTITION BY user_id, at_ms // 86400000 ORDER BY at_ms, event_id) AS nth FROM e) SELECT event_id, user_id, CASE WHEN cuts >= 5 THEN 'scene' ELSE 'rate' END AS reason FROM w WHERE CASE WHEN cuts >= 5 THEN cut ELSE nth = 1 END")
+def _(s, d):
+    e = table(s, d, "events").select("event_id", "user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("at_ms"), "value")
+    return control.key_frames(e, "user_id", "at_ms", "value", threshold=430.0, least=5, fps=1 / 86_400, tie=("event_id",)).select("event_id", "user_id", "reason")
+
+
 # --- upkeep: orders are runs, their line items the files
 
 

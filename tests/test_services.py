@@ -372,3 +372,14 @@ def test_vector_index(spark, sf, tmp_path):
         hit, wanted = hit + len(exact & found), wanted + len(exact)
     assert hit / wanted >= 0.9, hit / wanted
     assert index.build_index(v.limit(0), str(tmp_path / "none")) == 0
+
+
+def test_model_scores(spark):
+    hits = spark.createDataFrame([(f"e{i}", "document", 1.0 - i / 10, t) for i, t in enumerate(("a b c", None, "", "b c d e", "x"))], "evidence_id string, modality string, score double, snippet string")
+    seen = compose.model_scores(hits, "b c more words", lambda q, texts: [len(set(q.split()) & set(t.split())) + len(texts) / 100 for t in texts], query_tokens=2, tokens=3, batch=2)
+    got = {r.evidence_id: r.model_score for r in seen.collect()}
+    assert got["e1"] is None and got["e2"] is None and [int(got[x]) for x in ("e0", "e3", "e4")] == [2, 2, 0] and seen.columns == [*hits.columns, "model_score"]
+    from stratalens.operators import fusion
+
+    ranked = fusion.rerank(seen, F.col("model_score"), order=[F.desc("score")], min_candidates=2, skip_gap=2.0)
+    assert {r.evidence_id: r.score == r.base_score for r in ranked.collect()}["e1"]
