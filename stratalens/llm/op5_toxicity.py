@@ -40,27 +40,52 @@ EXCEPTIONS = ("trash can", "trash bin", "trash collection", "take out the trash"
 _FOLD = {ord(k): v for k, v in HOMOGLYPHS.items()}
 _DIGIT = {ord(k): v for k, v in DIGITS.items()}
 _WORD = re.compile(r"[^\W_]+")
-#: Words that hold both letters and characters that may stand for letters.
-_MIXED = re.compile(r"(?<![\w@$!|+€£])(?=[\w@$!|+€£]*[^\W\d_])(?=[\w@$!|+€£]*[013457889@$!|+€£])[\w@$!|+€£]+")
+_STAND_INS = "@$!|+€£"
+#: A run of letters, digits and characters that may stand for letters.
+_RUN = re.compile(rf"[\w{_STAND_INS}]+")
+_LETTER = re.compile(r"[^\W\d_]")
 _TRAILING = re.compile(r"[!|+]+$")
-_STAND_IN = re.compile(r"[013457889@$!|+€£]")
+_STAND_IN = re.compile(rf"[01345789{_STAND_INS}]")
 _MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u20d0-\u20ff]+")
+_GLYPH = re.compile(f"[{''.join(HOMOGLYPHS)}]")
 
 
-def _unmask(match: re.Match) -> str:
-    word = match[0]
+def _unmask(word: str) -> str:
     core = _TRAILING.sub("", word)
     return core.translate(_DIGIT) + word[len(core) :]
 
 
+def _unmasked(text: str) -> str:
+    """text with the stand-ins of runs that also hold letters undone; only runs around a stand-in are looked at."""
+    out, done = [], 0
+    for m in _STAND_IN.finditer(text):
+        at = m.start()
+        if at < done:
+            continue
+        while at > done and (text[at - 1].isalnum() or text[at - 1] == "_" or text[at - 1] in _STAND_INS):
+            at -= 1
+        run = _RUN.match(text, at)[0]
+        if _LETTER.search(run):
+            out += (text[done:at], _unmask(run))
+        else:
+            out.append(text[done : at + len(run)])
+        done = at + len(run)
+    out.append(text[done:])
+    return "".join(out)
+
+
 def fold(text: str) -> str:
-    """Lower case, without accents, homoglyphs and, in words that also hold letters, digit substitutions."""
+    """Lower case, without accents, homoglyphs and, in runs that also hold letters, digit substitutions."""
     if text.isascii():
         text = text.lower()
     else:
-        text = unicodedata.normalize("NFKD", text.translate(_FOLD).lower().translate(_FOLD))
-        text = _MARKS.sub("", text)
-    return _MIXED.sub(_unmask, text) if _STAND_IN.search(text) else text
+        if _GLYPH.search(text):
+            text = text.translate(_FOLD)
+        text = text.lower()
+        if _GLYPH.search(text):
+            text = text.translate(_FOLD)
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
+    return _unmasked(text)
 
 
 def entries_of(folded: str) -> set[str]:

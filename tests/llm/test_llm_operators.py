@@ -485,3 +485,39 @@ def test_near_duplicates_of_large_groups(spark):
     rows = list(enumerate(texts))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert {r.doc_id for r in op1_simhash.stage(spark, docs, "").select("doc_id").collect()} == smallest_of_groups(rows)
+
+
+def test_op5_features_against_brute_force():
+    """Overlapping entries, beginnings of words, exception phrases and masked words."""
+    rng = random.Random(21)
+    words = ["scum", "scums", "trash", "can", "pond", "clown", "fish", "idiot", "idiotic", "idio", "sc", "umbrella", "the", "1d10t", "Tr@sh", "сlоwn", "fîsh"]
+    weights = {" scum ": 2.0, " scum": 1.5, " idiot": 3.0, " idio": 1.0, " idiot ": 2.5, " trash ": 1.25, " clown ": 0.75, " um": 9.0}
+    model = op5_toxicity.Model(weights)
+
+    def brute(text):
+        own = re.findall(r"[^\W_]+", op5_toxicity.fold(text))
+        line = " " + " ".join(own) + " "
+        found = lambda x: [i for i in range(len(line)) if line.startswith(x, i)]
+        spared = [(i, i + len(x) + 1) for x in op5_toxicity.EXCEPTIONS for i in found(f" {x} ")]
+        best = {}
+        for entry, weight in weights.items():
+            for i in found(entry):
+                best[i] = max(best.get(i, 0.0), weight)
+        total = sum(w for i, w in best.items() if not any(a <= i < b for a, b in spared))
+        return float(np.log1p(total)), float(np.log1p(100 * total / max(len(own), 10)))
+
+    for _ in range(2000):
+        text = "".join(rng.choice(words) + rng.choice((" ", " ", ", ", "!", "\n", "-")) for _ in range(rng.randint(0, 12)))
+        assert model.features(text) == pytest.approx(brute(text)), text
+
+
+def test_op5_repeated_labels_and_rows(spark, tmp_path):
+    rows = [(i, f"you utter scum number {i}" if i % 3 == 0 else f"a fine day number {i}", "en", "s", 1) for i in range(300)]
+    rows += [(0, "you utter scum number 0", "en", "s", 1), (7, "another text under seven", "en", "s", 1), (None, None, None, None, None)]
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(300)] + [(0, 1, 1), (0, 1, 0), (5, 1, None), (None, 1, 1), (9999, 1, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality long, toxic long").write.parquet(str(tmp_path / "labels.parquet"))
+    got = op5_toxicity.op5_toxicity(spark, str(tmp_path)).collect()
+    assert counted(r.doc_id for r in got) == counted(r[0] for r in rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert sum(r.predicted == (r.doc_id % 3 == 0) for r in got if r.doc_id is not None) >= 295
