@@ -92,7 +92,10 @@ def likeness(a: Column, b: Column) -> Column:
         total = F.size(p["a"]) + F.size(p["b"])
         width = F.greatest(F.lit(16), F.floor(F.greatest(F.size(p["a"]), F.size(p["b"])) / 16))
         met = bind(bind(F.sort_array(F.concat(tagged(p["a"], 0), tagged(p["b"], 1))), diagonals), lambda found: best(found, width))
-        return F.when(total == 0, F.lit(1.0)).otherwise(bind(met, lambda m: m / (total - m)))
+        hashes = lambda xs: F.transform(xs, lambda x: F.shiftrightunsigned(x, PLACE))
+        # texts without a hash in common, as most of two documents are, need no diagonals
+        apart = ~F.arrays_overlap(hashes(p["a"]), hashes(p["b"]))
+        return F.when(total == 0, F.lit(1.0)).when(apart, F.lit(0.0)).otherwise(bind(met, lambda m: m / (total - m)))
 
     return F.round(bind(F.struct(a.alias("a"), b.alias("b")), share), 6)
 
