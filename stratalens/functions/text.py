@@ -51,8 +51,10 @@ def token_f1(text: Column, query: str) -> Column:
     own = word_set(F.coalesce(text, F.lit("")))
     if not wanted:
         return F.lit(0.0)
-    shared = F.size(F.array_intersect(own, F.array(*[F.lit(x) for x in wanted])))
-    return F.when(shared == 0, 0.0).otherwise(2.0 * shared / (F.size(own) + len(wanted)))
+    asked = F.array(*[F.lit(x) for x in wanted])
+    shared = lambda w: F.size(F.array_intersect(w, asked))
+    # a lambda's variable is a value: words are made once
+    return F.transform(F.array(own), lambda w: F.when(shared(w) == 0, 0.0).otherwise(2.0 * shared(w) / (F.size(w) + len(wanted))))[0]
 
 
 def highlight(text: Column, query: str, limit: int = 240) -> Column:
