@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .op11_secrets import PATTERNS
 from .op7_licenses import PHRASES, TEMPLATES
 
 SUBSTRINGS = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -62,4 +63,43 @@ EDITED = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first(t) OVER (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS nt FROM d)
 SELECT doc_id, length(t) AS n_chars, sha256(left(t, length(t) - length(t) // 2) || left(nt, length(t) // 2)) AS edited_sha256 FROM n"""
 
-ORACLES = {"edited_texts": EDITED, "op3_decontamination": LEAKS, "op6_substring_dedup": SUBSTRINGS, "op7_license_scan": licenses(), "op8_suffix_dedup": SUFFIXES}
+
+def secrets() -> str:
+    """Where named patterns stand: what lies between matches, and the matches, one after another."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    kinds = " UNION ALL ".join(f"SELECT doc_id, {i} AS o, '{kind}' AS kind, {least} AS least, string_split_regex(t, {quoted(p)}) AS gaps, regexp_extract_all(t, {quoted(p)}) AS found, regexp_extract_all(t, {quoted(p)}, {group}) AS part FROM d" for i, (kind, (p, group, least)) in enumerate(PATTERNS.items()))
+    return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({kinds}),
+i AS (SELECT doc_id, o, kind, least, part[i] AS part, found[i] AS found, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS a FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m)),
+s AS (SELECT doc_id, o, kind, a::BIGINT AS a, (a + length(found))::BIGINT AS z FROM i WHERE length(part) >= least),
+l AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, o) AS line FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(line, '')) AS base_sha256 FROM d LEFT JOIN l USING (doc_id)"""
+
+
+#: Every kept term of every group, each pair of groups by each term.
+DIVERGENCE = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+o AS (SELECT lang, source, r, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM o GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS c FROM o SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL) USING (lang, source)),
+p AS (SELECT lang, g.source, k.term, coalesce(c, 0) AS c, (1 + 1000000000 * (coalesce(c, 0) + 2)::HUGEINT // (g.n + 2 * v.v)::HUGEINT)::BIGINT AS p, (1 + 1000000000 * (total + 2)::HUGEINT // (v.n + 2 * v.v)::HUGEINT)::BIGINT AS q FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE c > 0 AND p > q)
+SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM x) WHERE part = 'pair' OR rank <= 10"""
+
+#: Rebuilt conversations, every prefix as a list; below a node lies what its members' longer prefixes are.
+TRIE = r"""WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS x FROM conversations WHERE conv_id IS NOT NULL),
+b AS (SELECT c, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)) AS bytes FROM (SELECT DISTINCT c FROM t)),
+h AS (SELECT c, c - c % 20 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(bytes, lambda x: [x::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END), 4294967295) % 4 AS h FROM b),
+r AS (SELECT h.c, 0 AS late, i, x FROM h JOIN t ON t.c = h.base AND t.i <= h.h UNION ALL SELECT h.c, 1, i, x FROM h JOIN t ON t.c = h.c AND t.i > h.h),
+o AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY late, i) AS d, x FROM r),
+p AS (SELECT c, d, list(x) OVER (PARTITION BY c ORDER BY d) AS k FROM o UNION ALL SELECT c, 0, [] FROM h),
+m AS (SELECT k, d, min(c) AS conv, count(*) AS n FROM p GROUP BY ALL),
+e AS (SELECT k, string_agg(c::VARCHAR, ',' ORDER BY c) AS line FROM (SELECT c, k, d, max(d) OVER (PARTITION BY c) AS most FROM p) WHERE d = most GROUP BY k),
+l AS (SELECT m.*, (n - 1) * CASE WHEN m.d = 0 THEN 0 ELSE len(regexp_extract_all(m.k[m.d].text, '[^\x20\x09-\x0D]+')) END AS saved, count(z.k) AS children FROM m LEFT JOIN (SELECT k, d, k[1:d - 1] AS up FROM m WHERE d > 0) z ON z.d = m.d + 1 AND z.up = m.k GROUP BY ALL),
+s AS (SELECT v.k, sum(u.saved)::BIGINT AS saved_tokens, count(*) FILTER (u.children = 0) AS n_leaves FROM (SELECT DISTINCT v.k, u.k AS uk FROM p v JOIN p u ON u.c = v.c AND u.d >= v.d) v JOIN l u ON u.k = v.uk GROUP BY v.k)
+SELECT l.conv AS conv_id, l.d AS depth, up.conv AS parent_conv_id, l.n AS n_convs, l.children AS n_children, n_leaves, saved_tokens, sha256(coalesce(line, '')) AS ends_sha256 FROM l JOIN s ON s.k = l.k LEFT JOIN e ON e.k = l.k LEFT JOIN m up ON l.d > 0 AND up.d = l.d - 1 AND up.k = l.k[1:l.d - 1]"""
+
+ORACLES = {"edited_texts": EDITED, "op12_divergence": DIVERGENCE, "op13_prefix_trie": TRIE, "secret_spans": secrets(), "op3_decontamination": LEAKS, "op6_substring_dedup": SUBSTRINGS, "op7_license_scan": licenses(), "op8_suffix_dedup": SUFFIXES}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracles, op10_fingerprints, op1_simhash, op2_packing, op3_decontamination, op4_html, op5_toxicity, op6_substring, op7_licenses, op8_suffixes, op9_token_files
+from . import oracles, op10_fingerprints, op11_secrets, op12_divergence, op13_tries, op1_simhash, op2_packing, op3_decontamination, op4_html, op5_toxicity, op6_substring, op7_licenses, op8_suffixes, op9_token_files
 
 
 def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_files": op9_token_files.op9_token_files,
         "op10_fingerprints": op10_fingerprints.op10_fingerprints,
         "edited_texts": edited_texts,
+        "op11_secret_scan": op11_secrets.op11_secret_scan,
+        "secret_spans": op11_secrets.secret_spans,
+        "op12_divergence": op12_divergence.op12_divergence,
+        "op13_prefix_trie": op13_tries.op13_prefix_trie,
     }
 
 

@@ -9,7 +9,7 @@ from stratalens.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_rows_as_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     want = con.sql(queries.oracle_sql()[name])
     df = queries.queries()[name](spark, sf)
@@ -25,8 +25,10 @@ def test_awkward_rows_in_sql(spark, tmp_path):
     rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(lines + [words, "head " + words, words + " tail", "É" * 900, "É" * 500])]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(0, "one two three four five six seven eight nine ten"), (1, "w3 w4 w5 w6"), (2, None), (3, "é ß 日本 é ß 日本 é ß 日本")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    turns = [(0, 1, "user", "hello there"), (0, 0, "user", "first"), (0, None, None, "zeroth"), (1, 0, "user", "own"), (21, 5, None, None), (22, 0, "user", "a b"), (22, 0, "user", "a b"), (-3, 0, "user", "x"), (None, 0, "user", "lost"), *[(40 + i, j, "user", f"turn {j}") for i in range(20) for j in range(5)]]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
     for name, sql in queries.oracle_sql().items():
         want = con.sql(sql)
