@@ -1,26 +1,76 @@
-"""An index of vectors: inverted lists by nearest centroid, searched a few lists at a time.
+"""An index of vectors: lists by nearest centroid, quantised residuals, exact distances for what is left.
 
-Searches that must be exact use search.nearest; this one trades recall for
-reading less.  Every vector is indexed; only the centroids are fitted on a
-sample of bounded size.
+What a search scans is codes: a vector's list, and its residual cut into parts
+of which each is the number of a word in that part's code book.  Distances to
+the words are tabled once a query and list.  The best by code are then
+measured by their whole vectors.  Vectors and their codes are columns of a
+table of a versioned snapshot whose files each hold few lists, so a scan reads
+the column of codes, measuring reads the files of some lists only, an insertion
+adds files, and a deletion rewrites those it touches.
+
+``search_index`` may miss a neighbour; ``search_exactly`` may not: every vector
+is known to lie within a stored distance of what its code stands for, which
+bounds how near it can be.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_distance, score_of_distance
+from ..session import materialize
+from ..sources.snapshots import SnapshotLog
+
+#: Vectors that centroids and code books are fitted on, at most, by the hashes of their ids; centroids, at most; words of a book; rounds of fitting.
+TRAIN, LISTS, WORDS, ROUNDS = 1_000_000, 4_096, 256, 5
+#: Coordinates of one part of a residual; files that a build writes; codes, and queries, that meet at once.
+WIDTH, FILES, BLOCK, QUERIES = 4, 64, 4_096, 256
+#: How many times k vectors are measured after the codes are scanned.
+RERANK = 16
+
+
+@dataclass
+class Model:
+    centres: np.ndarray  # lists, dimensions
+    books: np.ndarray  # parts, words, width
+    radius: np.ndarray  # of each list: how far its farthest vector is
+
+    @property
+    def parts(self) -> int:
+        return len(self.books)
+
+    def padded(self, points: np.ndarray) -> np.ndarray:
+        return np.pad(points, ((0, 0), (0, self.parts * self.books.shape[2] - points.shape[1])))
+
+    def lists_of(self, points: np.ndarray) -> np.ndarray:
+        return (points @ self.centres.T - (self.centres**2).sum(axis=1) / 2).argmax(axis=1)
+
+    def encode(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List, code, and how far the vector is from what they stand for."""
+        which = self.lists_of(points)
+        rest = self.padded(points - self.centres[which]).reshape(len(points), self.parts, -1)
+        codes = np.empty((len(points), self.parts), np.uint8)
+        off = np.zeros(len(points))
+        for j, book in enumerate(self.books):
+            apart = ((rest[:, j, None, :] - book[None]) ** 2).sum(axis=2)
+            codes[:, j] = apart.argmin(axis=1)
+            off += apart.min(axis=1)
+        return which, codes, np.sqrt(off)
 
-#: Vectors that centroids are fitted on, at most, those with the smallest hashes of their ids; centroids, at most; rounds of fitting.
-SAMPLE, LISTS, ROUNDS = 50_000, 4_096, 12
-#: Files that a list's vectors are dealt to, so that one hot list is no one task's.
-SALT = 8
+    def tables(self, queries: np.ndarray, which: int) -> np.ndarray:
+        """Squared distances of the parts of queries, seen from a list's centroid, to the words of the books."""
+        rest = self.padded(queries - self.centres[which]).reshape(len(queries), self.parts, 1, -1)
+        return ((rest - self.books[None]) ** 2).sum(axis=3)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -28,58 +78,247 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(size > 0, size, 1)
 
 
-def fit_centroids(sample: np.ndarray, lists: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
-    """Spherical k-means; an empty cluster starts again at the vector farthest from its centroid."""
-    points = _unit(sample.astype(np.float64))
-    lists = min(lists, len(points))
-    centres = points[np.random.default_rng(seed).choice(len(points), lists, replace=False)]
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A batch of vectors, each scaled to length one."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return _unit(flat.reshape(len(column), -1)) if len(column) else np.zeros((0, 0))
+
+
+def _means(points: DataFrame, vector: str, place: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], old: np.ndarray) -> np.ndarray:
+    """One round of k-means: sums by slot within tasks, added up by Spark; a slot that nothing fell to stays."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts = np.zeros(old.shape), np.zeros(len(old), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                slots, values = place(_matrix(batch.column(0)))
+                np.add.at(sums, slots, values)
+                counts += np.bincount(slots, minlength=len(old))
+        met = np.flatnonzero(counts)
+        yield pa.record_batch([pa.array(met.astype(np.int32)), pa.array(counts[met]), pa.array(list(sums[met]), pa.list_(pa.float64()))], names=["slot", "n", "total"])
+
+    made = points.select(vector).mapInArrow(partial, "slot int, n long, total array<double>")
+    rows = made.groupBy("slot").agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total")).collect()  # a row a slot
+    new = old.copy()
+    for r in rows:
+        new[r["slot"]] = np.array(r["total"]) / r["n"]
+    return new
+
+
+def fit(vectors: DataFrame, total: int, *, key: str, vector: str, lists: int, words: int = WORDS, width: int = WIDTH, rounds: int = ROUNDS) -> Model:
+    """Centroids by rounds over up to TRAIN vectors in place, then code books of the residuals in the same way."""
+    points = vectors.select(key, vector)
+    if total > TRAIN:
+        points = materialize(points.where(F.pmod(F.xxhash64(key), F.lit(total)) < TRAIN))
+    first = points.orderBy(F.xxhash64(key), key).limit(max(lists, words)).select(vector).toArrow().column(0).combine_chunks()
+    start = _matrix(first)
+    centres = start[:lists]
     for _ in range(rounds):
-        near = points @ centres.T
-        which = near.argmax(axis=1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, which, points)
-        empty = np.flatnonzero(np.bincount(which, minlength=lists) == 0)
-        sums[empty] = points[np.argsort(near.max(axis=1))[: empty.size]]
-        centres = _unit(sums)
-    return centres
-
-
-def build_index(vectors: DataFrame, path: str, *, key: str = "id", vector: str = "vector", lists: int | None = None) -> int:
-    """Write every vector to the list of its nearest centroid; how many lists there are, 0 if there is no vector."""
-    spark = vectors.sparkSession
-    known = vectors.where(F.col(vector).isNotNull())
+        near = lambda p, c=centres: ((p @ c.T - (c**2).sum(axis=1) / 2).argmax(axis=1), p)
+        centres = _means(points, vector, near, centres)
+    parts = math.ceil(start.shape[1] / width)
+    words = min(words, len(start))
+    model = Model(centres, np.zeros((parts, words, width)), np.zeros(len(centres)))
+    rest = model.padded(start[:words] - centres[model.lists_of(start[:words])])
+    books = rest.reshape(words, parts, width).transpose(1, 0, 2)
+    for _ in range(rounds):
+
+        def coded(p: np.ndarray, m: Model = Model(centres, books, model.radius)) -> tuple[np.ndarray, np.ndarray]:
+            which, codes, _ = m.encode(p)
+            left = m.padded(p - m.centres[which]).reshape(len(p), parts, width)
+            return (codes + np.arange(parts) * words).ravel(), left.reshape(-1, width)
+
+        books = _means(points, vector, coded, books.reshape(-1, width)).reshape(parts, words, width)
+    return Model(centres, books, model.radius)
+
+
+def _coded(vectors: DataFrame, model: Model, key: str, vector: str) -> DataFrame:
+    """vectors with list, code, off (the distance to what the code stands for) and away (to the centroid)."""
+    at = vectors.columns.index(vector)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                points = _matrix(batch.column(at))
+                which, codes, off = model.encode(points)
+                away = np.sqrt(((points - model.centres[which]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(which.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off), pa.array(away)], [*batch.schema.names, "list", "code", "off", "away"])
+
+    return vectors.mapInArrow(run, f"{schema}, list int, code binary, off double, away double")
+
+
+def _known(vectors: DataFrame, vector: str) -> DataFrame:
+    """Vectors that have a direction."""
+    return vectors.where(F.exists(vector, lambda x: x != 0))
+
+
+def _store(log: SnapshotLog, coded: DataFrame, key: str) -> list[dict]:
+    """Write coded vectors by list; a hot list is four tasks' work."""
+    placed = coded.repartition(min(FILES, coded.sparkSession.sparkContext.defaultParallelism * 4), "list", F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("list", key)
+    return log.write("vectors", placed, uuid.uuid4().hex)
+
+
+def _as_rows(spark: SparkSession, model: Model) -> DataFrame:
+    rows = [("centre", i, c.tolist(), float(r)) for i, (c, r) in enumerate(zip(model.centres, model.radius))]
+    rows += [("word", i, w.tolist(), float(model.books.shape[1])) for i, w in enumerate(model.books.reshape(-1, model.books.shape[2]))]
+    return spark.createDataFrame(rows, "kind string, place int, value array<double>, more double").coalesce(1)
+
+
+def load_model(log: SnapshotLog) -> Model | None:
+    """The model of an index, some thousand short rows; None for an empty index."""
+    if log.version() < 0:
+        return None
+    rows = log.read("model").orderBy("kind", "place").collect()
+    centres, words = ([r for r in rows if r["kind"] == k] for k in ("centre", "word"))
+    book = np.array([r["value"] for r in words])
+    return Model(np.array([r["value"] for r in centres]), book.reshape(-1, int(words[0]["more"]), book.shape[1]), np.array([r["more"] for r in centres]))
+
+
+def _commit(log: SnapshotLog, seen: int, model: Model, coded: DataFrame, key: str, gone: list[tuple[str, str]]) -> int:
+    """Coded vectors, and the model with the radius that they need, in one version."""
+    for r in coded.groupBy("list").agg(F.max("away").alias("away")).collect():  # LISTS rows at most
+        model.radius[r["list"]] = max(model.radius[r["list"]], r["away"])
+    rows = _as_rows(log.spark, model)
+    old = [("model", r["uri"]) for r in log.pruned("model", seen).select("uri").collect()]
+    added = _store(log, coded, key) + log.write("model", rows, uuid.uuid4().hex)
+    return log.commit(added, [*gone, *old], schemas={"vectors": coded.schema, "model": rows.schema}, read_version=seen)
+
+
+def build_index(vectors: DataFrame, path: str, *, key: str = "id", vector: str = "vector", lists: int | None = None, **sizes: int) -> int:
+    """Fit a model and index every vector that has a direction, neither null nor zero; how many lists there are, 0 if there is no such vector.
+
+    An index that is there already is replaced, in one version.
+    """
+    known = _known(vectors, vector)
     total = known.count()
     if not total:
         return 0
-    sample = known.select(vector).orderBy(F.xxhash64(key)).limit(SAMPLE).toArrow()[vector].to_pylist()
-    centres = fit_centroids(np.array(sample), lists or max(1, min(LISTS, math.isqrt(total))))
-    at = known.columns.index(vector)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.schema)
-    small = centres.astype(np.float32)
+    model = fit(known, total, key=key, vector=vector, lists=lists or max(1, min(LISTS, math.isqrt(total))), **sizes)
+    log = SnapshotLog(vectors.sparkSession, path)
+    seen = log.version()
+    gone = [("vectors", r["uri"]) for r in log.pruned("vectors", seen).select("uri").collect()] if seen >= 0 else []
+    _commit(log, seen, model, materialize(_coded(known, model, key, vector)), key, gone)
+    return len(model.centres)
+
+
+def insert_vectors(vectors: DataFrame, path: str, *, key: str = "id", vector: str = "vector") -> int:
+    """Add vectors to an index, in new files; the model's centroids and books stay.  The version."""
+    log = SnapshotLog(vectors.sparkSession, path)
+    model, seen = load_model(log), log.version()
+    return _commit(log, seen, model, materialize(_coded(_known(vectors, vector), model, key, vector)), key, [])
+
+
+def delete_vectors(spark: SparkSession, path: str, keys: DataFrame, *, key: str = "id") -> int:
+    """Take the vectors of keys out: files that hold one are rewritten without it.  The version."""
+    log = SnapshotLog(spark, path)
+    seen, gone = log.version(), keys.select(key).distinct()
+    held = log.read("vectors", seen)
+    uris = [r["uri"] for r in held.select(key, F.col("_metadata.file_path").alias("uri")).join(gone, key, "left_semi").select("uri").distinct().collect()]  # files, not rows
+    if not uris:
+        return seen
+    kept = materialize(spark.read.schema(held.schema).parquet(*uris).join(gone, key, "left_anti").select(*held.columns))
+    return log.commit(_store(log, kept, key), [("vectors", u) for u in uris], schemas={"vectors": kept.schema}, read_version=seen)
+
+
+def _packed_codes(stored: DataFrame, key: str) -> DataFrame:
+    """Codes of one list, up to BLOCK of them a row; files are sorted by list."""
+    kind = stored.schema[key].dataType.simpleString()
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.array(batch.column(at).to_pylist(), np.float32).reshape(batch.num_rows, -1)
-            which = (rows @ small.T).argmax(axis=1) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(which.astype(np.int32))], [*batch.schema.names, "list"])
+            lists = batch.column(1).to_numpy()
+            starts = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]]) if len(lists) else np.zeros(0, int)
+            for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(lists)]):
+                for i in range(a, z, BLOCK):
+                    n = min(BLOCK, z - i)
+                    keys, codes, offs = (batch.column(c).slice(i, n) for c in (0, 2, 3))
+                    yield pa.record_batch([pa.array([int(lists[a])], pa.int32()), pa.array([keys.to_pylist()], pa.list_(keys.type)), pa.array([b"".join(codes.to_pylist())], pa.binary()), pa.array([offs.to_numpy().tobytes()], pa.binary())], names=["list", "keys", "codes", "offs"])
 
-    placed = known.mapInArrow(assign, f"{schema}, list int")
-    placed.repartition("list", F.pmod(F.xxhash64(key), F.lit(SALT))).write.mode("overwrite").partitionBy("list").parquet(f"{path}/lists")
-    spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "list int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
-    return len(centres)
+    return stored.select(key, "list", "code", "off").mapInArrow(pack, f"list int, keys array<{kind}>, codes binary, offs binary")
 
 
-def search_index(spark: SparkSession, path: str, query: Sequence[float], k: int, *, probes: int | None = None, key: str = "id", vector: str = "vector") -> DataFrame:
-    """The k nearest among the vectors of the ``probes`` lists whose centroids are nearest; adds distance and score.
+def _packed_queries(queries: DataFrame, model: Model, probes: int | None) -> DataFrame:
+    """Queries (qid, vector, reach) by the lists they look into: the nearest ``probes``, or all that may hold a vector within reach."""
+    kind = queries.schema["qid"].dataType.simpleString()
 
-    By default 65 of 100 lists, which finds 0.95 of the ten nearest among the
-    test vectors (2,000 that hardly cluster; half of the lists find 0.89);
-    vectors that cluster need far fewer.
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, QUERIES):
+                part = batch.slice(i, QUERIES)
+                points, reach = _matrix(part.column(1)), part.column(2).to_numpy()
+                apart = np.sqrt(np.maximum(((points[:, None, :] - model.centres[None]) ** 2).sum(axis=2), 0))
+                looks = apart - model.radius <= reach[:, None] if probes is None else apart.argsort(axis=1).argsort(axis=1) < probes
+                ids = part.column(0)
+                for which in np.flatnonzero(looks.any(axis=0)).tolist():
+                    own = np.flatnonzero(looks[:, which])
+                    yield pa.record_batch([pa.array([which], pa.int32()), pa.array([ids.take(pa.array(own)).to_pylist()], pa.list_(ids.type)), pa.array([points[own].tobytes()], pa.binary()), pa.array([reach[own].tobytes()], pa.binary())], names=["list", "qids", "points", "reaches"])
+
+    return queries.select("qid", "vector", "reach").mapInArrow(pack, f"list int, qids array<{kind}>, points binary, reaches binary")
+
+
+def _candidates(stored: DataFrame, queries: DataFrame, model: Model, key: str, *, probes: int | None, most: int | None) -> DataFrame:
+    """(qid, key, list, near) by codes: the ``most`` nearest of each query, or all that may lie within its reach."""
+    pairs = _packed_codes(stored, key).join(_packed_queries(queries, model, probes), "list")
+    kinds = queries.schema["qid"].dataType.simpleString(), stored.schema[key].dataType.simpleString()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for which, keys, codes, offs, qids, points, reaches in zip(*(c.to_pylist() for c in batch.columns)):
+                code = np.frombuffer(codes, np.uint8).reshape(len(keys), model.parts)
+                tables = model.tables(np.frombuffer(points).reshape(len(qids), -1), which)
+                near = np.zeros((len(qids), len(keys)))
+                for j in range(model.parts):
+                    near += tables[:, j][:, code[:, j]]
+                if most is None:
+                    q, v = np.nonzero(np.sqrt(near) - np.frombuffer(offs) <= np.frombuffer(reaches)[:, None])
+                else:
+                    v = np.argpartition(near, most, axis=1)[:, :most] if len(keys) > most else np.tile(np.arange(len(keys)), (len(qids), 1))
+                    q, v = np.repeat(np.arange(len(qids)), v.shape[1]), v.ravel()
+                yield pa.record_batch([pa.array([qids[i] for i in q.tolist()], batch.schema.field("qids").type.value_type), pa.array([keys[i] for i in v.tolist()], batch.schema.field("keys").type.value_type), pa.array(np.full(len(q), which, np.int32)), pa.array(near[q, v])], names=["qid", key, "list", "near"])
+
+    found = pairs.select("list", "keys", "codes", "offs", "qids", "points", "reaches").mapInArrow(scan, f"qid {kinds[0]}, `{key}` {kinds[1]}, list int, near double")
+    if most is None:
+        return found
+    nth = F.row_number().over(Window.partitionBy("qid").orderBy("near", key))
+    return found.withColumn("_nth", nth).where(F.col("_nth") <= most).drop("_nth")
+
+
+def _measured(log: SnapshotLog, version: int, found: DataFrame, queries: DataFrame, k: int, key: str, vector: str) -> DataFrame:
+    """The k nearest candidates of each query by their whole vectors, read from files of the candidates' lists."""
+    found = materialize(found.select("qid", key, "list"))
+    lists = [r["list"] for r in found.select("list").distinct().collect()]  # LISTS at most
+    stored = log.read("vectors", version, list=lists).drop("code", "off", "away")
+    both = stored.join(found, ["list", key]).drop("list").join(queries.select("qid", F.col("vector").alias("_query")), "qid")
+    apart = both.withColumn("distance", cosine_distance(vector, F.col("_query"))).drop("_query")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", key))
+    return apart.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", score_of_distance(F.col("distance")))
+
+
+def search_many(spark: SparkSession, path: str, queries: DataFrame, k: int, *, probes: int | None = None, rerank: int = RERANK, exact: bool = False, key: str = "id", vector: str = "vector") -> DataFrame:
+    """The k nearest vectors of each query (qid, vector): qid, rank, the vectors' columns, distance and score.
+
+    Codes are scanned in the ``probes`` nearest lists (all, if none is given),
+    and ``rerank`` times k of a query are measured.  With ``exact`` the k-th
+    distance so found is a bound: every list and code that may lie within it is
+    looked at again, and what is left is measured, so no neighbour is missed.
+    Queries without a direction have no neighbours.
     """
-    rows = spark.read.parquet(f"{path}/centres").collect()  # LISTS rows at most
-    centres = np.array([r["centre"] for r in rows])
-    q = np.asarray(query, np.float64)
-    best = np.argsort(-(centres @ q))[: probes or math.ceil(0.65 * len(rows))]
-    some = spark.read.parquet(f"{path}/lists").where(F.col("list").isin([int(rows[i]["list"]) for i in best]))  # other lists' folders aren't read
-    ranked = some.withColumn("distance", cosine_distance(vector, query))
-    return ranked.orderBy(F.asc_nulls_last("distance"), key).limit(k).drop("list").withColumn("score", score_of_distance(F.col("distance")))
+    log = SnapshotLog(spark, path)
+    model, version = load_model(log), log.version()
+    if model is None:
+        return spark.createDataFrame([], "qid long, rank int, distance double, score double")
+    asked = _known(queries.select("qid", "vector"), "vector").withColumn("reach", F.lit(math.inf))
+    stored = log.read("vectors", version)
+    best = _measured(log, version, _candidates(stored, asked, model, key, probes=probes or len(model.centres), most=rerank * k), asked, k, key, vector)
+    if not exact:
+        return best
+    bound = best.groupBy("qid").agg(F.when(F.count("*") == k, F.sqrt(2 * F.max("distance")) + 1e-6).alias("_reach"))
+    asked = asked.drop("reach").join(bound, "qid", "left").select("qid", "vector", F.coalesce("_reach", F.lit(math.inf)).alias("reach"))
+    return _measured(log, version, _candidates(stored, materialize(asked), model, key, probes=None, most=None), asked, k, key, vector)
+
+
+def search_index(spark: SparkSession, path: str, query: Sequence[float], k: int, **options) -> DataFrame:
+    """The k nearest of one query, with distance and score."""
+    asked = spark.createDataFrame([(0, [float(x) for x in query])], "qid int, vector array<double>")
+    return search_many(spark, path, asked, k, **options).orderBy("rank").drop("qid", "rank")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from ..sources.snapshots import SnapshotLog
 from ..streaming.folds import fold_by_key
 from .control import build_decision
 from .graph import append_by_name, first_fit_batches
@@ -243,6 +245,34 @@ def build_snapshot(spark: SparkSession, sources: Mapping[str, DataFrame], manife
     return report
 
 
+def update_snapshot(spark: SparkSession, sources: Mapping[str, DataFrame], manifests: DataFrame, path: str, *, least: int = 1, most: int = 1000, compacted: bool = False) -> SnapshotReport:
+    """Bring a versioned snapshot up to the manifests (uri), writing the rows of new ones only.
+
+    A full build, for too many new manifests or after a compaction, puts new
+    files in place of all live ones, in one version; ``rows`` are those that
+    were written.  The fingerprint is the version that the snapshot is at.
+    """
+    log = SnapshotLog(spark, path)
+    seen = log.version()
+    known = log.manifests(seen).select(F.col("manifest").alias("uri")).distinct()
+    uris = sorted(r["uri"] for r in manifests.select("uri").distinct().collect())  # one row a run
+    fresh = sorted(r["uri"] for r in new_manifests(manifests.select("uri").distinct(), known).collect())
+    decision = build_decision(same_fingerprint=not fresh, fresh=len(fresh), base_exists=seen >= 0, compacted=compacted, least=least, most=most)
+    if decision in ("skip", "defer"):
+        return SnapshotReport(decision, str(seen), uris, len(fresh))
+    if decision == "incremental" or seen < 0:
+        at = log.append(sources, fresh, read_version=seen)
+    else:
+        wanted = spark.createDataFrame([(u,) for u in uris], "_manifest string")
+        own = {name: rows.join(F.broadcast(wanted), "_manifest", "left_semi").drop("_manifest") for name, rows in sources.items()}
+        commit = uuid.uuid4().hex
+        added = [a for name, rows in own.items() for a in log.write(name, rows, commit)]
+        gone = [(r["table"], r["uri"]) for r in log.files(seen).select("table", "uri").collect()]
+        at = log.commit(added, gone, manifests=fresh, schemas={name: rows.schema for name, rows in own.items()}, read_version=seen, commit=commit)
+    new = log.files(at).where(F.col("version") == at).groupBy("table").agg(F.sum("n_rows").alias("n")).collect()
+    return SnapshotReport(decision, str(at), uris, len(fresh), {r["table"]: r["n"] for r in new})
+
+
 def read_sidecar(spark: SparkSession, path: str) -> SnapshotReport | None:
     """The report beside a snapshot; None if there is none."""
     from pyspark.errors import AnalysisException

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, control, more, retrieval
+from . import analytics, control, indexes, more, retrieval
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.Q | analytics.Q | control.Q | more.Q
-ORACLES: dict[str, str] = retrieval.SQL | analytics.SQL | control.SQL | more.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.Q | analytics.Q | control.Q | more.Q | indexes.Q
+ORACLES: dict[str, str] = retrieval.SQL | analytics.SQL | control.SQL | more.SQL | indexes.SQL

@@ -361,10 +361,11 @@ def test_admission_previews_and_paths(spark, tmp_path):
 
 def test_vector_index(spark, sf, tmp_path):
     from stratalens.operators import index, search
+    from stratalens.sources.snapshots import SnapshotLog
 
     v = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     lists = index.build_index(v, str(tmp_path / "ix"))
-    assert lists == 22 and spark.read.parquet(str(tmp_path / "ix/lists")).count() == v.count()
+    assert lists == 22 and SnapshotLog(spark, str(tmp_path / "ix")).read("vectors").count() == v.count()
     hit = wanted = 0
     for row in v.where("id % 50 = 0").collect():
         exact = {r.id for r in search.nearest(v, row.vector, 10, vector="vector", tie="id").collect()}
