@@ -5,9 +5,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.vectors import clamp
 
@@ -170,3 +174,83 @@ def decode_cursor(cursor: str | None, query: dict, snapshot: str) -> int:
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
+
+
+@dataclass(frozen=True)
+class SortKey:
+    """A column that pages are ordered by; nulls come first going up and last going down, unless said otherwise."""
+
+    column: str
+    descending: bool = False
+    nulls_last: bool | None = None
+
+    @property
+    def nulls_at_end(self) -> bool:
+        return self.descending if self.nulls_last is None else self.nulls_last
+
+    def order(self) -> Column:
+        c = F.col(self.column)
+        if self.descending:
+            return c.desc_nulls_last() if self.nulls_at_end else c.desc_nulls_first()
+        return c.asc_nulls_last() if self.nulls_at_end else c.asc_nulls_first()
+
+    def after(self, value: Column, is_null: bool, *, or_same: bool = False) -> Column:
+        """Whether a row comes after a value in this order."""
+        c = F.col(self.column)
+        if is_null:
+            return F.lit(True) if or_same and not self.nulls_at_end else c.isNull() if self.nulls_at_end and or_same else F.lit(False) if self.nulls_at_end else c.isNotNull()
+        beyond = (c <= value if or_same else c < value) if self.descending else (c >= value if or_same else c > value)
+        return beyond | c.isNull() if self.nulls_at_end else beyond
+
+
+def _told(value: object) -> str | None:
+    """A sort value as text that casts back to it; times with their zone."""
+    if isinstance(value, datetime):
+        return value.astimezone(timezone.utc).isoformat()
+    return None if value is None else repr(value) if isinstance(value, float) else str(value)
+
+
+def keyset_cursor(query: dict, snapshot: str, keys: Sequence[SortKey], last: Row) -> str:
+    """A cursor that holds the sort values of the last row of a page, and the snapshot that pages are read from."""
+    body = {"fingerprint": fingerprint(query), "snapshot": snapshot, "order": [[k.column, k.descending, k.nulls_at_end] for k in keys], "last": [_told(last[k.column]) for k in keys]}
+    return base64.urlsafe_b64encode(json.dumps(body, sort_keys=True).encode()).decode()
+
+
+def read_keyset(cursor: str, query: dict, keys: Sequence[SortKey], snapshot: str | None = None) -> tuple[str, list[str | None]]:
+    """The snapshot and the sort values of a cursor of the same query and order."""
+    try:
+        body = json.loads(base64.urlsafe_b64decode(cursor))
+        mine = body["fingerprint"] == fingerprint(query) and body["order"] == [[k.column, k.descending, k.nulls_at_end] for k in keys]
+        pinned, last = str(body["snapshot"]), [None if v is None else str(v) for v in body["last"]]
+    except (ValueError, KeyError, TypeError) as e:
+        raise CursorError("not a cursor") from e
+    if not mine or len(last) != len(keys) or snapshot is not None and pinned != snapshot:
+        raise CursorError("the cursor belongs to another query")
+    return pinned, last
+
+
+def seek(schema: StructType, keys: Sequence[SortKey], last: Sequence[str | None]) -> Column:
+    """Rows after a row in the order of keys, by comparisons that a scan can prune by.
+
+    A row comes after if it does in one key and equals in those before it; what
+    that means for the first key alone stands beside it, as files are cut by it.
+    """
+    values = [F.lit(v).cast(schema[k.column].dataType) for k, v in zip(keys, last)]
+    out = F.lit(False)
+    for i in reversed(range(len(keys))):
+        same = F.col(keys[i].column).isNull() if last[i] is None else F.col(keys[i].column) == values[i]
+        out = keys[i].after(values[i], last[i] is None) | (same & out)
+    return keys[0].after(values[0], last[0] is None, or_same=True) & F.coalesce(out, F.lit(False))
+
+
+def keyset_page(df: DataFrame, query: dict, keys: Sequence[SortKey], limit: int, cursor: str | None = None, snapshot: str = "") -> DataFrame:
+    """The page after a cursor, the first one without; the last key must tell rows apart.
+
+    A full page has a next one: keyset_cursor() of its last row.  A page costs
+    a scan of what comes after its first row, of which each task keeps
+    ``limit`` rows, whichever page it is.
+    """
+    if cursor:
+        _, last = read_keyset(cursor, query, keys, snapshot)
+        df = df.where(seek(df.schema, keys, last))
+    return df.orderBy(*[k.order() for k in keys]).limit(limit)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import index, terms
-from ..session import fresh_path, table
+from ..operators import fusion, index, terms
+from ..session import fresh_path, materialize, table
 from ..sources.snapshots import SnapshotLog
+from ..streaming import consumer
 from .retrieval import BM25, r6
 
 Q: dict = {}
@@ -81,3 +82,60 @@ def _(s, d):
         one = rows.agg(F.lit(version).cast("long").alias("version"), F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"), priorities.alias("n_priorities"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
         out = one if out is None else out.unionAll(one)
     return out
+
+
+@query(
+    "q111_consumer_claims",
+    """WITH p AS (SELECT user_id, user_id % 4 <> 0 AS ok, max((event_id % 3 = 0)::INT) AS a, max((event_id % 3 = 1)::INT) AS b, max((event_id % 3 = 2)::INT) AS c FROM events GROUP BY user_id),
+f AS (SELECT *, a + 2 * b AS tried FROM p)
+SELECT user_id, CASE WHEN ok THEN 'COMPLETED' WHEN c = 1 AND tried >= 3 THEN 'DLQ' ELSE 'FAILED' END AS status, CASE WHEN ok THEN CASE WHEN a = 1 THEN 1 WHEN b = 1 THEN 2 ELSE 1 END WHEN tried >= 3 THEN 3 ELSE tried + c END::BIGINT AS attempts FROM f""",
+)
+def _(s, d):
+    """Three batches of events; the second one crashes after its claims and is run again; state is compacted after it."""
+    e = table(s, d, "events").select("event_id", "user_id")
+    one = F.struct(F.lit("b").alias("bucket"), F.col("user_id").cast("string").alias("name"), F.lit("1").alias("generation"), F.lit("s").alias("stream_id"))
+    messages = e.select("event_id", F.to_json(F.struct(F.array(one).alias("events"))).alias("value"))
+    path = fresh_path(s, "consumers")
+
+    def work(events):
+        return events.select("key", (F.col("name").cast("long") % 4 != 0).alias("ok"), F.lit(None).cast("string").alias("digest"))
+
+    def crash(events):
+        raise InterruptedError("the first run of the second batch ends here")
+
+    for batch in range(3):
+        own = messages.where(F.col("event_id") % 3 == batch).select("value")
+        if batch == 1:
+            try:
+                consumer.consume(own, batch, path, crash, attempts=3)
+            except InterruptedError:
+                pass  # what is registered is what comes after
+        consumer.consume(own, batch, path, work, attempts=3, compact_every=2)
+    users = e.select("user_id").distinct().select("user_id", F.lit("b").alias("bucket"), F.col("user_id").cast("string").alias("name"), F.lit("1").alias("generation"))
+    return users.withColumn("key", consumer.event_key()).join(consumer.latest_state(s, path), "key").select("user_id", "status", "attempts")
+
+
+PAGES = 5
+
+
+@query(
+    "q112_keyset_pages",
+    f"""WITH e AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN round(value, 0) END AS score, CASE WHEN event_id % 5 <> 0 THEN user_id % 10 END AS asset FROM events),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC NULLS LAST, asset NULLS FIRST, event_id) AS n, count(*) OVER () AS total FROM e)
+SELECT event_id, ((n - 1) // ((total + {PAGES} - 1) // {PAGES}))::INTEGER AS page FROM r""",
+)
+def _(s, d):
+    """All events in five pages, each found from the last row of the one before; scores and assets are tied and null."""
+    e = table(s, d, "events")
+    value = F.when(F.col("event_id") % 7 != 0, F.round("value", 0))
+    rows = e.select("event_id", value.alias("score"), F.when(F.col("event_id") % 5 != 0, F.col("user_id") % 10).alias("asset"))
+    keys = [fusion.SortKey("score", descending=True), fusion.SortKey("asset"), fusion.SortKey("event_id")]
+    limit = -(-rows.count() // PAGES)
+    out, cursor, number = None, None, 0
+    while number == 0 or cursor:
+        page = materialize(fusion.keyset_page(rows, {"q": "all"}, keys, limit, cursor))
+        last = page.orderBy(*[k.order() for k in keys]).tail(1) if page.count() == limit else None
+        cursor = fusion.keyset_cursor({"q": "all"}, "", keys, last[0]) if last else None
+        one = page.select("event_id", F.lit(number).alias("page"))
+        out, number = one if out is None else out.unionAll(one), number + 1
+    return out

@@ -38,44 +38,108 @@ def decide(events: DataFrame, state: DataFrame, *, now: Column, ttl_s: int, atte
     return both.withColumn("action", action).withColumn("attempt", F.coalesce("_n", F.lit(0)) + F.when(F.col("action") == "start", 1).otherwise(0)).drop("_key", "_status", "_n", "_at")
 
 
-def consume(messages: DataFrame, batch_id: int, state_path: str, process: Callable[[DataFrame], DataFrame], *, ttl_s: int = 3600, attempts: int = 5, now: Column | None = None) -> dict[str, int]:
-    """One micro-batch of messages (value): decode, decide, deduplicate, process, mark (T06); for foreachBatch.
-
-    ``process`` takes the events to start and returns (key, ok, digest).  State
-    is a table of changes, one folder a batch, so a batch that is run again
-    writes the same folder again.
+def consume(messages: DataFrame, batch_id: int, state_path: str, process: Callable[[DataFrame], DataFrame], *, ttl_s: int = 3600, attempts: int = 5, now: Column | None = None, compact_every: int = 20, retain_s: int | None = None) -> dict[str, int]:
+    """One micro-batch of messages (value): decode, decide, claim, process, mark (T04, T06); for foreachBatch.
+
+    ``process`` takes the events to start and returns (key, ok, digest).  What
+    is started is claimed before, as PROCESSING with the number of its attempt,
+    so an attempt counts even if nothing is heard of it again: a batch that is
+    run again after a crash counts its earlier claims and starts anew, or gives
+    up; another consumer leaves a claimed key alone while the claim is fresh.
+    A batch that was marked is not run again.
     """
     spark = messages.sparkSession
     now = F.current_timestamp() if now is None else now
+    done_at = f"{state_path}/changes/batch={batch_id:010d}"
+    if _complete(spark, done_at):
+        return {"finished": spark.read.schema(STATE).parquet(done_at).count()}
     events = decode_batches(messages).withColumn("key", event_key()).dropDuplicates(["key"])
-    state = latest_state(spark, state_path, before=batch_id)
-    decided = materialize(decide(events, state, now=now, ttl_s=ttl_s, attempts=attempts))
+    tries = [n for n in _numbers(spark, f"{state_path}/claims/batch={batch_id:010d}", "try") if _complete(spark, f"{state_path}/claims/batch={batch_id:010d}/try={n:04d}")]
+    decided = materialize(decide(events, latest_state(spark, state_path, before=batch_id, rerun=True), now=now, ttl_s=ttl_s, attempts=attempts))
     started = decided.where("action = 'start'").drop("action")
+    claims = started.select("key", F.lit("PROCESSING").alias("status"), F.col("attempt").alias("attempts"), F.lit(None).cast("string").alias("digest"), now.alias("updated_at"))
+    claims.write.mode("overwrite").parquet(f"{state_path}/claims/batch={batch_id:010d}/try={max(tries, default=-1) + 1:04d}")
     results = materialize(process(started).select("key", "ok", "digest"))
     done = started.join(results, "key", "left")
     status = F.when(F.col("ok"), "COMPLETED").otherwise("FAILED")
     changes = done.select("key", status.alias("status"), F.col("attempt").alias("attempts"), "digest", now.alias("updated_at"))
     given_up = decided.where("action = 'dead'").select("key", F.lit("DLQ").alias("status"), F.col("attempt").alias("attempts"), F.lit(None).cast("string").alias("digest"), now.alias("updated_at"))
-    changes.unionAll(given_up).write.mode("overwrite").parquet(f"{state_path}/batch={batch_id:010d}")
+    changes.unionAll(given_up).write.mode("overwrite").parquet(done_at)
+    if compact_every and batch_id % compact_every == compact_every - 1:
+        compact_state(spark, state_path, batch_id, now=now, retain_s=retain_s)
     return {r["action"]: r["count"] for r in decided.groupBy("action").count().collect()}
 
 
-def latest_state(spark: SparkSession, path: str, *, before: int | None = None) -> DataFrame:
-    """The last change of every key; empty if there is none."""
-    from pyspark.errors import AnalysisException
+def _path(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _complete(spark: SparkSession, folder: str) -> bool:
+    target, fs = _path(spark, f"{folder}/_SUCCESS")
+    return fs.exists(target)
+
+
+def _numbers(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """The numbers n of the folders name=n."""
+    target, fs = _path(spark, folder)
+    found = [x.getPath().getName() for x in fs.listStatus(target)] if fs.exists(target) else []
+    return sorted(int(f.split("=")[1]) for f in found if f.startswith(f"{name}="))
+
 
-    try:
-        changes = spark.read.schema(f"{STATE}, batch long").parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], STATE)
-        raise
-    if before is not None:
-        changes = changes.where(F.col("batch") < before)
-    last = changes.groupBy("key").agg(F.max_by(F.struct("status", "attempts", "digest", "updated_at"), "batch").alias("s"))
+def latest_state(spark: SparkSession, path: str, *, before: int | None = None, rerun: bool = False) -> DataFrame:
+    """The last that is known of every key; empty if there is nothing.
+
+    Read are the last compacted state and the batches after it, no more.  With
+    ``rerun`` the claims of batch ``before`` itself count as failed attempts.
+    """
+    limit = before if before is not None else 1 << 62
+    mark = max((n for n in _numbers(spark, f"{path}/compacted", "upto") if n < limit and _complete(spark, f"{path}/compacted/upto={n:010d}")), default=-1)
+    parts = []
+    if mark >= 0:
+        parts.append(spark.read.schema(STATE).parquet(f"{path}/compacted/upto={mark:010d}").select("*", F.lit(mark).alias("batch"), F.lit(1 << 20).alias("step")))
+    changed = [f"{path}/changes/batch={n:010d}" for n in _numbers(spark, f"{path}/changes", "batch") if mark < n < limit]
+    changed = [c for c in changed if _complete(spark, c)]
+    if changed:
+        parts.append(spark.read.option("basePath", f"{path}/changes").schema(f"{STATE}, batch int").parquet(*changed).select("*", F.lit(1 << 20).alias("step")))
+    claimed = [f"{path}/claims/batch={n:010d}/try={t:04d}" for n in _numbers(spark, f"{path}/claims", "batch") if mark < n < limit or rerun and n == limit for t in _numbers(spark, f"{path}/claims/batch={n:010d}", "try")]
+    claimed = [c for c in claimed if _complete(spark, c)]
+    if claimed:
+        own = (F.col("batch") == limit) if rerun else F.lit(False)
+        rows = spark.read.option("basePath", f"{path}/claims").schema(f"{STATE}, batch int, try int").parquet(*claimed).withColumn("status", F.when(own, "FAILED").otherwise(F.col("status")))
+        parts.append(rows.withColumnRenamed("try", "step"))
+    if not parts:
+        return spark.createDataFrame([], STATE)
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    last = every.groupBy("key").agg(F.max_by(F.struct("status", "attempts", "digest", "updated_at"), F.struct("batch", "step")).alias("s"))
     return last.select("key", "s.*")
 
 
+def compact_state(spark: SparkSession, path: str, upto: int, *, now: Column | None = None, retain_s: int | None = None) -> int:
+    """One row a live key in place of all changes up to a batch; older folders go. How many keys are live.
+
+    A key is live until it has been finished, or given up, for ``retain_s``
+    seconds; a delivery of it after that starts anew.  The state that this one
+    replaces stays until the next time, for readers that still use it.
+    """
+    state = latest_state(spark, path, before=upto + 1)
+    if retain_s is not None:
+        age = F.unix_seconds(F.current_timestamp() if now is None else now) - F.unix_seconds("updated_at")
+        state = state.where(~F.col("status").isin("COMPLETED", "DLQ") | (age < retain_s))
+    before = _numbers(spark, f"{path}/compacted", "upto")
+    target = f"{path}/compacted/upto={upto:010d}"
+    state.write.mode("overwrite").parquet(target)
+    floor = max((n for n in before if n < upto), default=-1)
+    old = [f"{path}/compacted/upto={n:010d}" for n in before if n < floor]
+    old += [f"{path}/{kind}/batch={n:010d}" for kind in ("changes", "claims") for n in _numbers(spark, f"{path}/{kind}", "batch") if n <= floor]
+    for folder in old:
+        where, fs = _path(spark, folder)
+        fs.delete(where, True)
+    return spark.read.schema(STATE).parquet(target).count()
+
+
 def flush_wait(latency_s: float) -> float:
     """Seconds between two looks at a batch that may have become too old: half its latency, a quarter of a second at least."""
     return max(0.25, latency_s / 2)

@@ -39,9 +39,7 @@ def fold_by_key(events: DataFrame, key: str, order: list[str], step: Step, name:
     return ordered.mapInArrow(run, f"{schema}, `{name}` {kind}")
 
 
-def flush_batches(events: DataFrame, key: str, at: str, *, most: int = 50, latency_ms: int = 2000, order: str = "event_id") -> DataFrame:
-    """The batch of each event of a key (T01): closed when it is full, or when its oldest event is too old at the next arrival."""
-
+def batch_step(at: str, most: int, latency_ms: int) -> Step:
     def step(state, row):
         batch, count, oldest = state or (0, 0, 0)
         now = row[at]
@@ -52,7 +50,12 @@ def flush_batches(events: DataFrame, key: str, at: str, *, most: int = 50, laten
         count += 1
         return ((batch + 1, 0, oldest) if count >= most else (batch, count, oldest)), batch
 
-    return fold_by_key(events, key, [at, order], step, "batch", "long")
+    return step
+
+
+def flush_batches(events: DataFrame, key: str, at: str, *, most: int = 50, latency_ms: int = 2000, order: str = "event_id") -> DataFrame:
+    """The batch of each event of a key (T01): closed when it is full, or when its oldest event is too old at the next arrival."""
+    return fold_by_key(events, key, [at, order], batch_step(at, most, latency_ms), "batch", "long")
 
 
 def idempotency(events: DataFrame, key: str, at: str, outcome: str, *, ttl_ms: int, attempts: int, order: str = "event_id") -> DataFrame:
@@ -77,9 +80,7 @@ def idempotency(events: DataFrame, key: str, at: str, outcome: str, *, ttl_ms: i
     return fold_by_key(events, key, [at, order], step, "action", "string")
 
 
-def token_bucket(events: DataFrame, key: str, at: str, *, per_minute: int, order: str = "event_id") -> DataFrame:
-    """Whether each event passes a token bucket of its key (T07): capacity per_minute, refilled steadily."""
-
+def bucket_step(at: str, per_minute: int) -> Step:
     def step(state, row):
         now = row[at]
         left, last = state or (float(per_minute), now)
@@ -87,7 +88,12 @@ def token_bucket(events: DataFrame, key: str, at: str, *, per_minute: int, order
         passed = left >= 1
         return (left - passed, now), passed
 
-    return fold_by_key(events, key, [at, order], step, "allowed", "boolean")
+    return step
+
+
+def token_bucket(events: DataFrame, key: str, at: str, *, per_minute: int, order: str = "event_id") -> DataFrame:
+    """Whether each event passes a token bucket of its key (T07): capacity per_minute, refilled steadily."""
+    return fold_by_key(events, key, [at, order], bucket_step(at, per_minute), "allowed", "boolean")
 
 
 def tumbling_limit(events: DataFrame, keys: list[str], at: str, limit: int, *, seconds: int = 60, order: str = "event_id") -> DataFrame:
