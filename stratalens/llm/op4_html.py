@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +32,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 ENDS_ITSELF = {"p", "li", "dt", "dd", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 INLINE = {"span", "b", "i", "em", "strong", "font", "small", "label", "abbr", "cite", "code", "u", "s", "mark"}
+#: Elements that are no part of a page by themselves.
+SMALL_PARTS = ENDS_ITSELF | {"ul", "ol", "dl", "table", "tbody", "thead", "figure", "figcaption", "blockquote", "pre", "section"}
 #: Elements that hold no article, and those that some pages wrap around one.
 BOILER, WRAPPERS = {"nav", "aside", "footer", "menu"}, {"form", "fieldset", "dialog"}
 #: Nouns that speak against what is named by them, in classes, ids and roles: a name is what its last part says.
@@ -48,6 +51,11 @@ FOR = {"article", "articles", "body", "content", "contents", "entry", "hentry",
 #: Beginnings of names that tell what kind of thing an article or a page is, and ends that tell its state; neither says what a part is for.
 KINDS = {"tag", "category", "cat", "type", "status", "format", "author", "has", "no", "with", "without", "is", "not", "lang", "js", "page", "single", "layout", "theme", "template", "col", "grid", "wp"}
 STATES = {"open", "closed", "enabled", "disabled", "on", "off", "active", "visible", "left", "right"}
+#: Parts of a name that say what shape a thing has, and nothing of what it is for.
+SHAPES = {
+    "slot", "box", "boxes", "wrap", "wrapper", "container", "area", "list", "body", "unit", "units", "link", "links", "bar", "section", "block", "content", "inner", "outer", "item", "items", "form", "panel", "region", "row", "group", "title", "text", "count", "meta", "author", "avatar", "date",
+    "head", "header", "main", "zone", "placement", "holder", "frame", "top", "bottom", "thread", "entry", "node", "leaderboard", "mpu", "desktop", "mobile", "sticky", "info", "message", "policy", "law", "settings", "overview", "wide", "small", "large", "x", "id", "new", "threaded",
+} | STATES
 #: Shares of a page's unlinked words above which an element isn't a part of it beside the article.
 SMALL, LARGE = 0.25, 0.6
 
@@ -68,23 +76,45 @@ def attributes_of(raw: str) -> dict[str, str]:
     return out
 
 
-def says(names: str) -> tuple[int, bool, bool]:
-    """What classes, ids and roles say: 2 if one is named by a noun against, 1 if one only begins with such a noun, else 0; whether readers are meant; whether one speaks for it."""
-    against, readers, favour = 0, False, False
+#: Letters of scripts that are written without spaces, and their punctuation; two such letters count as a word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+_UNSPACED_SIGNS = re.compile("[\u3000-\u303f\uff00-\uff65]")
+
+
+def word_count(text: str) -> int:
+    """Words of a text in any script."""
+    if text.isascii():
+        return len(text.split())
+    bare, letters = _UNSPACED.subn(" ", text)
+    return len(_UNSPACED_SIGNS.sub(" ", bare).split()) + (letters + 1) // 2
+
+
+def says(names: str) -> tuple[int, bool, bool, bool]:
+    """What classes, ids and roles say.
+
+    2 if one is named by a noun against, 1 if one only begins with such a noun,
+    else 0; whether readers are meant; whether one speaks for it; whether what
+    speaks against it is only the beginning of a name of something else, as in
+    ad-hoc-committee, which says nothing within an article.
+    """
+    against, readers, favour, weak = 0, False, False, False
     for name in names.split():
         parts = [p.lower() for p in _PARTS.findall(name)]
         if not parts or len(parts) > 1 and (parts[0] in KINDS or parts[-1] in STATES):
             continue
         whole, last = "".join(parts), parts[-1]
-        if READERS & {*parts, whole}:
+        other = len(parts) > 1 and any(p not in SHAPES and p not in AGAINST and p not in READERS for p in parts[1:])
+        if READERS & {last, whole} or READERS & {*parts} and not (parts[0] in READERS and other):
             against, readers = 2, True
         elif whole in FOR or last in FOR and not AGAINST & {*parts[:-1]}:
             favour = True
-        elif whole in AGAINST or last in AGAINST or parts[0] in AGAINST - SOFT:
+        elif whole in AGAINST or last in AGAINST or parts[0] in AGAINST - SOFT and not other:
             against = 2
         elif parts[0] in SOFT:
             against = max(against, 1)
-    return against, readers, favour
+        elif parts[0] in AGAINST or parts[0] in READERS:
+            against, weak = max(against, 1), True
+    return against, readers, favour, weak and against == 1
 
 
 @dataclass
@@ -105,14 +135,14 @@ class Block:
 class _Element:
     """An element: what it is called, the one around it, and what speaks against it or for it."""
 
-    __slots__ = ("name", "above", "silent", "against", "readers", "favour", "head", "plain")
+    __slots__ = ("name", "above", "silent", "against", "readers", "favour", "weak", "head", "plain")
 
     def __init__(self, name: str, above: int, silent: bool, attributes: dict[str, str]):
         self.name, self.above, self.plain = name, above, 0
         unseen = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_UNSEEN.search(attributes.get("style", "")))
         self.silent = silent or unseen or name in SILENT
         names = " ".join(attributes[k] for k in ("class", "id", "role", "itemprop") if k in attributes)
-        self.against, self.readers, self.favour = says(names) if names else (0, False, False)
+        self.against, self.readers, self.favour, self.weak = says(names) if names else (0, False, False, False)
         if name in ("article", "main"):
             self.against = 2 if self.readers and name == "article" else 0
             self.favour = not self.against
@@ -139,6 +169,8 @@ def _weigh(elements: list[_Element], blocks: list[Block]) -> None:
         share, own = e.plain / total, e.against
         if e.name in ("html", "body") or own == 1 and share > SMALL or own == 2 and share > LARGE and not e.readers and e.name not in BOILER:
             own = 0
+        if e.weak and own == 1 and content:
+            own = 0
         if e.head and not content and (share <= LARGE or e.name == "header"):
             own = 2  # the head of a page, but not that of an article
         level.append((max(boiler, own), e.favour and not boiler or content and not own))
@@ -146,10 +178,11 @@ def _weigh(elements: list[_Element], blocks: list[Block]) -> None:
         b.boiler, b.content = level[b.element]
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Flat text blocks in page order; unclosed and misplaced tags are taken as a browser would, nearly."""
+def _page_blocks(page: str) -> tuple[list[Block], list[int]]:
+    """Flat text blocks in page order, and the part of the page that each lies in (-1: the page itself); unclosed and misplaced tags are taken as a browser would, nearly."""
     elements = [_Element("", -1, False, {})]
     stack = [0]
+    held: Counter[str] = Counter()  # open elements by name, so that a closing tag without one is known at once
     blocks: list[Block] = []
     parts: list[tuple[str, bool]] = []
     links, heading, at = 0, False, 0
@@ -160,8 +193,9 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(x for x, _ in parts).split())
             if text:
-                linked = sum(len(x.split()) for x, inside in parts if inside)
-                blocks.append(Block(text, len(text.split()), linked, 0, False, heading, stack[-1]))
+                linked = sum(word_count(x) for x, inside in parts if inside)
+                words = max(word_count(text), 1)
+                blocks.append(Block(text, words, min(linked, words), 0, False, heading, stack[-1]))
             parts = []
 
     def say(raw: str) -> None:
@@ -171,6 +205,10 @@ def blocks_of(page: str) -> list[Block]:
     def enter(name: str, attributes: dict[str, str]) -> None:
         elements.append(_Element(name, stack[-1], top().silent, attributes))
         stack.append(len(elements) - 1)
+        held[name] += 1
+
+    def leave() -> None:
+        held[elements[stack.pop()].name] -= 1
 
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -197,10 +235,10 @@ def blocks_of(page: str) -> list[Block]:
             if name in BLOCKS:
                 flush()
                 links = 0
-            if top().name == name or (name in BLOCKS or name in SILENT) and any(elements[i].name == name for i in stack[1:]):
+            if top().name == name or (name in BLOCKS or name in SILENT) and held[name]:
                 while top().name != name:
-                    stack.pop()
-                stack.pop()
+                    leave()
+                leave()
             heading = top().name in HEADINGS
         elif name in BLOCKS or name in SILENT:
             if name in BLOCKS:
@@ -208,21 +246,28 @@ def blocks_of(page: str) -> list[Block]:
             if name in VOID:
                 continue
             if name in ENDS_ITSELF and top().name == ("p" if name[0] != "l" else "li"):
-                stack.pop()
+                leave()
             elif name in BLOCKS and top().name == "p":
-                stack.pop()
+                leave()
             if name == "body" and top().name == "head":
-                stack.pop()
+                leave()
             if not m[3].rstrip().endswith("/") or name in BLOCKS:
                 enter(name, attributes_of(m[3]) if m[3] else {})
             heading = top().name in HEADINGS
         elif name in INLINE and (m[3] or top().silent):
             enter(name, attributes_of(m[3]))
             if not top().silent:
-                stack.pop()
+                leave()
     flush()
     _weigh(elements, blocks)
-    return blocks
+    inside: list[int] = []  # of each element, the part of the page: not itself a paragraph, a list or a table
+    for i, e in enumerate(elements):
+        inside.append(inside[e.above] if e.name in SMALL_PARTS and e.above > 0 else i)
+    return blocks, [-1 if elements[inside[b.element]].name in ("", "html", "body") else inside[b.element] for b in blocks]
+
+
+def blocks_of(page: str) -> list[Block]:
+    return _page_blocks(page)[0]
 
 
 #: The labelled table: words and link density of a block, of the one before and of the one after; 2 if it lies where
@@ -237,8 +282,8 @@ LABELLED = [
     (15, 0.0, 14, 0.0, 16, 0.0, 0, 1, 0, 1), (20, 0.0, 3, 0.0, 2, 0.0, 0, 1, 0, 1), (9, 0.0, 1, 0.0, 60, 0.0, 0, 1, 0, 1), (2, 0.0, 80, 0.0, 0, 0.0, 0, 1, 0, 1), (6, 0.5, 60, 0.0, 4, 1.0, 0, 1, 0, 1), (4, 0.0, 2, 0.5, 5, 0.6, 0, 1, 0, 1),
     # headings that are links
     (5, 1.0, 0, 0.0, 40, 0.0, 0, 1, 1, 1), (8, 1.0, 3, 1.0, 25, 0.0, 0, 1, 1, 1), (4, 1.0, 30, 0.0, 50, 0.0, 0, 1, 1, 1), (3, 1.0, 0, 0.0, 4, 0.0, 0, 1, 1, 1), (9, 0.9, 50, 0.0, 60, 0.0, 0, 1, 1, 1),
-    # lists of links inside articles
-    (3, 1.0, 40, 0.0, 3, 1.0, 0, 1, 0, 0), (2, 1.0, 2, 1.0, 2, 1.0, 0, 1, 0, 0), (6, 1.0, 4, 1.0, 5, 1.0, 0, 1, 0, 0), (5, 0.9, 3, 1.0, 12, 0.0, 0, 1, 0, 0),
+    # lists of links inside articles that no name speaks against: references
+    (3, 1.0, 40, 0.0, 3, 1.0, 0, 1, 0, 1), (2, 1.0, 2, 1.0, 2, 1.0, 0, 1, 0, 1), (6, 1.0, 4, 1.0, 5, 1.0, 0, 1, 0, 1), (5, 0.9, 3, 1.0, 12, 0.0, 0, 1, 0, 1),
     # menus, adverts, footers, notices, comments
     (1, 1.0, 0, 0.0, 1, 1.0, 2, 0, 0, 0), (2, 1.0, 1, 1.0, 1, 1.0, 2, 0, 0, 0), (8, 0.0, 1, 1.0, 9, 0.0, 2, 0, 0, 0), (14, 0.0, 60, 0.0, 0, 0.0, 2, 0, 0, 0), (40, 0.0, 5, 0.0, 30, 0.0, 2, 0, 0, 0),
     (90, 0.1, 40, 0.0, 60, 0.0, 2, 0, 0, 0), (30, 0.0, 80, 0.0, 2, 0.0, 2, 1, 0, 0), (5, 0.0, 8, 0.5, 3, 0.0, 2, 0, 1, 0), (20, 0.3, 30, 0.0, 0, 0.0, 2, 0, 0, 0), (150, 0.0, 100, 0.0, 90, 0.0, 2, 0, 0, 0),
@@ -290,16 +335,45 @@ def classify(tree: tuple | int, row: tuple) -> int:
     return tree
 
 
+def _between(kept: list[bool], blocks: list[Block], roots: list[int]) -> None:
+    """Keep unlinked blocks beside those of the article in one part of the page, as items of a list and last lines are.
+
+    Between two of them in any part; before and after them only in a part that
+    isn't the page itself.
+    """
+    plain = [b.boiler == 0 and b.density < 0.5 for b in blocks]
+    found = list(kept)
+    for order in (range(len(blocks)), range(len(blocks) - 1, -1, -1)):
+        last, run = None, []
+        for i in order:
+            if found[i]:
+                if last == roots[i]:
+                    for j in run:
+                        kept[j] = True
+                last, run = roots[i], []
+            elif last is not None and plain[i] and roots[i] == last:
+                run.append(i)
+                if last >= 0:
+                    kept[i] = True
+            else:
+                last, run = None, []
+
+
 def main_text(page: str, tree: tuple | int) -> str:
-    """The blocks of the article, joined by empty lines."""
-    blocks = blocks_of(page)
+    """The blocks of the article, joined by empty lines.
+
+    Where the tree finds none, a page of short blocks under a heading is its
+    unlinked blocks from that heading on.
+    """
+    blocks, roots = _page_blocks(page)
     around = [(0, 0.0), *((b.words, b.density) for b in blocks), (0, 0.0)]
-    kept = []
-    for i, b in enumerate(blocks):
-        row = (b.words, b.density, *around[i], *around[i + 2], b.boiler, int(b.content), int(b.heading))
-        if classify(tree, row):
-            kept.append(b.text)
-    return "\n\n".join(kept)
+    kept = [bool(classify(tree, (b.words, b.density, *around[i], *around[i + 2], b.boiler, int(b.content), int(b.heading)))) for i, b in enumerate(blocks)]
+    _between(kept, blocks, roots)
+    if not any(kept):
+        head = next((i for i, b in enumerate(blocks) if b.heading and b.boiler == 0), len(blocks))
+        if any(not b.heading and b.boiler == 0 and b.density < 0.5 for b in blocks[head:]):
+            kept = [i >= head and b.boiler == 0 and b.density < 0.5 for i, b in enumerate(blocks)]
+    return "\n\n".join(b.text for b, k in zip(blocks, kept) if k)
 
 
 def extract_pages(pages: DataFrame, *, html_column: str = "html", tree: tuple | int | None = None) -> DataFrame:

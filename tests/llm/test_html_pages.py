@@ -1,8 +1,11 @@
 """Hand-made pages of common layouts: each block of the article is kept, nothing else is."""
 
+import random
+import time
+
 import pytest
 
-from stratalens.llm.op4_html import default_tree, main_text
+from stratalens.llm.op4_html import blocks_of, default_tree, main_text, word_count
 
 WORDS = "harbour lantern meadow copper violet engine ladder winter orchard signal marble canyon ribbon thunder island velvet compass garden bridge saddle".split()
 
@@ -73,6 +76,15 @@ PAGES = {
     "roles": (f'<div role="banner"><p>Site</p></div><div role="main"><p>{A}</p></div><div role="complementary"><p>{p(30, 5)}</p></div><div role="contentinfo">Imprint</div>', [A]),
     "promo in the article": (f'<article><p>{A}</p><div class="promo"><p>{p(28, 5)}</p></div><p>{B}</p></article>', [A, B]),
     "pager": (f'<article><p>{A}</p></article><div class="pagination"><a href="/2">2</a> <a href="/3">3</a></div>', [A]),
+    "japanese": ('<div><p>' + "春の海は静かに光る。" * 33 + "</p><p>" + "山の道を歩いた。" * 22 + "</p><p>終わり</p></div>", ["春の海は静かに光る。" * 33, "山の道を歩いた。" * 22, "終わり"]),
+    "chinese with a menu": ('<div class="menu"><a href="/">首页</a><a href="/n">新闻</a></div><div><h1>城市的早晨</h1><p>' + "街上的人慢慢多了起来，" * 12 + "</p><p>" + "面包店打开了门。" * 15 + '</p></div><div class="footer">版权所有 ' + "保留一切权利" * 6 + "</div>", ["城市的早晨", "街上的人慢慢多了起来，" * 12, "面包店打开了门。" * 15]),
+    "thai": ("<article><p>" + "ภาษาไทยไม่มีช่องว่าง" * 12 + "</p></article>", ["ภาษาไทยไม่มีช่องว่าง" * 12]),
+    "ad hoc": (f'<article><p>{A}</p><div class="ad-hoc-committee"><p>Three members.</p><p>{B}</p></div></article>', [A, "Three members.", B]),
+    "reply from": (f'<article><p>{A}</p><section class="reply-from-minister"><p>It was short.</p></section></article>', [A, "It was short."]),
+    "foot notes": (f'<article><p>{A}</p><ol class="foot-notes"><li>First note</li><li>Second note</li></ol></article>', [A, "First note", "Second note"]),
+    "references": (f'<article><p>{A}</p><h2>References</h2><ul><li><a href="/1">First source</a></li><li><a href="/2">Second source</a></li></ul><p><a href="/3">{C}</a></p><p>{B}</p></article>', [A, "References", "First source", "Second source", C, B]),
+    "recipe outside an article": (f"<div><h1>{T}</h1><p>{A}</p><ul><li>2 eggs</li><li>100 g flour</li></ul><p>{B}</p></div>{FOOT}", [T, A, "2 eggs", "100 g flour", B]),
+    "short page": (f"{NAV}<h1>Opening hours</h1><p>Monday to Friday.</p><p>Nine to five.</p>{FOOT}", ["Opening hours", "Monday to Friday.", "Nine to five."]),
 }
 
 
@@ -86,3 +98,48 @@ def test_pathological_pages_end():
     tree = default_tree()
     for page in ("<" * 200_000, "<p " + "a" * 200_000, "<p " + "a=" * 100_000, '<p a="' + "x" * 200_000, "<div>" * 20_000 + "x", "<!--" * 50_000, "&" * 100_000):
         main_text(page, tree)
+
+
+def test_deep_pages_take_linear_time():
+    """Closing tags without an opening one are known at once, however deep a page is."""
+    tree = default_tree()
+    for page in ("<div>" * 100_000 + "</p>" * 100_000 + "x", "<section>" * 50_000 + "<p>a</p>" * 50_000 + "</section>" * 60_000, "<ul><li>" * 50_000 + "</ol>" * 50_000, "<span class=a>" * 50_000 + "</b>" * 50_000):
+        start = time.perf_counter()
+        main_text(page, tree)
+        assert time.perf_counter() - start < 30
+
+
+def test_words_of_any_script():
+    assert [word_count(x) for x in ("", "two words", "日本語です。", "mixed 日本 text", "é à")] == [0, 2, 3, 3, 2]
+
+
+def flat(tree, row):
+    """Every path of a tree from its root, read as conditions: the one that holds gives the label."""
+    if isinstance(tree, int):
+        return [tree]
+    f, cut, low, high = tree
+    return flat(low, row) * (row[f] <= cut) + flat(high, row) * (row[f] > cut)
+
+
+def test_blocks_against_brute_force():
+    """On pages of well-formed elements, blocks are the runs of text between block tags, each with what its own tags say."""
+    rng = random.Random(8)
+    tree = default_tree()
+    for _ in range(200):
+        want = []
+        body = ""
+        for i in range(rng.randint(1, 12)):
+            name, linked, n = rng.choice(["p", "h2", "blockquote", "pre"]), rng.random() < 0.3, rng.choice([1, 2, 5, 14, 40, 90])
+            text = p(n, i)
+            body += f"<{name}>" + (f"<a href=x>{text}</a>" if linked else text) + f"</{name}>"
+            want.append((text, n, float(linked), name == "h2"))
+        for page, boiler, content in ((f"<article>{body}</article>", 0, 1), (f"<nav>{body}</nav>", 2, 0), (f"<div>{body}</div>", 0, 0)):
+            got = blocks_of(page)
+            assert [(b.text, b.words, b.density, b.heading) for b in got] == want and {(b.boiler, int(b.content)) for b in got} == {(boiler, content)}
+            around = [(0, 0.0), *((w, d) for _, w, d, _ in want), (0, 0.0)]
+            sure = [flat(tree, (w, d, *around[i], *around[i + 2], boiler, content, int(h))) for i, (_, w, d, h) in enumerate(want)]
+            assert all(len(x) == 1 for x in sure)
+            kept = main_text(page, tree).split("\n\n")
+            assert all(t in kept for (t, *_), x in zip(want, sure) if x == [1])
+            if boiler:
+                assert kept == [""]
