@@ -67,18 +67,17 @@ def successors(df: DataFrame, group: str, order: str, node: str) -> DataFrame:
     return df.withColumn("dst", F.lead(node).over(w)).where("dst is not null").select(group, F.col(node).alias("src"), "dst")
 
 
-def first_fit_batches(groups: DataFrame, by: str, order: str, size: str, *, low: float, high: float, most: int) -> DataFrame:
+def first_fit_batches(groups: DataFrame, by: str, order: str, size: str, *, low: float, high: float, most: int, **longest: int) -> DataFrame:
     """Batches in order of runs: closed before a group that would pass ``high`` or the count, and once they reach ``low``."""
 
     def step(state, row):
-        batch, total, count = state or (0, 0.0, 0)
-        value = row[size]
-        if count and (total + value > high or count >= most):
-            batch, total, count = batch + 1, 0.0, 0
-        total, count = total + value, count + 1
-        return ((batch + 1, 0.0, 0) if total >= low else (batch, total, count)), batch
-
-    return fold_by_key(groups, by, [order], step, "batch", "long")
+        total, count = state or (0.0, 0)
+        if count and (total + row[size] > high or count >= most):
+            total, count = 0.0, 0
+        opens, total = not count, total + row[size]
+        return ((0.0, 0) if total >= low else (total, count + 1)), opens
+
+    return fold_by_key(groups, by, [order], step, "batch", "long", counted=True, **longest)
 
 
 def keep_set(manifests: DataFrame, *, since: Column, compactions: int, latest: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import fusion, index, terms
 from ..session import fresh_path, materialize, table
 from ..sources.snapshots import SnapshotLog
-from ..streaming import consumer
+from ..streaming import consumer, folds
 from .retrieval import BM25, r6
 
 Q: dict = {}
@@ -139,3 +139,18 @@ def _(s, d):
         one = page.select("event_id", F.lit(number).alias("page"))
         out, number = one if out is None else out.unionAll(one), number + 1
     return out
+
+
+@query(
+    "q113_one_long_key",
+    """WITH RECURSIVE e AS (SELECT event_id, epoch_us(ts) // 1000 AS "at", row_number() OVER (ORDER BY epoch_us(ts) // 1000, event_id) AS rn FROM events),
+nx AS MATERIALIZED (SELECT rn, least(rn + 50, 1 + count(*) OVER (ORDER BY "at" RANGE BETWEEN UNBOUNDED PRECEDING AND 3599999 FOLLOWING)) AS nxt FROM e),
+s AS (SELECT 1::BIGINT AS rn UNION ALL SELECT nxt FROM s JOIN nx USING (rn) WHERE nxt <= (SELECT max(rn) FROM e))
+SELECT event_id, (sum(CASE WHEN s.rn IS NULL THEN 0 ELSE 1 END) OVER (ORDER BY e.rn))::BIGINT - 1 AS batch FROM e LEFT JOIN s ON s.rn = e.rn""",
+)
+def _(s, d):
+    """All events under one key, folded in ranges: batches of fifty, or of an hour."""
+    at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long")
+    e = table(s, d, "events").select("event_id", F.lit("all").alias("key"), at.alias("at"))
+    rows = max(1, e.count() // 8)
+    return folds.flush_batches(e, "key", "at", latency_ms=3_600_000, longest=rows).select("event_id", "batch")

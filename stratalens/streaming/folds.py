@@ -2,63 +2,176 @@
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 Step = Callable[[Any, Mapping[str, Any]], tuple[Any, Any]]
 
 
-def fold_by_key(events: DataFrame, key: str, order: list[str], step: Step, name: str, kind: str) -> DataFrame:
+#: Rows of the longest key beyond which keys are folded in ranges.
+LONGEST = 1_000_000
+
+
+def fold_by_key(events: DataFrame, key: str, order: list[str], step: Step, name: str, kind: str, *, counted: bool = False, longest: int = LONGEST) -> DataFrame:
     """events with a column that a fold over the rows of each key gives, in order.
 
     ``step(state, row)`` returns the next state and the row's value; a key's
-    first state is None.  Keys are sorted within their partitions and flow
-    through in batches: a task holds one batch and one state, however long a
-    key is.
+    first state is None.  With ``counted`` values are flags, and the column
+    numbers the rows by the flags of their key so far, from 0.  Keys are sorted
+    within their partitions and flow through in batches: a task holds one batch
+    and one state.  If a key has more than ``longest`` rows, tasks are ranges
+    of (key, order) instead, see fold_in_ranges().
     """
+    most = events.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > longest:
+        return fold_in_ranges(events, key, order, step, name, kind, counted=counted, rows=longest)
     ordered = events.repartition(key).sortWithinPartitions(key, *order)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
-    arrow = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[kind]
     names = events.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state, fresh = None, None, True
+        now, state, fresh, flags = None, None, True, 0
         for batch in batches:
             out = []
             for row in batch.to_pylist():
                 if fresh or row[key] != now:
-                    now, state, fresh = row[key], None, False
+                    now, state, fresh, flags = row[key], None, False, 0
                 state, value = step(state, row)
-                out.append(value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow)], names=[*names, name])
+                flags += bool(counted and value)
+                out.append(flags - 1 if counted else value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, _ARROW[kind])], names=[*names, name])
+
+    return ordered.mapInArrow(run, f"{_columns(events)}, `{name}` {kind}")
+
+
+_ARROW = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def _columns(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+@dataclass
+class _Range:
+    """What is known of a range: its first and last key, the state and the flags of the last key at its end, and the state it was begun with."""
+
+    first: Any
+    last: Any
+    end: bytes
+    flags: int
+    began: bytes | None = None
+
+    @property
+    def single(self) -> bool:
+        return self.first == self.last
 
-    return ordered.mapInArrow(run, f"{schema}, `{name}` {kind}")
+
+def fold_in_ranges(events: DataFrame, key: str, order: list[str], step: Step, name: str, kind: str, *, counted: bool = False, rows: int = LONGEST) -> DataFrame:
+    """fold_by_key() by ranges of about ``rows`` rows of (key, order), so that a key may span tasks.
+
+    All ranges are folded at once, each as if its first key began there.  Then
+    each is told the state that the range before ended with, and those for
+    which that is news, and whose end depends on it, are folded again, until
+    nothing is news: at once where states forget what was long ago (batches
+    fall into step, buckets fill up, keys are done), range after range in the
+    worst case.  The driver holds a state a range.
+    """
+    spark, names = events.sparkSession, events.columns
+    ranges = max(2, math.ceil(events.count() / max(1, rows)))
+    placed = events.repartitionByRange(ranges, key, *order).sortWithinPartitions(key, *order)
+    stored = materialize(placed.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+
+    def in_order(parts: list[int] | None) -> DataFrame:
+        some = stored if parts is None else stored.where(F.col("_part").isin(parts))
+        return some.repartition(min(ranges, len(parts) if parts else ranges), "_part").sortWithinPartitions("_part", "_at")
+
+    def look(parts: list[int] | None, begin: dict[int, bytes]) -> dict[int, _Range]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, first, now, state, flags = None, None, None, None, 0
+            out = []
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if row["_part"] != part:
+                        if part is not None:
+                            out.append((part, pickle.dumps((first, now)), pickle.dumps(state), flags))
+                        part, first, now, flags = row["_part"], row[key], row[key], 0
+                        state = pickle.loads(begin[part]) if part in begin else None
+                    elif row[key] != now:
+                        now, state, flags = row[key], None, 0
+                    state, value = step(state, row)
+                    flags += bool(counted and value)
+            if part is not None:
+                out.append((part, pickle.dumps((first, now)), pickle.dumps(state), flags))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.int64()))], names=["part", "keys", "state", "flags"])
+
+        found = in_order(parts).mapInArrow(run, "part int, keys binary, state binary, flags long").collect()  # one row a range
+        return {r["part"]: _Range(*pickle.loads(r["keys"]), bytes(r["state"]), r["flags"], begin.get(r["part"])) for r in found}
+
+    known = look(None, {})
+    following = sorted(known)
+    before = {p: q for q, p in zip(following, following[1:]) if known[p].first == known[q].last}
+    while True:
+        news = {p: known[q].end for p, q in before.items() if known[p].began != known[q].end}
+        if not news:
+            break
+        again = [p for p in news if known[p].single]
+        for p in news:
+            known[p].began = news[p]
+        if again:
+            known.update(look(again, {p: news[p] for p in again}))
+    begin = {p: known[p].began for p in before}
+    flagged: dict[int, int] = {}
+    for p in following:
+        q = before.get(p)
+        flagged[p] = 0 if q is None else known[q].flags + (flagged[q] if known[q].single else 0)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, now, state, flags = None, None, None, 0
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["_part"] != part:
+                    part, now = row["_part"], row[key]
+                    state, flags = pickle.loads(begin[part]) if part in begin else None, flagged[part]
+                elif row[key] != now:
+                    now, state, flags = row[key], None, 0
+                state, value = step(state, row)
+                flags += bool(counted and value)
+                out.append(flags - 1 if counted else value)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(out, _ARROW[kind])], names=[*names, name])
+
+    return in_order(None).mapInArrow(fold, f"{_columns(events)}, `{name}` {kind}")
 
 
 def batch_step(at: str, most: int, latency_ms: int) -> Step:
+    """Whether a row opens a batch; the state is the rows of the open one, and its oldest."""
+
     def step(state, row):
-        batch, count, oldest = state or (0, 0, 0)
-        now = row[at]
-        if count and now - oldest >= latency_ms:
-            batch, count = batch + 1, 0
-        if not count:
-            oldest = now
-        count += 1
-        return ((batch + 1, 0, oldest) if count >= most else (batch, count, oldest)), batch
+        count, oldest = state or (0, 0)
+        if count and row[at] - oldest >= latency_ms:
+            count = 0
+        opens = not count
+        oldest = row[at] if opens else oldest
+        return ((0, 0) if count + 1 >= most else (count + 1, oldest)), opens
 
     return step
 
 
-def flush_batches(events: DataFrame, key: str, at: str, *, most: int = 50, latency_ms: int = 2000, order: str = "event_id") -> DataFrame:
+def flush_batches(events: DataFrame, key: str, at: str, *, most: int = 50, latency_ms: int = 2000, order: str = "event_id", **longest: int) -> DataFrame:
     """The batch of each event of a key (T01): closed when it is full, or when its oldest event is too old at the next arrival."""
-    return fold_by_key(events, key, [at, order], batch_step(at, most, latency_ms), "batch", "long")
+    return fold_by_key(events, key, [at, order], batch_step(at, most, latency_ms), "batch", "long", counted=True, **longest)
 
 
-def idempotency(events: DataFrame, key: str, at: str, outcome: str, *, ttl_ms: int, attempts: int, order: str = "event_id") -> DataFrame:
+def idempotency(events: DataFrame, key: str, at: str, outcome: str, *, ttl_ms: int, attempts: int, order: str = "event_id", **longest: int) -> DataFrame:
     """What happens to each delivery of a key (T04): start, skip_done, skip_running or dead.
 
     A finished key is skipped; one that started within the time to live is
@@ -77,7 +190,7 @@ def idempotency(events: DataFrame, key: str, at: str, outcome: str, *, ttl_ms: i
             return ("dead", since, tries), "dead"
         return (after.get(row[outcome], "running"), row[at], tries + 1), "start"
 
-    return fold_by_key(events, key, [at, order], step, "action", "string")
+    return fold_by_key(events, key, [at, order], step, "action", "string", **longest)
 
 
 def bucket_step(at: str, per_minute: int) -> Step:
@@ -91,9 +204,9 @@ def bucket_step(at: str, per_minute: int) -> Step:
     return step
 
 
-def token_bucket(events: DataFrame, key: str, at: str, *, per_minute: int, order: str = "event_id") -> DataFrame:
+def token_bucket(events: DataFrame, key: str, at: str, *, per_minute: int, order: str = "event_id", **longest: int) -> DataFrame:
     """Whether each event passes a token bucket of its key (T07): capacity per_minute, refilled steadily."""
-    return fold_by_key(events, key, [at, order], bucket_step(at, per_minute), "allowed", "boolean")
+    return fold_by_key(events, key, [at, order], bucket_step(at, per_minute), "allowed", "boolean", **longest)
 
 
 def tumbling_limit(events: DataFrame, keys: list[str], at: str, limit: int, *, seconds: int = 60, order: str = "event_id") -> DataFrame:

@@ -102,14 +102,15 @@ def stream_batches(events: DataFrame, key: str, at: str, *, most: int = 50, late
         return key_value, batch, len(members), members[0], members[-1], reason
 
     def on_event(state: Any, row: Mapping[str, Any]) -> tuple[Any, list[tuple]]:
-        fold, key_value, open_batch, members = state or (None, row[key], 0, [])
-        fold, batch = step(fold, row)
+        fold, key_value, batch, members = state or (None, row[key], -1, [])
+        fold, opens = step(fold, row)
         out = []
-        if members and batch != open_batch:
-            out.append(close(key_value, open_batch, members, "age"))
-            members = []
+        if opens:
+            if members:
+                out.append(close(key_value, batch, members, "age"))
+            batch, members = batch + 1, []
         members = [*members, row[at]]
-        if fold[1] == 0:  # that one was the last of its batch
+        if fold[0] == 0:  # that one was the last of its batch
             out.append(close(key_value, batch, members, "size"))
             members = []
         return (fold, key_value, batch, members), out
@@ -118,6 +119,6 @@ def stream_batches(events: DataFrame, key: str, at: str, *, most: int = 50, late
         fold, key_value, batch, members = state
         if not members or members[0] + latency_ms > passed:
             return state, []
-        return ((fold[0] + 1, 0, fold[2]), key_value, batch, []), [close(key_value, batch, members, "age")]
+        return ((0, 0), key_value, batch, []), [close(key_value, batch, members, "age")]
 
     return keyed_process(events, key, at, order, watermark, f"`{key}` {kind}, batch long, n long, first_at long, last_at long, reason string", on_event, on_time, lambda s: s[3][0] + latency_ms if s[3] else None)

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stratalens.operators import fusion
+from stratalens.operators import fusion, graph
 from stratalens.sources.snapshots import SnapshotLog
 from stratalens.streaming import consumer, folds, timers
 
@@ -138,3 +138,28 @@ def test_keyset_cursors(spark, tmp_path):
     pinned, want = log.version(), [r["id"] for r in df.orderBy(F.desc("score"), "id").collect()]
     log.append({"t": df.withColumn("id", F.col("id") + 100)})
     assert in_pages(log.read("t", pinned), keys, 4, snapshot=str(pinned)) == want
+
+
+@pytest.mark.parametrize("longest", [13, 60])
+def test_long_keys_in_ranges(spark, longest):
+    """A key over many ranges gives what one task gives; so do short keys that share ranges."""
+    rng = random.Random(longest)
+    rows = [(i, rng.choice("aaaaaaaab") if i % 40 else rng.choice("cdefgh"), rng.randint(0, 60_000), rng.choice(["ok", "failed", "lost"]), rng.randint(1, 100)) for i in range(130)]
+    events = spark.createDataFrame(rows, "event_id long, user string, ms long, outcome string, bytes long").repartition(3).cache()
+    folded = {
+        "flush": lambda **x: folds.flush_batches(events, "user", "ms", most=7, latency_ms=1_000, **x),
+        "bucket": lambda **x: folds.token_bucket(events, "user", "ms", per_minute=60, **x),
+        "idempotency": lambda **x: folds.idempotency(events, "user", "ms", "outcome", ttl_ms=3_000, attempts=40, **x),
+        "first fit": lambda **x: graph.first_fit_batches(events, "user", "event_id", "bytes", low=150, high=220, most=5, **x),
+    }
+    for name, fold in folded.items():
+        assert sorted(map(tuple, fold(longest=longest).collect())) == sorted(map(tuple, fold().collect())), name
+    ranged = folds.flush_batches(events, "user", "ms", most=7, latency_ms=1_000, longest=longest)
+    assert ranged.withColumn("_task", F.spark_partition_id()).where("user = 'a'").select("_task").distinct().count() > 1
+
+
+def test_long_keys_of_little(spark):
+    none = spark.createDataFrame([], "event_id long, user string, ms long")
+    assert folds.flush_batches(none, "user", "ms", longest=0).count() == 0 and folds.fold_in_ranges(none, "user", ["ms"], lambda s, r: (s, True), "x", "boolean").count() == 0
+    null = spark.createDataFrame([(1, None, 5), (2, None, 6), (3, "a", 7)], "event_id long, user string, ms long")
+    assert sorted(r.batch for r in folds.flush_batches(null, "user", "ms", longest=1).collect()) == [0, 0, 0]
