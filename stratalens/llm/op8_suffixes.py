@@ -1,4 +1,9 @@
-"""Operator 8, suffix-array dedup by bucket-pointer refinement."""
+"""Operator 8, suffix-array dedup.
+
+Buckets of q-grams are kept from bucket-pointer refinement; their sorting is
+replaced by hashes of windows, so no suffix is sorted (see repeats.ByteStrings
+and the README).
+"""
 
 from __future__ import annotations
 

@@ -158,7 +158,7 @@ class ByteStrings:
         return p, self.refined(roll)[p] if p.size else np.zeros(0, U)
 
     def refined(self, roll: Rolling) -> np.ndarray:
-        """Bucket identifiers of depth ``window``: halves are sorted first, then pairs of their identifiers."""
+        """Names of depth ``window``: a hash of halves, then of pairs of their names at doubling offsets; nothing is sorted."""
         depths = [self.window]
         while depths[-1] > self.q:
             depths.append((depths[-1] + 1) // 2)
