@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.vectors import clamp
+from ..session import running
 
 # Weights of modalities in rank fusion, and its constant.
 FUSION_WEIGHTS = {"text": 1.0, "ocr": 1.0, "vision": 0.8, "audio": 0.8, "video": 1.0, "fts": 1.2}
@@ -100,21 +102,34 @@ def rerank(hits: DataFrame, scorer: Column, *, order: list[Column], text: str =
     return at.withColumn("base_score", F.col("score")).withColumn("score", mixed).drop("_in", "_rn", "_sum", "_cut", "_raw")
 
 
-def merge_intervals(df: DataFrame, group: list[str], gap: int, *, start: str = "start_ms", end: str = "end_ms", score: str = "score", carry: tuple[str, ...] = (), refs: str | None = None, tie: tuple[str, ...] = ()) -> DataFrame:
+def merge_intervals(df: DataFrame, group: list[str], gap: int, *, start: str = "start_ms", end: str = "end_ms", score: str = "score", carry: tuple[str, ...] = (), refs: str | None = None, tie: tuple[str, ...] = (), longest: int | None = None) -> DataFrame:
     """Intervals of a group that touch within a gap, as one: its bounds, number and best score.
 
     An interval joins the one before it if it starts no later than the largest
     end so far and the gap; one without a start or an end stays by itself.
     ``carry`` columns come from the row of the best score (the first of
     equals), ``refs`` (an array) holds the distinct references of all, and
-    ``note`` says where several were merged.
+    ``note`` says where several were merged.  With ``longest``, groups of more
+    rows than that are cut into ranges of about as many, a task each.
     """
     loose = F.col(start).isNull() | F.col(end).isNull()
     at = df.withColumn("_loose", loose)
+    most = at.groupBy(*group, "_loose").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first() if longest is not None else (0, 0)
+    if longest is not None and (most[0] or 0) > longest:
+        keys, order, ranges = [*group, "_loose"], [start, end, *tie], max(2, math.ceil(most[1] / max(1, longest)))
+        reach = running(at, keys, order, ranges, _before=("max", F.col(end)))
+        opens = F.when(F.col("_loose") | F.col("_before").isNull() | (F.col(start) > F.col("_before") + gap), 1).otherwise(0)
+        numbered = running(reach.withColumn("_new", opens), keys, order, ranges, _opened=("sum", F.col("_new")))
+        return _merged(numbered.withColumn("island", F.coalesce("_opened", F.lit(0)) + F.col("_new")), group, start, end, score, carry, refs)
     w = Window.partitionBy(*group, "_loose").orderBy(start, end, *tie)
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     opened = at.withColumn("_new", F.when(F.col("_loose") | before.isNull() | (F.col(start) > before + gap), 1).otherwise(0))
     island = opened.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return _merged(island, group, start, end, score, carry, refs)
+
+
+def _merged(island: DataFrame, group: list[str], start: str, end: str, score: str, carry: tuple[str, ...], refs: str | None) -> DataFrame:
+    """One row an island."""
     first = lambda c: F.coalesce(-F.col(c), F.lit(0))
     best = [F.max_by(c, F.struct(F.coalesce(F.col(score), F.lit(float("-inf"))), first(start), first(end))).alias(c) for c in carry]
     if refs:
@@ -133,11 +148,15 @@ def backfill(primary: DataFrame, extra: DataFrame, key: str, k: int, *, order: l
 
 
 def group_moments(hits: DataFrame, key: str, *, order: list[Column], keep: int = 3) -> DataFrame:
-    """Hits with their place among those of their key, and the key's count and best score; the first ``keep`` of each."""
-    w = Window.partitionBy(key).orderBy(*order)
-    totals = Window.partitionBy(key)
-    out = hits.withColumn("moment", F.row_number().over(w)).withColumn("clip_count", F.count("*").over(totals)).withColumn("best_score", F.max("score").over(totals))
-    return out.where(F.col("moment") <= keep)
+    """Hits with their place among those of their key, and the key's count and best score; the first ``keep`` of each.
+
+    The cut is made before rows are exchanged, and sums are added up before
+    that too, so a key of many hits is no one task's.
+    """
+    totals = hits.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("clip_count"), F.max("score").alias("best_score"))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    best = hits.withColumn("moment", nth).where(F.col("moment") <= keep)
+    return best.join(totals, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def hit_order(asset: str = "asset_id", start: str = "start_ms", evidence: str = "evidence_id") -> list[Column]:

@@ -103,10 +103,10 @@ def _(s, d):
     return graph.first_fit_batches(o, "entity", "run_id", "bytes", low=1_000_000.0, high=2_000_000.0, most=10)
 
 
-@query("q36_gc_plan", f"WITH {RUNS}, r AS (SELECT *, row_number() OVER (PARTITION BY is_compaction ORDER BY completed_at DESC, run_id DESC) AS c, row_number() OVER (ORDER BY completed_at DESC, run_id DESC) AS l FROM runs), k AS (SELECT run_id FROM r WHERE completed_at >= TIMESTAMP '2024-10-01' OR (is_compaction AND c <= 2) OR l <= 5) SELECT l_orderkey AS run_id, count(*) AS files, round(sum(l_extendedprice), 2) AS bytes FROM lineitem WHERE l_orderkey NOT IN (SELECT run_id FROM k) AND l_returnflag <> 'R' GROUP BY l_orderkey")
+@query("q36_gc_plan", f"WITH {RUNS}, r AS (SELECT *, row_number() OVER (PARTITION BY is_compaction ORDER BY completed_at DESC, run_id DESC) AS c, row_number() OVER (ORDER BY completed_at DESC, run_id DESC) AS l FROM runs), k AS (SELECT run_id FROM r WHERE completed_at >= TIMESTAMP '2024-10-01' OR (is_compaction AND c <= 2) OR l <= 5) SELECT l_orderkey AS run_id, count(*) AS files, round(sum(l_extendedprice), 2) AS bytes FROM lineitem WHERE l_orderkey NOT IN (SELECT run_id FROM k) GROUP BY l_orderkey")
 def _(s, d):
     kept = graph.keep_set(_runs(s, d), since=F.lit("2024-10-01").cast("timestamp_ntz"), compactions=2, latest=5).select(F.col("run_id").alias("l_orderkey")).distinct()
-    files = table(s, d, "lineitem").where("l_returnflag <> 'R'").join(kept, "l_orderkey", "left_anti")
+    files = table(s, d, "lineitem").join(kept, "l_orderkey", "left_anti")
     return files.groupBy(F.col("l_orderkey").alias("run_id")).agg(F.count("*").alias("files"), F.round(F.sum("l_extendedprice"), 2).alias("bytes"))
 
 

@@ -8,7 +8,7 @@ from ..operators import fusion, index, terms
 from ..session import fresh_path, materialize, table
 from ..sources.snapshots import SnapshotLog
 from ..streaming import consumer, folds
-from .retrieval import BM25, r6
+from .retrieval import BM25, SEGMENTS, r6, segments
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -154,3 +154,16 @@ def _(s, d):
     e = table(s, d, "events").select("event_id", F.lit("all").alias("key"), at.alias("at"))
     rows = max(1, e.count() // 8)
     return folds.flush_batches(e, "key", "at", latency_ms=3_600_000, longest=rows).select("event_id", "batch")
+
+
+@query(
+    "q114_one_long_asset",
+    f"""WITH {SEGMENTS}, o AS (SELECT *, max(end_ms) OVER (ORDER BY start_ms, end_ms, evidence_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER (ORDER BY start_ms, end_ms, evidence_id) AS rn FROM segments),
+i AS (SELECT *, sum(CASE WHEN before IS NULL OR start_ms > before + 20000 THEN 1 ELSE 0 END) OVER (ORDER BY rn ROWS UNBOUNDED PRECEDING) AS island FROM o)
+SELECT min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_merged, round(max(score), 6) AS score FROM i GROUP BY island""",
+)
+def _(s, d):
+    """All segments as those of one asset, merged in ranges."""
+    one = segments(s, d).withColumn("asset_id", F.lit(1))
+    merged = fusion.merge_intervals(one, ["asset_id"], 20_000, tie=("evidence_id",), longest=max(1, one.count() // 8))
+    return merged.select("start_ms", "end_ms", "n_merged", r6("score").alias("score"))

@@ -57,3 +57,28 @@ def with_rank(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFr
     sizes = at.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return at.join(sizes.select("_part", before.alias("_before")), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
+def running(df: DataFrame, keys: list[str], order: list[Column | str], ranges: int | None = None, **measures: tuple[str, Column]) -> DataFrame:
+    """df with what comes before each row of its key, in order: ("max", c) the largest c, ("sum", c) their sum; null where nothing does.
+
+    Tasks are ranges of (keys, order), so a key may span several: what a range
+    holds of a key is added up, and what the ranges before hold is carried to
+    it.  Keys that span ranges are no more than twice as many as ranges.
+    """
+    how = {"max": (F.max, lambda a, b: F.greatest(a, b)), "sum": (F.sum, lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b))}
+    names = df.columns
+    placed = df.repartitionByRange(*([ranges] if ranges else []), *keys, *order).sortWithinPartitions(*keys, *order)
+    inputs = [c.alias(f"_in_{n}") for n, (_, c) in measures.items()]
+    at = materialize(placed.select("*", *inputs, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")))
+    parts = at.groupBy(*keys, "_part").agg(*[how[kind][0](f"_in_{n}").alias(f"_all_{n}") for n, (kind, _) in measures.items()])
+    along = Window.partitionBy(*keys).orderBy("_part")
+    carried = parts.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_part").alias("_of"), F.count("*").over(Window.partitionBy(*keys)).alias("_many"), *[how[kind][0](f"_all_{n}").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_far_{n}") for n, (kind, _) in measures.items()])
+    carried = carried.where("_many > 1").drop("_many")
+    same = F.col("_part") == F.col("_of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    local = Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    both = at.join(F.broadcast(carried), same, "left")
+    near = both.select("*", *[how[kind][0](f"_in_{n}").over(local).alias(f"_near_{n}") for n, (kind, _) in measures.items()])
+    return near.select(*names, *[how[kind][1](F.col(f"_far_{n}"), F.col(f"_near_{n}")).alias(n) for n, (kind, _) in measures.items()])

@@ -184,3 +184,26 @@ def test_porter():
     """Words and stems of the published paper."""
     pairs = "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc digitizer digit conformabli conform radicalli radic differentli differ vileli vile analogousli analog vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form formalize formal electriciti electr electrical electr hopeful hope goodness good revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust dependent depend adoption adopt homologou homolog communism commun activate activ angulariti angular homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll".split()
     assert [porter(w) for w in pairs[::2]] == pairs[1::2]
+
+
+def test_running_values_over_ranges(spark):
+    """What comes before a row is the same whether its key is one task's or spans ranges; keys may be null."""
+    from stratalens.operators import fusion
+    from stratalens.session import running
+
+    rng = np.random.default_rng(5)
+    rows = [(i, None if i % 11 == 0 else "ab"[int(rng.random() < 0.1)], int(rng.integers(0, 400)), None if i % 7 == 0 else int(rng.integers(0, 50))) for i in range(160)]
+    df = spark.createDataFrame(rows, "id long, asset string, start_ms long, length long").repartition(3)
+    got = {r["id"]: (r["top"], r["total"]) for r in running(df, ["asset"], ["start_ms", "id"], 9, top=("max", F.col("length")), total=("sum", F.col("length"))).collect()}
+    want = {}
+    for asset in (None, "a", "b"):
+        own = sorted((r for r in rows if r[1] == asset), key=lambda r: (r[2], r[0]))
+        for i, r in enumerate(own):
+            seen = [x[3] for x in own[:i] if x[3] is not None]
+            want[r[0]] = (max(seen), sum(seen)) if seen else (None, None)
+    assert got == want and running(df.limit(0), ["asset"], ["id"], 3, top=("max", F.col("length"))).count() == 0
+    hits = df.withColumn("end_ms", F.col("start_ms") + F.col("length")).withColumn("score", F.lit(1.0))
+    plain, ranged = (fusion.merge_intervals(hits, ["asset"], 2, tie=("id",), **x) for x in ({}, {"longest": 12}))
+    assert sorted(map(str, plain.drop("island").collect())) == sorted(map(str, ranged.drop("island").collect()))
+    top = fusion.group_moments(hits.withColumn("score", F.col("length").cast("double")), "asset", order=[F.desc("score"), F.col("id")], keep=2)
+    assert {(r["asset"], r["clip_count"]) for r in top.collect()} == {(a, sum(r[1] == a for r in rows)) for a in (None, "a", "b")} and top.count() == 6
