@@ -145,7 +145,7 @@ def test_vector_index_on_clusters(spark, tmp_path):
 def test_vector_index_of_little(spark, tmp_path):
     path = str(tmp_path / "ix")
     few = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 2.0, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [1.0, 1.0, 0.0])], "id long, vector array<double>")
-    assert index.build_index(few, path) == 1
+    assert index.build_index(few, path) == 2
     got = index.search_index(spark, path, [0.0, 3.0, 0.0], 10, exact=True).collect()
     assert [r["id"] for r in got] == [2, 3, 4, 1] and got[0]["score"] == 1.0
     nothing = spark.createDataFrame([(0, [0.0, 0.0, 0.0])], "qid int, vector array<double>")
