@@ -76,8 +76,8 @@ def compact(spark: SparkSession, files: DataFrame, kinds: Mapping[str, Sequence[
                 continue
             rows = spark.read.option("mergeSchema", True).parquet(*uris)
             names = rows.columns
-            at = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-            by_file = placed.select(F.element_at(F.split("uri", "/"), -1).alias("_file"), "batch", "_order")
+            at = rows.select("*", plain_uri(F.col("_metadata.file_path")).alias("_file"), F.col("_metadata.row_index").alias("_row"))
+            by_file = placed.select(plain_uri(F.col("uri")).alias("_file"), "batch", "_order")
             moved = at.join(by_file, "_file").repartition("batch").sortWithinPartitions("batch", "_order", "_row")
             target = f"{root.rstrip('/')}/{'edges' if kind in EDGE_KINDS else 'vertices'}/{entity}/{kind}/{run_id}"
             moved.select("batch", *names).write.mode("errorifexists").option("compression", "zstd").partitionBy("batch").parquet(target)

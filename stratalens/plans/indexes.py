@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fusion, index, terms
+from ..operators import fusion, index, maintenance, registry, terms
 from ..session import fresh_path, materialize, table
+from ..sources import records
+from ..sources.groups import ColumnGroups
 from ..sources.snapshots import SnapshotLog
 from ..streaming import consumer, folds
+from . import more
 from .retrieval import BM25, SEGMENTS, r6, segments
 
 Q: dict = {}
@@ -167,3 +170,47 @@ def _(s, d):
     one = segments(s, d).withColumn("asset_id", F.lit(1))
     merged = fusion.merge_intervals(one, ["asset_id"], 20_000, tie=("evidence_id",), longest=max(1, one.count() // 8))
     return merged.select("start_ms", "end_ms", "n_merged", r6("score").alias("score"))
+
+
+@query("q115_registry_lookup", more.SQL["q90_dedupe_lookup"])
+def _(s, d):
+    """q90's lookup over a registry of two generations, of which only buckets that may hold a digest are read."""
+    incoming, done = more.lookup_tables(s, d)
+    own = registry.Registry.create(s, fresh_path(s, "registries"), done.schema, ["digest"], buckets=16)
+    english = F.col("pipeline_version") == "en"
+    own.append(done.where(english))
+    own.append(done.where(~english | english.isNull()))
+    return maintenance.find_completed(incoming, own.matching(incoming)).select("id", "found", "cache_hit")
+
+
+@query("q116_registry_unseen", "SELECT conv_id, turn FROM conversations WHERE text IS NULL OR text NOT IN (SELECT text FROM conversations WHERE turn = 0 AND text IS NOT NULL)")
+def _(s, d):
+    """Turns whose text no conversation begins with."""
+    turns = table(s, d, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("digest"))
+    begins = turns.where("turn = 0").select("digest")
+    own = registry.Registry.create(s, fresh_path(s, "registries"), begins.schema, ["digest"], buckets=16)
+    own.append(begins)
+    return own.unseen(turns).select("conv_id", "turn")
+
+
+@query("q117_bucketed_stitch", "SELECT doc_id, lang, n_chars, sha256(text) AS digest FROM documents")
+def _(s, d):
+    """q33's groups, written in matching buckets and joined where they lie."""
+    docs = table(s, d, "documents").select("*", F.col("_metadata.file_name").alias("group_id"), F.col("_metadata.row_index").alias("row_number"))
+    groups = ColumnGroups.create(s, fresh_path(s, "groups"), buckets=8)
+    for name, columns in {"core": ["doc_id", "lang"], "body": ["text"], "size": ["n_chars"]}.items():
+        groups.write(name, docs.select("group_id", "row_number", *columns))
+    return groups.stitch("core", "body", "size").select("doc_id", "lang", "n_chars", F.sha2("text", 256).alias("digest"))
+
+
+@query(
+    "q118_message_parts",
+    """WITH e AS (SELECT user_id AS batch, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_type, event_id::VARCHAR) - 1 AS n FROM events)
+SELECT batch, min(n) AS first, count(*)::INTEGER AS n, sha256(string_agg(event_id::VARCHAR, ',' ORDER BY event_type, event_id::VARCHAR)) AS digest FROM e GROUP BY batch, n // 7""",
+)
+def _(s, d):
+    """Events of a user in messages of seven."""
+    e = table(s, d, "events").select("user_id", F.col("event_type").alias("name"), F.col("event_id").cast("string").alias("generation"))
+    sent = records.as_messages(e, F.col("user_id"), ["name", "generation"], most=7)
+    ids = F.from_json("value", "events array<struct<name: string, generation: string>>")["events"]["generation"]
+    return sent.select("batch", "first", F.size(ids).alias("n"), F.sha2(F.array_join(ids, ","), 256).alias("digest"))

@@ -266,15 +266,20 @@ def _(s, d):
     return maintenance.compaction_metrics(runs)
 
 
-@query("q90_dedupe_lookup", "WITH i AS (SELECT doc_id AS id, sha256(text) AS digest, source AS scope, CASE WHEN doc_id % 3 = 0 THEN n_chars END AS size_bytes, CASE WHEN doc_id % 2 = 0 THEN 'text/plain' END AS content_type, CASE WHEN doc_id % 5 = 0 THEN lang END AS pipeline_version FROM documents), dn AS (SELECT printf('%08d', doc_id) AS doc_id, sha256(text) AS digest, source AS scope, CASE WHEN doc_id % 4 <> 0 THEN n_chars END AS size_bytes, CASE WHEN doc_id % 7 = 0 THEN 'image/png' ELSE 'Text/Plain; charset=x' END AS content_type, lang AS pipeline_version, doc_id % 11 = 0 AS m FROM documents WHERE doc_id % 6 <> 5), p AS (SELECT i.id, dn.doc_id, m, row_number() OVER (PARTITION BY i.id ORDER BY dn.doc_id) AS n FROM i JOIN dn ON i.digest = dn.digest AND i.scope = dn.scope WHERE (i.pipeline_version IS NULL OR i.pipeline_version = dn.pipeline_version) AND (i.size_bytes IS NULL OR dn.size_bytes IS NULL OR i.size_bytes = dn.size_bytes) AND (i.content_type IS NULL OR lower(split_part(dn.content_type, ';', 1)) = i.content_type)), b AS (SELECT id, arg_min(doc_id, (NOT m, doc_id)) AS found FROM p WHERE n <= 20 GROUP BY id) SELECT i.id, found, found IS NOT NULL AS cache_hit FROM i LEFT JOIN b USING (id)")
-def _(s, d):
+def lookup_tables(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Incoming objects and those that were completed before."""
     docs = table(s, d, "documents")
     k = F.col("doc_id")
     shared = [F.sha2("text", 256).alias("digest"), F.col("source").alias("scope")]
     none = F.lit(None).cast("string")
     incoming = docs.select(k.alias("id"), *shared, F.when(k % 3 == 0, F.col("n_chars")).alias("size_bytes"), F.when(k % 2 == 0, "text/plain").alias("content_type"), F.when(k % 5 == 0, F.col("lang")).alias("pipeline_version"), none.alias("bucket"), none.alias("name"), F.lit(None).cast("long").alias("duration_ms"))
     done = docs.where(k % 6 != 5).select(F.lpad(k.cast("string"), 8, "0").alias("doc_id"), *shared, F.when(k % 4 != 0, F.col("n_chars")).alias("size_bytes"), F.when(k % 7 == 0, "image/png").otherwise("Text/Plain; charset=x").alias("content_type"), F.col("lang").alias("pipeline_version"), F.lit("b").alias("bucket"), F.lit("n").alias("name"), F.lit(1).cast("long").alias("duration_ms"), (k % 11 == 0).alias("has_metrics"), F.lit("COMPLETED").alias("status"))
-    return maintenance.find_completed(incoming, done).select("id", "found", "cache_hit")
+    return incoming, done
+
+
+@query("q90_dedupe_lookup", "WITH i AS (SELECT doc_id AS id, sha256(text) AS digest, source AS scope, CASE WHEN doc_id % 3 = 0 THEN n_chars END AS size_bytes, CASE WHEN doc_id % 2 = 0 THEN 'text/plain' END AS content_type, CASE WHEN doc_id % 5 = 0 THEN lang END AS pipeline_version FROM documents), dn AS (SELECT printf('%08d', doc_id) AS doc_id, sha256(text) AS digest, source AS scope, CASE WHEN doc_id % 4 <> 0 THEN n_chars END AS size_bytes, CASE WHEN doc_id % 7 = 0 THEN 'image/png' ELSE 'Text/Plain; charset=x' END AS content_type, lang AS pipeline_version, doc_id % 11 = 0 AS m FROM documents WHERE doc_id % 6 <> 5), p AS (SELECT i.id, dn.doc_id, m, row_number() OVER (PARTITION BY i.id ORDER BY dn.doc_id) AS n FROM i JOIN dn ON i.digest = dn.digest AND i.scope = dn.scope WHERE (i.pipeline_version IS NULL OR i.pipeline_version = dn.pipeline_version) AND (i.size_bytes IS NULL OR dn.size_bytes IS NULL OR i.size_bytes = dn.size_bytes) AND (i.content_type IS NULL OR lower(split_part(dn.content_type, ';', 1)) = i.content_type)), b AS (SELECT id, arg_min(doc_id, (NOT m, doc_id)) AS found FROM p WHERE n <= 20 GROUP BY id) SELECT i.id, found, found IS NOT NULL AS cache_hit FROM i LEFT JOIN b USING (id)")
+def _(s, d):
+    return maintenance.find_completed(*lookup_tables(s, d)).select("id", "found", "cache_hit")
 
 
 @query("q91_group_map", "WITH c AS (SELECT l_orderkey AS run_id, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_orderkey || '-' || l_linenumber, l_linenumber) AS nth, l_linenumber % 2 AS k FROM lineitem) SELECT run_id, nth, max(CASE WHEN k = 1 THEN run_id || '-' || l_linenumber END) AS core, max(CASE WHEN k = 0 THEN run_id || '-' || l_linenumber END) AS text FROM c GROUP BY run_id, nth")

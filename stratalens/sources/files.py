@@ -168,18 +168,35 @@ def chunk_texts(df: DataFrame, text: str = "text", target: int = 128, overlap: i
     char_end, token_start, token_end and chunk; a text without tokens has none.
     """
     step = max(1, target - overlap)
-    t = F.coalesce(F.col(text), F.lit(""))
-    # the token and the white space before it, so that lengths add up to offsets
-    pieces = F.regexp_extract_all(t, F.lit(r"(\s*\S+)"), F.lit(1))
-    ends = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
-    cut = df.withColumn("_p", pieces).where(F.size("_p") > 0).withColumn("_e", ends)
-    starts = F.sequence(F.lit(0), F.size("_p") - 1, F.lit(step))
-    out = cut.select("*", F.posexplode(starts).alias("chunk_index", "token_start"))
-    out = out.withColumn("token_end", F.least(F.col("token_start") + target, F.size("_p")))
-    bare = F.length(F.regexp_replace(F.get("_p", F.col("token_start")), r"^\s+", ""))
-    out = out.withColumn("char_end", F.get("_e", F.col("token_end"))).withColumn("char_start", F.get("_e", F.col("token_start") + 1) - bare)
-    chunk = F.substring(F.col(text), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
-    return out.select(*df.columns, *[F.col(c).cast("long").alias(c) for c in ("chunk_index", "char_start", "char_end", "token_start", "token_end")], chunk.alias("chunk"))
+    windows = F.explode(chunks_of(target, step)(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    out = df.withColumn("_window", windows)
+    return out.select(*df.columns, *[F.col(f"_window.{c}").alias(c) for c in ("chunk_index", "char_start", "char_end", "token_start", "token_end", "chunk")])
+
+
+CHUNKS = "array<struct<chunk_index: long, char_start: long, char_end: long, token_start: long, token_end: long, chunk: string>>"
+
+
+def chunks_of(target: int, step: int):
+    """An Arrow function from a text to its windows, in time that grows with the text."""
+
+    @F.arrow_udf(CHUNKS)
+    def cut(texts: pa.Array) -> pa.Array:
+        token = re.compile(r"\S+", re.ASCII)
+        columns, ends = [[] for _ in range(6)], [0]
+        for text in texts.to_pylist():
+            spans = [m.span() for m in token.finditer(text)]
+            for i, at in enumerate(range(0, len(spans), step)):
+                to = min(at + target, len(spans))
+                first, last = spans[at][0], spans[to - 1][1]
+                for column, value in zip(columns, (i, first, last, at, to, text[first:last])):
+                    column.append(value)
+            ends.append(len(columns[0]))
+        types = [pa.int64()] * 5 + [pa.string()]
+        names = ["chunk_index", "char_start", "char_end", "token_start", "token_end", "chunk"]
+        rows = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+    return cut
 
 
 # --- sound and images, by their heads

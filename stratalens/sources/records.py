@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import running
 from .writers import part_path, tags
 
 # Columns of records.
@@ -220,10 +221,26 @@ def deliver_rows(events: DataFrame, hooks: Sequence[Webhook], options: DeliveryO
     return events.select(*[F.col(c).cast("string").alias(c) for c in names]).mapInArrow(run, DELIVERIES)
 
 
-def as_messages(events: DataFrame, batch: Column, columns: Sequence[str]) -> DataFrame:
-    """Envelopes {"events": [...]} of the events of each batch, as a queue takes them."""
+def as_messages(events: DataFrame, batch: Column, columns: Sequence[str], most: int | None = None, most_bytes: int = 1 << 20) -> DataFrame:
+    """Envelopes {"events": [...]} of the events of each batch, as a queue takes them.
+
+    With ``most``, a batch is cut, in the order of ``columns``, wherever so many
+    events or so many bytes are full, so a message holds no more than either
+    and one event, and no task sees a whole batch; ``first`` is the place, from
+    0, of a message's first event in its batch.
+    """
     item = F.struct(*columns)
-    return events.groupBy(batch.alias("batch")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(item)).alias("events"))).alias("value"))
+    value = F.to_json(F.struct(F.sort_array(F.collect_list(item)).alias("events"))).alias("value")
+    if most is None:
+        return events.groupBy(batch.alias("batch")).agg(value)
+    if most < 1 or most_bytes < 1:
+        raise ValueError("a message holds one event at least")
+    keyed = events.select(batch.alias("batch"), *columns)
+    size = F.octet_length(F.to_json(item)).cast("long")
+    at = running(keyed, ["batch"], list(columns), _before=("sum", F.lit(1).cast("long")), _bytes=("sum", size))
+    before, behind = (F.coalesce(c, F.lit(0).cast("long")) for c in ("_before", "_bytes"))
+    cut = at.withColumn("_before", before).groupBy("batch", F.floor(F.col("_before") / most).alias("_n"), F.floor(behind / most_bytes).alias("_full"))
+    return cut.agg(F.min("_before").alias("first"), value).select("batch", "first", "value")
 
 
 def dead_letters(events: DataFrame, reason: Column, attempts: Column) -> DataFrame:
