@@ -31,6 +31,8 @@ SHARED, LEAST_BITS, MOST_BITS = 16, 16, 26
 CROWD = 16
 #: Parts that counters are summed in, each by itself.
 PARTS = 64
+#: Texts that may share a shingle in one task.
+HOT = 4096
 #: Shingles of the texts that one block of a verification holds, about.
 BLOCK_SHINGLES = 2_000_000
 SEED = 42
@@ -277,12 +279,49 @@ def prefix(hashes: np.ndarray, counters: np.ndarray, similarity: float) -> np.nd
     return hashes[np.lexsort((hashes, seen))][: hashes.size - int(np.ceil(similarity * hashes.size - 1e-9)) + 1]
 
 
+class HotShingle:
+    """The texts of one group at a hot shingle: rows of their own, or one row of bounds once there are ``CROWD``.
+
+    Rows are (h, root, node, crowd, least, most, left): sizes lie from least to
+    most, no text has more than ``left`` shingles left.  Texts come one after
+    another, in any number of batches; no more than ``CROWD`` are held.
+    """
+
+    def __init__(self, h: int, root: int):
+        self.h, self.root, self.last, self.some = h, root, None, []
+        self.bounds: tuple[int, int, int] | None = None
+
+    def add(self, node: np.ndarray, size: np.ndarray, after: np.ndarray) -> None:
+        fresh = np.r_[self.last is None or node[0] != self.last, node[1:] != node[:-1]]
+        node, size, after, self.last = node[fresh], size[fresh], after[fresh], node[-1]
+        if not node.size:
+            return
+        if self.bounds is None and len(self.some) + node.size < CROWD:
+            self.some += zip(node.tolist(), size.tolist(), after.tolist())
+            return
+        held = self.bounds and [self.bounds] or [(n, n, left) for _, n, left in self.some]
+        held.append((int(size.min()), int(size.max()), int(after.max())))
+        least, most, left = zip(*held)
+        self.bounds, self.some = (min(least), max(most), max(left)), []
+
+    def rows(self) -> list[tuple]:
+        if self.bounds:
+            return [(self.h, self.root, self.root, True, *self.bounds)]
+        return [(self.h, self.root, node, False, size, size, left) for node, size, left in self.some]
+
+
+#: Links, or (where h isn't null) what a hot shingle's groups are reduced to.
+MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("wide", pa.int32()), ("h", pa.int64()), ("root", pa.int64()), ("node", pa.int64()), ("crowd", pa.bool_()), ("least", pa.int64()), ("most", pa.int64()), ("left", pa.int64())])
+
+
 def meet(similarity: float) -> object:
     """Pairs (a, b) of texts of different groups that share a shingle of their prefixes and may reach the similarity.
 
-    Rows (h, node, root, size << 32 | place) come in order of h and node.  A
-    group with ``CROWD`` members at a shingle is met as a whole: where wide is
-    1, b is the root of a group that a may belong to; where it is 2, so is a.
+    Rows (h, node, root, size << 32 | place, salt) come in order of h, salt and
+    node.  A group with ``CROWD`` members at a shingle is met as a whole: where
+    wide is 1, b is the root of a group that a may belong to; where it is 2, so
+    is a.  Rows with a salt are those of hot shingles, a group each; they are
+    reduced here and meet in blocks (``hot_links``).
     """
     share = similarity / (1 + similarity)
 
@@ -326,11 +365,32 @@ def meet(similarity: float) -> object:
 
     def batch_of(out: list[tuple[np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
         rows = np.unique(np.concatenate([np.c_[a, b, np.full(a.size, wide)] for a, b, wide in out]), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32))], ["a", "b", "wide"])
+        links = [pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32))]
+        return pa.RecordBatch.from_arrays([*links, *[pa.nulls(len(rows), f.type) for f in MET][3:]], schema=MET)
+
+    def reduced(rows: list[tuple]) -> pa.RecordBatch:
+        own = [pa.array(c, f.type) for c, f in zip(zip(*rows), list(MET)[3:])]
+        return pa.RecordBatch.from_arrays([*[pa.nulls(len(rows), f.type) for f in MET][:3], *own], schema=MET)
 
     def run(batches):
-        held = None
+        held, group, ready = None, None, []
         for batch in itertools.chain(batches, [None]):
+            if batch is not None and batch.column(4).null_count < batch.num_rows:
+                mixed = batch.column(4).is_null().to_numpy(zero_copy_only=False)
+                h, node, root, where = (batch.column(i).to_numpy()[~mixed] for i in range(4))
+                size, after = where >> 32, (where >> 32) - (where & 0xFFFFFFFF)
+                ends = np.r_[np.flatnonzero((h[1:] != h[:-1]) | (root[1:] != root[:-1])) + 1, h.size].tolist()
+                for s, e in zip([0, *ends], ends):
+                    if group is None or (group.h, group.root) != (h[s], root[s]):
+                        ready += group.rows() if group else []
+                        group = HotShingle(int(h[s]), int(root[s]))
+                    group.add(node[s:e], size[s:e], after[s:e])
+                    if len(ready) > 10_000:
+                        yield reduced(ready)
+                        ready = []
+                batch = batch.filter(pa.array(mixed))
+                if not batch.num_rows:
+                    continue
             if batch is not None:
                 new = [batch.column(i).to_numpy() for i in range(4)]
                 held = new if held is None else [np.r_[a, b] for a, b in zip(held, new)]
@@ -348,10 +408,45 @@ def meet(similarity: float) -> object:
                 if out:
                     yield batch_of(out)
                 held = [x[cut:] for x in held]
+        ready += group.rows() if group else []
+        if ready:
+            yield reduced(ready)
 
     return run
 
 
+def met(similarity: float) -> object:
+    """Links between the rows of two blocks of a hot shingle, or within one."""
+    share = similarity / (1 + similarity)
+    names = ["root", "node", "crowd", "least", "most", "left", "block"]
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        root, node, crowd, least, most, left, block = (rows[n].combine_chunks().to_numpy(zero_copy_only=False) for n in names)
+        x, y = key[1].as_py(), key[2].as_py()
+        ones, others = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        out = [np.empty((0, 3), np.int64)]
+        for k, i in enumerate(ones.tolist()):
+            j = others[k + 1 :] if x == y else others
+            j = j[(root[j] != root[i]) & (np.minimum(left[j], left[i]) >= share * (least[j] + least[i]) - 1e-6) & (most[j] >= similarity * least[i] - 1e-6) & (most[i] >= similarity * least[j] - 1e-6)]
+            wide = crowd[j].astype(np.int64) + bool(crowd[i])
+            # of a text and a crowd the crowd stands last, else the larger number
+            swap = np.where(wide == 1, bool(crowd[i]), node[j] < node[i])
+            out.append(np.c_[np.where(swap, node[j], node[i]), np.where(swap, node[i], node[j]), wide])
+        links = np.concatenate(out)
+        return pa.table({"a": pa.array(links[:, 0]), "b": pa.array(links[:, 1]), "wide": pa.array(links[:, 2].astype(np.int32))})
+
+    return run
+
+
+def hot_links(rows: DataFrame, hot: int, similarity: float) -> DataFrame:
+    """Links (a, b, wide) at hot shingles: their rows are dealt to blocks of about ``hot``, and a pair of blocks is a task's work."""
+    many = rows.groupBy("h").agg(F.ceil(F.count("*") / hot).cast("int").alias("blocks"))
+    placed = rows.join(many, "h").withColumn("block", F.pmod(F.xxhash64("root"), F.col("blocks")).cast("int"))
+    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = sent.select("h", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "root", "node", "crowd", "least", "most", "left", "block")
+    return sent.groupBy("h", "x", "y").applyInArrow(met(similarity), "a long, b long, wide int")
+
+
 def _joined(key: tuple, nodes: pa.Table, pairs: pa.Table) -> pa.Table:
     """Verified links of a pair of blocks, none between texts that are together already."""
     own = dict(zip(nodes["node"].to_pylist(), range(nodes.num_rows)))
@@ -437,13 +532,17 @@ def group_links(wide: DataFrame, base: DataFrame, texts: DataFrame, k: int, simi
     return left.groupBy("of_root", "of_x", "of_y").cogroup(right.groupBy("root", "x", "y")).applyInArrow(nearby(similarity), "a long, b long")
 
 
-def exact_links(base: DataFrame, texts: DataFrame, counters: np.ndarray, k: int, similarity: float) -> DataFrame:
+def exact_links(base: DataFrame, texts: DataFrame, counters: np.ndarray, k: int, similarity: float, hot: int = HOT) -> DataFrame:
     """Links (a, b) that, with those within groups (node, root), connect all texts that are similar enough: no pair is missed.
 
     Candidates share a rare shingle.  They are verified by pairs of blocks of
     the texts they connect, so that a text is not sent once a candidate; large
-    groups are met as groups.
+    groups are met as groups.  A shingle that more than ``hot`` texts may hold,
+    by the counters, is no task's own: its groups are reduced one by one and
+    meet block by block.
     """
+    warm = 16 * np.log2(1.0 + hot)
+    shift = np.uint64(65 - counters.size.bit_length())
     moved = texts.where("node <> root").select("node", "root")
     grouped = base.join(bounded_broadcast(moved, moved.count(), BROADCAST_ROWS), "node", "left")
     grouped = grouped.select("node", F.coalesce("root", "node").alias("root"), F.col("text").cast("binary").alias("body"))
@@ -455,10 +554,20 @@ def exact_links(base: DataFrame, texts: DataFrame, counters: np.ndarray, k: int,
             many = [x.size for x in own]
             node, root = (np.repeat(batch.column(i).to_numpy(), many) for i in range(2))
             where = [(s.size << 32) + np.arange(x.size) for s, x in zip(sets, own)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(node), pa.array(root), pa.array(np.concatenate(where).astype(np.int64))], ["h", "node", "root", "place"]) if own else pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, ["h", "node", "root", "place"])
-
-    rows = grouped.mapInArrow(lean(firsts), "h long, node long, root long, place long").repartition("h").sortWithinPartitions("h", "node")
-    found = materialize(rows.mapInArrow(lean(meet(similarity)), "a long, b long, wide int").distinct())
+            names = ["h", "node", "root", "place", "salt"]
+            if not own:
+                yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5, names)
+                continue
+            h = np.concatenate(own)
+            salt = pa.array(root, mask=counters[h >> shift] < warm)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(node), pa.array(root), pa.array(np.concatenate(where).astype(np.int64)), salt], names)
+
+    rows = grouped.mapInArrow(lean(firsts), "h long, node long, root long, place long, salt long").repartition("h", "salt").sortWithinPartitions("h", "salt", "node")
+    found = materialize(rows.mapInArrow(lean(meet(similarity)), "a long, b long, wide int, h long, root long, node long, crowd boolean, least long, most long, left long").distinct())
+    crowded = found.where("h is not null").drop("a", "b", "wide")
+    found = found.where("h is null").select("a", "b", "wide")
+    if not crowded.isEmpty():
+        found = materialize(found.unionAll(hot_links(crowded, hot, similarity)).distinct())
     wide, pairs = found.where("wide > 0"), found.where("wide = 0").select("a", "b")
     clusters = connected_components(pairs)
     own = materialize(clusters.join(texts.select("node", F.col("root").alias("group"), "n").dropDuplicates(["node"]), "node"))
@@ -486,7 +595,7 @@ def _merged(texts: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(moved.join(heads, "group").select("node", "fp", "n", "least", F.col("head.node").alias("root")))
 
 
-def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 13, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 13, *, id_column: str = "doc_id", text_column: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, text_hash, node, kept, copies): every distinct row and the text that stands for its group.
 
     Texts meet by fingerprints within the radius, in tiles of like numbers of
@@ -523,7 +632,7 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ra
     texts = materialize(own.groupBy("node", "fp", "n").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("least")).withColumn("root", F.col("node")))
     size = F.when(F.col("n") == 0, -1).otherwise(F.floor(F.log(F.col("n").cast("double")) / float(-np.log(similarity)) + 1e-9)).cast("int")
     texts = _merged(texts, _verified(tile_links(texts.select("fp", "node", "n", "root"), size, [0, 1], radius, ratio=similarity), base.select("node", "text"), shingle, similarity))
-    texts = _merged(texts, exact_links(base.select("node", "text"), texts, counters, shingle, similarity))
+    texts = _merged(texts, exact_links(base.select("node", "text"), texts, counters, shingle, similarity, hot))
     kept = (F.col("node") == F.col("root")) & F.coalesce("doc_id", F.lit((1 << 63) - 1)).eqNullSafe(F.col("least"))
     return materialize(own.join(texts.select("node", "least", "root"), "node").select("doc_id", F.col("node").alias("text_hash"), "root", kept.alias("kept"), "copies"))
 

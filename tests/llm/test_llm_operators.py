@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -145,6 +146,46 @@ def test_near_duplicates_beyond_the_radius(spark):
     assert grouped(spark, texts) == kept_by_all_pairs(texts) == list(range(0, 14, 2))
 
 
+@pytest.mark.parametrize("hot", [3, 20])
+def test_near_duplicates_at_hot_shingles(spark, hot):
+    """Texts are made of shared passages, so the rare shingles of their prefixes are shared by many small groups and a large one."""
+    rng = random.Random(13)
+    passage = lambda n: [f"s{rng.randrange(10**9)}" for _ in range(n)]
+    heads, middles, tails = [passage(40) for _ in range(6)], [passage(12) for _ in range(6)], [passage(6) for _ in range(7)]
+    texts = [" ".join(heads[i % 6] + middles[i // 6 % 6] + tails[i % 7] + ([f"e{i}"] if i % 5 == 0 else [])) for i in range(260)]
+    texts += [edited(rng, heads[0] + middles[1] + passage(40), 2) for _ in range(30)]
+    crowd = heads[1] + passage(60)
+    texts += [edited(rng, crowd, 1) for _ in range(60)] + [texts[3]] * 40
+    found = op1_simhash.similar_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), hot=hot)
+    want = kept_by_all_pairs(texts)
+    assert sorted(r.doc_id for r in found.where("kept").collect()) == want and 30 < len(want) < 300
+
+
+def test_hot_shingles_reach_blocks(spark):
+    """Every pair of groups at a hot shingle meets once, in tasks of two blocks; a crowd is one row."""
+    rng = random.Random(14)
+    rows, texts_at = [], {}
+    for root in range(300):
+        for node in range(root * 100, root * 100 + (40 if root % 50 == 0 else rng.randrange(1, 4))):
+            size = rng.randrange(80, 120)
+            texts_at[node] = (root, size, rng.randrange(20, size))
+            rows += [(7, node, root, size, texts_at[node][2])] * rng.randrange(1, 3)
+    near = lambda m, n: min(m[2], n[2]) >= 0.8 / 1.8 * (m[1] + n[1]) - 1e-6 and min(m[1], n[1]) >= 0.8 * max(m[1], n[1]) - 1e-6
+    schema = pa.schema([(n, pa.int64()) for n in ("h", "node", "root", "place", "salt")])
+    columns = list(zip(*[(h, node, root, (size << 32) + size - left, root) for h, node, root, size, left in rows]))
+    whole = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+    cut = [whole.slice(i, 7) for i in range(0, whole.num_rows, 7)]
+    reduced = pa.Table.from_batches(list(op1_simhash.meet(0.8)(iter(cut)))).to_pylist()
+    assert sum(r["crowd"] for r in reduced) == 6 and len(reduced) == len({n for n, t in texts_at.items() if t[0] % 50}) + 6
+    held = spark.createDataFrame([tuple(r[f.name] for f in list(op1_simhash.MET)[3:]) for r in reduced], "h long, root long, node long, crowd boolean, least long, most long, left long")
+    links = {(r.a, r.b, r.wide) for r in op1_simhash.hot_links(held, 25, 0.8).collect()}
+    singles = sorted(n for n, t in texts_at.items() if t[0] % 50)
+    assert {(a, b) for a, b, w in links if w == 0} == {(m, n) for i, m in enumerate(singles) for n in singles[i + 1 :] if texts_at[m][0] != texts_at[n][0] and near(texts_at[m], texts_at[n])}
+    crowds = {root: [t for t in texts_at.values() if t[0] == root] for root in range(0, 300, 50)}
+    must = {(n, root, 1) for n in singles for root, own in crowds.items() if any(near(texts_at[n], t) for t in own)}
+    assert must <= links  # bounds may let others by
+
+
 def test_op2(docs, rows, empty):
     ids = encoder(default_path())
     got = op2_packing.pack_documents(docs, default_path(), with_ids=True).collect()
@@ -190,7 +231,8 @@ def test_op3(spark, docs, rows, empty):
     assert op3_decontamination.leaks(empty, items).count() == 0 and op3_decontamination.leaks(docs, items.limit(0)).count() == 0
 
 
-def test_op3_against_all_windows(spark):
+@pytest.mark.parametrize("radius", [20, 24])
+def test_op3_against_all_windows(spark, radius):
     rng = random.Random(3)
     words = [f"v{i}" for i in range(40)]
     items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(6, 40)))) for i in range(12)]
@@ -212,7 +254,7 @@ def test_op3_against_all_windows(spark):
                 j = sum((c & s).values()) / sum((c | s).values())
                 if j >= 0.8:
                     want[i, k] = max(want.get((i, k), 0), round(j, 6))
-    found = op3_decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), radius=24)
+    found = op3_decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), radius=radius)
     assert {(r.doc_id, r.item_id): r.similarity for r in found.collect()} == pytest.approx(want) and want
 
 
