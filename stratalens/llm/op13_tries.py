@@ -165,7 +165,7 @@ def family_nodes(turns: DataFrame, parts: DataFrame, most: int) -> DataFrame:
 
     def build(rows: pa.Table, facts: pa.Table) -> pa.Table:
         base, part = facts.column("base")[0].as_py(), facts.column("part")[0].as_py()
-        made = list(zip(*family_trie(rows, facts, most)))
+        made = list(zip(*family_trie(rows, facts, most))) or [()] * (len(fields) - 2)  # a part of first turns that aren't kept has no nodes
         return pa.table([pa.array([base] * len(made[0]), pa.int64()), pa.array([part] * len(made[0]), pa.int32()), *[pa.array(x, t) for x, (_, t) in zip(made, fields[2:])]], schema=pa.schema(fields))
 
     return turns.groupBy("base", "part").cogroup(parts.groupBy("base", "part")).applyInArrow(build, _FAMILY)

@@ -178,3 +178,11 @@ def test_tries_of_little(spark):
     assert op13_tries.conversation_trie(conversations(spark, [])).count() == 0
     for rows in ([(21, 0, "user", "a")], [(20, 0, "user", "a")], [(None, 1, None, None)], [(20, None, None, None), (21, None, None, None)]):
         assert collections.Counter(tuple(r)[:8] for r in op13_tries.conversation_trie(conversations(spark, rows)).collect()) == trie(rows)
+
+
+def test_a_part_without_nodes(spark, monkeypatch):
+    """Ranges that hold nothing of a family but first turns, which give way to the base's."""
+    rows = [(c, j, "user", f"turn {j} of {c}") for c in range(40) for j in range(4)]
+    monkeypatch.setattr(op13_tries, "BUCKET_BYTES", max(1, sum(len(r[3]) for r in rows) // 160))
+    got = op13_tries.conversation_trie(conversations(spark, rows)).collect()
+    assert collections.Counter(tuple(r)[:8] for r in got) == trie(rows)
