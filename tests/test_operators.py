@@ -1,11 +1,13 @@
 """Operators on small literal inputs."""
 
+import base64
+
 import pytest
 from pyspark.sql import functions as F
 
 from stratalens.functions import text as tx
 from stratalens.functions.vectors import cosine_distance, cosine_distance_arrow, decibels, score_of_bm25
-from stratalens.operators import fusion, graph, policy, search
+from stratalens.operators import control, fusion, graph, policy, search
 from stratalens.plans.filters import FilterError, compile_filter
 from stratalens.sources import readers, writers
 from stratalens.streaming import folds
@@ -189,3 +191,10 @@ def test_control(spark):
     assert control.build_decision(same_fingerprint=False, fresh=5, base_exists=False, compacted=False) == "full"
     stats = control.buffer_stats(spark.createDataFrame([("b", 3, 10.0), ("b", 4, 2.0)], "k string, size long, age double"), "k", "size", "age").first()
     assert (stats["count"], stats.bytes, stats.oldest, stats.newest) == (2, 7, 10.0, 2.0)
+
+
+def test_base64url_of_long_values(spark):
+    for n in (56, 57, 58, 200, 3000):
+        token = tx.base64url(F.lit("a" * n).cast("binary"))
+        assert one(spark, token) == base64.urlsafe_b64encode(b"a" * n).decode().rstrip("=")
+        assert one(spark, tx.from_base64url(token).cast("string")) == "a" * n
