@@ -142,10 +142,14 @@ def accepts(backlog: Column, soft: int = 1000, hard: int = 2000) -> Column:
 
 
 def evicted(items: DataFrame, by: str, age: str, size: str, *, order: list[Column], ttl: float, most: int) -> DataFrame:
-    """Whether each buffered item goes: too old, or among the oldest beyond the size that is kept."""
+    """Whether each buffered item goes: too old, or among the oldest beyond the size that is kept.
+
+    Sizes count to a millionth, so a buffer that holds just ``most`` keeps its
+    items, whatever the order in which floating-point sizes are added up.
+    """
     fresh = F.col(age) < ttl
     w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    held = F.sum(F.when(fresh, F.col(size)).otherwise(0)).over(w)  # newest first
+    held = F.round(F.sum(F.when(fresh, F.col(size)).otherwise(0)).over(w), 6)  # newest first
     return items.withColumn("evicted", ~fresh | (held > most))
 
 

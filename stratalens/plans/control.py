@@ -30,7 +30,7 @@ def _(s, d):
 @query("q59_buffer_eviction", "WITH i AS (SELECT event_id, user_id, value, date_diff('day', ts::DATE, DATE '2024-02-01') AS age FROM events), h AS (SELECT *, sum(CASE WHEN age < 20 THEN value ELSE 0 END) OVER (PARTITION BY user_id ORDER BY age, event_id ROWS UNBOUNDED PRECEDING) AS held FROM i) SELECT event_id, age >= 20 OR held > 2000 AS evicted FROM h")
 def _(s, d):
     i = table(s, d, "events").select("event_id", "user_id", "value", F.date_diff(F.lit("2024-02-01").cast("date"), F.col("ts").cast("date")).alias("age"))
-    return control.evicted(i, "user_id", "age", "value", order=[F.col("age"), F.col("event_id")], ttl=20, most=2000).select("event_id", "evicted")
+    return control.evicted(i, "user_id", "age", "value", order=[F.asc_nulls_last("age"), F.asc_nulls_last("event_id")], ttl=20, most=2000).select("event_id", "evicted")
 
 
 @query("q60_call_stats", "SELECT event_type, count(*) AS calls, round(sum(value), 2) AS total, round(avg(value), 2) AS avg, round(min(value), 2) AS min, round(max(value), 2) AS max FROM events GROUP BY event_type")

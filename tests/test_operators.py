@@ -198,3 +198,13 @@ def test_base64url_of_long_values(spark):
         token = tx.base64url(F.lit("a" * n).cast("binary"))
         assert one(spark, token) == base64.urlsafe_b64encode(b"a" * n).decode().rstrip("=")
         assert one(spark, tx.from_base64url(token).cast("string")) == "a" * n
+
+
+def test_a_buffer_that_is_just_full(spark):
+    """Sizes that add up to the bound keep all items, though their floating-point sum passes it; unknown ages come last."""
+    rows = [(0, 0.1, 1), (1, 0.2, 1), (2, 0.3, 1), (3, 5.0, None), (4, 0.1, 20)]
+    assert 0.1 + 0.2 + 0.3 > 0.6
+    items = spark.createDataFrame([(1, *r) for r in rows], "k long, id long, size double, age long")
+    go = lambda most: {r["id"]: r["evicted"] for r in control.evicted(items, "k", "age", "size", order=[F.asc_nulls_last("age"), F.asc_nulls_last("id")], ttl=20, most=most).collect()}
+    assert go(0.6) == {0: False, 1: False, 2: False, 3: None, 4: True}
+    assert go(0.5) == {0: False, 1: False, 2: True, 3: True, 4: True}
