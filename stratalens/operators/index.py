@@ -1,8 +1,8 @@
 """An index of vectors: lists by nearest centroid, quantised residuals, exact distances for what is left.
 
 What a search scans is codes: a vector's list, and its residual cut into parts
-of which each is the number of a word in that part's code book.  Distances to
-the words are tabled once a query and list.  The best by code are then
+of which each is the number of a word in that part's code book.  Slices of
+codes meet blocks of queries by matrix products.  The best by code are then
 measured by their whole vectors.  Vectors and their codes are columns of a
 table of a versioned snapshot whose files each hold few lists, so a scan reads
 the column of codes, measuring reads the files of some lists only, an insertion
@@ -30,11 +30,12 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine_distance, score_of_distance
 from ..session import materialize
 from ..sources.snapshots import SnapshotLog
+from .blocks import CHUNK, best_by, best_of_slice, matrix, places, slices_and_blocks, unit
 
 #: Vectors that centroids and code books are fitted on, at most, by the hashes of their ids; centroids, at most; words of a book; rounds of fitting.
 TRAIN, LISTS, WORDS, ROUNDS = 1_000_000, 4_096, 256, 5
-#: Coordinates of one part of a residual; files that a build writes; codes, and queries, that meet at once.
-WIDTH, FILES, BLOCK, QUERIES = 4, 64, 4_096, 256
+#: Coordinates of one part of a residual; files that a build writes.
+WIDTH, FILES = 4, 64
 #: How many times k vectors are measured after the codes are scanned.
 RERANK = 16
 
@@ -67,21 +68,11 @@ class Model:
             off += apart.min(axis=1)
         return which, codes, np.sqrt(off)
 
-    def tables(self, queries: np.ndarray, which: int) -> np.ndarray:
-        """Squared distances of the parts of queries, seen from a list's centroid, to the words of the books."""
-        rest = self.padded(queries - self.centres[which]).reshape(len(queries), self.parts, 1, -1)
-        return ((rest - self.books[None]) ** 2).sum(axis=3)
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    size = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(size > 0, size, 1)
-
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """A batch of vectors, each scaled to length one."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return _unit(flat.reshape(len(column), -1)) if len(column) else np.zeros((0, 0))
+    return unit(flat.reshape(len(column), -1)) if len(column) else np.zeros((0, 0))
 
 
 def _means(points: DataFrame, vector: str, place: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], old: np.ndarray) -> np.ndarray:
@@ -221,67 +212,73 @@ def delete_vectors(spark: SparkSession, path: str, keys: DataFrame, *, key: str
     return log.commit(_store(log, kept, key), [("vectors", u) for u in uris], schemas={"vectors": kept.schema}, read_version=seen)
 
 
-def _packed_codes(stored: DataFrame, key: str) -> DataFrame:
-    """Codes of one list, up to BLOCK of them a row; files are sorted by list."""
-    kind = stored.schema[key].dataType.simpleString()
+def _looked_at(points: np.ndarray, reach: np.ndarray, model: Model, probes: int | None) -> np.ndarray:
+    """Which lists each query looks into: the nearest ``probes``, or all that may hold a vector within its reach."""
+    apart = np.sqrt(np.maximum((points**2).sum(axis=1)[:, None] + (model.centres**2).sum(axis=1)[None] - 2 * points @ model.centres.T, 0))
+    return apart - model.radius <= reach[:, None] if probes is None else apart.argsort(axis=1).argsort(axis=1) < probes
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1).to_numpy()
-            starts = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]]) if len(lists) else np.zeros(0, int)
-            for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(lists)]):
-                for i in range(a, z, BLOCK):
-                    n = min(BLOCK, z - i)
-                    keys, codes, offs = (batch.column(c).slice(i, n) for c in (0, 2, 3))
-                    yield pa.record_batch([pa.array([int(lists[a])], pa.int32()), pa.array([keys.to_pylist()], pa.list_(keys.type)), pa.array([b"".join(codes.to_pylist())], pa.binary()), pa.array([offs.to_numpy().tobytes()], pa.binary())], names=["list", "keys", "codes", "offs"])
 
-    return stored.select(key, "list", "code", "off").mapInArrow(pack, f"list int, keys array<{kind}>, codes binary, offs binary")
+class _Codes:
+    """Codes of a slice beside a block of queries: squared distances to what the codes stand for, some rows at a time."""
 
+    def __init__(self, own: pa.Table, asked: pa.Table, model: Model, probes: int | None):
+        self.model, self.points = model, unit(matrix(asked.column("vector")))
+        self.reach = asked.column("reach").to_numpy()
+        self.lists, self.offs = own.column("list").to_numpy(), own.column("off").to_numpy()
+        self.codes = np.frombuffer(b"".join(own.column("code").to_pylist()), np.uint8).reshape(own.num_rows, model.parts)
+        self.looks = _looked_at(self.points, self.reach, model, probes)
+        self.own = (self.points**2).sum(axis=1)[:, None]
 
-def _packed_queries(queries: DataFrame, model: Model, probes: int | None) -> DataFrame:
-    """Queries (qid, vector, reach) by the lists they look into: the nearest ``probes``, or all that may hold a vector within reach."""
-    kind = queries.schema["qid"].dataType.simpleString()
+    def near(self, a: int, z: int) -> np.ndarray:
+        words = self.model.books[np.arange(self.model.parts), self.codes[a:z]].reshape(min(z, len(self.codes)) - a, -1)
+        stood = words[:, : self.points.shape[1]] + self.model.centres[self.lists[a:z]]
+        left = (words[:, self.points.shape[1] :] ** 2).sum(axis=1)  # words of a part that is wider than what is left of a vector
+        out = np.maximum(self.own + ((stood**2).sum(axis=1) + left)[None] - 2 * self.points @ stood.T, 0)
+        out[~self.looks[:, self.lists[a:z]]] = np.inf
+        return out
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, QUERIES):
-                part = batch.slice(i, QUERIES)
-                points, reach = _matrix(part.column(1)), part.column(2).to_numpy()
-                apart = np.sqrt(np.maximum(((points[:, None, :] - model.centres[None]) ** 2).sum(axis=2), 0))
-                looks = apart - model.radius <= reach[:, None] if probes is None else apart.argsort(axis=1).argsort(axis=1) < probes
-                ids = part.column(0)
-                for which in np.flatnonzero(looks.any(axis=0)).tolist():
-                    own = np.flatnonzero(looks[:, which])
-                    yield pa.record_batch([pa.array([which], pa.int32()), pa.array([ids.take(pa.array(own)).to_pylist()], pa.list_(ids.type)), pa.array([points[own].tobytes()], pa.binary()), pa.array([reach[own].tobytes()], pa.binary())], names=["list", "qids", "points", "reaches"])
-
-    return queries.select("qid", "vector", "reach").mapInArrow(pack, f"list int, qids array<{kind}>, points binary, reaches binary")
-
-
-def _candidates(stored: DataFrame, queries: DataFrame, model: Model, key: str, *, probes: int | None, most: int | None) -> DataFrame:
-    """(qid, key, list, near) by codes: the ``most`` nearest of each query, or all that may lie within its reach."""
-    pairs = _packed_codes(stored, key).join(_packed_queries(queries, model, probes), "list")
+    def within(self, a: int, z: int) -> np.ndarray:
+        """Rows that may lie within a query's reach."""
+        near = self.near(a, z)
+        return np.isfinite(near) & (np.sqrt(near) - self.offs[a:z] <= self.reach[:, None])
+
+
+def _candidates(stored: DataFrame, queries: DataFrame, model: Model, key: str, *, probes: int | None, most: int) -> DataFrame:
+    """(qid, key, list, near) of the ``most`` nearest of each query by codes; a call hands on no more of a query and slice."""
     kinds = queries.schema["qid"].dataType.simpleString(), stored.schema[key].dataType.simpleString()
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for which, keys, codes, offs, qids, points, reaches in zip(*(c.to_pylist() for c in batch.columns)):
-                code = np.frombuffer(codes, np.uint8).reshape(len(keys), model.parts)
-                tables = model.tables(np.frombuffer(points).reshape(len(qids), -1), which)
-                near = np.zeros((len(qids), len(keys)))
-                for j in range(model.parts):
-                    near += tables[:, j][:, code[:, j]]
-                if most is None:
-                    q, v = np.nonzero(np.sqrt(near) - np.frombuffer(offs) <= np.frombuffer(reaches)[:, None])
-                else:
-                    v = np.argpartition(near, most, axis=1)[:, :most] if len(keys) > most else np.tile(np.arange(len(keys)), (len(qids), 1))
-                    q, v = np.repeat(np.arange(len(qids)), v.shape[1]), v.ravel()
-                yield pa.record_batch([pa.array([qids[i] for i in q.tolist()], batch.schema.field("qids").type.value_type), pa.array([keys[i] for i in v.tolist()], batch.schema.field("keys").type.value_type), pa.array(np.full(len(q), which, np.int32)), pa.array(near[q, v])], names=["qid", key, "list", "near"])
-
-    found = pairs.select("list", "keys", "codes", "offs", "qids", "points", "reaches").mapInArrow(scan, f"qid {kinds[0]}, `{key}` {kinds[1]}, list int, near double")
-    if most is None:
-        return found
-    nth = F.row_number().over(Window.partitionBy("qid").orderBy("near", key))
-    return found.withColumn("_nth", nth).where(F.col("_nth") <= most).drop("_nth")
+    def scan(own: pa.Table, asked: pa.Table) -> pa.Table:
+        q, v, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if own.num_rows and asked.num_rows:
+            codes = _Codes(own, asked, model, probes)
+            best, place = np.full((asked.num_rows, 0), np.inf), np.zeros((asked.num_rows, 0), np.int64)
+            for i in range(0, own.num_rows, CHUNK):
+                near = codes.near(i, i + CHUNK)
+                best, place = np.c_[best, near], np.c_[place, np.broadcast_to(np.arange(i, i + near.shape[1]), near.shape)]
+                if best.shape[1] > most:
+                    keep = np.argpartition(best, most, axis=1)[:, :most]
+                    best, place = np.take_along_axis(best, keep, axis=1), np.take_along_axis(place, keep, axis=1)
+            q, at = np.nonzero(np.isfinite(best))
+            v, d = place[q, at], best[q, at]
+        return pa.table([asked.column("qid").take(pa.array(q)), own.column(key).take(pa.array(v)), own.column("list").take(pa.array(v)), pa.array(d)], names=["qid", key, "list", "near"])
+
+    found = slices_and_blocks(stored.select(key, "list", "code", "off"), key, queries, scan, f"qid {kinds[0]}, `{key}` {kinds[1]}, list int, near double")
+    return best_by(found, most, "near", key, name="_nth").drop("_nth")
+
+
+def _sure(stored: DataFrame, queries: DataFrame, model: Model, k: int, key: str, vector: str) -> DataFrame:
+    """(qid, key, list) of the k nearest vectors of each query (qid, vector, reach): every code that may lie within reach is measured where it lies."""
+    kinds = queries.schema["qid"].dataType.simpleString(), stored.schema[key].dataType.simpleString()
+
+    def scan(own: pa.Table, asked: pa.Table) -> pa.Table:
+        q, v, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if own.num_rows and asked.num_rows:
+            points = matrix(asked.column("vector"))
+            q, v, d = best_of_slice(matrix(own.column(vector), points.shape[1]), points, places(own.column(key)), k, _Codes(own, asked, model, None).within)
+        return pa.table([asked.column("qid").take(pa.array(q)), own.column(key).take(pa.array(v)), own.column("list").take(pa.array(v)), pa.array(d)], names=["qid", key, "list", "near"])
+
+    found = slices_and_blocks(stored.select(key, "list", "code", "off", vector), key, queries, scan, f"qid {kinds[0]}, `{key}` {kinds[1]}, list int, near double")
+    return best_by(found, k, "near", key, name="_nth").drop("_nth")
 
 
 def _measured(log: SnapshotLog, version: int, found: DataFrame, queries: DataFrame, k: int, key: str, vector: str) -> DataFrame:
@@ -315,7 +312,8 @@ def search_many(spark: SparkSession, path: str, queries: DataFrame, k: int, *, p
         return best
     bound = best.groupBy("qid").agg(F.when(F.count("*") == k, F.sqrt(2 * F.max("distance")) + 1e-6).alias("_reach"))
     asked = asked.drop("reach").join(bound, "qid", "left").select("qid", "vector", F.coalesce("_reach", F.lit(math.inf)).alias("reach"))
-    return _measured(log, version, _candidates(stored, materialize(asked), model, key, probes=None, most=None), asked, k, key, vector)
+    asked = materialize(asked)
+    return _measured(log, version, _sure(stored, asked, model, k, key, vector), asked, k, key, vector)
 
 
 def search_index(spark: SparkSession, path: str, query: Sequence[float], k: int, **options) -> DataFrame:

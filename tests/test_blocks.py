@@ -3,8 +3,9 @@
 import numpy as np
 import pytest
 
-from stratalens.operators import blocks
+from stratalens.operators import blocks, index
 from stratalens.plans.catalogue import QUERIES
+from stratalens.sources.snapshots import SnapshotLog
 
 
 def vectors(spark, n, width=6):
@@ -36,3 +37,22 @@ def test_nearest_of_each(spark, monkeypatch, small):
 def test_eval_metrics_make_no_pairs(spark, sf):
     plan = QUERIES["q31_eval_metrics"](spark, sf)._jdf.queryExecution().toString()
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_searches_hand_on_few_rows(spark, tmp_path, monkeypatch):
+    """A call hands on no more of a query than is asked for, however many lists there are."""
+    monkeypatch.setattr(blocks, "SLICE", 100)
+    made, df = vectors(spark, 200)
+    path = str(tmp_path / "ix")
+    index.build_index(df, path, lists=30, words=8)
+    log = SnapshotLog(spark, path)
+    model, stored = index.load_model(log), log.read("vectors")
+    asked = df.where("id % 5 = 0 and id <> 50").selectExpr("id as qid", "vector", "double('inf') as reach")
+    assert index._sure(stored, asked, model, 10, "id", "vector").count() == 390
+    near = index._candidates(stored, asked, model, "id", probes=30, most=20)
+    assert near.count() == 780
+    exact = index.search_many(spark, path, asked, 12, exact=True).orderBy("qid", "rank").collect()
+    plain = {}
+    for r in blocks.nearest_of_each(df.where("id not in (41, 42, 50)"), asked, 12, key="id", vector="vector").orderBy("qid", "rank").collect():
+        plain.setdefault(r["qid"], []).append(r["id"])
+    assert all([r["id"] for r in exact if r["qid"] == q] == ids for q, ids in plain.items()) and len(exact) == 12 * len(plain)
