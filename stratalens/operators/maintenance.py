@@ -122,7 +122,7 @@ def audit_batches(files: DataFrame, *, by: str, min_age_s: float, now: float, lo
     if most_batches <= 0 or most_files < 2:
         return files.withColumn("batch", F.lit(None).cast("long")).where(F.lit(False))
     old = files.where(F.coalesce(F.lit(now) - F.col("mtime") >= min_age_s, F.lit(True))).withColumn("_mtime", F.coalesce("mtime", F.lit(0.0)))
-    cut = fold_by_key(old, by, ["_mtime", "bytes", "uri"], step, "_batch", "long", counted=True).drop("_mtime")
+    cut = fold_by_key(old, by, ["_mtime", "bytes", "uri"], step, "_batch", "long", counted=True, uses=["bytes"]).drop("_mtime")
     sizes = cut.groupBy(by, "_batch").agg(F.count("*").alias("_n")).where("_n > 1")
     placed = sizes.withColumn("batch", F.row_number().over(Window.partitionBy(by).orderBy("_batch")).cast("long") - 1).where(F.col("batch") < most_batches)
     return cut.join(placed.select(by, "_batch", "batch"), [by, "_batch"]).drop("_batch")

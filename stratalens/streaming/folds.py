@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -21,7 +21,7 @@ Step = Callable[[Any, Mapping[str, Any]], tuple[Any, Any]]
 LONGEST = 1_000_000
 
 
-def fold_by_key(events: DataFrame, key: str, order: list[str], step: Step, name: str, kind: str, *, counted: bool = False, longest: int = LONGEST) -> DataFrame:
+def fold_by_key(events: DataFrame, key: str, order: list[str], step: Step, name: str, kind: str, *, counted: bool = False, longest: int = LONGEST, uses: Sequence[str] | None = None) -> DataFrame:
     """events with a column that a fold over the rows of each key gives, in order.
 
     ``step(state, row)`` returns the next state and the row's value; a key's
@@ -29,11 +29,14 @@ def fold_by_key(events: DataFrame, key: str, order: list[str], step: Step, name:
     numbers the rows by the flags of their key so far, from 0.  Keys are sorted
     within their partitions and flow through in batches: a task holds one batch
     and one state.  If a key has more than ``longest`` rows, tasks are ranges
-    of (key, order) instead, see fold_in_ranges().
+    of (key, order) instead, see fold_in_ranges().  ``uses`` are the columns
+    that a step looks at, if not all.  Events are worked out once.
     """
+    events = materialize(events)
     most = events.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     if most > longest:
-        return fold_in_ranges(events, key, order, step, name, kind, counted=counted, rows=longest)
+        return fold_in_ranges(events, key, order, step, name, kind, counted=counted, rows=longest, uses=uses)
+    uses = events.columns if uses is None else uses
     ordered = events.repartition(key).sortWithinPartitions(key, *order)
     names = events.columns
 
@@ -41,9 +44,9 @@ def fold_by_key(events: DataFrame, key: str, order: list[str], step: Step, name:
         now, state, fresh, flags = None, None, True, 0
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                if fresh or row[key] != now:
-                    now, state, fresh, flags = row[key], None, False, 0
+            for own, row in zip(_values(batch, key), _rows(batch, uses)):
+                if fresh or own != now:
+                    now, state, fresh, flags = own, None, False, 0
                 state, value = step(state, row)
                 flags += bool(counted and value)
                 out.append(flags - 1 if counted else value)
@@ -55,6 +58,20 @@ def fold_by_key(events: DataFrame, key: str, order: list[str], step: Step, name:
 _ARROW = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
 
 
+def _values(batch: pa.RecordBatch, name: str) -> list:
+    column = batch.column(batch.schema.names.index(name))
+    plain = not column.null_count and (pa.types.is_integer(column.type) or pa.types.is_floating(column.type))
+    return column.to_numpy().tolist() if plain else column.to_pylist()
+
+
+def _rows(batch: pa.RecordBatch, names: Sequence[str]) -> Iterator[dict[str, Any]]:
+    """Rows of a batch with some of its columns."""
+    if len(names) == 1:
+        (name,) = names
+        return ({name: x} for x in _values(batch, name))
+    return (dict(zip(names, row)) for row in zip(*(_values(batch, n) for n in names)))
+
+
 def _columns(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
@@ -68,13 +85,14 @@ class _Range:
     end: bytes
     flags: int
     began: bytes | None = None
+    began_last: bytes | None = None  # what its end is folded from
 
     @property
     def single(self) -> bool:
         return self.first == self.last
 
 
-def fold_in_ranges(events: DataFrame, key: str, order: list[str], step: Step, name: str, kind: str, *, counted: bool = False, rows: int = LONGEST) -> DataFrame:
+def fold_in_ranges(events: DataFrame, key: str, order: list[str], step: Step, name: str, kind: str, *, counted: bool = False, rows: int = LONGEST, uses: Sequence[str] | None = None) -> DataFrame:
     """fold_by_key() by ranges of about ``rows`` rows of (key, order), so that a key may span tasks.
 
     All ranges are folded at once, each as if its first key began there.  Then
@@ -82,9 +100,12 @@ def fold_in_ranges(events: DataFrame, key: str, order: list[str], step: Step, na
     which that is news, and whose end depends on it, are folded again, until
     nothing is news: at once where states forget what was long ago (batches
     fall into step, buckets fill up, keys are done), range after range in the
-    worst case.  The driver holds a state a range.
+    worst case.  A range that is folded again is folded from both states until
+    they meet; from there on its end is known.  The driver holds a state a
+    range.
     """
-    spark, names = events.sparkSession, events.columns
+    names = events.columns
+    uses = names if uses is None else uses
     ranges = max(2, math.ceil(events.count() / max(1, rows)))
     placed = events.repartitionByRange(ranges, key, *order).sortWithinPartitions(key, *order)
     stored = materialize(placed.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
@@ -93,30 +114,52 @@ def fold_in_ranges(events: DataFrame, key: str, order: list[str], step: Step, na
         some = stored if parts is None else stored.where(F.col("_part").isin(parts))
         return some.repartition(min(ranges, len(parts) if parts else ranges), "_part").sortWithinPartitions("_part", "_at")
 
-    def look(parts: list[int] | None, begin: dict[int, bytes]) -> dict[int, _Range]:
+    def look(parts: list[int] | None, begin: dict[int, bytes], known: dict[int, _Range]) -> dict[int, _Range]:
+        ends = {p: (r.began_last, r.end, r.flags) for p, r in known.items() if p in begin}
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part, first, now, state, flags = None, None, None, None, 0
+            old, met, before = None, None, 0  # the fold before, from another state, and its flags; met: the end is known
             out = []
+
+            def closed() -> tuple:
+                if met is not None:
+                    return part, pickle.dumps((first, now)), met[0], met[1]
+                return part, pickle.dumps((first, now)), pickle.dumps(state), flags
+
             for batch in batches:
-                for row in batch.to_pylist():
-                    if row["_part"] != part:
+                of = _values(batch, "_part")
+                if met is not None and of[0] == of[-1] == part:
+                    continue  # such a range has one key
+                for at, own, row in zip(of, _values(batch, key), _rows(batch, uses)):
+                    if at != part:
                         if part is not None:
-                            out.append((part, pickle.dumps((first, now)), pickle.dumps(state), flags))
-                        part, first, now, flags = row["_part"], row[key], row[key], 0
+                            out.append(closed())
+                        part, first, now, flags = at, own, own, 0
                         state = pickle.loads(begin[part]) if part in begin else None
-                    elif row[key] != now:
-                        now, state, flags = row[key], None, 0
+                        met, before = None, 0
+                        old = (pickle.loads(ends[part][0]) if ends[part][0] else None,) if part in ends else None
+                    elif met is not None:
+                        continue
+                    elif own != now:
+                        now, state, flags = own, None, 0
                     state, value = step(state, row)
                     flags += bool(counted and value)
+                    if old is not None:
+                        was, value = step(old[0], row)
+                        before += bool(counted and value)
+                        old = (was,)
+                        if was == state:
+                            met = ends[part][1], ends[part][2] - before + flags
             if part is not None:
-                out.append((part, pickle.dumps((first, now)), pickle.dumps(state), flags))
+                out.append(closed())
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.int64()))], names=["part", "keys", "state", "flags"])
 
         found = in_order(parts).mapInArrow(run, "part int, keys binary, state binary, flags long").collect()  # one row a range
-        return {r["part"]: _Range(*pickle.loads(r["keys"]), bytes(r["state"]), r["flags"], begin.get(r["part"])) for r in found}
+        return {r["part"]: _Range(*pickle.loads(r["keys"]), bytes(r["state"]), r["flags"], begin.get(r["part"]), begin.get(r["part"])) for r in found}
 
-    known = look(None, {})
+    known = look(None, {}, {})
     following = sorted(known)
     before = {p: q for q, p in zip(following, following[1:]) if known[p].first == known[q].last}
     while True:
@@ -127,7 +170,7 @@ def fold_in_ranges(events: DataFrame, key: str, order: list[str], step: Step, na
         for p in news:
             known[p].began = news[p]
         if again:
-            known.update(look(again, {p: news[p] for p in again}))
+            known.update(look(again, {p: news[p] for p in again}, known))
     begin = {p: known[p].began for p in before}
     flagged: dict[int, int] = {}
     for p in following:
@@ -138,12 +181,12 @@ def fold_in_ranges(events: DataFrame, key: str, order: list[str], step: Step, na
         part, now, state, flags = None, None, None, 0
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                if row["_part"] != part:
-                    part, now = row["_part"], row[key]
+            for at, own, row in zip(_values(batch, "_part"), _values(batch, key), _rows(batch, uses)):
+                if at != part:
+                    part, now = at, own
                     state, flags = pickle.loads(begin[part]) if part in begin else None, flagged[part]
-                elif row[key] != now:
-                    now, state, flags = row[key], None, 0
+                elif own != now:
+                    now, state, flags = own, None, 0
                 state, value = step(state, row)
                 flags += bool(counted and value)
                 out.append(flags - 1 if counted else value)
@@ -168,7 +211,7 @@ def batch_step(at: str, most: int, latency_ms: int) -> Step:
 
 def flush_batches(events: DataFrame, key: str, at: str, *, most: int = 50, latency_ms: int = 2000, order: str = "event_id", **longest: int) -> DataFrame:
     """The batch of each event of a key (T01): closed when it is full, or when its oldest event is too old at the next arrival."""
-    return fold_by_key(events, key, [at, order], batch_step(at, most, latency_ms), "batch", "long", counted=True, **longest)
+    return fold_by_key(events, key, [at, order], batch_step(at, most, latency_ms), "batch", "long", counted=True, uses=[at], **longest)
 
 
 def idempotency(events: DataFrame, key: str, at: str, outcome: str, *, ttl_ms: int, attempts: int, order: str = "event_id", **longest: int) -> DataFrame:
@@ -190,7 +233,7 @@ def idempotency(events: DataFrame, key: str, at: str, outcome: str, *, ttl_ms: i
             return ("dead", since, tries), "dead"
         return (after.get(row[outcome], "running"), row[at], tries + 1), "start"
 
-    return fold_by_key(events, key, [at, order], step, "action", "string", **longest)
+    return fold_by_key(events, key, [at, order], step, "action", "string", uses=[at, outcome], **longest)
 
 
 def bucket_step(at: str, per_minute: int) -> Step:
@@ -206,7 +249,7 @@ def bucket_step(at: str, per_minute: int) -> Step:
 
 def token_bucket(events: DataFrame, key: str, at: str, *, per_minute: int, order: str = "event_id", **longest: int) -> DataFrame:
     """Whether each event passes a token bucket of its key (T07): capacity per_minute, refilled steadily."""
-    return fold_by_key(events, key, [at, order], bucket_step(at, per_minute), "allowed", "boolean", **longest)
+    return fold_by_key(events, key, [at, order], bucket_step(at, per_minute), "allowed", "boolean", uses=[at], **longest)
 
 
 def tumbling_limit(events: DataFrame, keys: list[str], at: str, limit: int, *, seconds: int = 60, order: str = "event_id") -> DataFrame:

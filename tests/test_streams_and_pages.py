@@ -163,3 +163,34 @@ def test_long_keys_of_little(spark):
     assert folds.flush_batches(none, "user", "ms", longest=0).count() == 0 and folds.fold_in_ranges(none, "user", ["ms"], lambda s, r: (s, True), "x", "boolean").count() == 0
     null = spark.createDataFrame([(1, None, 5), (2, None, 6), (3, "a", 7)], "event_id long, user string, ms long")
     assert sorted(r.batch for r in folds.flush_batches(null, "user", "ms", longest=1).collect()) == [0, 0, 0]
+
+
+def test_folds_work_out_events_once(spark):
+    """In ranges too, whose second look stops where both states meet; a step sees the columns it uses."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, "a" if i < 380 else "b", i * 7 % 50) for i in range(400)]
+    events = spark.createDataFrame(rows, "id long, key string, size long").mapInArrow(count, "id long, key string, size long")
+
+    def step(state, row):
+        assert set(row) == {"size"}
+        total = (state or 0) + row["size"]
+        return (0 if total >= 120 else total), not state
+
+    got = {}
+    for longest in (1000, 37):
+        made.value = 0
+        folded = folds.fold_by_key(events, "key", ["id"], step, "batch", "long", counted=True, longest=longest, uses=["size"])
+        got[longest] = sorted(map(tuple, folded.collect()))
+        assert made.value == 400
+    want, state, flags = [], {}, {}
+    for i, k, size in rows:
+        state[k], opens = step(state.get(k), {"size": size})
+        flags[k] = flags.get(k, -1) + opens
+        want.append((i, k, size, flags[k]))
+    assert got[1000] == got[37] == want
