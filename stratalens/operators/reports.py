@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .search import small_side
+
 
 #: Ranks of a bracket's ends are off by less than this share of the rows.
 ACCURACY = 10_000
@@ -35,6 +38,7 @@ def exact_percentiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[Colu
     low = lambda i, p: F.when(whole | F.lit(p <= 2 / ACCURACY), F.lit(float("-inf"))).otherwise(F.col("q")[2 * i])
     high = lambda i, p: F.when(whole | F.lit(p >= 1 - 2 / ACCURACY), F.lit(float("inf"))).otherwise(F.col("q")[2 * i + 1])
     brackets = rough.select(*names, "_s", "_n", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), low(i, p).alias("lo"), high(i, p).alias("hi")) for i, p in enumerate(ks)])).alias("b")).select(*names, "_s", "_n", "b.*")
+    brackets = small_side(materialize(brackets))  # a few rows a group: values needn't be dealt by group to meet them
     inside = long.join(brackets, [*names, "_s"]).where("_v <= hi").groupBy(*names, "_s", "_n", "p", F.when(F.col("_v") >= F.col("lo"), F.col("_v")).alias("_v")).agg(F.count("*").alias("many"))
     upto = F.sum("many").over(Window.partitionBy(*names, "_s", "p").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0))
     at = (F.col("_n") - 1) * F.col("p")

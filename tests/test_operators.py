@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratalens.functions import text as tx
 from stratalens.functions.vectors import cosine_distance, cosine_distance_arrow, decibels, score_of_bm25
-from stratalens.operators import control, fusion, graph, policy, search
+from stratalens.operators import control, fusion, graph, policy, reports, search
 from stratalens.plans.filters import FilterError, compile_filter
 from stratalens.sources import readers, writers
 from stratalens.streaming import folds
@@ -208,3 +208,11 @@ def test_a_buffer_that_is_just_full(spark):
     go = lambda most: {r["id"]: r["evicted"] for r in control.evicted(items, "k", "age", "size", order=[F.asc_nulls_last("age"), F.asc_nulls_last("id")], ttl=20, most=most).collect()}
     assert go(0.6) == {0: False, 1: False, 2: False, 3: None, 4: True}
     assert go(0.5) == {0: False, 1: False, 2: True, 3: True, 4: True}
+
+
+def test_percentiles_meet_their_brackets_without_a_shuffle_of_values(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+    out = reports.exact_percentiles(df, ["g"], {"p": ("v", 0.5)})
+    tree = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in tree
+    assert {r["g"]: r["p"] for r in out.collect()} == {0: 499.5, 1: 499.0, 2: 500.0}
