@@ -158,7 +158,7 @@ def _(s, d):
 
 @query("q78_chunk_offsets", "WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '(\\s*\\S+)', 1) AS p FROM documents), l AS (SELECT doc_id, text, p, list_transform(p, lambda x: length(x)) AS n FROM t WHERE len(p) > 0), c AS (SELECT *, unnest(range(0, len(p), 112)) AS token_start FROM l), e AS (SELECT doc_id, text, token_start, least(token_start + 128, len(p)) AS token_end, list_sum(n[1:least(token_start + 128, len(p))])::BIGINT AS char_end, (list_sum(n[1:token_start + 1]) - length(regexp_replace(p[token_start + 1], '^\\s+', '')))::BIGINT AS char_start FROM c) SELECT doc_id, token_start // 112 AS chunk_index, char_start, char_end, token_start, token_end, sha256(text[char_start + 1:char_end]) AS digest FROM e")
 def _(s, d):
-    chunks = files.chunk_texts(table(s, d, "documents").select("doc_id", "text"))
+    chunks = files.chunk_texts(table(s, d, "documents"), keep=["doc_id"])
     return chunks.select("doc_id", "chunk_index", "char_start", "char_end", "token_start", "token_end", F.sha2("chunk", 256).alias("digest"))
 
 

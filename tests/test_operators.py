@@ -2,6 +2,7 @@
 
 import base64
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from stratalens.functions import text as tx
 from stratalens.functions.vectors import cosine_distance, cosine_distance_arrow, decibels, score_of_bm25
 from stratalens.operators import control, fusion, graph, policy, reports, search
 from stratalens.plans.filters import FilterError, compile_filter
-from stratalens.sources import readers, writers
+from stratalens.sources import files, readers, writers
 from stratalens.streaming import folds
 
 
@@ -216,3 +217,15 @@ def test_percentiles_meet_their_brackets_without_a_shuffle_of_values(spark):
     tree = out._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in tree
     assert {r["g"]: r["p"] for r in out.collect()} == {0: 499.5, 1: 499.0, 2: 500.0}
+
+
+def test_windows_leave_in_parts(spark, monkeypatch):
+    """Windows of one long text leave a task a few at a time, with the columns that are kept."""
+    monkeypatch.setattr(files, "CHUNK_CHARS", 100)
+    text = " ".join(f"w{i}" for i in range(500))
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "a b")], "id long, text string").repartition(1)
+    got = files.chunk_texts(rows, keep=["id"]).orderBy("id", "chunk_index").collect()
+    assert [r["id"] for r in got] == [1] * 5 + [3] and all(r["chunk"] == (text if r["id"] == 1 else "a b")[r["char_start"] : r["char_end"]] for r in got)
+    assert files.chunk_texts(rows).columns[:2] == ["id", "text"]
+    cut = files._windows(128, 112)([pa.record_batch([pa.array([1]), pa.array([text])], names=["id", "_text"])])
+    assert [b.num_rows for b in cut] == [1] * 5
