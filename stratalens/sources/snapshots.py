@@ -3,8 +3,8 @@
 A snapshot is a set of tables.  Its data files never change; each version is
 one small file of the log that says which files it adds and removes, so an
 append writes its own rows and nothing else.  A commit takes the next free
-number by a rename that refuses to overwrite; a writer that finds it taken
-looks at what won: if both took in the same manifest, or removed the same file,
+number by a rename (in a local folder: a link) that refuses to overwrite; a
+writer that finds it taken looks at what won: if both took in the same manifest, or removed the same file,
 it fails, else it tries the number after.  Which files are live is worked out
 by Spark from the last checkpoint and the versions after it.
 """
@@ -84,7 +84,12 @@ class SnapshotLog:
         out.close()
         never = self.spark._sc._gateway.new_array(getattr(self._paths, "Options$Rename"), 0)
         try:
-            self._paths.FileContext.getFileContext(draft.toUri() if draft.toUri().getScheme() else fs.getUri(), self._conf).rename(draft, target, never)
+            if fs.getUri().getScheme() == "file":  # there a rename looks first and moves then, so two writers may both win; a link is made once
+                local = lambda p: self.spark._jvm.java.io.File(fs.makeQualified(p).toUri().getPath()).toPath()
+                self.spark._jvm.java.nio.file.Files.createLink(local(target), local(draft))
+                fs.delete(draft, False)
+            else:
+                self._paths.FileContext.getFileContext(draft.toUri() if draft.toUri().getScheme() else fs.getUri(), self._conf).rename(draft, target, never)
         except Py4JJavaError as e:
             if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
                 fs.delete(draft, False)

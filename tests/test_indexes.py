@@ -152,6 +152,26 @@ def test_vector_index_of_little(spark, tmp_path):
     assert index.search_many(spark, path, nothing, 3).count() == 0 and index.search_many(spark, str(tmp_path / "no"), nothing, 3).count() == 0
 
 
+def test_a_version_is_taken_once(spark, tmp_path):
+    """Writers that put the same version at one moment: one wins, and its actions are those that stand."""
+    log = SnapshotLog(spark, str(tmp_path / "s"))
+    for version in range(40):
+        start, won = threading.Barrier(8), []
+
+        def put(i):
+            start.wait()  # noqa: B023
+            if log._put(version, [{"op": "commit", "id": f"w{i}", "manifests": []}], f"w{i}"):  # noqa: B023
+                won.append(f"w{i}")  # noqa: B023
+
+        threads = [threading.Thread(target=put, args=(i,)) for i in range(8)]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+        assert len(won) == 1 and won[0] in (tmp_path / f"s/_log/{version:020d}.json").read_text()
+    assert not list((tmp_path / "s/_log/drafts").glob("w*"))
+
+
 def texts(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
 
