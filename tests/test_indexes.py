@@ -1,5 +1,6 @@
 """Versioned snapshots, the quantised vector index and the term index."""
 
+import re
 import threading
 
 import numpy as np
@@ -200,6 +201,39 @@ def test_stems_stop_words_and_accents(spark, tmp_path):
     assert of("connection") == {1, 2} and of("cafe") == of("CAFÉ") == {2} and of("relating") == {3} and of("the") == set()
 
 
+def test_term_index_build_counts_whole_texts(spark, tmp_path, monkeypatch):
+    """Words at the edges of texts, letters that aren't a to z, slices and ranges of a few entries: postings as counted in plain Python."""
+    monkeypatch.setattr(terms, "SLICE_BYTES", 40)
+    monkeypatch.setattr(terms, "RANGE_ENTRIES", 6)
+    monkeypatch.setattr(terms, "PART_WORDS", 10)
+    rows = [("a", "cat"), ("b", "cat"), ("c", None), ("d", ""), ("e", "  Dog-dog\u00e9dog \u212aelvin 12x"), ("f", " ".join(f"w{chr(97 + i)}" for i in range(20)) + " cat"), ("g", "!!"), ("h", "the cat the")]
+    for size in (1, 100):
+        path = str(tmp_path / f"t{size}")
+        assert terms.build_terms(spark.createDataFrame(rows, "k string, text string"), path, key="k", size=size) == len(rows)
+        blocks = SnapshotLog(spark, path).read("blocks").collect()
+        got = {(b.term, k, int.from_bytes(b.figures[8 * i : 8 * i + 4]), int.from_bytes(b.figures[8 * i + 4 : 8 * i + 8])) for b in blocks for i, k in enumerate(b["keys"])}
+        want = set()
+        for k, text in rows:
+            words = re.findall("[a-z]+", (text or "").lower())
+            want |= {(w, k, words.count(w), len(words)) for w in words}
+        assert got == want and sum(b.n for b in blocks) == len(want) and len({(b.term, b.range) for b in blocks}) == len(blocks)
+        held = {}
+        for b in blocks:
+            held[b.range] = held.get(b.range, 0) + b.n
+        assert all(n <= 6 or n == 21 for n in held.values())
+        found = terms.search_terms(spark, path, "cat", 10)
+        assert {r["key"] for r in found.hits.collect()} == {"a", "b", "f", "h"}
+
+
+def test_term_index_is_built_by_few_exchanges(spark, sf, tmp_path, monkeypatch):
+    """Texts move once and blocks once: nothing goes word by word."""
+    plans, write = [], SnapshotLog.write
+    monkeypatch.setattr(SnapshotLog, "write", lambda log, name, rows, commit: plans.append(rows._jdf.queryExecution().toString()) or write(log, name, rows, commit))
+    terms.build_terms(texts(spark, sf), str(tmp_path / "t"), size=16)
+    blocks = plans[0].split("== Physical Plan ==")[1]
+    assert blocks.count("Exchange") == 2 and "Join" not in blocks and "collect_list" not in blocks
+
+
 def test_porter():
     """Words and stems of the published paper."""
     pairs = "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc digitizer digit conformabli conform radicalli radic differentli differ vileli vile analogousli analog vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form formalize formal electriciti electr electrical electr hopeful hope goodness good revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust dependent depend adoption adopt homologou homolog communism commun activate activ angulariti angular homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll".split()
