@@ -32,6 +32,10 @@ CONTENT_TYPES = {
 }
 
 
+#: Files that one task puts into groups, about.
+GROUP_FILES = 250_000
+
+
 def parquet_by_name(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     """Files of differing schemas as one table: missing columns are null, types are promoted.
 
@@ -80,8 +84,12 @@ def file_groups(files: DataFrame) -> DataFrame:
     """The core, text and vector file of each run, vertex and ordinal, so that no second file of a kind is lost."""
     from pyspark.sql import Window
 
-    nth = F.row_number().over(Window.partitionBy("run_id", "vertex", "kind").orderBy("uri"))
-    return files.withColumn("nth", nth).groupBy("run_id", "vertex", "nth").pivot("kind", ["core", "text", "vector"]).agg(F.max("uri"))
+    # one exchange for ordinals and groups, whose parts are as many as the files ask for; their key has a column of its own, as a constant vertex is left out of other keys
+    parts = max(1, -(-files.select().count() // GROUP_FILES))
+    placed = files.withColumn("_group", F.xxhash64("run_id", "vertex")).repartition(parts, "_group")
+    nth = F.row_number().over(Window.partitionBy("_group", "run_id", "vertex", "kind").orderBy("uri"))
+    groups = placed.withColumn("nth", nth).groupBy("_group", "run_id", "vertex", "nth")
+    return groups.agg(*[F.max(F.when(F.col("kind") == k, F.col("uri"))).alias(k) for k in ("core", "text", "vector")]).drop("_group")
 
 
 def existing(files: DataFrame, listing: DataFrame, uri: str = "uri") -> DataFrame:

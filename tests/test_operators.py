@@ -170,6 +170,20 @@ def test_sources_and_sinks(spark, tmp_path):
     assert readers.decode_batches(events).count() == 1
 
 
+def test_file_groups_go_through_one_exchange(spark, monkeypatch):
+    """Ordinals and groups share an exchange, whose parts follow the number of files; a constant vertex too."""
+    monkeypatch.setattr(readers, "GROUP_FILES", 10)
+    rows = [(r, f"{r}-{kind}-{i}", kind) for r in ("a", "b", None) for kind, n in (("core", 12), ("text", 3), ("adj_list", 14)) for i in range(n)]
+    files = spark.createDataFrame(rows, "run_id string, uri string, kind string")
+    for vertex in (F.lit("V"), F.col("run_id")):
+        groups = readers.file_groups(files.withColumn("vertex", vertex))
+        plan = groups._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and f", {-(-len(rows) // 10)}), REPARTITION_BY_NUM" in plan
+        got = {(g.run_id, g.nth): (g.core, g.text, g.vector) for g in groups.collect()}
+        of = lambda r, kind, n: (sorted(u for x, u, k in rows if x == r and k == kind)[n - 1 : n] or [None])[0]
+        assert got == {(r, n): (of(r, "core", n), of(r, "text", n), None) for r in ("a", "b", None) for n in range(1, 15)}
+
+
 def test_control(spark):
     from stratalens.operators import control
 
